@@ -5,8 +5,9 @@ its whole part is taken for certain, and the fraction is settled by the cube
 method: groups of three fractional units move through the null space of the
 constraints (token total, document total) until each is 0 or 1. The flight
 runs in blocks of a source, then once more over what the blocks left (at most
-two units each, so the last group of a source is tiny), and the last two units
-of a source land by the rounding nearest to the totals.
+fourteen units each: two that no group of three could move, and a reserve of
+all sizes), and the last fourteen units of a source land by the rounding
+nearest to the totals.
 
 Edge cases: null text has size 0; a null source is a source of its own, last
 in order; sources of size 0 have target 0 and nothing taken; repeated rows are
@@ -25,6 +26,8 @@ from tallyfold.llm.common import stored, table
 
 #: Rows of one flight block.
 BLOCK_ROWS = 20_000
+#: Units of a block, of all its sizes, that its flight leaves open for the landing.
+RESERVE = 12
 #: No document is taken more often.
 MAX_REPEAT = 3
 #: The table of sources is broadcast up to this many rows, joined by shuffle beyond.
@@ -96,25 +99,40 @@ def flight(sizes: list[int], p: list[float], key: str) -> list[float]:
 
 
 def land(sizes: list[int], p: list[float]) -> list[float]:
-    """Round what the flight leaves, at most two units: the choice nearest to the token total, then to the document total."""
+    """Round the few units that are still open: of all choices the one nearest to both totals they stand for."""
+    import numpy as np
+
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
-    want = sum(sizes[i] * p[i] for i in open_)
-    docs = sum(p[i] for i in open_)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(sizes[i] for j, i in enumerate(open_) if m >> j & 1) - want), abs(bin(m).count("1") - docs), m))
+    if not open_:
+        return p
+    size = np.array([sizes[i] for i in open_], dtype=float)
+    share = np.array([p[i] for i in open_])
+    picks = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    off = np.abs(picks @ size - size @ share) / max(1.0, size.mean()) + 0.02 * np.abs(picks.sum(axis=1) - share.sum())
     p = list(p)
-    for j, i in enumerate(open_):
-        p[i] = float(best >> j & 1)
+    for i, x in zip(open_, picks[int(np.argmin(off))].tolist()):
+        p[i] = float(x)
     return p
 
 
+def reserve(sizes: list[int], p: list[float]) -> set[int]:
+    """A few fractional units of all sizes that the flight leaves for the landing."""
+    by = sorted((i for i, x in enumerate(p) if 0 < x < 1 and sizes[i]), key=lambda i: (sizes[i], i))
+    return {by[k * (len(by) - 1) // (RESERVE - 1)] for k in range(RESERVE)} if by else set()
+
+
 _FLOWN = "doc_id long, unit long, source string, size long, source_size long, target double, whole long, p double"
 
 
 def _fly(last: bool, seed: int):
     def run(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "size", "unit"], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["size", "doc_id", "unit"], ascending=[False, True, True], kind="stable", na_position="last")
         sizes = [int(x) for x in pdf["size"]]
-        p = flight(sizes, [float(x) for x in pdf["p"]], f"{seed}:{last}:{key[0]}:{key[-1]}")
+        p = [float(x) for x in pdf["p"]]
+        kept = reserve(sizes, p)
+        rest = [i for i in range(len(p)) if i not in kept]
+        for i, x in zip(rest, flight([sizes[i] for i in rest], [p[i] for i in rest], f"{seed}:{last}:{key[0]}:{key[-1]}")):
+            p[i] = x
         return pdf.assign(p=land(sizes, p) if last else p)[[c.split()[0] for c in _FLOWN.split(", ")]]
 
     return run
@@ -139,7 +157,7 @@ def mix(sizes: DataFrame, seed: int = 7) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "unit", F.lit(seed)), F.ceil(F.col("n") / BLOCK_ROWS)))
     cols = [c.split()[0] for c in _FLOWN.split(", ")]
     flown = stored(rows.select(*cols, "block").groupBy("source", "block").applyInPandas(_fly(False, seed), _FLOWN), "mix-flown")
-    # at most two rows a block go on; groups of blocks merge again until one is left
+    # at most RESERVE + 2 rows a block go on; groups of blocks merge again until one is left
     done, rest = flown.where("p = 0 or p = 1"), flown.where("p > 0 and p < 1")
     width = BLOCK_ROWS // 2
     blocks = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0
