@@ -1,15 +1,224 @@
-"""The engine's own queries by name."""
+"""The engine's own queries by name, each one text for Spark and for DuckDB."""
 
 from __future__ import annotations
 
+from functools import partial
+
+from tallyfold.functions import contacts as C
+from tallyfold.functions.dialect import DuckDB, Spark
+from tallyfold.functions.rules import LENIENT, POLICIES, STRICT
+from tallyfold.operators.ranking import chunks, keep_first, overlay
+from tallyfold.sources.tables import view
+
+
+def _hosts(d):
+    return f"SELECT page_id, url, {C.domain(d, 'url')} AS host FROM pages"
+
+
+def page_domain_parts(d):
+    return f"SELECT page_id, host, {C.registrable(d, 'host', STRICT)} AS registrable, {C.url_key(d, 'url')} AS url_key FROM ({_hosts(d)}) h"
+
+
+def page_url_key_dedupe(d):
+    return keep_first(f"(SELECT page_id, {C.url_key(d, 'url')} AS url_key FROM pages) p", "url_key", "page_id", "page_id, url_key")
+
+
+def _candidates(d, table, key, text):
+    """Distinct (key, email) from the text and from its deobfuscated form; the cheap test comes first."""
+    found = f"SELECT {key}, {d.explode}({d.all(text, C.EMAIL)}) AS raw FROM {table} WHERE position('@' IN {text}) > 0"
+    plain = f"SELECT {key}, {d.explode}({d.all(C.deobfuscate(d, text), C.EMAIL)}) AS raw FROM {table} WHERE {d.like(text, '(?i)@|at')}"
+    return f"SELECT DISTINCT {key}, {C.email(d, 'raw')} AS email FROM ({found} UNION ALL {plain}) c"
+
+
+def doc_email_candidates(d):
+    return f"SELECT doc_id, email FROM ({_candidates(d, 'documents', 'doc_id', 'text')}) c WHERE email <> ''"
+
+
+def doc_email_verdicts(d):
+    return f"SELECT doc_id, email, {C.verdict(d, 'email', STRICT)} AS verdict FROM ({_candidates(d, 'documents', 'doc_id', 'text')}) c"
+
+
+def verdict_histogram(d):
+    return f"SELECT verdict, count(*) AS n FROM ({doc_email_verdicts(d)}) v GROUP BY verdict"
+
+
+def _best(d, policy, rules=LENIENT):
+    """Best e-mail of each page under a policy, for pages that have one."""
+    tier, order = C.best_order(d, "email", "host", rules, POLICIES[policy])
+    valid = f"SELECT c.page_id, h.host, c.email FROM ({_candidates(d, 'pages', 'page_id', 'html')}) c JOIN ({_hosts(d)}) h ON c.page_id = h.page_id WHERE {C.verdict(d, 'c.email', rules)} = 'ok'"
+    tiers = f"(SELECT page_id, host, email, {tier} AS tier FROM ({valid}) v) t"
+    return keep_first(f"(SELECT * FROM {tiers} WHERE tier < 9) k", "page_id", order, "page_id, email, tier")
+
+
+def best_email(policy, d):
+    return f"SELECT h.page_id, h.host, b.email AS best_email, b.tier AS tier FROM ({_hosts(d)}) h LEFT JOIN ({_best(d, policy)}) b ON h.page_id = b.page_id"
+
+
+def page_contact_summary(d):
+    """The flagship: host, registrable domain, candidate counts and best e-mail of every page."""
+    checked = f"SELECT page_id, email, {C.verdict(d, 'email', LENIENT)} AS verdict FROM ({_candidates(d, 'pages', 'page_id', 'html')}) c"
+    counts = f"SELECT page_id, count(*) AS n_candidates, sum(CASE WHEN verdict = 'ok' THEN 1 ELSE 0 END) AS n_valid, min(verdict) AS first_verdict FROM ({checked}) v GROUP BY page_id"
+    return f"""SELECT h.page_id, h.host, {C.registrable(d, 'h.host', LENIENT)} AS registrable, coalesce(n.n_candidates, 0) AS n_candidates,
+CAST(coalesce(n.n_valid, 0) AS BIGINT) AS n_valid, n.first_verdict, b.email AS best_email
+FROM ({_hosts(d)}) h LEFT JOIN ({counts}) n ON h.page_id = n.page_id LEFT JOIN ({_best(d, 'any_valid')}) b ON h.page_id = b.page_id"""
+
+
+def _links(d):
+    hrefs = d.all("html", 'href="[^"#][^"]*"')
+    raw = f"SELECT page_id, url, {d.explode}({hrefs}) AS tag FROM pages"
+    return f"SELECT page_id, {d.rep('tag', chr(94) + 'href=' + chr(34) + '|' + chr(34) + '$', '')} AS link FROM ({raw}) r"
+
+
+def page_links_topk_padded(d):
+    """Five links a page by contact relevance, padded with guessed paths that the page doesn't link."""
+    paths = " UNION ALL ".join(f"SELECT '{p}' AS link, {i} AS ord" for i, p in enumerate(("/contact", "/contact-us", "/about", "/about-us", "/team")))
+    own = f"SELECT DISTINCT page_id, link FROM ({_links(d)}) l WHERE NOT {d.like('link', '^(?i:mailto|javascript|tel):')}"
+    scored = f"SELECT page_id, link, {C.priority(d, 'link', STRICT)} AS score, 0 AS pad FROM ({own}) o"
+    pads = f"SELECT p.page_id, g.link, 100 + g.ord AS score, 1 AS pad FROM pages p CROSS JOIN ({paths}) g LEFT JOIN ({own}) o ON o.page_id = p.page_id AND o.link = g.link WHERE o.link IS NULL"
+    return keep_first(f"({scored} UNION ALL {pads}) u", "page_id", "score, link", "page_id, link, score, pad", 5)
+
+
+#: Contacts and requests aren't tables here; customers and orders stand in, by one text on both sides.
+_LISTING = """SELECT c_custkey AS ord, concat('c', c_nationkey % 5) AS campaign_id, concat('r', c_custkey % 7) AS request_id,
+  CASE WHEN c_custkey % 11 = 0 THEN 'N/A' ELSE concat('Shop ', c_custkey % 40) END AS name, CASE WHEN c_custkey % 3 = 0 THEN concat(c_acctbal, ' stars') WHEN c_custkey % 3 = 1 THEN 'N/A' ELSE '4.5' END AS stars,
+  concat(c_custkey, ' (1,', 100 + c_custkey % 900, ')') AS reviews, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('https://www.shop', c_custkey % 40, '.com/a?b=1') END AS website,
+  concat('https://maps.example.net/p/', c_custkey % 60, '/') AS url, concat(c_custkey % 13, ' Main St') AS address, lower(c_mktsegment) AS category, concat('+1 555 ', c_custkey % 17) AS phone FROM customer"""
+
+
+def contact_wire_shape(d):
+    site = C.picked("website", "url")
+    return f"""SELECT ord, campaign_id, request_id, coalesce(nullif({C.cleaned(d, 'name')}, ''), 'Unknown Business') AS business_name, {C.rating(d, d.rep('stars', '^-', ''))} AS rating,
+{C.count_of(d, d.rep('reviews', '^[^(]*', ''))} AS review_count, CASE WHEN {d.like(site, 'maps[.]')} THEN 'none' ELSE {C.domain(d, site)} END AS domain,
+coalesce({C.picked('website')}, 'N/A') AS website, {d.quote_plus("concat(name, ' ~*&', address)")} AS query, '' AS email FROM ({_LISTING}) l"""
+
+
+def contact_dedupe_fast(d):
+    return keep_first(f"({_LISTING}) l", "url, name, address", "ord", "ord, url, name, address")
+
+
+def contact_dedupe_generic(d):
+    key = "lower(concat(name, '|', website, '|', phone, '|', address))"
+    return keep_first(f"(SELECT *, {key} AS k FROM ({_LISTING}) l) x", "k", "ord", "ord, k")
+
+
+def request_chunks(d):
+    return chunks(f"({_LISTING}) l", "campaign_id, request_id", "ord", 20, "ord, campaign_id, request_id")
+
+
+def contact_enrich(d):
+    detail = keep_first(f"(SELECT url, ord AS detail_ord, CASE WHEN ord % 2 = 0 THEN '' ELSE phone END AS phone, CASE WHEN ord % 4 = 0 THEN 'N/A' ELSE upper(category) END AS category FROM ({_LISTING}) l WHERE ord % 3 = 0) q", "url", "detail_ord", "url, phone, category")
+    return f"SELECT l.ord, l.url, {overlay('phone', 'category')} FROM ({_LISTING}) l LEFT JOIN ({detail}) d ON l.url = d.url"
+
+
+def campaign_lookup(d):
+    first = keep_first("(SELECT n_nationkey, lower(trim(n_name)) AS name FROM nation) n", "name", "n_nationkey", "n_nationkey, name")
+    return f"SELECT s.s_suppkey, coalesce(n.n_nationkey, -1) AS campaign_id, coalesce(n.name, '') AS campaign_name FROM supplier s LEFT JOIN nation x ON x.n_nationkey = s.s_nationkey LEFT JOIN ({first}) n ON n.name = lower(trim(x.n_name))"
+
+
+def unqueued_campaigns(d):
+    queued = f"SELECT DISTINCT {d.rep('job', '[.].*$', '')} AS campaign_id FROM (SELECT concat('c', c_nationkey % 4, CASE WHEN c_custkey % 2 = 0 THEN '.json' ELSE '.json.17' END) AS job FROM customer) j"
+    return f"SELECT DISTINCT l.campaign_id FROM ({_LISTING}) l WHERE NOT EXISTS (SELECT 1 FROM ({queued}) q WHERE q.campaign_id = l.campaign_id)"
+
+
+def campaigns_missing_email(d):
+    return f"SELECT n.n_nationkey, n.n_name FROM nation n WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_custkey % 9 = 0)"
+
+
+def email_upsert(d):
+    news = keep_first("(SELECT o_custkey AS contact_id, o_orderkey AS ord, concat('box', o_orderkey % 100, '@shop.com') AS email FROM orders WHERE o_orderkey % 4 = 0) o", "contact_id", "ord", "contact_id, email")
+    return f"SELECT c.c_custkey AS contact_id, coalesce(n.email, CASE WHEN c.c_custkey % 2 = 0 THEN 'old@shop.com' END) AS email, n.contact_id IS NOT NULL AS updated FROM customer c LEFT JOIN ({news}) n ON n.contact_id = c.c_custkey"
+
+
+def request_selection(d):
+    status = "CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN '' WHEN 2 THEN 'inuse' ELSE 'completed' END"
+    text = "CASE WHEN o_orderkey % 10 = 0 THEN '  ' ELSE concat('plumber ', o_orderkey) END"
+    rows = f"SELECT o_orderkey AS id, o_custkey % 50 AS campaign, {status} AS status, {text} AS req_text FROM orders"
+    open_ = f"(SELECT * FROM ({rows}) r WHERE trim(req_text) <> '' AND status IN ('', 'pending', 'inuse')) o"
+    return keep_first(open_, "campaign", "CASE WHEN status = 'inuse' THEN 1 ELSE 0 END, id", "campaign, id, status", 5)
+
+
+def batch_estimate(d):
+    e = "CAST(ceil(pending / 10.0e0 * 1.1e0) AS BIGINT)"
+    return f"SELECT o_custkey, pending, CASE WHEN pending <= 0 THEN 0 ELSE greatest(1, least({e}, 25)) END AS batches FROM (SELECT o_custkey, sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS pending FROM orders GROUP BY o_custkey) p"
+
+
+def retry_classes(d):
+    code = "CASE event_id % 8 WHEN 0 THEN 200 WHEN 1 THEN 204 WHEN 2 THEN 408 WHEN 3 THEN 429 WHEN 4 THEN 500 WHEN 5 THEN 599 WHEN 6 THEN 404 ELSE 301 END"
+    kind = "CASE WHEN code BETWEEN 200 AND 299 THEN 'ok' WHEN code >= 500 OR code IN (408, 429) THEN 'retry' ELSE 'stop' END"
+    return f"SELECT code, {kind} AS outcome, count(*) AS n FROM (SELECT {code} AS code FROM events) e GROUP BY code, {kind}"
+
+
+_LOG = "SELECT event_id AS seq, concat('s', user_id % 4) AS source, CASE event_id % 6 WHEN 0 THEN 'FACEBOOK FOUND a -> b' WHEN 1 THEN 'DONE (1/2): a -> b [FB priority]' WHEN 2 THEN 'DONE (1/2): a -> b [1.0s]' WHEN 3 THEN 'x - INFO - FOUND a -> b' WHEN 4 THEN 'DONE (1/2): a (no email)' ELSE event_type END AS line, ts FROM events"
+
+
+def outcome_counters(d):
+    kind = f"CASE WHEN {d.like('line', 'FACEBOOK FOUND|FB priority')} THEN 'social' WHEN {d.like('line', 'DONE .*->|FOUND .*->')} THEN 'regular' ELSE 'none' END"
+    return f"SELECT source, {kind} AS kind, count(*) AS n FROM ({_LOG}) l GROUP BY source, {kind}"
+
+
+def log_tail(d):
+    return f"SELECT seq, source, line FROM (SELECT *, row_number() OVER (ORDER BY seq DESC) AS rn FROM ({_LOG}) l) r WHERE rn <= 400"
+
+
+def last_activity(d):
+    return keep_first(f"({_LOG}) l", "source", "seq DESC", "source, seq, line")
+
+
+def stable_count_stop(d):
+    """For each user, the first event at which a count was unchanged for three observations in a row."""
+    rows = "SELECT user_id, event_id, CAST(floor(value / 25) AS BIGINT) AS n FROM events"
+    run = f"SELECT user_id, event_id, n, lag(n, 1) OVER w AS n1, lag(n, 2) OVER w AS n2 FROM ({rows}) r WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
+    return f"SELECT user_id, min(event_id) AS stop_at FROM ({run}) s WHERE n = n1 AND n = n2 GROUP BY user_id"
+
+
+def lease_gaps(d):
+    """Beats of each run and how many gaps outlast a lease of two hours."""
+    gap = "unix_timestamp(ts) - unix_timestamp(lag(ts) OVER w)" if d.explode == "explode" else "CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS BIGINT)"
+    return f"SELECT user_id, count(*) AS beats, CAST(sum(CASE WHEN gap > 7200 THEN 1 ELSE 0 END) AS BIGINT) AS lost FROM (SELECT user_id, {gap} AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) g GROUP BY user_id"
+
+
+def json_prop_extract(d):
+    return f"SELECT k, count(*) AS n FROM (SELECT {d.hex('props')} AS k FROM events) e GROUP BY k"
+
+
+def setting_coercion(d):
+    raw = "CASE event_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN ' 12' WHEN 2 THEN 'abc' WHEN 3 THEN 'on' ELSE '5000' END"
+    n = "coalesce(TRY_CAST(trim(raw) AS INT), 10)"
+    return f"SELECT raw, lower(trim(raw)) IN ('1', 'true', 'yes', 'on', 'y') AS flag, least(greatest({n}, 1), 4000) AS clamped, CASE WHEN raw IN ('Yes', 'abc') THEN raw ELSE 'fast' END AS mode, count(*) AS n FROM (SELECT {raw} AS raw FROM events) e GROUP BY raw"
+
+
+def q_join_agg(d):
+    return "SELECT n.n_name, count(*) AS n_orders, count(DISTINCT o.o_custkey) AS n_customers FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE o.o_orderstatus = 'O' GROUP BY n.n_name"
+
+
+def q_rollup(d):
+    return "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)"
+
+
+def q_rank(d):
+    return keep_first("orders", "o_custkey", "o_totalprice DESC, o_orderkey", "o_custkey, o_orderkey, rn", 3)
+
+
+def q_tumbling(d):
+    hour = "date_trunc('hour', ts)"
+    return f"SELECT {hour} AS start, event_type, count(*) AS n FROM events GROUP BY {hour}, event_type"
+
+
+_PLANS = {f.__name__: f for f in (
+    page_domain_parts, page_url_key_dedupe, doc_email_candidates, doc_email_verdicts, verdict_histogram, page_contact_summary, page_links_topk_padded,
+    contact_wire_shape, contact_dedupe_fast, contact_dedupe_generic, request_chunks, contact_enrich, campaign_lookup, unqueued_campaigns,
+    campaigns_missing_email, email_upsert, request_selection, batch_estimate, retry_classes, outcome_counters, log_tail, last_activity,
+    stable_count_stop, lease_gaps, json_prop_extract, setting_coercion, q_join_agg, q_rollup, q_rank, q_tumbling,
+)} | {f"best_email_per_page_{p}": partial(best_email, p) for p in POLICIES}
+
 
 def queries():
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: f(DuckDB()) for name, f in _PLANS.items()}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return view(spark, sf_dir, page_contact_summary(Spark()))
