@@ -33,3 +33,10 @@ def base_spans(text):
 
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+#: Texts that the patterns can trip over.
+BASE_TEXTS = [
+    "a@b.c_d@e.f.g x", "a@b.c._x@y.z", "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.4", "+" + "1" * 500, "4111 1111 1111 1111 9", "4111-1111-1111-1111",
+    "a" * 500 + "@" + "b.c" * 300, "é+49 (0)30 1234567 x", "GB82 WEST 1234 5698 7654 32 ssn 123-45-6789", "@@a@b.c", "Mail: x@y.zz, +1 (212) 555-0100.", "1 " * 500,
+]
