@@ -7,8 +7,8 @@ Groups meet in the buckets of their prefix shingles.
 
 Round 1 pairs each bucket's groups, by size, with a hub: a chain of few pairs.
 Round 2 expands the groups of buckets that round 1 left in more than one
-component and pairs the classes of different components, after the size and
-position filters. All pairs are verified on the whole sets from the texts. A
+component and pairs the classes of different components, after the size,
+position and bitmap filters. All pairs are verified on the whole sets from the texts. A
 pair that both rounds skip already lies in one component, so components are
 exact although a group of thousands of near copies never yields all its pairs.
 
@@ -35,6 +35,10 @@ FREQUENT = 65_536
 LOCAL_MIN = 4
 #: Rows of a bucket above which it is dealt out as pairs of blocks, and members verified with one copy of a hub's text.
 SPLIT, MEMBERS = 20_000, 500
+#: Bits of a set's bitmap, a power of two.
+BITS = 2048
+#: Rows of the verification's list up to which it is broadcast; beyond, the texts are shuffled to it.
+BROADCAST = 1_000_000
 _BYTES = 4 << 20
 
 
@@ -80,7 +84,14 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return top.view(np.uint64)[::-1].copy()
 
 
-_SIGNATURE = "doc_id long, n long, d1 long, d2 long, prefix array<long>"
+_SIGNATURE = "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary"
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's shingles as bits. A bit that one set has and the other has not stands for a shingle at least that they don't share."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
 def signatures(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -104,10 +115,10 @@ def signatures(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> D
                 for s in shingle_sets(texts[i:j], words):
                     n = len(s)
                     keep = n - -(-percent * n // 100) + 1 if n else 0
-                    rows.append((n, int(np.add.reduce(mix(s)).view(np.int64)) if n else 0, int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if n else 0, ordered(s)[:keep].view(np.int64)))
+                    rows.append((n, int(np.add.reduce(mix(s)).view(np.int64)) if n else 0, int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if n else 0, ordered(s)[:keep].view(np.int64), bitmap(s)))
             cut = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), lists, pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
 
@@ -154,10 +165,10 @@ def _hubs(percent: int):
 
 def _cross(percent: int):
     def run(batches):
-        """Of rows by (token, lo, hi, n): pairs of classes of different components that the size and position filters leave."""
+        """Of rows by (token, lo, hi, n): pairs of classes of different components that the size, position and bitmap filters leave."""
         import pyarrow as pa
 
-        names = ("n", "rep", "pos", "comp", "block")
+        names = ("n", "rep", "pos", "comp", "block", "bits")
         key, window = None, None
 
         def pairs(x: dict, y: dict, inner: bool, apart: bool):
@@ -170,14 +181,22 @@ def _cross(percent: int):
             ni, nj = x["n"][i], y["n"][j]
             rest = 1 + np.minimum(ni - x["pos"][i] - 1, nj - y["pos"][j] - 1)
             keep = (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (rest * (100 + percent) >= percent * (ni + nj))
-            a, b = x["rep"][i[keep]], y["rep"][j[keep]]
+            i, j = i[keep], j[keep]
+            possible = np.zeros(len(i), dtype=bool)
+            for p in range(0, len(i), 1 << 14):
+                q = slice(p, p + (1 << 14))
+                bi, bj = x["bits"][i[q]], y["bits"][j[q]]
+                both = np.minimum(x["n"][i[q]] - np.bitwise_count(bi & ~bj).sum(axis=1, dtype=np.int64), y["n"][j[q]] - np.bitwise_count(bj & ~bi).sum(axis=1, dtype=np.int64))
+                possible[q] = both * (100 + percent) >= percent * (x["n"][i[q]] + y["n"][j[q]])
+            a, b = x["rep"][i[possible]], y["rep"][j[possible]]
             return np.minimum(a, b), np.maximum(a, b)
 
         for batch in batches:
             tok, lo, hi = (batch.column(c).to_numpy() for c in ("token", "lo", "hi"))
             if not len(tok):
                 continue
-            cols = {c: batch.column(c).to_numpy() for c in names}
+            cols = {c: batch.column(c).to_numpy() for c in names[:-1]}
+            cols["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint64).reshape(len(tok), -1)
             new = np.flatnonzero((tok[1:] != tok[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             found = []
             for i, j in zip([0, *new.tolist()], [*new.tolist(), len(tok)]):
@@ -245,6 +264,7 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    need = F.broadcast(need) if need.count() <= BROADCAST else need
     dealt = need.join(texts, "doc").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -272,9 +292,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     rows = rows.join(members, "grp", "left").select("token", F.coalesce("rep", "grp").alias("rep"), "n", "pos")
     rows = rows.join(label, rows["rep"] == label["node"], "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     open_ = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token", F.ceil(F.col("size") / SPLIT).cast("int").alias("k"))
+    bits = sig.select("doc_id", "bits", "n", "d1", "d2").join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).groupBy("doc_id").agg(F.first("bits").alias("bits"))
     rows = rows.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "k").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    dealt = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "rep").select("token", "lo", "hi", "n", "rep", "pos", "comp", "block")
+    rows = rows.join(bits, rows["rep"] == bits["doc_id"]).select("token", "lo", "hi", "n", "rep", "pos", "comp", "block", "bits")
+    dealt = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "rep")
     more = stored(dealt.mapInArrow(_cross(percent), "a long, b long").distinct(), "jaccard-pairs")
     discard(buckets)
     found = stored(verify(docs, more, words, percent), "jaccard-links")
