@@ -5,12 +5,14 @@ found often come last, so prefixes are made of rare shingles. Documents with
 equal sets are one class; classes with equal prefixes and size are one group.
 Groups meet in the buckets of their prefix shingles.
 
-Round 1 pairs each bucket's groups, by size, with a hub: a chain of few pairs.
-Round 2 expands the groups of buckets that round 1 left in more than one
-component and pairs the classes of different components, after the size,
-position and bitmap filters. All pairs are verified on the whole sets from the texts. A
-pair that both rounds skip already lies in one component, so components are
-exact although a group of thousands of near copies never yields all its pairs.
+Round 1 pairs each bucket's groups, by size, with a hub, and then, in buckets
+that are left in more than one component, each class with its next few of other
+components: chains of few pairs, in proportion to the rows. Round 2 takes the
+buckets that still hold more than one component and pairs all their classes of
+different components, after the size and position filters. Pairs of all rounds
+pass an exact bitmap bound and are then verified on the whole sets from the
+texts. A pair that the rounds skip already lies in one component, so components
+are exact although a group of thousands of near copies never yields all its pairs.
 
 Set sizes, filters and verdicts use exact integers; shingles are 64-bit
 hashes, so a document's set can differ only if two shingles of one pair
@@ -35,8 +37,10 @@ FREQUENT = 65_536
 LOCAL_MIN = 4
 #: Rows of a bucket above which it is dealt out as pairs of blocks, and members verified with one copy of a hub's text.
 SPLIT, MEMBERS = 20_000, 500
-#: Bits of a set's bitmap, a power of two.
+#: Bits of a set's narrow bitmap, a power of two; a set of more than half as many shingles also has a wide one of twice its size or more.
 BITS = 2048
+#: How far apart, in a bucket by size, the extra chain links two classes.
+REACH = 4
 #: Rows of the verification's list up to which it is broadcast; beyond, the texts are shuffled to it.
 BROADCAST = 1_000_000
 _BYTES = 4 << 20
@@ -84,16 +88,21 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return top.view(np.uint64)[::-1].copy()
 
 
-_SIGNATURE = "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary"
+_SIGNATURE = "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary, wide binary"
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray, width: int = BITS) -> bytes:
     """A set's shingles as bits. A bit that one set has and the other has not stands for a shingle at least that they don't share."""
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
+    bits = np.zeros(width, dtype=bool)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def wide(s: np.ndarray) -> bytes:
+    """The bitmap of a set that would fill most of a narrow one, else nothing."""
+    return bitmap(s, 1 << (2 * len(s) - 1).bit_length()) if 2 * len(s) > BITS else b""
+
+
 def signatures(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
     """Set size, 128-bit set digest and ordered prefix of each document."""
     by = np.argsort(last)
@@ -115,10 +124,10 @@ def signatures(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> D
                 for s in shingle_sets(texts[i:j], words):
                     n = len(s)
                     keep = n - -(-percent * n // 100) + 1 if n else 0
-                    rows.append((n, int(np.add.reduce(mix(s)).view(np.int64)) if n else 0, int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if n else 0, ordered(s)[:keep].view(np.int64), bitmap(s)))
+                    rows.append((n, int(np.add.reduce(mix(s)).view(np.int64)) if n else 0, int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if n else 0, ordered(s)[:keep].view(np.int64), bitmap(s), wide(s)))
             cut = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), lists, pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), lists, *(pa.array([r[k] for r in rows], pa.binary()) for k in (4, 5))], names=["doc_id", "n", "d1", "d2", "prefix", "bits", "wide"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
 
@@ -163,6 +172,65 @@ def _hubs(percent: int):
     return run
 
 
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _possible(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes and bitmaps can reach the similarity: the bound never excludes a pair that does."""
+    both = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+    return both * (100 + percent) >= percent * (na + nb)
+
+
+def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids that their bitmaps (doc_id, n, bits, wide) don't exclude."""
+
+    def folded(x: np.ndarray, width: int) -> np.ndarray:
+        return np.bitwise_or.reduce(x.reshape(-1, width), axis=0)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            ends = [[np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("bits_a", "bits_b")]
+            width = np.array([min(len(x), len(y)) for x, y in zip(*ends)], dtype=np.int64)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                for part in np.split(at, range(_BYTES // (8 * w), len(at), _BYTES // (8 * w)) if _BYTES > 8 * w else range(1, len(at))):
+                    a, b = (np.stack([folded(end[i], w) for i in part]) for end in ends)
+                    keep[part] = _possible(na[part], nb[part], a, b, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    best = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
+    for end in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), best.alias(f"bits_{end}")), end)
+    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _chain(percent: int):
+    def run(batches):
+        """Of rows by (token, n, rep): the pairs of near neighbours of a bucket that lie in different components and that the filters leave."""
+        import pyarrow as pa
+
+        for batch in batches:
+            token, n, rep, pos, comp = (batch.column(c).to_numpy() for c in ("token", "n", "rep", "pos", "comp"))
+            bits, found = _bits(batch.column("bits")), [np.zeros((0, 2), np.int64)]
+            for step in range(1, min(REACH, len(token) - 1) + 1):
+                i = np.flatnonzero((token[step:] == token[:-step]) & (comp[step:] != comp[:-step]))
+                j = i + step
+                rest = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
+                near = (100 * n[i] >= percent * n[j]) & (rest * (100 + percent) >= percent * (n[i] + n[j]))
+                i, j = i[near], j[near]
+                ok = _possible(n[i], n[j], bits[i], bits[j], percent)
+                found.append(np.sort(np.stack([rep[i[ok]], rep[j[ok]]], axis=1), axis=1))
+            p = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _cross(percent: int):
     def run(batches):
         """Of rows by (token, lo, hi, n): pairs of classes of different components that the size, position and bitmap filters leave."""
@@ -185,9 +253,7 @@ def _cross(percent: int):
             possible = np.zeros(len(i), dtype=bool)
             for p in range(0, len(i), 1 << 14):
                 q = slice(p, p + (1 << 14))
-                bi, bj = x["bits"][i[q]], y["bits"][j[q]]
-                both = np.minimum(x["n"][i[q]] - np.bitwise_count(bi & ~bj).sum(axis=1, dtype=np.int64), y["n"][j[q]] - np.bitwise_count(bj & ~bi).sum(axis=1, dtype=np.int64))
-                possible[q] = both * (100 + percent) >= percent * (x["n"][i[q]] + y["n"][j[q]])
+                possible[q] = _possible(x["n"][i[q]], y["n"][j[q]], x["bits"][i[q]], y["bits"][j[q]], percent)
             a, b = x["rep"][i[possible]], y["rep"][j[possible]]
             return np.minimum(a, b), np.maximum(a, b)
 
@@ -196,7 +262,7 @@ def _cross(percent: int):
             if not len(tok):
                 continue
             cols = {c: batch.column(c).to_numpy() for c in names[:-1]}
-            cols["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint64).reshape(len(tok), -1)
+            cols["bits"] = _bits(batch.column("bits"))
             new = np.flatnonzero((tok[1:] != tok[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             found = []
             for i, j in zip([0, *new.tolist()], [*new.tolist(), len(tok)]):
@@ -274,32 +340,44 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stored(signatures(docs, words, percent, frequent_shingles(docs, words)), "jaccard-signatures")
     full = sig.where("n > 0 and doc_id is not null")
-    # the prefix follows from the set: any of a class's copies will do
-    classes = stored(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    prefixed = full.join(classes.select("n", "d1", "d2", F.col("rep").alias("doc_id")), ["n", "d1", "d2", "doc_id"]).groupBy("n", "d1", "d2").agg(F.first("prefix").alias("prefix"), F.min("doc_id").alias("rep"))
-    mark = prefixed.select("rep", "n", "prefix", F.xxhash64("prefix").alias("h1"), F.xxhash64("prefix", F.lit(1)).alias("h2"))
-    groups = mark.groupBy("n", "h1", "h2").agg(F.min("rep").alias("grp"), F.count("*").alias("reps"), F.first("prefix").alias("prefix"))
-    groups = stored(groups, "jaccard-groups")
-    members = stored(mark.drop("prefix").join(groups.where("reps > 1").select("n", "h1", "h2", "grp"), ["n", "h1", "h2"]).select("grp", "rep"), "jaccard-members")
-    tokens = groups.select(F.posexplode("prefix").alias("pos", "token"), "grp", F.col("n"), (F.col("reps") > 1).cast("int").alias("many"))
+    marked = full.withColumn("h1", F.xxhash64("prefix")).withColumn("h2", F.xxhash64("prefix", F.lit(1)))
+    # the prefix follows from the set: any of a class's copies will do, and it moves once, for the groups
+    classes = stored(marked.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("h1").alias("h1"), F.first("h2").alias("h2")), "jaccard-classes")
+    groups = stored(classes.groupBy("n", "h1", "h2").agg(F.min("rep").alias("doc_id"), F.count("*").alias("reps")), "jaccard-groups")
+    members = stored(classes.join(groups.where("reps > 1"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("grp"), "rep"), "jaccard-members")
+    once = marked.select("doc_id", "n", "h1", "h2", "prefix").dropDuplicates(["doc_id", "n", "h1", "h2"])
+    tokens = once.join(groups, ["doc_id", "n", "h1", "h2"]).select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("grp"), "n", (F.col("reps") > 1).cast("int").alias("many"))
     buckets = stored(tokens.repartition("token").sortWithinPartitions("token", "n", "grp").mapInArrow(_hubs(percent), _BUCKET), "jaccard-buckets")
 
-    near = buckets.where("kind = 0").select("a", "b").unionByName(members.where("grp != rep").select(F.col("grp").alias("a"), F.col("rep").alias("b"))).distinct()
-    links = stored(verify(docs, near, words, percent), "jaccard-links")
+    bits = full.select("doc_id", "n", "bits", "wide")
+    near = buckets.where("kind = 0").select("a", "b").unionByName(members.where("grp != rep").select(F.col("grp").alias("a"), F.col("rep").alias("b"))).where("a != b").distinct()
+    links = stored(verify(docs, stored(plausible(near, bits, percent), "jaccard-near"), words, percent), "jaccard-links")
+    label = stored(components(links), "jaccard-label")
+
+    # one exchange serves both the distinct and the join
+    narrow = bits.select(F.col("doc_id").alias("rep"), "n", "bits").repartition("rep", "n").distinct()
+
+    def open_rows(label):
+        """The rows of buckets that hold more than one component, and the number of blocks of each bucket."""
+        rows = buckets.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), "n", "pos")
+        rows = rows.join(members, "grp", "left").select("token", F.coalesce("rep", "grp").alias("rep"), "n", "pos")
+        rows = rows.join(label, rows["rep"] == label["node"], "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+        open_ = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token", F.ceil(F.col("size") / SPLIT).cast("int").alias("k"))
+        return rows.join(open_, "token")
+
+    rows = open_rows(label).join(narrow, ["rep", "n"]).select("token", "n", "rep", "pos", "comp", "bits")
+    chain = rows.repartition("token", F.floor(F.col("n") / 64)).sortWithinPartitions("token", "n", "rep").mapInArrow(_chain(percent), "a long, b long").distinct()
+    found = stored(verify(docs, stored(plausible(chain, bits, percent), "jaccard-near"), words, percent), "jaccard-links")
+    links = stored(links.unionByName(found), "jaccard-links")
     label = stored(components(links), "jaccard-label")
 
-    rows = buckets.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), "n", "pos")
-    rows = rows.join(members, "grp", "left").select("token", F.coalesce("rep", "grp").alias("rep"), "n", "pos")
-    rows = rows.join(label, rows["rep"] == label["node"], "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-    open_ = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token", F.ceil(F.col("size") / SPLIT).cast("int").alias("k"))
-    bits = sig.select("doc_id", "bits", "n", "d1", "d2").join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).groupBy("doc_id").agg(F.first("bits").alias("bits"))
-    rows = rows.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "k").cast("int"))
+    rows = open_rows(label).withColumn("block", F.pmod(F.xxhash64("rep"), "k").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.join(bits, rows["rep"] == bits["doc_id"]).select("token", "lo", "hi", "n", "rep", "pos", "comp", "block", "bits")
+    rows = rows.join(narrow, ["rep", "n"]).select("token", "lo", "hi", "n", "rep", "pos", "comp", "block", "bits")
     dealt = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "rep")
     more = stored(dealt.mapInArrow(_cross(percent), "a long, b long").distinct(), "jaccard-pairs")
     discard(buckets)
-    found = stored(verify(docs, more, words, percent), "jaccard-links")
+    found = stored(verify(docs, stored(plausible(more, bits, percent), "jaccard-near"), words, percent), "jaccard-links")
     if not found.isEmpty():
         label = stored(components(links.unionByName(found)), "jaccard-label")
 
