@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyfold.llm.common import table
+from tallyfold.llm.common import release_memory, small_batches, table
 
 #: Characters of text whose distinct pre-tokens are indexed together.
 CHUNK_CHARS = 16_000_000
@@ -207,6 +207,20 @@ def _chunks(values: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def _gathered(batches, text: str) -> Iterator[list]:
+    """Runs of non-empty record batches with CHUNK_CHARS bytes of text or more together."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.column(text).nbytes
+        if n >= CHUNK_CHARS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """docs with `token_ids`: array<int>."""
     path = path or default_tokenizer()
@@ -216,16 +230,18 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         import pyarrow as pa
 
         bpe = load(path)
-        for b in batches:
-            at = 0
-            for part in _chunks([x or "" for x in b.column(text).to_pylist()]):
-                ids = [np.fromiter((i for p in pieces for i in p), dtype=np.int32) for pieces in bpe.encode_chunk(part)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                rows = b.slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([lists if f.name == "token_ids" else rows.column(f.name) for f in out], names=out.names)
-
+        for held in _gathered(batches, text):
+            texts = [x or "" for b in held for x in b.column(text).to_pylist()]
+            ids = (np.fromiter((i for p in pieces for i in p), dtype=np.int32) for pieces in bpe.encode_chunk(texts))
+            for b in held:
+                own = [next(ids) for _ in range(b.num_rows)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([lists if f.name == "token_ids" else b.column(f.name) for f in out], names=out.names)
+            del held, texts, ids, own, lists, b
+            release_memory()
+
+    small_batches(docs.sparkSession)
     return docs.drop("token_ids").mapInArrow(run, out)
 
 

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode, tests)."""
@@ -55,6 +58,30 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of texts that this session moves between its executors and their Python workers.
+
+    By rows alone a batch of texts takes tens of MB, and the JVM holds it twice while it grows; a smaller number of bytes that the caller set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not (now or "").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system: idle workers live on beside the next stage's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import held_out, stored, table
+from tallyfold.llm.common import held_out, release_memory, small_batches, stored, table
 
 #: Training rows at most, the smallest by a hash of their id; far more than the ridge needs.
 MAX_TRAINING_ROWS = 1_000_000
@@ -211,6 +211,7 @@ def op4_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those the classifier rejects; texts are scored where they lie, so no text is shuffled."""
+    small_batches(docs.sparkSession)
     model = fit(stored(document_stats(docs), "quality-stats"), train_labels(labels))
 
     def run(batches):
@@ -219,6 +220,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             stats = np.array([text_stats((t or "").encode()) for t in b.column("text").to_pylist()]).reshape(-1, len(STATS))
             yield b.filter(pa.array(model.score(stats) >= 0.5))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
