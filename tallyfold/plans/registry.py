@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import partial
 
 from tallyfold.functions import contacts as C
+from tallyfold.functions import links as L
 from tallyfold.functions.dialect import DuckDB, Spark
 from tallyfold.functions.rules import LENIENT, POLICIES, STRICT
 from tallyfold.operators.ranking import chunks, keep_first, overlay
+from tallyfold.plans import streams
 from tallyfold.sources.tables import view
 
 
@@ -78,6 +80,42 @@ def page_links_topk_padded(d):
     return keep_first(f"({scored} UNION ALL {pads}) u", "page_id", "score, link", "page_id, link, score, pad", 5)
 
 
+def link_kinds(d):
+    return f"""SELECT page_id, link, {L.looks_like_url(d, 'link')} AS url_like, {L.blocked_resource(d, 'link')} AS blocked, {L.slashless(d, 'link')} AS slashless,
+{L.clean_url(d, 'link')} AS cleaned, {L.social_loose(d, 'link')} AS social_loose, {L.social_strict(d, 'link')} AS social_strict FROM (SELECT DISTINCT page_id, link FROM ({_links(d)}) l) u"""
+
+
+def page_social_links(d):
+    """Two social pages of each page at most, from links and from one made up for every fifth page."""
+    made = "SELECT page_id, concat('https://www.facebook.com/', CASE WHEN page_id % 10 = 0 THEN 'shop' ELSE 'sharer/' END, page_id) AS link FROM pages WHERE page_id % 5 = 0"
+    social = f"(SELECT DISTINCT page_id, link FROM (SELECT page_id, link FROM ({_links(d)}) l UNION ALL {made}) u WHERE {L.social_strict(d, 'link')}) s"
+    return keep_first(social, "page_id", "link", "page_id, link", 2)
+
+
+_CLAIMS = """SELECT event_id AS seq, concat('w', user_id % 5) AS worker, CASE event_id % 5
+WHEN 0 THEN concat('Claimed pipeline run=r', event_id, ' campaign=', user_id, ' campaign_name=Shop ', user_id, ' stage=email_scrape')
+WHEN 1 THEN concat('Claimed pipeline run=r', event_id, ' campaign=', user_id, ' stage=maps') WHEN 2 THEN 'No claimable run (empty)'
+WHEN 3 THEN concat('Stage failed: run=r', event_id, ' campaign=', user_id, ' stage=verify') ELSE event_type END AS line FROM events"""
+
+
+def claim_lines(d):
+    """What each log line tells of a worker's current work; lines that tell nothing are left out."""
+    state = "CASE WHEN line LIKE '%Claimed pipeline run=%' THEN 'claimed' WHEN line LIKE '%No claimable run (%' THEN 'idle' WHEN line LIKE '%Stage failed: run=%' THEN 'failed' WHEN line LIKE '%Pipeline worker stopping%' THEN 'stopped' END"
+    part = lambda name: f"nullif(regexp_extract(line, {d.s(f'(?:^|[ ]){name}=([^ ]+)')}, 1), '')"
+    named = f"nullif(trim(regexp_extract(line, {d.s('campaign_name=(.*?) +stage=')}, 1)), '')"
+    return f"SELECT seq, worker, state, {part('campaign')} AS campaign_id, {named} AS campaign_name, {part('stage')} AS stage FROM (SELECT *, {state} AS state FROM ({_CLAIMS}) c) s WHERE state IS NOT NULL"
+
+
+def current_work(d):
+    return keep_first(f"({claim_lines(d)}) c", "worker", "seq DESC", "worker, seq, state, campaign_id, campaign_name, stage")
+
+
+def request_summary(d):
+    n = lambda test: f"CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""SELECT campaign_id, request_id, count(*) AS blocks, {n("name = 'N/A'")} AS missing_name, {n("website = ''")} AS missing_website,
+{n("stars = 'N/A'")} AS missing_rating, count(DISTINCT url) AS urls, count(DISTINCT address) AS addresses FROM ({_LISTING}) l GROUP BY campaign_id, request_id"""
+
+
 #: Contacts and requests aren't tables here; customers and orders stand in, by one text on both sides.
 _LISTING = """SELECT c_custkey AS ord, concat('c', c_nationkey % 5) AS campaign_id, concat('r', c_custkey % 7) AS request_id,
   CASE WHEN c_custkey % 11 = 0 THEN 'N/A' ELSE concat('Shop ', c_custkey % 40) END AS name, CASE WHEN c_custkey % 3 = 0 THEN concat(c_acctbal, ' stars') WHEN c_custkey % 3 = 1 THEN 'N/A' ELSE '4.5' END AS stars,
@@ -209,15 +247,16 @@ _PLANS = {f.__name__: f for f in (
     contact_wire_shape, contact_dedupe_fast, contact_dedupe_generic, request_chunks, contact_enrich, campaign_lookup, unqueued_campaigns,
     campaigns_missing_email, email_upsert, request_selection, batch_estimate, retry_classes, outcome_counters, log_tail, last_activity,
     stable_count_stop, lease_gaps, json_prop_extract, setting_coercion, q_join_agg, q_rollup, q_rank, q_tumbling,
+    link_kinds, page_social_links, claim_lines, current_work, request_summary,
 )} | {f"best_email_per_page_{p}": partial(best_email, p) for p in POLICIES}
 
 
 def queries():
-    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()}
+    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()} | streams.QUERIES
 
 
 def oracle_sql():
-    return {name: f(DuckDB()) for name, f in _PLANS.items()}
+    return {name: f(DuckDB()) for name, f in _PLANS.items()} | streams.ORACLES
 
 
 def flagship(spark, sf_dir):
