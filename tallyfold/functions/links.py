@@ -24,6 +24,35 @@ def path(d, x: str) -> str:
     return f"regexp_extract({x}, {d.s('^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)')}, 1)"
 
 
+def origin(d, x: str) -> str:
+    """Scheme and host of an absolute URL, as written; empty for others."""
+    return f"regexp_extract({x}, {d.s(_ORIGIN)}, 0)"
+
+
+def site(d, x: str) -> str:
+    """The host (with port) of an absolute URL in lower case, without a leading www."""
+    return d.rep(f"lower(regexp_extract({x}, {d.s('^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)')}, 1))", "^www[.]", "")
+
+
+def joined(d, base: str, x: str) -> str:
+    """A link as an absolute URL against the page's; dot segments stay as written."""
+    folder = f"CASE WHEN {path(d, base)} LIKE '%/%' THEN {d.rep(path(d, base), '[^/]*$', '')} ELSE '/' END"
+    tests = [
+        (f"{x} = ''", base),
+        (d.like(x, "^[A-Za-z][A-Za-z0-9+.-]*:"), x),
+        (f"{x} LIKE '//%'", f"concat(regexp_extract({base}, '^[^:/?#]*:', 0), {x})"),
+        (f"{x} LIKE '/%'", f"concat({origin(d, base)}, {x})"),
+        (f"{x} LIKE '?%'", f"concat({d.rep(base, '[?#].*$', '')}, {x})"),
+        (f"{x} LIKE '#%'", f"concat({d.rep(base, '#.*$', '')}, {x})"),
+    ]
+    return "CASE " + " ".join(f"WHEN {t} THEN {to}" for t, to in tests) + f" ELSE concat({origin(d, base)}, {folder}, {x}) END"
+
+
+def contact_like(d, x: str, words) -> str:
+    """Whether a path or an anchor text holds one of the target paths."""
+    return d.like(f"lower({x})", _any(words))
+
+
 def blocked_resource(d, x: str, extensions=BLOCKED_EXTENSIONS) -> str:
     """Whether the decoded path ends with a media or font extension."""
     return d.like(f"lower({d.unquote(path(d, x))})", f"(?:{_any(extensions)})$") if extensions else "false"

@@ -30,6 +30,13 @@ class Rules:
         ("team", 2), ("our-team", 2), ("meet-the-team", 2), ("support", 2), ("customer-service", 2), ("privacy-policy", 3), ("privacy", 3),
         ("legal", 3), ("services", 4), ("info", 4),
     )
+    target_paths: tuple[str, ...] = (
+        "/contact", "/contact-us", "/contact-me", "/about", "/about-us", "/about-me", "/team", "/our-team", "/meet-the-team",
+        "/support", "/customer-service", "/help", "/feedback", "/sales", "privacy", "return", "location", "policy", "faq",
+        "/estimate", "/free-estimate", "/request-quote", "/consultation", "/appointment", "/schedule", "/get-in-touch", "/book",
+        "/company", "/who-we-are", "/staff", "/locations", "/impressum", "/legal", "/privacy-policy", "/info", "/information",
+        "/services", "/quote", "/imprint",
+    )
     min_root_letters: int = 2
     allow_subdomains: bool = False
 

@@ -71,13 +71,30 @@ def _links(d):
     return f"SELECT page_id, {d.rep('tag', chr(94) + 'href=' + chr(34) + '|' + chr(34) + '$', '')} AS link FROM ({raw}) r"
 
 
-def page_links_topk_padded(d):
-    """Five links a page by contact relevance, padded with guessed paths that the page doesn't link."""
-    paths = " UNION ALL ".join(f"SELECT '{p}' AS link, {i} AS ord" for i, p in enumerate(("/contact", "/contact-us", "/about", "/about-us", "/team")))
-    own = f"SELECT DISTINCT page_id, link FROM ({_links(d)}) l WHERE NOT {d.like('link', '^(?i:mailto|javascript|tel):')}"
-    scored = f"SELECT page_id, link, {C.priority(d, 'link', STRICT)} AS score, 0 AS pad FROM ({own}) o"
-    pads = f"SELECT p.page_id, g.link, 100 + g.ord AS score, 1 AS pad FROM pages p CROSS JOIN ({paths}) g LEFT JOIN ({own}) o ON o.page_id = p.page_id AND o.link = g.link WHERE o.link IS NULL"
-    return keep_first(f"({scored} UNION ALL {pads}) u", "page_id", "score, link", "page_id, link, score, pad", 5)
+def _anchors(d):
+    """Every anchor of each page: its absolute link, the link's path and its text without tags."""
+    tags = f"SELECT page_id, url, {d.explode}({d.all('html', _ANCHOR)}) AS tag FROM pages"
+    bare = lambda x: d.rep(f"trim({x})", "^[\"']|[\"']$", "")
+    href = f"replace(trim({bare(f'regexp_extract(tag, {d.s(_HREF)}, 1)')}), '&amp;', '&')"
+    cut = f"SELECT page_id, url, {href} AS href, {d.rep('tag', '<[^>]*>', '')} AS text FROM ({tags}) t"
+    full = f"SELECT page_id, url, text, {L.joined(d, 'url', 'href')} AS link FROM ({cut}) c WHERE NOT {d.like('href', '^(?i:mailto):')}"
+    return f"SELECT page_id, url, text, link, {d.rep(L.path(d, 'link'), ';[^/]*$', '')} AS path FROM ({full}) f"
+
+
+_ANCHOR = "(?is)<a(?:\\s[^>]*)?>(?:.*?</a>|.*)"
+_HREF = "(?is)^<a(?:\\s[^>]*?)?\\shref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
+
+
+def page_links_topk_padded(d, rules=STRICT, k=5):
+    """k contact-like links of a page by (score, link); a page with fewer gets the target paths that it doesn't link, scored and ranked alike."""
+    same = f"{L.site(d, 'url')} <> '' AND {L.site(d, 'url')} = {L.site(d, 'link')}"
+    like = " OR ".join(L.contact_like(d, x, rules.target_paths) for x in ("path", "text"))
+    own = f"SELECT page_id, link, least({C.priority(d, 'path', rules)}, {C.priority(d, 'text', rules)}) AS score, 0 AS pad FROM ({_anchors(d)}) a WHERE {same} AND ({like})"
+    paths = " UNION ALL ".join(f"SELECT '/{p.lstrip('/')}' AS path" for p in rules.target_paths)
+    few = f"SELECT p.page_id, p.url FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM ({own}) o GROUP BY page_id) c ON c.page_id = p.page_id WHERE coalesce(c.n, 0) < {k}"
+    guessed = f"SELECT f.page_id, f.url, concat({L.origin(d, 'f.url')}, g.path) AS link, {C.priority(d, 'g.path', rules)} AS score FROM ({few}) f CROSS JOIN ({paths}) g"
+    pads = f"SELECT x.page_id, x.link, x.score, 1 AS pad FROM (SELECT * FROM ({guessed}) y WHERE {same}) x LEFT JOIN (SELECT DISTINCT page_id, link FROM ({own}) o) e ON e.page_id = x.page_id AND e.link = x.link WHERE e.link IS NULL"
+    return keep_first(f"({own} UNION ALL {pads}) u", "page_id", "score, link", "page_id, link, score, pad", k)
 
 
 def link_kinds(d):

@@ -89,3 +89,36 @@ def test_domains_golden(spark, url, host, reg):
 
 def test_url_key_golden(spark):
     assert spark.sql(f"SELECT {C.url_key(Spark(), repr('HTTPS://Acmefix.com/Shop/?q=1#x'))} AS k").first().k == "https://acmefix.com/Shop?q=1"
+
+
+PAGES = [
+    # Five unrelated links: none is a candidate, so the guessed paths of score 0 fill the page, by URL.
+    (1, "https://www.acmefix.com/a/b?x=1", "".join(f'<a href="/{w}">{w}</a>' for w in ("der", "die", "das", "und", "wie"))),
+    # Two candidates by path, one by text alone (score of neither: 99), one of another site; pads rank with them.
+    (2, "https://acmefix.com/", '<a href="/services">x</a><A class="n" HREF=\'about-us\'><b>y</b></A><a href="/z">our policy</a><a href="https://other.com/contact">c</a><a href="mailto:a@b.c">contact</a>'),
+    # Five candidates: no pads, though all rank behind them.
+    (3, "https://acmefix.com/", "".join(f'<a href="/{w}">{w}</a>' for w in ("faq", "help", "return", "staff", "sales", "der"))),
+    # A path that the page links itself isn't guessed again.
+    (4, "https://acmefix.com/", '<a href="/contact">Contact</a>'),
+]
+ZERO = ("consultation", "contact", "contact-me", "contact-us", "estimate", "free-estimate", "get-in-touch", "request-quote")
+
+
+def test_contact_links_golden(spark):
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").createOrReplaceTempView("golden_pages")
+
+    def found(**more):
+        got = {}
+        text = registry.page_links_topk_padded(Spark(), **more).replace("FROM pages", "FROM golden_pages")
+        for r in spark.sql(text).collect():
+            got.setdefault(r.page_id, []).append((r.score, r.link, r.pad))
+        return {i: sorted(rows) for i, rows in got.items()}
+
+    got = found()
+    pads = lambda host, n=5: [(0, f"https://{host}/{w}", 1) for w in ZERO[:n]]
+    assert got[1] == pads("www.acmefix.com")
+    assert got[2] == pads("acmefix.com")
+    assert got[3] == [(99, f"https://acmefix.com/{w}", 0) for w in ("faq", "help", "return", "sales", "staff")]
+    assert got[4] == sorted([(0, "https://acmefix.com/contact", 0), *(p for p in pads("acmefix.com") if not p[1].endswith("/contact"))])
+    assert len(STRICT.target_paths) == 39
+    assert [(s, u) for s, u, pad in found(k=40)[2] if not pad] == [(2, "https://acmefix.com/about-us"), (4, "https://acmefix.com/services"), (99, "https://acmefix.com/z")]
