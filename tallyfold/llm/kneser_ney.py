@@ -1,16 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped by scorers.
-
-Each training task counts its own words and word pairs in numpy and sends the
-distinct ones, packed, to the bucket of their hash range. A bucket merges its
-counts and writes them as sorted arrays into the shared folder: pairs by
-(context, word) with the totals of each context, words by hash, continuation
-counts by word. A scorer maps the files, looks up a batch's distinct words and
-pairs in order, and never holds the model. Counts cover every training row.
-
-The order is two: longer orders keep nearly every run of such texts once more,
-which the disk bound doesn't allow. Words are 64-bit hashes for the base score,
-32-bit halves in pairs and continuations. Files are named by task attempt and
-only those of attempts that ended well are in the manifest.
+"""Interpolated modified Kneser-Ney model of any order from two up: counted in Spark, kept as sorted hash arrays, memory-mapped by scorers.
+
+Each training task counts its own words and word runs in numpy and sends the
+distinct ones, packed, to the bucket of their context's hash range. A bucket
+merges its counts, writes them as sorted arrays into the shared folder (runs
+by hash, contexts with their totals) and sends on how many words each run's
+tail follows: the counts of the next lower order. A scorer maps the files,
+looks up a batch's distinct words and runs, and never holds the model. Counts
+cover every training row.
+
+All keys are 64 bits: a context is the chained hash of its words, a run the
+chained hash of context and word. A text's history starts with one begin
+token; runs that start there keep their plain counts at lower orders, as
+nothing precedes them. Files are named by task attempt and only those of
+attempts that ended well are in the model.
 
 Edge cases: null and empty texts are one end token; a null id is a training
 row; with no training rows every probability is that of one unknown word, 1;
@@ -29,18 +31,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import file_system, held_out, new_path, stored, table
+from tallyfold.llm.common import file_system, held_out, new_path, table
 from tallyfold.llm.hashing import mix, word_hashes
 
 #: Tokens that a task gathers before it sorts them; so many are in memory at once.
 GATHER = 4_000_000
 _TEXT_BYTES = 4 << 20
 END = mix(np.array([0x1F3D5B79A1C3E5F7], dtype=np.uint64))[0]
-BEGIN32 = np.uint64(0x9D2C5680)
-_32 = np.uint64(32)
+BEGIN = mix(np.array([0x9D2C56805A3F17C9], dtype=np.uint64))[0]
+ORDER = 3
+_MORE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Kinds of rows: RAW words, runs of n words as n, and what is written of kind k as DONE + k.
+RAW, DONE = 0, 100
 
 _COUNTED = "kind int, bucket int, blob binary"
-_REDUCED = "kind int, bucket int, blob binary, path string, n long, total long, n1 long, n2 long, n3 long, n4 long, contexts long"
+_REDUCED = "kind int, bucket int, blob binary, path string, n long, total long, n1 long, n2 long, n3 long, n4 long, contexts long, large long, large_contexts long"
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -79,12 +84,39 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(n), END), n + 1
 
 
-def _pairs(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(context, word) keys of tokens: 32 bits each, the context of a text's first token is its begin."""
-    context = np.empty_like(h)
-    context[1:] = h[:-1] >> _32
-    context[np.cumsum(n) - n] = BEGIN32
-    return context << _32 | h >> _32
+def chain(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context's words and one word more."""
+    return mix(context * _MORE + word)
+
+
+def runs(h: np.ndarray, n: np.ndarray, order: int):
+    """(m, contexts, run hashes, whether a token has m - 1 words before it, begin among them) for m from 2 to order."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    context = np.concatenate([[BEGIN], h[:-1]]) if len(h) else h
+    context[place == 0] = BEGIN
+    for m in range(2, order + 1):
+        run = chain(context, h)
+        yield m, context, run, place >= m - 2
+        context = np.concatenate([[BEGIN], run[:-1]]) if len(h) else h
+
+
+def pack_runs(context: np.ndarray, words: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Contexts in order, each run's words after its first, and counts, compressed."""
+    import pyarrow as pa
+
+    head = pack(context, counts)
+    raw = b"".join([len(head).to_bytes(8, "little"), head, *(w.tobytes() for w in words)])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpack_runs(blob: bytes, columns: int) -> list[np.ndarray]:
+    import pyarrow as pa
+
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    at = 8 + int.from_bytes(raw[:8], "little")
+    context, counts = unpack(raw[8:at])
+    n = len(context)
+    return [context, counts, *(np.frombuffer(raw, np.uint64, n, at + 8 * n * i) for i in range(columns))]
 
 
 def _gathered(batches, columns=()):
@@ -112,23 +144,58 @@ def _gathered(batches, columns=()):
         yield np.concatenate(held), np.concatenate(n), rest
 
 
-def _count(bits: int):
-    shift = np.uint64(64 - bits)
+def _sliced(keys: np.ndarray, bits: int):
+    """(bucket, from, to) of sorted keys."""
+    cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
+    return [(b, i, j) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
 
+
+def _distinct(run: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, where each stands first, and the sums of their counts."""
+    by = np.argsort(run, kind="stable")
+    ordered = run[by]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(run) else np.zeros(0, int)
+    sums = np.diff(np.append(first, len(run))).astype(np.uint64) if counts is None else np.add.reduceat(counts[by], first) if len(first) else counts
+    return ordered[first], by[first], sums
+
+
+def _sent(m: int, context: np.ndarray, words: list[np.ndarray], counts: np.ndarray, bits: int):
+    """Rows (kind, bucket, blob) of distinct runs."""
+    by = np.argsort(context, kind="stable")
+    context, words, counts = context[by], [w[by] for w in words], counts[by]
+    return [(m, b, pack_runs(context[i:j], [w[i:j] for w in words], counts[i:j])) for b, i, j in _sliced(context, bits)]
+
+
+def _count(bits: int, order: int):
     def run(batches):
         import pyarrow as pa
 
+        def batch(rows):
+            kinds, buckets, blobs = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
+
         for h, n, _ in _gathered(batches):
-            for kind, keys in ((1, h), (2, _pairs(h, n))):
-                k, c = _merged(keys)
-                cut = np.searchsorted(k >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
-                rows = [(b, pack(k[i:j], c[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-                buckets, blobs = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
+            k, c = _merged(h)
+            yield batch([(RAW, b, pack(k[i:j], c[i:j])) for b, i, j in _sliced(k, bits)])
+            start = np.repeat(np.cumsum(n) - n, n)
+            place = np.arange(len(h)) - start
+            for m, context, run, there in runs(h, n, order):
+                use = np.flatnonzero(there if m == order else place == m - 2)
+                if not len(use):
+                    continue
+                _, at, c = _distinct(run[use])
+                at = use[at]
+                rows = _sent(m, context[at], [_word(h, place, at, back) for back in range(m - 2, -1, -1)], c, bits)
+                yield batch(rows)
 
     return run
 
 
+def _word(h: np.ndarray, place: np.ndarray, at: np.ndarray, back: int) -> np.ndarray:
+    """The word so many places before each token, or begin."""
+    return np.where(place[at] >= back, h[at - back], BEGIN)
+
+
 def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
     """Write arrays one after another, each at a multiple of 8 bytes."""
     from pyspark import TaskContext
@@ -143,40 +210,58 @@ def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
     return path
 
 
-def _row(kind, bucket, blob=None, path=None, counts=None, contexts=0):
+def _row(kind, bucket, blob=None, path=None, counts=None, contexts=0, large=0, large_contexts=0):
     c = counts if counts is not None else np.zeros(0, np.uint64)
-    return (kind, bucket, blob, path, len(c), int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), contexts)
+    return (kind, bucket, blob, path, len(c), int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), contexts, large, large_contexts)
 
 
 def _table(rows):
     import pyarrow as pa
 
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), *[pa.int64()] * 7)
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), *[pa.int64()] * 9)
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _REDUCED.split(", ")])
 
 
-def _reduce(folder: str, bits: int):
-    """Merge a bucket and save it; a pair bucket also sends on how many of its contexts each word follows."""
-    shift = np.uint64(64 - bits)
+def _small(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of counts as single bytes, and the places and values of the rows that don't fit."""
+    wide = np.flatnonzero((x >= 255).reshape(len(x), -1).any(axis=1))
+    return [np.minimum(x, 255).astype(np.uint8), wide.astype(np.uint64), x[wide].astype(np.uint64)]
+
+
+def _reduce(folder: str, bits: int, level: int, top: bool):
+    """Merge and save the buckets of one order, and send on the next lower order's counts; rows of other kinds pass."""
 
     def run(key, got):
         kind, bucket = (x.as_py() for x in key)
-        parts = [unpack(b.as_py()) for b in got.column("blob")]
-        k, c = _merged(*(np.concatenate(x) for x in zip(*parts)))
-        del parts
-        if kind == 1:
-            return _table([_row(1, bucket, None, _save(folder, f"words-{bucket:06d}", [k, c]), c)])
-        if kind == 3:
-            return _table([_row(3, bucket, None, _save(folder, f"follow-{bucket:06d}", [k, c]), c)])
-        context = k >> _32
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        total = np.add.reduceat(c, first)
-        ns = [np.add.reduceat((c == x if x < 3 else c >= 3).astype(np.uint32), first).astype(np.uint32) for x in (1, 2, 3)]
-        path = _save(folder, f"pairs-{bucket:06d}", [k, np.minimum(c, 0xFFFFFFFF).astype(np.uint32), context[first].astype(np.uint32), total, *ns])
-        w, f = np.unique(k << _32, return_counts=True)
-        cut = np.searchsorted(w >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
-        sent = [_row(4, b, pack(w[i:j], f[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-        return _table([_row(2, bucket, None, path, c, len(first)), *sent])
+        if not (kind == level or kind == RAW and top):
+            return got
+        blobs = [b.as_py() for b in got.column("blob")]
+        if kind < 2:
+            k, c = _merged(*(np.concatenate(x) for x in zip(*map(unpack, blobs))))
+            return _table([_row(DONE + kind, bucket, None, _save(folder, f"words{kind}-{bucket:06d}", [k, c]), c)])
+        context, c, *words = (np.concatenate(x) for x in zip(*(unpack_runs(b, level - 1) for b in blobs)))
+        del blobs
+        k, at, c = _distinct(chain(context, words[-1]), c)
+        context, words = context[at], [w[at] for w in words]
+        by = np.argsort(context, kind="stable")
+        contexts = context[by]
+        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+        one = c[by]
+        stats = np.stack([np.add.reduceat(x.astype(np.uint64), first) for x in (one, one == 1, one == 2, one >= 3)], axis=1)
+        counts, sums = _small(c), _small(stats)
+        path = _save(folder, f"runs{level}-{bucket:06d}", [k, *counts, contexts[first], *sums])
+        done = _row(DONE + level, bucket, None, path, c, len(first), len(counts[1]), len(sums[1]))
+        del context, contexts, by, one, stats
+        if level == 2:
+            w, f = np.unique(words[0], return_counts=True)
+            sent = [(1, b, pack(w[i:j], f[i:j])) for b, i, j in _sliced(w, bits)]
+        else:
+            lower = words[0]
+            for w in words[1:-1]:
+                lower = chain(lower, w)
+            _, at, f = _distinct(chain(lower, words[-1]))
+            sent = _sent(level - 1, lower[at], [w[at] for w in words[1:]], f, bits)
+        return _table([done, *(_row(*r) for r in sent)])
 
     return run
 
@@ -192,22 +277,27 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return min(max(d1, 0.05), 1.0), min(max(d2, 0.05), 2.0), min(max(d3, 0.05), 3.0)
 
 
-def train(docs: DataFrame) -> dict:
+def train(docs: DataFrame, order: int = ORDER) -> dict:
     """Count all texts of docs; returns the model: totals, discounts and the paths of its files by bucket (a few numbers and names)."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
-    bits = max(4, (docs.rdd.getNumPartitions() - 1).bit_length())
+    bits = max(4, (docs.rdd.getNumPartitions() - 1).bit_length()) + order - 2
     folder = new_path(spark, "kneser-ney")
-    counted = docs.select("text").mapInArrow(_count(bits), _COUNTED)
-    done = stored(counted.groupBy("kind", "bucket").applyInArrow(_reduce(folder, bits), _REDUCED), "kneser-ney")
-    follow = done.where("kind = 4").select(F.lit(3).alias("kind"), "bucket", "blob").groupBy("kind", "bucket").applyInArrow(_reduce(folder, bits), _REDUCED)
-    files = done.where("kind < 3").unionByName(stored(follow, "kneser-ney")).drop("blob").collect()  # one row a file
-    of = lambda kind: sorted((f for f in files if f.kind == kind), key=lambda f: f.bucket)
+    found = docs.select("text").mapInArrow(_count(bits, order), _COUNTED)
+    empty = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _REDUCED.split(", ")[3:]]
+    found = found.select("*", *empty)
+    for level in range(order, 0, -1):
+        found = found.groupBy("kind", "bucket").applyInArrow(_reduce(folder, bits, level, level == order), _REDUCED)
+    files = found.drop("blob").collect()  # one row a file
+    of = lambda kind: sorted((f for f in files if f.kind == DONE + kind), key=lambda f: f.bucket)
     sums = lambda kind, *names: [sum(f[x] for f in of(kind)) for x in names]
-    model = {"bits": bits, "tokens": sums(1, "total")[0], "words": sums(1, "n")[0], "pairs": sums(2, "n")[0]}
-    model["d2"], model["d1"] = discounts(*sums(2, "n1", "n2", "n3", "n4")), discounts(*sums(3, "n1", "n2", "n3", "n4"))
-    once, twice = sums(3, "n1", "n2")
-    model["rest"] = (model["d1"][0] * once + model["d1"][1] * twice + model["d1"][2] * (sums(3, "n")[0] - once - twice)) / max(1, model["pairs"])
-    model["files"] = {kind: {f.bucket: (f.path, f.n, f.contexts) for f in of(kind)} for kind in (1, 2, 3)}
+    model = {"order": order, "bits": bits, "tokens": sums(RAW, "total")[0], "words": sums(RAW, "n")[0], "pairs": sums(1, "total")[0]}
+    model["d"] = {m: discounts(*sums(m, "n1", "n2", "n3", "n4")) for m in range(1, order + 1)}
+    once, twice, n = sums(1, "n1", "n2", "n")
+    d = model["d"][1]
+    model["rest"] = (d[0] * once + d[1] * twice + d[2] * (n - once - twice)) / max(1, model["pairs"])
+    model["files"] = {kind: {f.bucket: (f.path, f.n, f.contexts, f.large, f.large_contexts) for f in of(kind)} for kind in range(order + 1)}
     return model
 
 
@@ -229,7 +319,7 @@ class _Files:
             found = self.model["files"][kind].get(bucket)
             if found is None:
                 return None
-            path, n, contexts = found
+            path, n, contexts, large, large_contexts = found
             from pyarrow import fs as F_
 
             fs, at = file_system(path)
@@ -237,7 +327,8 @@ class _Files:
                 local = f"{_copies()}/{at.rpartition('/')[2]}"
                 F_.copy_files(at, local, source_filesystem=fs, destination_filesystem=F_.LocalFileSystem())
                 at = local
-            kinds = [(np.uint64, n), (np.uint64, n)] if kind != 2 else [(np.uint64, n), (np.uint32, n), (np.uint32, contexts), (np.uint64, contexts), *[(np.uint32, contexts)] * 3]
+            u8, u64 = np.uint8, np.uint64
+            kinds = [(u64, n), (u64, n)] if kind < 2 else [(u64, n), (u8, n), (u64, large), (u64, large), (u64, contexts), (u8, contexts * 4), (u64, large_contexts), (u64, large_contexts * 4)]
             whole, out, pos = np.memmap(at, dtype=np.uint8, mode="r"), [], 0
             for t, k in kinds:
                 size = k * np.dtype(t).itemsize
@@ -263,6 +354,15 @@ def _at(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, sorted_[at] == keys
 
 
+def _wide(small: np.ndarray, places: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows `at` of what _small() took apart, as floats."""
+    out = small[at].astype(float)
+    if len(places) and len(at):
+        i, hit = _at(places, at.astype(np.uint64))
+        out[hit] = values[i[hit]]
+    return out
+
+
 def _per_count(d: tuple, c: np.ndarray) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
 
@@ -275,56 +375,57 @@ class Scorer:
         """Of sorted distinct words: their count in training, and their continuation probability."""
         m, c, f = self.model, np.zeros(len(h)), np.zeros(len(h))
 
-        def count(a, s):
-            at, hit = _at(a[0], h[s])
-            c[s] = np.where(hit, a[1][at], 0)
+        def look(out):
+            def run(a, s):
+                at, hit = _at(a[0], h[s])
+                out[s] = np.where(hit, a[1][at], 0)
 
-        def follow(a, s):
-            at, hit = _at(a[0], h[s] >> _32 << _32)
-            f[s] = np.where(hit, a[1][at], 0)
+            return run
 
-        self.files.find(1, h, count)
-        self.files.find(3, h, follow)
-        p = np.maximum(f - _per_count(m["d1"], f), 0) / max(1, m["pairs"])
+        self.files.find(RAW, h, look(c))
+        self.files.find(1, h, look(f))
+        p = np.maximum(f - _per_count(m["d"][1], f), 0) / max(1, m["pairs"])
         return c, p + (m["rest"] if m["pairs"] else 1.0) / (m["words"] + 1)
 
-    def pairs(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of sorted distinct pairs: the discounted share of the pair in its context, and the context's weight of the lower order (1 if unseen)."""
-        p, g = np.zeros(len(key)), np.ones(len(key))
-        d = self.model["d2"]
+    def runs(self, m: int, context: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of runs of m words in order of their contexts: the discounted share of the run in its context, and the context's weight of the lower order (1 if unseen)."""
+        p, g = np.zeros(len(run)), np.ones(len(run))
+        d = self.model["d"][m]
 
         def look(a, s):
-            k, c, contexts, total, n1, n2, n3 = a
-            at, hit = _at(contexts, (key[s] >> _32).astype(np.uint32))
-            at = at[hit]
-            t = total[at].astype(float)
-            weight = (d[0] * n1[at] + d[1] * n2[at] + d[2] * n3[at]) / t
-            inner = np.zeros(s.stop - s.start)
-            i, seen = _at(k, key[s][hit])
-            count = np.where(seen, c[i], 0).astype(float)
+            k, c, large, values, contexts, sums, large_contexts, sum_values = a
+            at, hit = _at(contexts, context[s])
+            t, n1, n2, n3 = _wide(sums.reshape(-1, 4), large_contexts, sum_values.reshape(-1, 4), at[hit]).T
+            i, seen = _at(k, run[s][hit])
+            count = np.where(seen, _wide(c, large, values, i), 0)
+            inner, outer = np.zeros(s.stop - s.start), np.ones(s.stop - s.start)
             inner[hit] = np.maximum(count - _per_count(d, count), 0) / t
-            p[s] = inner
-            outer = np.ones(s.stop - s.start)
-            outer[hit] = weight
-            g[s] = outer
+            outer[hit] = (d[0] * n1 + d[1] * n2 + d[2] * n3) / t
+            p[s], g[s] = inner, outer
 
-        self.files.find(2, key, look)
+        self.files.find(m, context, look)
         return p, g
 
     def score(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and model score (log10) of each text."""
-        m = self.model
+        model = self.model
         start = np.cumsum(n) - n
         word, at = np.unique(h, return_inverse=True)
         c, low = self.words(word)
-        base = np.log10((c + 0.5) / (m["tokens"] + 0.5 * (m["words"] + 1)))
+        base = np.log10((c + 0.5) / (model["tokens"] + 0.5 * (model["words"] + 1)))
         known = np.add.reduceat((c > 0).astype(np.int64)[at], start)
         base = np.add.reduceat(base[at], start)
         low = low[at]
-        del word
-        pair, at = np.unique(_pairs(h, n), return_inverse=True)
-        p, g = self.pairs(pair)
-        return known, base, np.add.reduceat(np.log10(p[at] + g[at] * low), start)
+        del word, at
+        for m, context, run, there in runs(h, n, model["order"]):
+            use = np.flatnonzero(there)
+            _, first, back = np.unique(run[use], return_index=True, return_inverse=True)
+            first = use[first]
+            by = np.argsort(context[first], kind="stable")
+            p, g = np.empty(len(by)), np.empty(len(by))
+            p[by], g[by] = self.runs(m, context[first][by], run[first][by])
+            low[use] = p[back] + g[back] * low[use]
+        return known, base, np.add.reduceat(np.log10(low), start)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -149,6 +149,72 @@ def test_kneser_ney(docs):
     assert kneser_ney.score(told, nothing).where("base_score = 0").count() == len(got)
 
 
+def plain_kneser_ney(texts, order):
+    """p(word, history) of an interpolated modified Kneser-Ney model in dicts of word tuples, and its vocabulary."""
+    grams = {m: Counter() for m in range(1, order + 1)}
+    vocab = set()
+    for t in texts:
+        vocab |= set(t)
+        w = ["<s>", *t]
+        grams[order].update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+        for m in range(2, order):
+            if len(w) >= m:
+                grams[m][tuple(w[:m])] += 1
+    for m in range(order, 1, -1):
+        grams[m - 1].update(g[1:] for g in grams[m])
+    d = {m: kneser_ney.discounts(*(sum(c == k for c in g.values()) for k in (1, 2, 3, 4))) for m, g in grams.items()}
+    by = {}
+    for m, g in grams.items():
+        for k, c in g.items():
+            by.setdefault((m, k[:-1]), []).append(c)
+
+    def p(word, history):
+        out = 1 / (len(vocab) + 1)
+        for m in range(1, min(order, len(history) + 1) + 1):
+            h = tuple(history[len(history) - m + 1 :])
+            got = by.get((m, h))
+            if got:
+                less = lambda c: d[m][min(c, 3) - 1]
+                c = grams[m][(*h, word)]
+                out = (max(c - less(c), 0) if c else 0) / sum(got) + sum(map(less, got)) / sum(got) * out
+        return out
+
+    return p, vocab
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_plain(spark, order):
+    rng = np.random.default_rng(order)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, rng.integers(0, 40)) % 60) for _ in range(120)] + ["a b " * 300, "", None]
+    frame = spark.createDataFrame([(i, t, i % 4 == 1) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    model = kneser_ney.train(frame.where("not held_out"), order)
+    words = lambda t: [*(t or "").split(), "</s>"]
+    p, vocab = plain_kneser_ney([words(t) for i, t in enumerate(texts) if i % 4 != 1], order)
+    for r in kneser_ney.score(frame, model).collect():
+        w = ["<s>", *words(texts[r.doc_id])]
+        assert abs(r.score - sum(log10(p(w[i], w[:i])) for i in range(1, len(w)))) < 1e-9 * len(w)
+    for history in ([], ["a"], ["a", "b"], ["w1", "w2", "w1"], ["w1", "w1", "w1"], ["never", "w1"]):
+        # over the vocabulary, one unknown word and the end, from the scorer itself
+        scorer = kneser_ney.Scorer(model)
+
+        def last(word):
+            known = [" ".join([*history, word])] if word != "</s>" else [" ".join(history)]
+            h, n = kneser_ney.tokens([x.encode() for x in known])
+            before = h[: len(history)]
+            one = lambda x: scorer.score(x, np.array([len(x)]))[2][0] if len(x) else 0.0
+            return 10 ** (one(h[: len(history) + 1]) - one(before))
+
+        assert abs(sum(last(x) for x in [*vocab, "unheard"]) - 1) < 1e-9
+
+
+def test_kneser_ney_keys(spark):
+    # Words whose hashes share their upper 32 bits stay apart: a pair's key holds all 64 bits of both.
+    assert (kneser_ney.chain(np.array([1, 2], np.uint64) << np.uint64(8), np.array([5, 5], np.uint64)).tolist()) != kneser_ney.chain(np.array([1, 1], np.uint64) << np.uint64(8), np.array([5, 6], np.uint64)).tolist()
+    h = np.array([7 << 32 | 1, 9 << 32 | 1, 7 << 32 | 1, 9 << 32 | 2], np.uint64)
+    (_, contexts, found, _), *_ = kneser_ney.runs(h, np.array([4]), 2)
+    assert len(set(found.tolist())) == 4 and contexts[1:].tolist() == h[:-1].tolist()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 64))
