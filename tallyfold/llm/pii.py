@@ -4,7 +4,9 @@ Only DataFrame functions are used. Positions come from split(): the lengths of
 the pieces between matches and of the matches add up to each match's start.
 
 Kinds in order: email, ip, card (Luhn), phone are the base, which context
-never removes; iban (mod 97) and national_id (context needed) are added.
+never removes; iban (mod 97) and national_id (context needed) are added. Context is
+what stands within CONTEXT_CHARS before or after a match. An iban ends at its
+country's length; under other codes the longest valid run of groups counts.
 
 Edge cases: a null or empty text has no spans; repeated rows are each scanned;
 an empty table gives an empty result; further columns stay as they are, except
@@ -20,6 +22,23 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import table
 
+#: Length of a country's IBAN: its codes.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "(?:" + "|".join(IBAN_LENGTHS.values()).replace(" ", "|") + ")"
+
+
+def _iban() -> str:
+    """Country by country as long as its IBANs are, and any length for codes that aren't listed."""
+    rest = lambda n: rf"(?:\x20?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    known = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}{rest(n - 4)}" for n, codes in IBAN_LENGTHS.items()]
+    other = rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+    return f"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: kind: (cheap test that a match needs, pattern, base score, context words)
 KINDS = {
@@ -27,7 +46,7 @@ KINDS = {
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, "ip|host|server|address"),
     "card": (r"[0-9](?:[\x20-]?[0-9]){15}", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|credit|visa|payment|karte|tarjeta|carte"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|fax"),
-    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8, "iban|bank|account|konto|cuenta|compte"),
+    "iban": (r"[A-Z]{2}[0-9]{2}", _iban(), 0.8, "iban|bank|account|konto|cuenta|compte"),
     "national_id": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security|identity|passport"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -55,6 +74,13 @@ def _mod97(m: Column) -> Column:
     return F.length(c).between(15, 34) & (F.aggregate(F.filter(F.split(moved, ""), lambda x: x != ""), F.lit(0), step) == 1)
 
 
+def _iban_cut(m: Column) -> Column:
+    """Under a code without a known length, the longest run of a match's groups that mod 97 confirms; else the match."""
+    parts = F.split(m, " ")
+    shorter = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, F.size(parts) - i), " "))
+    return F.when(m.rlike(f"^{_KNOWN}"), m).otherwise(F.coalesce(F.get(F.filter(shorter, _mod97), F.lit(0)), m))
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         return m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
@@ -74,16 +100,23 @@ def _spans(kind: str, text: Column) -> Column:
     """The confirmed spans of one kind, by start; offsets count code points, the end is exclusive."""
     guard, pattern, base, words = KINDS[kind]
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,m:string,before:string>>)").alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,m:string>>)").alias("out"))
 
     def step(acc, x):
         at = acc["pos"] + F.length(x["piece"])
-        before = F.lower(F.substring(x["piece"], -CONTEXT_CHARS, CONTEXT_CHARS))
-        found = F.struct(at.alias("start"), x["m"].alias("m"), before.alias("before"))
+        found = F.struct(at.alias("start"), x["m"].alias("m"))
         return F.struct((at + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], found)).alias("out"))
 
+    def near(x):
+        first = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
+        before = F.substring(text, first + 1, x["start"] - first)
+        after = F.substring(text, x["start"] + F.length(x["m"]) + 1, F.lit(CONTEXT_CHARS))
+        return F.lower(before).rlike(f"(?:{words})") | F.lower(after).rlike(f"(?:{words})")
+
     found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    made = lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), F.lit(base) + F.when(x["before"].rlike(f"(?:{words})"), CONTEXT_BONUS).otherwise(0.0)).alias("score"))
+    if kind == "iban":
+        found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), _iban_cut(x["m"]).alias("m")))
+    made = lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), F.lit(base) + F.when(near(x), CONTEXT_BONUS).otherwise(0.0)).alias("score"))
     kept = F.transform(F.filter(found, lambda x: _valid(kind, x["m"])), made)
     if kind not in BASE:
         kept = F.filter(kept, lambda s: s["score"] >= THRESHOLD)

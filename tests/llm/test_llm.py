@@ -48,6 +48,30 @@ def test_pii_query(spark):
         assert r.base_sha256 == digest(base_spans(texts[r.doc_id]))
 
 
+#: Text: the added kinds' spans in it.
+ADDED_TEXTS = {
+    "SSN: 123-45-6789, 987-65-4321": [("national_id", 5, 16), ("national_id", 18, 29)],
+    "123-45-6789 (SSN)": [("national_id", 0, 11)],
+    "é 123-45-6789" + " " * 35 + "ssn": [("national_id", 2, 13)],
+    "123-45-6789" + " " * 40 + "ssn": [],
+    "ssn" + " " * 40 + "123-45-6789": [],
+    "ES91 2100 0418 4502 0005 1332 BIC": [("iban", 0, 29)],
+    "ES9121000418450200051332 BANK NOW": [("iban", 0, 24)],
+    "ES91 2100 0418 4502 0005 1332 DE89 3704 0044 0532 0130 00 EUR": [("iban", 0, 29), ("iban", 30, 57)],
+    "GB82 WEST 1234 5698 7654 32": [("iban", 0, 27)],
+    "ES91 2100 0418 4502 0005 1333 BIC": [],
+    "ES91 2100 0418 4502 0005": [],
+    "ZZ75 2100 0418 4502 0005 1332 BIC": [("iban", 0, 29)],
+}
+
+
+def test_pii_added_kinds(spark):
+    frame = spark.createDataFrame([(t,) for t in ADDED_TEXTS], "text string")
+    for r in pii.find_spans(frame).collect():
+        assert (r.text, [(s.kind, s.start, s.end) for s in r.spans if s.kind not in pii.BASE]) == (r.text, ADDED_TEXTS[r.text])
+    assert "BIC" in [r.text for r in pii.redact(frame).collect()][5] and "1332" not in [r.text for r in pii.redact(frame).collect()][5]
+
+
 def test_bpe(docs):
     from tokenizers import Tokenizer
 
