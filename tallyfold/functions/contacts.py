@@ -128,3 +128,36 @@ def count_of(d, x: str) -> str:
     """The digits of the first run of digits and commas, as a number; 0 without."""
     n = d.rep(f"regexp_extract(coalesce({x}, ''), {d.s('[0-9,]+')}, 0)", "[^0-9]", "")
     return f"coalesce(TRY_CAST({n} AS BIGINT), 0)"
+
+
+def stripped(d, x: str) -> str:
+    """Text without an escaped quote at either end and white space around it; null becomes empty."""
+    return d.rep(d.rep(f"coalesce({x}, '')", '^\\\\"|\\\\"$', ""), "^\\s+|\\s+$", "")
+
+
+def site_or_none(d, x: str) -> str:
+    """A website as it stands, or none where it is missing or a page of the maps."""
+    y = stripped(d, x)
+    maps = " OR ".join(f"position('{m}' IN lower({y})) > 0" for m in ("google.com/maps/place", "google.com/maps/search", "maps.google.com"))
+    return f"CASE WHEN lower({y}) IN ('', 'n/a', 'na', 'none', 'null') OR {maps} THEN 'none' ELSE {y} END"
+
+
+def place_id(d, url: str) -> str:
+    """What follows place_id: in a URL, up to a backslash, quote or slash."""
+    return f"regexp_extract({stripped(d, url)}, {d.s('place_id:([^' + chr(92) * 2 + chr(34) + '/]+)')}, 1)"
+
+
+def website_url(d, base: str, x: str) -> str:
+    """A contact's website as a URL without slashes at its end, relative ones against the page; the target of a Facebook redirect."""
+    from tallyfold.functions import links as L
+
+    raw = cleaned(d, x)
+    target = f"regexp_extract({raw}, {d.s('^https?://[^/?#]*l[.]facebook[.]com/l[.]php[^?#]*[?](?:[^#]*&)?u=([^&#]+)')}, 1)"
+    y = f"CASE WHEN {target} <> '' THEN {d.unquote(f'replace({target}, chr(43), chr(32))')} ELSE {raw} END"
+    tests = [
+        (f"({y}) = ''", "''"),
+        (f"({y}) LIKE '//%'", L.slashless(d, f"concat('https:', {y})")),
+        (d.like(f"({y})", "^https?://"), L.slashless(d, f"({y})")),
+        (d.like(f"({y})", "^(?i:[a-z0-9][a-z0-9.-]*[.][a-z]{2,}(?:/.*)?)$"), L.slashless(d, f"concat('https://', {y})")),
+    ]
+    return "CASE " + " ".join(f"WHEN {t} THEN {to}" for t, to in tests) + f" ELSE {L.joined(d, base, f'({y})')} END"

@@ -27,6 +27,20 @@ class Spark:
     def hex(self, x: str) -> str:
         return f"get_json_object({x}, '$.k')"
 
+    def array(self, *xs: str) -> str:
+        return f"array({', '.join(xs)})"
+
+    def json_list(self, x: str) -> str:
+        return f"concat('[', array_join(transform({x}, v -> {_ONE.format(v='v')}), ', '), ']')"
+
+    def json_dict(self, x: str) -> str:
+        pair = f"concat({_ONE.format(v='e.key')}, ': ', {_ONE.format(v='e.value')})"
+        return f"concat('{{', array_join(transform(map_entries({x}), e -> {pair}), ', '), '}}')"
+
+
+#: One value as JSON: Spark writes only whole arrays and structs.
+_ONE = "substring(to_json(array({v})), 2, length(to_json(array({v}))) - 2)"
+
 
 class DuckDB:
     explode = "unnest"
@@ -51,3 +65,12 @@ class DuckDB:
 
     def hex(self, x: str) -> str:
         return f"json_extract_string({x}, '$.k')"
+
+    def array(self, *xs: str) -> str:
+        return f"list_value({', '.join(xs)})"
+
+    def json_list(self, x: str) -> str:
+        return f"concat('[', array_to_string([CAST(to_json(v) AS VARCHAR) for v in {x}], ', '), ']')"
+
+    def json_dict(self, x: str) -> str:
+        return f"concat('{{', array_to_string([concat(CAST(to_json(e.key) AS VARCHAR), ': ', CAST(to_json(e.value) AS VARCHAR)) for e in map_entries({x})], ', '), '}}')"

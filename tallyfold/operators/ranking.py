@@ -16,4 +16,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn F
 
 def overlay(*columns: str, new: str = "d", old: str = "l") -> str:
     """Each column from the new row where it is not missing, else from the old."""
-    return ", ".join(f"coalesce(nullif(nullif({new}.{c}, ''), 'N/A'), {old}.{c}) AS {c}" for c in columns)
+    return ", ".join(f"coalesce(nullif(nullif(trim({new}.{c}), ''), 'N/A'), {old}.{c}) AS {c}" for c in columns)

@@ -140,11 +140,31 @@ _LISTING = """SELECT c_custkey AS ord, concat('c', c_nationkey % 5) AS campaign_
   concat('https://maps.example.net/p/', c_custkey % 60, '/') AS url, concat(c_custkey % 13, ' Main St') AS address, lower(c_mktsegment) AS category, concat('+1 555 ', c_custkey % 17) AS phone FROM customer"""
 
 
+#: The listing with the fields that only place pages have, some categories that are lists, and URLs with a place's id.
+def _details(d):
+    both = d.json_list(d.array("category", "concat('sub ', ord % 3)"))
+    return f"""SELECT l.*, CASE WHEN ord % 6 = 0 THEN {both} ELSE category END AS categories, CASE WHEN ord % 2 = 0 THEN concat(url, '?q=place_id:ChIJ', ord, '/x') ELSE url END AS place_url,
+{d.rep('reviews', '^[^(]*', '')} AS review_text, {d.rep('stars', '^-', '')} AS star_text, concat('Mall ', ord % 4) AS located_in, CASE WHEN ord % 4 = 0 THEN 'N/A' ELSE 'Open' END AS hours,
+concat('Mon: ', ord % 9, '-18') AS hours_detail, concat('9F', ord % 8, '+2X') AS plus_code, CASE WHEN ord % 3 = 0 THEN '' ELSE concat('https://book.example.net/', ord) END AS booking_link FROM ({_LISTING}) l"""
+
+
+_SOCIAL = "'' AS email, '' AS facebook, '' AS instagram, '' AS twitter, '' AS yelp"
+
+
+def contact_shape(d):
+    """A result's 18 contact fields."""
+    text = lambda x: f"coalesce({C.picked(x)}, '')"
+    same = ", ".join(f"{text(x)} AS {x}" for x in ("address", "phone", "hours", "hours_detail", "located_in", "plus_code", "booking_link"))
+    return f"""SELECT ord, campaign_id, request_id, {text('name')} AS company_name, {same}, {C.rating(d, C.stripped(d, text('star_text')))} AS rating,
+replace(regexp_extract({text('review_text')}, '[0-9,]+', 0), ',', '') AS reviews, {text('categories')} AS category, {C.site_or_none(d, text('website'))} AS website, {text('place_url')} AS url, {_SOCIAL} FROM ({_details(d)}) r"""
+
+
 def contact_wire_shape(d):
-    site = C.picked("website", "url")
-    return f"""SELECT ord, campaign_id, request_id, coalesce(nullif({C.cleaned(d, 'name')}, ''), 'Unknown Business') AS business_name, {C.rating(d, d.rep('stars', '^-', ''))} AS rating,
-{C.count_of(d, d.rep('reviews', '^[^(]*', ''))} AS review_count, CASE WHEN {d.like(site, 'maps[.]')} THEN 'none' ELSE {C.domain(d, site)} END AS domain,
-coalesce({C.picked('website')}, 'N/A') AS website, {d.quote_plus("concat(name, ' ~*&', address)")} AS query, '' AS email FROM ({_LISTING}) l"""
+    """A contact's 15 fields on the wire, with the website and the search query beside them."""
+    s = lambda x: C.stripped(d, f"c.{x}")
+    return f"""SELECT c.ord, c.campaign_id, c.request_id, coalesce(nullif({s('company_name')}, ''), 'Unknown Business') AS business_name, {s('address')} AS address, {s('category')} AS category, {C.rating(d, s('rating'))} AS rating,
+coalesce(TRY_CAST({d.rep(s('reviews'), '[^0-9]', '')} AS BIGINT), 0) AS review_count, {s('phone')} AS phone, {C.site_or_none(d, 'c.website')} AS domain, {_SOCIAL}, {C.place_id(d, 'c.url')} AS place_id,
+coalesce({C.picked('l.website')}, 'N/A') AS website, {d.quote_plus("concat(l.name, ' ~*&', l.address)")} AS query FROM ({contact_shape(d)}) c JOIN ({_LISTING}) l ON l.ord = c.ord"""
 
 
 def contact_dedupe_fast(d):
@@ -152,7 +172,9 @@ def contact_dedupe_fast(d):
 
 
 def contact_dedupe_generic(d):
-    key = "lower(concat(name, '|', website, '|', phone, '|', address))"
+    """First contact of each (name, website as a URL, phone, address); the reference's domain field holds that URL."""
+    name = f"coalesce(nullif({C.cleaned(d, 'name')}, ''), 'Unknown Business')"
+    key = f"lower(concat({name}, '|', {C.website_url(d, 'url', 'website')}, '|', coalesce(phone, ''), '|', coalesce(address, '')))"
     return keep_first(f"(SELECT *, {key} AS k FROM ({_LISTING}) l) x", "k", "ord", "ord, k")
 
 
@@ -160,9 +182,16 @@ def request_chunks(d):
     return chunks(f"({_LISTING}) l", "campaign_id, request_id", "ord", 20, "ord, campaign_id, request_id")
 
 
+_OVERLAID = ("name", "address", "phone", "website", "stars", "reviews", "category", "hours", "url", "located_in", "plus_code", "booking_link", "hours_detail")
+
+
 def contact_enrich(d):
-    detail = keep_first(f"(SELECT url, ord AS detail_ord, CASE WHEN ord % 2 = 0 THEN '' ELSE phone END AS phone, CASE WHEN ord % 4 = 0 THEN 'N/A' ELSE upper(category) END AS category FROM ({_LISTING}) l WHERE ord % 3 = 0) q", "url", "detail_ord", "url, phone, category")
-    return f"SELECT l.ord, l.url, {overlay('phone', 'category')} FROM ({_LISTING}) l LEFT JOIN ({detail}) d ON l.url = d.url"
+    """Each listing with its place page's 13 values laid over it where they aren't missing."""
+    new = {"phone": "CASE WHEN ord % 2 = 0 THEN '' ELSE phone END", "category": "CASE WHEN ord % 4 = 0 THEN 'N/A' ELSE upper(category) END", "url": "place_url"}
+    other = {c: f"CASE (ord % 7 + {i}) % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'N/A' ELSE concat(' ', upper({c})) END" for i, c in enumerate(_OVERLAID) if c not in new}
+    values = ", ".join(f"{x} AS {c}" for c, x in (other | new).items())
+    detail = keep_first(f"(SELECT url AS page, ord AS detail_ord, {values} FROM ({_details(d)}) l WHERE ord % 3 = 0) q", "page", "detail_ord", f"page, {', '.join(_OVERLAID)}")
+    return f"SELECT l.ord, l.url AS listed_url, {overlay(*_OVERLAID)} FROM ({_details(d)}) l LEFT JOIN ({detail}) d ON trim(l.url) = d.page AND trim(l.url) NOT IN ('', 'N/A')"
 
 
 def campaign_lookup(d):
@@ -185,11 +214,13 @@ def email_upsert(d):
 
 
 def request_selection(d):
+    """Five open requests a campaign: pending ones, and those in use only where none is pending."""
     status = "CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN '' WHEN 2 THEN 'inuse' ELSE 'completed' END"
     text = "CASE WHEN o_orderkey % 10 = 0 THEN '  ' ELSE concat('plumber ', o_orderkey) END"
     rows = f"SELECT o_orderkey AS id, o_custkey % 50 AS campaign, {status} AS status, {text} AS req_text FROM orders"
     open_ = f"(SELECT * FROM ({rows}) r WHERE trim(req_text) <> '' AND status IN ('', 'pending', 'inuse')) o"
-    return keep_first(open_, "campaign", "CASE WHEN status = 'inuse' THEN 1 ELSE 0 END, id", "campaign, id, status", 5)
+    pool = f"(SELECT * FROM (SELECT *, max(CASE WHEN status = 'inuse' THEN 0 ELSE 1 END) OVER (PARTITION BY campaign) AS pending FROM {open_}) p WHERE pending = 0 OR status <> 'inuse') s"
+    return keep_first(pool, "campaign", "id", "campaign, id, status", 5)
 
 
 def batch_estimate(d):
@@ -261,7 +292,7 @@ def q_tumbling(d):
 
 _PLANS = {f.__name__: f for f in (
     page_domain_parts, page_url_key_dedupe, doc_email_candidates, doc_email_verdicts, verdict_histogram, page_contact_summary, page_links_topk_padded,
-    contact_wire_shape, contact_dedupe_fast, contact_dedupe_generic, request_chunks, contact_enrich, campaign_lookup, unqueued_campaigns,
+    contact_shape, contact_wire_shape, contact_dedupe_fast, contact_dedupe_generic, request_chunks, contact_enrich, campaign_lookup, unqueued_campaigns,
     campaigns_missing_email, email_upsert, request_selection, batch_estimate, retry_classes, outcome_counters, log_tail, last_activity,
     stable_count_stop, lease_gaps, json_prop_extract, setting_coercion, q_join_agg, q_rollup, q_rank, q_tumbling,
     link_kinds, page_social_links, claim_lines, current_work, request_summary,

@@ -122,3 +122,54 @@ def test_contact_links_golden(spark):
     assert got[4] == sorted([(0, "https://acmefix.com/contact", 0), *(p for p in pads("acmefix.com") if not p[1].endswith("/contact"))])
     assert len(STRICT.target_paths) == 39
     assert [(s, u) for s, u, pad in found(k=40)[2] if not pad] == [(2, "https://acmefix.com/about-us"), (4, "https://acmefix.com/services"), (99, "https://acmefix.com/z")]
+
+
+LISTING = [
+    # ord, url, name, address, category, phone, website
+    (1, "https://m/p/1", "Shop", "1 St", "a", "5", "https://shop.com/"),
+    (2, "https://m/p/2", "SHOP", "1 st", "a", "5", "shop.com"),
+    (3, "https://m/p/3", "Shop", "1 St", "a", "5", "https://shop.com/x"),
+    (4, "https://m/p/4", "Shop", "1 St", "a", "5", "https://l.facebook.com/l.php?h=1&u=https%3A%2F%2Fshop.com%2F"),
+    (5, "https://m/p/5", "N/A", "1 St", "a", "5", ""),
+    (6, "https://m/p/5", "Unknown Business", "1 St", "b", "5", "N/A"),
+]
+
+
+@pytest.fixture
+def listing(spark, monkeypatch):
+    rows = [(o, "c1", "r1", name, "4.5", "9 (1,009)", site, url, address, category, phone) for o, url, name, address, category, phone, site in LISTING]
+    spark.createDataFrame(rows, "ord long, campaign_id string, request_id string, name string, stars string, reviews string, website string, url string, address string, category string, phone string").createOrReplaceTempView("golden_listing")
+    monkeypatch.setattr(registry, "_LISTING", "SELECT * FROM golden_listing")
+
+
+def test_contact_shapes_golden(spark, listing):
+    shape = {r.ord: r for r in spark.sql(registry.contact_shape(Spark())).collect()}
+    assert len(shape[1]) == 18 + 3 and shape[1].reviews == "1009" and shape[5].company_name == "" and shape[5].website == "none" and shape[4].hours == ""
+    wire = {r.ord: r for r in spark.sql(registry.contact_wire_shape(Spark())).collect()}
+    fields = "campaign_id request_id business_name address category rating review_count phone domain email facebook instagram twitter yelp place_id".split()
+    assert [wire[6][f] for f in fields] == ["c1", "r1", "Unknown Business", "1 St", '["b", "sub 0"]', "4.5", 1009, "5", "none", "", "", "", "", "", "ChIJ6"]
+    assert (wire[5].business_name, wire[5].place_id, wire[3].domain) == ("Unknown Business", "", "https://shop.com/x")
+    one = spark.sql(f"SELECT {Spark().json_dict('map(chr(34), chr(233), chr(107), null)')} AS a, {Spark().json_list('array(concat(chr(34), chr(233)), null)')} AS b").first()
+    assert one.a == '{"\\"": "é", "k": null}'
+    assert one.b == '["\\"é", null]'
+
+
+def test_contact_dedupe_golden(spark, listing):
+    # One URL in three spellings is one contact; another path stays, as the reference's domain field keeps paths.
+    assert sorted(r.ord for r in spark.sql(registry.contact_dedupe_generic(Spark())).collect()) == [1, 3, 5]
+
+
+def test_contact_enrich_golden(spark, listing):
+    rows = {r.ord: r for r in spark.sql(registry.contact_enrich(Spark())).collect()}
+    assert len(registry._OVERLAID) == 13 and set(registry._OVERLAID) < set(rows[3].asDict())
+    # 3 and 6 are place pages: blank and N/A leave the listing's value, others are trimmed and laid over.
+    assert (rows[3].name, rows[3].address, rows[3].website, rows[3].stars, rows[3].reviews, rows[3].hours_detail) == ("Shop", "1 St", "https://shop.com/x", "4.5", "9 (1,009)", "Mon: 3-18")
+    assert (rows[3].hours, rows[3].located_in, rows[3].plus_code, rows[3].category, rows[3].phone) == ("Open", "Mall 3", "9F3+2X", "A", "5")
+    assert (rows[5].url, rows[5].listed_url, rows[1].url) == ("https://m/p/5?q=place_id:ChIJ6/x", "https://m/p/5", "https://m/p/1")
+
+
+def test_request_selection_golden(spark):
+    # By key: 4 is pending, 2, 6, 14 and 18 are in use.
+    spark.createDataFrame([(4, 1), (2, 1), (6, 1), (14, 2), (18, 2)], "o_orderkey long, o_custkey long").createOrReplaceTempView("golden_orders")
+    got = spark.sql(registry.request_selection(Spark()).replace("FROM orders", "FROM golden_orders")).collect()
+    assert sorted((r.campaign, r.id) for r in got) == [(1, 4), (2, 14), (2, 18)]
