@@ -242,8 +242,12 @@ def outcome_counters(d):
     return f"SELECT source, {kind} AS kind, count(*) AS n FROM ({_LOG}) l GROUP BY source, {kind}"
 
 
-def log_tail(d):
-    return f"SELECT seq, source, line FROM (SELECT *, row_number() OVER (ORDER BY seq DESC) AS rn FROM ({_LOG}) l) r WHERE rn <= 400"
+LOG_LINES = 4000
+
+
+def log_tail(d, n=LOG_LINES):
+    """The last n lines of the log, n between 1 and the buffer's 4000; the registered query shows the whole buffer."""
+    return f"SELECT seq, source, line FROM (SELECT *, row_number() OVER (ORDER BY seq DESC) AS rn FROM ({_LOG}) l) r WHERE rn <= {max(1, min(int(n), LOG_LINES))}"
 
 
 def last_activity(d):

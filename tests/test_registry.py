@@ -173,3 +173,10 @@ def test_request_selection_golden(spark):
     spark.createDataFrame([(4, 1), (2, 1), (6, 1), (14, 2), (18, 2)], "o_orderkey long, o_custkey long").createOrReplaceTempView("golden_orders")
     got = spark.sql(registry.request_selection(Spark()).replace("FROM orders", "FROM golden_orders")).collect()
     assert sorted((r.campaign, r.id) for r in got) == [(1, 4), (2, 14), (2, 18)]
+
+
+@pytest.mark.parametrize(("n", "rows"), [(None, 4000), (300, 300), (0, 1), (-5, 1), (9000, 4000)])
+def test_log_tail_golden(spark, n, rows):
+    spark.sql("SELECT id AS event_id, id AS user_id, 'x' AS event_type, current_timestamp() AS ts FROM range(5000)").createOrReplaceTempView("golden_events")
+    text = registry.log_tail(Spark()) if n is None else registry.log_tail(Spark(), n)
+    assert sorted(r.seq for r in spark.sql(text.replace("FROM events", "FROM golden_events")).collect()) == list(range(5000 - rows, 5000))
