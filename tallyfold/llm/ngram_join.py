@@ -392,11 +392,22 @@ def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group: the smallest id; of rows that share an id, the first by text."""
-    found = jaccard_components(docs)
-    gone = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "jaccard-gone")
-    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return docs.join(gone, "doc_id", "left_anti").withColumn("_row", F.row_number().over(order)).where("_row = 1 or doc_id is null").select(*docs.columns)
+    """docs with one document of each near-duplicate group: the smallest id, of an id's texts the first. Rows with a null id stay.
+
+    Different texts that share an id are documents of their own, so that one's group doesn't pull in the other's.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    if texts.groupBy("doc_id").agg((F.min("h") != F.max("h")).alias("many")).where("many").isEmpty():
+        gone = stored(jaccard_components(docs).where("component_id != doc_id").select("doc_id").distinct(), "jaccard-gone")
+        order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+        return docs.join(gone, "doc_id", "left_anti").withColumn("_row", F.row_number().over(order)).where("_row = 1 or doc_id is null").select(*docs.columns)
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")  # stored, so that the numbers stay
+    named = rows.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    named = stored(named.select("_row", F.col("doc_id").alias("_id"), "text"), "jaccard-named")
+    found = jaccard_components(named.select(F.col("_row").alias("doc_id"), "text"))
+    first = named.join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row").groupBy("component_id").agg(F.min(F.struct("_id", "text", "_row")).alias("m"))
+    kept = stored(first.select("m._row"), "jaccard-kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(rows.where("doc_id is null").select(*docs.columns))
 
 
 QUERIES = {"op8_ngram_join": op8_ngram_join}

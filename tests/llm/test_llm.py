@@ -239,6 +239,16 @@ def test_kneser_ney_keys(spark):
     assert len(set(found.tolist())) == 4 and contexts[1:].tolist() == h[:-1].tolist()
 
 
+def test_keep_one_shared_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, one, "a"), (1, two, "b"), (2, two + " end", "c"), (3, one + " end", "d"), (4, three, "e"), (4, three, "f"), (None, one, "g"), (None, one, "h"), (5, "", "i"), (6, None, "j")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    # Id 1's texts stand for two groups, and each keeps one; equal rows of id 4 collapse.
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, one), (1, two), (4, three), (0, one), (0, one), (5, ""), (6, "")])
+    unique = spark.createDataFrame([(1, one), (2, one + " end"), (3, two), (3, two), (None, one)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in ngram_join.keep_one(unique).collect()) == sorted([(1, one), (3, two), (0, one)])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 64))
