@@ -387,6 +387,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     return linked.unionByName(alone)
 
 
+def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, n_links) of docs (doc_id, text) with distinct ids: how many others each links with.
+
+    No pair is skipped for lying in one component, so work grows with the links between different sets; equal sets are compared once.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sig = stored(signatures(docs, words, percent, frequent_shingles(docs, words)), "jaccard-signatures")
+    full = sig.where("n > 0 and doc_id is not null")
+    classes = stored(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
+    tokens = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
+    other = tokens.select(F.col("rep").alias("rep2"), F.col("n").alias("n2"), "token")
+    near = f"rep < rep2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    pairs = tokens.join(other, "token").where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    links = stored(verify(docs, stored(plausible(pairs, full.select("doc_id", "n", "bits", "wide"), percent), "jaccard-near"), words, percent), "jaccard-links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("outer"))
+    counts = classes.join(linked, "rep", "left").select("n", "d1", "d2", (F.col("copies") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"))
+    found = full.join(counts, ["n", "d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "n_links")
+    return found.unionByName(sig.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links")))
+
+
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 

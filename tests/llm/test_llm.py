@@ -239,6 +239,24 @@ def test_kneser_ney_keys(spark):
     assert len(set(found.tolist())) == 4 and contexts[1:].tolist() == h[:-1].tolist()
 
 
+def test_jaccard_links(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(40)]
+        for _ in range(9):
+            w = list(base)
+            for i in rng.choice(40, rng.integers(0, 4), replace=False):
+                w[i] = f"r{rng.integers(0, 5)}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[0], "", None, "a b"]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()) for w in ((t or "").split() for t in texts)]
+    links = lambda i: sum(j != i and bool(x) and 100 * len(x & sets[i]) >= 70 * len(x | sets[i]) for j, x in enumerate(sets))
+    got = ngram_join.jaccard_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=3, percent=70).collect()
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in got} == {i: (len(x), links(i)) for i, x in enumerate(sets)}
+    assert max(r.n_links for r in got) > 2
+
+
 def test_keep_one_shared_ids(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
     rows = [(1, one, "a"), (1, two, "b"), (2, two + " end", "c"), (3, one + " end", "d"), (4, three, "e"), (4, three, "f"), (None, one, "g"), (None, one, "h"), (5, "", "i"), (6, None, "j")]
