@@ -50,11 +50,15 @@ def deobfuscate(d, x: str) -> str:
     return y
 
 
+def email_parts(d, source: str, e: str, rules: Rules) -> str:
+    """source with an e-mail's local part, raw domain, normalized domain and registrable domain, each made once."""
+    cut = f"SELECT *, regexp_extract({e}, '^([^@]*)@', 1) AS local, regexp_extract({e}, '@(.*)$', 1) AS raw FROM {source}"
+    return f"SELECT *, {registrable(d, 'dom', rules)} AS reg FROM (SELECT *, {domain(d, 'raw')} AS dom FROM ({cut}) cut) named"
+
+
 def verdict(d, e: str, rules: Rules) -> str:
-    """Why a normalized e-mail is rejected, or ok; the first rule that applies."""
-    local, raw = f"regexp_extract({e}, '^([^@]*)@', 1)", f"regexp_extract({e}, '@(.*)$', 1)"
-    dom = domain(d, raw)
-    reg = registrable(d, dom, rules)
+    """Why a normalized e-mail is rejected, or ok; the first rule that applies. It reads the columns of email_parts()."""
+    local, raw, dom, reg = "local", "raw", "dom", "reg"
     allowed = f"{dom} IN ({', '.join(map(d.s, rules.public_providers))}) OR {d.like(dom, '(?:' + _any(rules.allowed_suffixes) + ')$')}"
     tests = [
         ("empty", f"{e} IS NULL OR {e} = ''"),
@@ -78,28 +82,33 @@ def verdict(d, e: str, rules: Rules) -> str:
     return "CASE " + " ".join(f"WHEN {t} THEN '{name}'" for name, t in tests) + " ELSE 'ok' END"
 
 
-def token(d, host: str, rules: Rules) -> str:
-    """First label of the registrable domain, letters and digits only."""
-    return d.rep(f"lower(regexp_extract({registrable(d, host, rules)}, '^[^.]*', 0))", "[^a-z0-9]+", "")
+def token(d, registrable_domain: str) -> str:
+    """First label of a registrable domain, letters and digits only."""
+    return d.rep(f"lower(regexp_extract({registrable_domain}, '^[^.]*', 0))", "[^a-z0-9]+", "")
+
+
+def same_business(d, host: str, rules: Rules, host_reg: str | None = None) -> str:
+    """Whether an e-mail's domain is a business's: its host, below it, or of one registrable domain. It reads the columns of email_parts()."""
+    return f"({host} <> '' AND (dom = {host} OR right(dom, length({host}) + 1) = concat('.', {host}) OR reg = {host_reg or registrable(d, host, rules)}))"
+
 
+def best_order(d, e: str, host: str, rules: Rules, policy: tuple[bool, bool]) -> tuple[str, list[str]]:
+    """The tier of an e-mail, 9 where the policy doesn't allow it, and the keys that order e-mails within a tier.
 
-def best_order(d, e: str, host: str, rules: Rules, policy: tuple[bool, bool]) -> str:
-    """ORDER BY keys that put the best e-mail of a business first; tier 9 is not allowed by the policy."""
-    local, own = f"regexp_extract({e}, '^([^@]*)@', 1)", f"regexp_extract({e}, '@(.*)$', 1)"
-    lt, bt, et = d.rep(local, "[^a-z0-9]+", ""), token(d, host, rules), token(d, domain(d, own), rules)
+    They read local, raw and the columns same, bt, et and lt: the same
+    business, and the tokens of the business, the e-mail's domain and its local part.
+    """
     within = lambda a, b: f"(position({a} IN {b}) > 0 OR position({b} IN {a}) > 0)"
-    same = f"({host} <> '' AND ({domain(d, own)} = {host} OR right({domain(d, own)}, length({host}) + 1) = concat('.', {host}) OR {registrable(d, domain(d, own), rules)} = {registrable(d, host, rules)}))"
-    public = f"{own} IN ({', '.join(map(d.s, rules.public_providers))})"
-    tier = f"CASE WHEN {same} THEN 1 WHEN NOT {public} THEN {2 if policy[1] else 9} ELSE {3 if policy[0] else 9} END"
+    public = f"raw IN ({', '.join(map(d.s, rules.public_providers))})"
+    tier = f"CASE WHEN same THEN 1 WHEN NOT {public} THEN {2 if policy[1] else 9} ELSE {3 if policy[0] else 9} END"
     box = "CASE " + " ".join(f"WHEN {e} LIKE '{p}%' THEN {i}" for i, p in enumerate(rules.preferred_mailboxes)) + " ELSE 999 END"
-    relevance = f"CASE WHEN {bt} = '' OR {lt} = '' THEN 2 WHEN {within(bt, lt)} THEN 0 ELSE 2 END"
-    other = f"CASE WHEN {bt} = '' OR {et} = '' THEN 2 WHEN {bt} = {et} THEN 0 WHEN {within(bt, et)} THEN 1 ELSE 2 END"
-    generic = f"CASE WHEN {local} IN ({', '.join(map(d.s, rules.generic_locals))}) THEN 1 ELSE 0 END"
+    relevance = f"CASE WHEN bt = '' OR lt = '' THEN 2 WHEN {within('bt', 'lt')} THEN 0 ELSE 2 END"
+    other = f"CASE WHEN bt = '' OR et = '' THEN 2 WHEN bt = et THEN 0 WHEN {within('bt', 'et')} THEN 1 ELSE 2 END"
+    generic = f"CASE WHEN local IN ({', '.join(map(d.s, rules.generic_locals))}) THEN 1 ELSE 0 END"
     by = lambda *keys: "CASE tier " + " ".join(f"WHEN {i + 1} THEN {k}" for i, k in enumerate(keys)) + " ELSE 0 END"
-    exact = f"CASE WHEN {own} = {host} THEN 0 ELSE 1 END"
+    exact = f"CASE WHEN raw = {host} THEN 0 ELSE 1 END"
     length = f"-length({e})"
-    keys = [by(box, other, relevance), by(relevance, relevance, generic), by(generic, generic, box), by(exact, box, length), by("0", length, "0")]
-    return tier, ", ".join(["tier", *keys, e])
+    return tier, [by(box, other, relevance), by(relevance, relevance, generic), by(generic, generic, box), by(exact, box, length), by("0", length, "0")]
 
 
 def priority(d, x: str, rules: Rules) -> str:
@@ -160,4 +169,4 @@ def website_url(d, base: str, x: str) -> str:
         (d.like(f"({y})", "^https?://"), L.slashless(d, f"({y})")),
         (d.like(f"({y})", "^(?i:[a-z0-9][a-z0-9.-]*[.][a-z]{2,}(?:/.*)?)$"), L.slashless(d, f"concat('https://', {y})")),
     ]
-    return "CASE " + " ".join(f"WHEN {t} THEN {to}" for t, to in tests) + f" ELSE {L.joined(d, base, f'({y})')} END"
+    return "CASE " + " ".join(f"WHEN {t} THEN {to}" for t, to in tests) + f" ELSE {L.slashless(d, L.joined(d, base, f'({y})'))} END"

@@ -9,60 +9,60 @@ from tallyfold.functions import links as L
 from tallyfold.functions.dialect import DuckDB, Spark
 from tallyfold.functions.rules import LENIENT, POLICIES, STRICT
 from tallyfold.operators.ranking import chunks, keep_first, overlay
-from tallyfold.plans import streams
+from tallyfold.plans import extraction, records, streams
+from tallyfold.plans.base import LISTING, anchors, candidates, details, hosts, mailed
 from tallyfold.sources.tables import view
 
 
-def _hosts(d):
-    return f"SELECT page_id, url, {C.domain(d, 'url')} AS host FROM pages"
-
-
 def page_domain_parts(d):
-    return f"SELECT page_id, host, {C.registrable(d, 'host', STRICT)} AS registrable, {C.url_key(d, 'url')} AS url_key FROM ({_hosts(d)}) h"
+    return f"SELECT page_id, host, {C.registrable(d, 'host', STRICT)} AS registrable, {C.url_key(d, 'url')} AS url_key FROM ({hosts(d)}) h"
 
 
 def page_url_key_dedupe(d):
     return keep_first(f"(SELECT page_id, {C.url_key(d, 'url')} AS url_key FROM pages) p", "url_key", "page_id", "page_id, url_key")
 
 
-def _candidates(d, table, key, text):
-    """Distinct (key, email) from the text and from its deobfuscated form; the cheap test comes first."""
-    found = f"SELECT {key}, {d.explode}({d.all(text, C.EMAIL)}) AS raw FROM {table} WHERE position('@' IN {text}) > 0"
-    plain = f"SELECT {key}, {d.explode}({d.all(C.deobfuscate(d, text), C.EMAIL)}) AS raw FROM {table} WHERE {d.like(text, '(?i)@|at')}"
-    return f"SELECT DISTINCT {key}, {C.email(d, 'raw')} AS email FROM ({found} UNION ALL {plain}) c"
-
-
 def doc_email_candidates(d):
-    return f"SELECT doc_id, email FROM ({_candidates(d, 'documents', 'doc_id', 'text')}) c WHERE email <> ''"
+    return f"SELECT doc_id, email FROM ({candidates(d, 'documents', 'doc_id', 'text')}) c WHERE email <> ''"
 
 
 def doc_email_verdicts(d):
-    return f"SELECT doc_id, email, {C.verdict(d, 'email', STRICT)} AS verdict FROM ({_candidates(d, 'documents', 'doc_id', 'text')}) c"
+    parts = C.email_parts(d, f"({candidates(d, 'documents', 'doc_id', 'text')}) c", "email", STRICT)
+    return f"SELECT doc_id, email, {C.verdict(d, 'email', STRICT)} AS verdict FROM ({parts}) p"
 
 
 def verdict_histogram(d):
     return f"SELECT verdict, count(*) AS n FROM ({doc_email_verdicts(d)}) v GROUP BY verdict"
 
 
-def _best(d, policy, rules=LENIENT):
-    """Best e-mail of each page under a policy, for pages that have one."""
-    tier, order = C.best_order(d, "email", "host", rules, POLICIES[policy])
-    valid = f"SELECT c.page_id, h.host, c.email FROM ({_candidates(d, 'pages', 'page_id', 'html')}) c JOIN ({_hosts(d)}) h ON c.page_id = h.page_id WHERE {C.verdict(d, 'c.email', rules)} = 'ok'"
-    tiers = f"(SELECT page_id, host, email, {tier} AS tier FROM ({valid}) v) t"
-    return keep_first(f"(SELECT * FROM {tiers} WHERE tier < 9) k", "page_id", order, "page_id, email, tier")
+def _ranked(d, policy, pages="pages", rules=LENIENT):
+    """Candidates of pages with their verdict, tier and place in their page's order; tier 9 isn't allowed.
+
+    Each stage names what the next one reads, so no expression holds another's
+    text. The filter on verdicts is a part of the tier: as a filter, it would
+    move down to the texts with all that it is made of.
+    """
+    found = f"SELECT c.page_id, c.email, h.host FROM ({candidates(d, pages, 'page_id', 'html')}) c JOIN ({hosts(d)}) h ON c.page_id = h.page_id"
+    parts = C.email_parts(d, f"({found}) f", "email", rules)
+    checked = f"SELECT *, {C.verdict(d, 'email', rules)} AS verdict, {C.registrable(d, 'host', rules)} AS host_reg FROM ({parts}) p"
+    named = f"SELECT *, {C.token(d, 'host_reg')} AS bt, {C.token(d, 'reg')} AS et, {d.rep('local', '[^a-z0-9]+', '')} AS lt, {C.same_business(d, 'host', rules, 'host_reg')} AS same FROM ({checked}) k"
+    tier, keys = C.best_order(d, "email", "host", rules, POLICIES[policy])
+    tiers = f"SELECT *, CASE WHEN verdict = 'ok' THEN {tier} ELSE 9 END AS tier FROM ({named}) n"
+    ordered = f"SELECT *, {', '.join(f'{k} AS k{i}' for i, k in enumerate(keys))} FROM ({tiers}) t"
+    return f"SELECT page_id, host, email, verdict, tier, row_number() OVER (PARTITION BY page_id ORDER BY tier, {', '.join(f'k{i}' for i in range(len(keys)))}, email) AS rn FROM ({ordered}) o"
 
 
 def best_email(policy, d):
-    return f"SELECT h.page_id, h.host, b.email AS best_email, b.tier AS tier FROM ({_hosts(d)}) h LEFT JOIN ({_best(d, policy)}) b ON h.page_id = b.page_id"
+    """The best e-mail of each page under a policy, where it has one."""
+    best = f"SELECT page_id, email, tier FROM ({_ranked(d, policy, mailed(d))}) r WHERE rn <= 1"
+    return f"SELECT h.page_id, h.host, CASE WHEN b.tier < 9 THEN b.email END AS best_email, CASE WHEN b.tier < 9 THEN b.tier END AS tier FROM ({hosts(d)}) h LEFT JOIN ({best}) b ON h.page_id = b.page_id"
 
 
 def page_contact_summary(d):
-    """The flagship: host, registrable domain, candidate counts and best e-mail of every page."""
-    checked = f"SELECT page_id, email, {C.verdict(d, 'email', LENIENT)} AS verdict FROM ({_candidates(d, 'pages', 'page_id', 'html')}) c"
-    counts = f"SELECT page_id, count(*) AS n_candidates, sum(CASE WHEN verdict = 'ok' THEN 1 ELSE 0 END) AS n_valid, min(verdict) AS first_verdict FROM ({checked}) v GROUP BY page_id"
+    """The flagship: host, registrable domain, candidate counts and best e-mail of every page; one window and one aggregate by page."""
+    found = f"SELECT page_id, count(*) AS n_candidates, sum(CASE WHEN verdict = 'ok' THEN 1 ELSE 0 END) AS n_valid, min(verdict) AS first_verdict, max(CASE WHEN rn = 1 AND tier < 9 THEN email END) AS best_email FROM ({_ranked(d, 'any_valid')}) r GROUP BY page_id"
     return f"""SELECT h.page_id, h.host, {C.registrable(d, 'h.host', LENIENT)} AS registrable, coalesce(n.n_candidates, 0) AS n_candidates,
-CAST(coalesce(n.n_valid, 0) AS BIGINT) AS n_valid, n.first_verdict, b.email AS best_email
-FROM ({_hosts(d)}) h LEFT JOIN ({counts}) n ON h.page_id = n.page_id LEFT JOIN ({_best(d, 'any_valid')}) b ON h.page_id = b.page_id"""
+CAST(coalesce(n.n_valid, 0) AS BIGINT) AS n_valid, n.first_verdict, n.best_email FROM ({hosts(d)}) h LEFT JOIN ({found}) n ON h.page_id = n.page_id"""
 
 
 def _links(d):
@@ -71,25 +71,11 @@ def _links(d):
     return f"SELECT page_id, {d.rep('tag', chr(94) + 'href=' + chr(34) + '|' + chr(34) + '$', '')} AS link FROM ({raw}) r"
 
 
-def _anchors(d):
-    """Every anchor of each page: its absolute link, the link's path and its text without tags."""
-    tags = f"SELECT page_id, url, {d.explode}({d.all('html', _ANCHOR)}) AS tag FROM pages"
-    bare = lambda x: d.rep(f"trim({x})", "^[\"']|[\"']$", "")
-    href = f"replace(trim({bare(f'regexp_extract(tag, {d.s(_HREF)}, 1)')}), '&amp;', '&')"
-    cut = f"SELECT page_id, url, {href} AS href, {d.rep('tag', '<[^>]*>', '')} AS text FROM ({tags}) t"
-    full = f"SELECT page_id, url, text, {L.joined(d, 'url', 'href')} AS link FROM ({cut}) c WHERE NOT {d.like('href', '^(?i:mailto):')}"
-    return f"SELECT page_id, url, text, link, {d.rep(L.path(d, 'link'), ';[^/]*$', '')} AS path FROM ({full}) f"
-
-
-_ANCHOR = "(?is)<a(?:\\s[^>]*)?>(?:.*?</a>|.*)"
-_HREF = "(?is)^<a(?:\\s[^>]*?)?\\shref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
-
-
 def page_links_topk_padded(d, rules=STRICT, k=5):
     """k contact-like links of a page by (score, link); a page with fewer gets the target paths that it doesn't link, scored and ranked alike."""
     same = f"{L.site(d, 'url')} <> '' AND {L.site(d, 'url')} = {L.site(d, 'link')}"
     like = " OR ".join(L.contact_like(d, x, rules.target_paths) for x in ("path", "text"))
-    own = f"SELECT page_id, link, least({C.priority(d, 'path', rules)}, {C.priority(d, 'text', rules)}) AS score, 0 AS pad FROM ({_anchors(d)}) a WHERE {same} AND ({like})"
+    own = f"SELECT page_id, link, least({C.priority(d, 'path', rules)}, {C.priority(d, 'text', rules)}) AS score, 0 AS pad FROM ({anchors(d)}) a WHERE {same} AND ({like})"
     paths = " UNION ALL ".join(f"SELECT '/{p.lstrip('/')}' AS path" for p in rules.target_paths)
     few = f"SELECT p.page_id, p.url FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM ({own}) o GROUP BY page_id) c ON c.page_id = p.page_id WHERE coalesce(c.n, 0) < {k}"
     guessed = f"SELECT f.page_id, f.url, concat({L.origin(d, 'f.url')}, g.path) AS link, {C.priority(d, 'g.path', rules)} AS score FROM ({few}) f CROSS JOIN ({paths}) g"
@@ -128,24 +114,14 @@ def current_work(d):
 
 
 def request_summary(d):
+    """The counters of each request: blocks, what was sent or left out, and what became of the detail pages."""
+    dup = f"SELECT *, row_number() OVER (PARTITION BY name, website, phone, address ORDER BY ord) AS nth, row_number() OVER (PARTITION BY url ORDER BY ord) AS seen FROM ({LISTING}) l"
+    step = "CASE WHEN name = 'N/A' THEN 'missing' WHEN nth > 1 THEN 'duplicate' ELSE 'sent' END"
+    slow = "CASE WHEN name = 'N/A' OR ord % 4 = 0 THEN 'none' WHEN ord % 13 = 1 THEN 'no url' WHEN seen > 1 THEN 'again' WHEN ord % 17 = 0 THEN 'error' WHEN ord % 19 = 0 THEN 'timeout' WHEN ord % 23 = 0 THEN 'empty' ELSE 'opened' END"
     n = lambda test: f"CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS BIGINT)"
-    return f"""SELECT campaign_id, request_id, count(*) AS blocks, {n("name = 'N/A'")} AS missing_name, {n("website = ''")} AS missing_website,
-{n("stars = 'N/A'")} AS missing_rating, count(DISTINCT url) AS urls, count(DISTINCT address) AS addresses FROM ({_LISTING}) l GROUP BY campaign_id, request_id"""
-
-
-#: Contacts and requests aren't tables here; customers and orders stand in, by one text on both sides.
-_LISTING = """SELECT c_custkey AS ord, concat('c', c_nationkey % 5) AS campaign_id, concat('r', c_custkey % 7) AS request_id,
-  CASE WHEN c_custkey % 11 = 0 THEN 'N/A' ELSE concat('Shop ', c_custkey % 40) END AS name, CASE WHEN c_custkey % 3 = 0 THEN concat(c_acctbal, ' stars') WHEN c_custkey % 3 = 1 THEN 'N/A' ELSE '4.5' END AS stars,
-  concat(c_custkey, ' (1,', 100 + c_custkey % 900, ')') AS reviews, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('https://www.shop', c_custkey % 40, '.com/a?b=1') END AS website,
-  concat('https://maps.example.net/p/', c_custkey % 60, '/') AS url, concat(c_custkey % 13, ' Main St') AS address, lower(c_mktsegment) AS category, concat('+1 555 ', c_custkey % 17) AS phone FROM customer"""
-
-
-#: The listing with the fields that only place pages have, some categories that are lists, and URLs with a place's id.
-def _details(d):
-    both = d.json_list(d.array("category", "concat('sub ', ord % 3)"))
-    return f"""SELECT l.*, CASE WHEN ord % 6 = 0 THEN {both} ELSE category END AS categories, CASE WHEN ord % 2 = 0 THEN concat(url, '?q=place_id:ChIJ', ord, '/x') ELSE url END AS place_url,
-{d.rep('reviews', '^[^(]*', '')} AS review_text, {d.rep('stars', '^-', '')} AS star_text, concat('Mall ', ord % 4) AS located_in, CASE WHEN ord % 4 = 0 THEN 'N/A' ELSE 'Open' END AS hours,
-concat('Mon: ', ord % 9, '-18') AS hours_detail, concat('9F', ord % 8, '+2X') AS plus_code, CASE WHEN ord % 3 = 0 THEN '' ELSE concat('https://book.example.net/', ord) END AS booking_link FROM ({_LISTING}) l"""
+    return f"""SELECT campaign_id, request_id, count(*) AS blocks, {n("step = 'sent'")} AS sent, {n("step = 'duplicate'")} AS skipped_duplicates, {n("step = 'missing'")} AS skipped_missing_required,
+{n("slow <> 'none'")} AS slow_attempted, {n("slow IN ('opened', 'timeout', 'empty')")} AS slow_opened, {n("slow = 'no url'")} AS slow_missing_url, {n("slow = 'again'")} AS slow_detail_duplicates,
+{n("slow = 'timeout'")} AS slow_wait_timeout, {n("slow = 'empty'")} AS slow_empty_fields, {n("slow = 'error'")} AS slow_errors FROM (SELECT campaign_id, request_id, {step} AS step, {slow} AS slow FROM ({dup}) u) s GROUP BY campaign_id, request_id"""
 
 
 _SOCIAL = "'' AS email, '' AS facebook, '' AS instagram, '' AS twitter, '' AS yelp"
@@ -156,7 +132,7 @@ def contact_shape(d):
     text = lambda x: f"coalesce({C.picked(x)}, '')"
     same = ", ".join(f"{text(x)} AS {x}" for x in ("address", "phone", "hours", "hours_detail", "located_in", "plus_code", "booking_link"))
     return f"""SELECT ord, campaign_id, request_id, {text('name')} AS company_name, {same}, {C.rating(d, C.stripped(d, text('star_text')))} AS rating,
-replace(regexp_extract({text('review_text')}, '[0-9,]+', 0), ',', '') AS reviews, {text('categories')} AS category, {C.site_or_none(d, text('website'))} AS website, {text('place_url')} AS url, {_SOCIAL} FROM ({_details(d)}) r"""
+replace(regexp_extract({text('review_text')}, '[0-9,]+', 0), ',', '') AS reviews, {text('categories')} AS category, {C.site_or_none(d, text('website'))} AS website, {text('place_url')} AS url, {_SOCIAL} FROM ({details(d)}) r"""
 
 
 def contact_wire_shape(d):
@@ -164,22 +140,22 @@ def contact_wire_shape(d):
     s = lambda x: C.stripped(d, f"c.{x}")
     return f"""SELECT c.ord, c.campaign_id, c.request_id, coalesce(nullif({s('company_name')}, ''), 'Unknown Business') AS business_name, {s('address')} AS address, {s('category')} AS category, {C.rating(d, s('rating'))} AS rating,
 coalesce(TRY_CAST({d.rep(s('reviews'), '[^0-9]', '')} AS BIGINT), 0) AS review_count, {s('phone')} AS phone, {C.site_or_none(d, 'c.website')} AS domain, {_SOCIAL}, {C.place_id(d, 'c.url')} AS place_id,
-coalesce({C.picked('l.website')}, 'N/A') AS website, {d.quote_plus("concat(l.name, ' ~*&', l.address)")} AS query FROM ({contact_shape(d)}) c JOIN ({_LISTING}) l ON l.ord = c.ord"""
+coalesce({C.picked('l.website')}, 'N/A') AS website, {d.quote_plus("concat(l.name, ' ~*&', l.address)")} AS query FROM ({contact_shape(d)}) c JOIN ({LISTING}) l ON l.ord = c.ord"""
 
 
 def contact_dedupe_fast(d):
-    return keep_first(f"({_LISTING}) l", "url, name, address", "ord", "ord, url, name, address")
+    return keep_first(f"({LISTING}) l", "url, name, address", "ord", "ord, url, name, address")
 
 
 def contact_dedupe_generic(d):
     """First contact of each (name, website as a URL, phone, address); the reference's domain field holds that URL."""
     name = f"coalesce(nullif({C.cleaned(d, 'name')}, ''), 'Unknown Business')"
     key = f"lower(concat({name}, '|', {C.website_url(d, 'url', 'website')}, '|', coalesce(phone, ''), '|', coalesce(address, '')))"
-    return keep_first(f"(SELECT *, {key} AS k FROM ({_LISTING}) l) x", "k", "ord", "ord, k")
+    return keep_first(f"(SELECT *, {key} AS k FROM ({LISTING}) l) x", "k", "ord", "ord, k")
 
 
 def request_chunks(d):
-    return chunks(f"({_LISTING}) l", "campaign_id, request_id", "ord", 20, "ord, campaign_id, request_id")
+    return chunks(f"({LISTING}) l", "campaign_id, request_id", "ord", 20, "ord, campaign_id, request_id")
 
 
 _OVERLAID = ("name", "address", "phone", "website", "stars", "reviews", "category", "hours", "url", "located_in", "plus_code", "booking_link", "hours_detail")
@@ -190,8 +166,8 @@ def contact_enrich(d):
     new = {"phone": "CASE WHEN ord % 2 = 0 THEN '' ELSE phone END", "category": "CASE WHEN ord % 4 = 0 THEN 'N/A' ELSE upper(category) END", "url": "place_url"}
     other = {c: f"CASE (ord % 7 + {i}) % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'N/A' ELSE concat(' ', upper({c})) END" for i, c in enumerate(_OVERLAID) if c not in new}
     values = ", ".join(f"{x} AS {c}" for c, x in (other | new).items())
-    detail = keep_first(f"(SELECT url AS page, ord AS detail_ord, {values} FROM ({_details(d)}) l WHERE ord % 3 = 0) q", "page", "detail_ord", f"page, {', '.join(_OVERLAID)}")
-    return f"SELECT l.ord, l.url AS listed_url, {overlay(*_OVERLAID)} FROM ({_details(d)}) l LEFT JOIN ({detail}) d ON trim(l.url) = d.page AND trim(l.url) NOT IN ('', 'N/A')"
+    detail = keep_first(f"(SELECT url AS page, ord AS detail_ord, {values} FROM ({details(d)}) l WHERE ord % 3 = 0) q", "page", "detail_ord", f"page, {', '.join(_OVERLAID)}")
+    return f"SELECT l.ord, l.url AS listed_url, {overlay(*_OVERLAID)} FROM ({details(d)}) l LEFT JOIN ({detail}) d ON trim(l.url) = d.page AND trim(l.url) NOT IN ('', 'N/A')"
 
 
 def campaign_lookup(d):
@@ -201,7 +177,7 @@ def campaign_lookup(d):
 
 def unqueued_campaigns(d):
     queued = f"SELECT DISTINCT {d.rep('job', '[.].*$', '')} AS campaign_id FROM (SELECT concat('c', c_nationkey % 4, CASE WHEN c_custkey % 2 = 0 THEN '.json' ELSE '.json.17' END) AS job FROM customer) j"
-    return f"SELECT DISTINCT l.campaign_id FROM ({_LISTING}) l WHERE NOT EXISTS (SELECT 1 FROM ({queued}) q WHERE q.campaign_id = l.campaign_id)"
+    return f"SELECT DISTINCT l.campaign_id FROM ({LISTING}) l WHERE NOT EXISTS (SELECT 1 FROM ({queued}) q WHERE q.campaign_id = l.campaign_id)"
 
 
 def campaigns_missing_email(d):
@@ -223,9 +199,12 @@ def request_selection(d):
     return keep_first(pool, "campaign", "id", "campaign, id, status", 5)
 
 
-def batch_estimate(d):
-    e = "CAST(ceil(pending / 10.0e0 * 1.1e0) AS BIGINT)"
-    return f"SELECT o_custkey, pending, CASE WHEN pending <= 0 THEN 0 ELSE greatest(1, least({e}, 25)) END AS batches FROM (SELECT o_custkey, sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS pending FROM orders GROUP BY o_custkey) p"
+def batch_estimate(d, batch=10, cap=25, multiplier=1.1):
+    """Batches for a customer's open orders: rounded up, at least 1 and at most the cap (0: none); 1 where the count is unknown, 0 where nothing is open."""
+    e = f"CAST(ceil(pending / {float(max(1, batch))}e0 * {float(max(0.1, multiplier or 1.0))}e0) AS BIGINT)"
+    held = f"least({e}, {int(cap)})" if cap > 0 else e
+    rows = "SELECT o_custkey, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) END AS pending FROM orders GROUP BY o_custkey"
+    return f"SELECT o_custkey, pending, CASE WHEN pending IS NULL THEN 1 WHEN pending <= 0 THEN 0 ELSE greatest(1, {held}) END AS batches FROM ({rows}) p"
 
 
 def retry_classes(d):
@@ -234,12 +213,16 @@ def retry_classes(d):
     return f"SELECT code, {kind} AS outcome, count(*) AS n FROM (SELECT {code} AS code FROM events) e GROUP BY code, {kind}"
 
 
-_LOG = "SELECT event_id AS seq, concat('s', user_id % 4) AS source, CASE event_id % 6 WHEN 0 THEN 'FACEBOOK FOUND a -> b' WHEN 1 THEN 'DONE (1/2): a -> b [FB priority]' WHEN 2 THEN 'DONE (1/2): a -> b [1.0s]' WHEN 3 THEN 'x - INFO - FOUND a -> b' WHEN 4 THEN 'DONE (1/2): a (no email)' ELSE event_type END AS line, ts FROM events"
+_LOG = f"SELECT event_id AS seq, {streams.SOURCE} AS source, {streams.LINE} AS line, ts FROM events"
 
 
 def outcome_counters(d):
-    kind = f"CASE WHEN {d.like('line', 'FACEBOOK FOUND|FB priority')} THEN 'social' WHEN {d.like('line', 'DONE .*->|FOUND .*->')} THEN 'regular' ELSE 'none' END"
-    return f"SELECT source, {kind} AS kind, count(*) AS n FROM ({_LOG}) l GROUP BY source, {kind}"
+    """What log lines tell of e-mails found; the tests hold in this order."""
+    has = lambda x: f"position({d.s(x)} IN line) > 0"
+    arrow, done = has("->"), has("✓ DONE")
+    tests = [("social", f"{has('FACEBOOK FOUND ')} AND {arrow}"), ("social", f"{done} AND {arrow} AND {has('[FB priority]')}"), ("regular", f"{done} AND {arrow}"), ("regular", f"({has(' - INFO - FOUND ')} OR line LIKE 'FOUND %') AND {arrow}")]
+    kind = "CASE " + " ".join(f"WHEN {t} THEN '{k}'" for k, t in tests) + " ELSE 'none' END"
+    return f"SELECT source, kind, count(*) AS n FROM (SELECT source, {kind} AS kind FROM (SELECT source, trim(line) AS line FROM ({_LOG}) l) t) k GROUP BY source, kind"
 
 
 LOG_LINES = 4000
@@ -254,11 +237,13 @@ def last_activity(d):
     return keep_first(f"({_LOG}) l", "source", "seq DESC", "source, seq, line")
 
 
-def stable_count_stop(d):
-    """For each user, the first event at which a count was unchanged for three observations in a row."""
+def stable_count_stop(d, n=3):
+    """For each user, the first event at which a count was unchanged for n observations in a row."""
     rows = "SELECT user_id, event_id, CAST(floor(value / 25) AS BIGINT) AS n FROM events"
-    run = f"SELECT user_id, event_id, n, lag(n, 1) OVER w AS n1, lag(n, 2) OVER w AS n2 FROM ({rows}) r WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
-    return f"SELECT user_id, min(event_id) AS stop_at FROM ({run}) s WHERE n = n1 AND n = n2 GROUP BY user_id"
+    marked = f"SELECT *, CASE WHEN n = lag(n) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM ({rows}) r"
+    runs = f"SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS spell FROM ({marked}) m"
+    nth = f"SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, spell ORDER BY event_id) AS nth FROM ({runs}) s"
+    return f"SELECT user_id, min(event_id) AS stop_at FROM ({nth}) t WHERE nth >= {int(n)} GROUP BY user_id"
 
 
 def lease_gaps(d):
@@ -300,15 +285,15 @@ _PLANS = {f.__name__: f for f in (
     campaigns_missing_email, email_upsert, request_selection, batch_estimate, retry_classes, outcome_counters, log_tail, last_activity,
     stable_count_stop, lease_gaps, json_prop_extract, setting_coercion, q_join_agg, q_rollup, q_rank, q_tumbling,
     link_kinds, page_social_links, claim_lines, current_work, request_summary,
-)} | {f"best_email_per_page_{p}": partial(best_email, p) for p in POLICIES}
+)} | records.PLANS | {f"best_email_per_page_{p}": partial(best_email, p) for p in POLICIES}
 
 
 def queries():
-    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()} | streams.QUERIES
+    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()} | streams.QUERIES | extraction.QUERIES
 
 
 def oracle_sql():
-    return {name: f(DuckDB()) for name, f in _PLANS.items()} | streams.ORACLES
+    return {name: f(DuckDB()) for name, f in _PLANS.items()} | streams.ORACLES | extraction.ORACLES
 
 
 def flagship(spark, sf_dir):

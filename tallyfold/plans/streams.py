@@ -5,8 +5,8 @@ from __future__ import annotations
 from tallyfold.operators.ranking import keep_first
 from tallyfold.streaming import flows
 
-_LINE = "CASE event_id % 6 WHEN 0 THEN 'FACEBOOK FOUND a -> b' WHEN 1 THEN '✓ DONE (1/2): a -> b [FB priority]' WHEN 2 THEN '✓ DONE (1/2): a -> b [1.0s]' WHEN 3 THEN 'x - INFO - FOUND a -> b' WHEN 4 THEN '✓ DONE (1/2): a (no email)' ELSE event_type END"
-_SOURCE = "concat('s', user_id % 4)"
+LINE = "CASE event_id % 6 WHEN 0 THEN 'FACEBOOK FOUND a -> b' WHEN 1 THEN '✓ DONE (1/2): a -> b [FB priority]' WHEN 2 THEN '✓ DONE (1/2): a -> b [1.0s]' WHEN 3 THEN 'x - INFO - FOUND a -> b' WHEN 4 THEN '✓ DONE (1/2): a (no email)' ELSE event_type END"
+SOURCE = "concat('s', user_id % 4)"
 
 
 def _events(spark, sf_dir):
@@ -14,11 +14,11 @@ def _events(spark, sf_dir):
 
 
 def stream_outcome_counters(spark, sf_dir):
-    return flows.drain(flows.outcome_counts(_events(spark, sf_dir).selectExpr(f"{_SOURCE} AS source", f"{_LINE} AS line")), "counters", "complete")
+    return flows.drain(flows.outcome_counts(_events(spark, sf_dir).selectExpr(f"{SOURCE} AS source", f"{LINE} AS line")), "counters", "complete")
 
 
 def stream_last_activity(spark, sf_dir):
-    return flows.drain(flows.latest(_events(spark, sf_dir).selectExpr(f"{_SOURCE} AS source", "event_id AS seq", f"{_LINE} AS line"), "source", "seq", "line"), "activity", "complete")
+    return flows.drain(flows.latest(_events(spark, sf_dir).selectExpr(f"{SOURCE} AS source", "event_id AS seq", f"{LINE} AS line"), "source", "seq", "line"), "activity", "complete")
 
 
 def stream_unseen_keys(spark, sf_dir):
@@ -29,12 +29,26 @@ def stream_cooldown(spark, sf_dir):
     return flows.drain(flows.cooldown(_events(spark, sf_dir), "user_id", "ts", 3600, "event_id"), "cooldown")
 
 
+def stream_run_states(spark, sf_dir):
+    return flows.drain(flows.run_states(_events(spark, sf_dir).selectExpr("user_id AS run_id", "event_id AS seq", f"{_STAGE} AS stage", "CASE WHEN event_id % 11 = 0 THEN 'fail' ELSE 'complete' END AS event")), "runs", "complete")
+
+
+def stream_watermarked_counts(spark, sf_dir):
+    """All windows: in complete mode the watermark closes none."""
+    return flows.drain(flows.late_counts(_events(spark, sf_dir).selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type")), "late", "complete")
+
+
+_STAGE = "CASE event_id % 6 WHEN 0 THEN 'maps_scrape' WHEN 1 THEN 'cleanup_contacts' WHEN 2 THEN 'email_fast' WHEN 3 THEN 'email_fallback' WHEN 4 THEN 'finalize' ELSE 'polish' END"
+_NEXT = "CASE stage " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(flows.STAGES, flows.STAGES[1:])) + " END"
+_STATE = f"CASE WHEN stage NOT IN {flows.STAGES} THEN 'unsupported' WHEN event = 'fail' THEN 'failed' WHEN stage = 'finalize' THEN 'done' ELSE 'open' END"
 _KIND = "CASE event_id % 6 WHEN 0 THEN 'social' WHEN 1 THEN 'social' WHEN 2 THEN 'regular' WHEN 3 THEN 'regular' ELSE 'none' END"
 
-QUERIES = {f.__name__: f for f in (stream_outcome_counters, stream_last_activity, stream_unseen_keys, stream_cooldown)}
+QUERIES = {f.__name__: f for f in (stream_outcome_counters, stream_last_activity, stream_unseen_keys, stream_cooldown, stream_run_states, stream_watermarked_counts)}
 #: A cooldown carries state from each kept event to the next; its test is a plain loop.
 ORACLES = {
-    "stream_outcome_counters": f"SELECT {_SOURCE} AS source, {_KIND} AS kind, count(*) AS n FROM events GROUP BY 1, 2",
-    "stream_last_activity": keep_first(f"(SELECT {_SOURCE} AS source, event_id AS seq, {_LINE} AS line FROM events) l", "source", "seq DESC", "source, seq, line"),
+    "stream_outcome_counters": f"SELECT {SOURCE} AS source, {_KIND} AS kind, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_last_activity": keep_first(f"(SELECT {SOURCE} AS source, event_id AS seq, {LINE} AS line FROM events) l", "source", "seq DESC", "source, seq, line"),
+    "stream_run_states": f"SELECT run_id, seq, stage, {_STATE} AS state, CASE WHEN {_STATE} = 'open' THEN {_NEXT} END AS next_stage FROM (SELECT user_id AS run_id, event_id AS seq, {_STAGE} AS stage, CASE WHEN event_id % 11 = 0 THEN 'fail' ELSE 'complete' END AS event FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) r",
+    "stream_watermarked_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_unseen_keys": "SELECT DISTINCT user_id, event_type FROM events",
 }

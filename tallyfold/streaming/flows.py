@@ -125,6 +125,23 @@ def crawl_ends(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(run, "key string, queued long, seen long, outcome string", "queued long, seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: A run's stages, in order.
+STAGES = ("maps_scrape", "cleanup_contacts", "email_fast", "email_fallback", "finalize")
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """(run_id, seq, stage, state, next_stage) of each run so far, from events (run_id, seq, stage, event 'complete' or 'fail'); in update mode a row a change."""
+    last = events.groupBy("run_id").agg(F.max_by(F.struct("seq", "stage", "event"), "seq").alias("last")).select("run_id", "last.*")
+    state = F.when(~F.col("stage").isin(*STAGES), "unsupported").when(F.col("event") == "fail", "failed").when(F.col("stage") == STAGES[-1], "done").otherwise("open")
+    after = F.create_map(*[F.lit(x) for pair in zip(STAGES, STAGES[1:]) for x in pair])
+    return last.select("run_id", "seq", "stage", state.alias("state"), F.when(state == "open", after[F.col("stage")]).alias("next_stage"))
+
+
+def late_counts(events: DataFrame, width: str = "1 hour", lateness: str = "30 minutes") -> DataFrame:
+    """Counts by window and type of events (ts, event_type); events later than the watermark are left out. An extension: the contact rules have no event time."""
+    return events.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
 def flush(rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", once: bool = False) -> None:
     """Hand each micro-batch of what has arrived to sink(batch, number); the checkpoint remembers what went through.
 

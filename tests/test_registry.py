@@ -6,7 +6,7 @@ import pytest
 from tallyfold.functions import contacts as C
 from tallyfold.functions.dialect import Spark
 from tallyfold.functions.rules import STRICT
-from tallyfold.plans import registry
+from tallyfold.plans import base, registry
 from tallyfold.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -72,7 +72,7 @@ def test_email_golden(spark):
     rows.createOrReplaceTempView("golden_raw")
     rows = spark.sql(f"SELECT i, {C.email(d, 'raw')} AS email FROM golden_raw").collect()
     spark.createDataFrame(rows).createOrReplaceTempView("golden_email")
-    found = {r.i: (r.email, r.v) for r in spark.sql(f"SELECT i, email, {C.verdict(d, 'email', STRICT)} AS v FROM golden_email").collect()}
+    found = {r.i: (r.email, r.v) for r in spark.sql(f"SELECT i, email, {C.verdict(d, 'email', STRICT)} AS v FROM ({C.email_parts(d, 'golden_email', 'email', STRICT)}) p").collect()}
     assert found == {i: (e, v) for i, (_, e, v) in enumerate(GOLDEN)}
 
 
@@ -139,7 +139,8 @@ LISTING = [
 def listing(spark, monkeypatch):
     rows = [(o, "c1", "r1", name, "4.5", "9 (1,009)", site, url, address, category, phone) for o, url, name, address, category, phone, site in LISTING]
     spark.createDataFrame(rows, "ord long, campaign_id string, request_id string, name string, stars string, reviews string, website string, url string, address string, category string, phone string").createOrReplaceTempView("golden_listing")
-    monkeypatch.setattr(registry, "_LISTING", "SELECT * FROM golden_listing")
+    for module in (registry, base):
+        monkeypatch.setattr(module, "LISTING", "SELECT * FROM golden_listing")
 
 
 def test_contact_shapes_golden(spark, listing):
