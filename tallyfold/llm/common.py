@@ -82,6 +82,14 @@ def release_memory() -> None:
         pass  # not glibc
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,6 +99,29 @@ def held_out(doc_id, parts: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 1, F.lit(False))
 
 
+def by_key(batches, key, columns, grown=lambda batch: {}):
+    """Columns, as arrays, of all rows of one key after another; rows come in order of their key, of integer columns. grown: further columns of a batch."""
+    import numpy as np
+
+    held: list[dict] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: batch.column(c).to_numpy() for c in (*key, *columns)} | grown(batch)
+        new = np.zeros(batch.num_rows - 1, dtype=bool)
+        for c in key:
+            new |= cols[c][1:] != cols[c][:-1]
+        cut = (np.flatnonzero(new) + 1).tolist()
+        for i, j in zip([0, *cut], [*cut, batch.num_rows]):
+            part = {c: v[i:j] for c, v in cols.items()}
+            if held and any(held[0][c][0] != part[c][0] for c in key):
+                yield held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in part}
+                held = []
+            held.append(part)
+    if held:
+        yield held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node in edges (a, b), component the smallest node reachable.
 

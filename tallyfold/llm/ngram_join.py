@@ -5,14 +5,16 @@ found often come last, so prefixes are made of rare shingles. Documents with
 equal sets are one class; classes with equal prefixes and size are one group.
 Groups meet in the buckets of their prefix shingles.
 
-Round 1 pairs each bucket's groups, by size, with a hub, and then, in buckets
-that are left in more than one component, each class with its next few of other
-components: chains of few pairs, in proportion to the rows. Round 2 takes the
-buckets that still hold more than one component and pairs all their classes of
-different components, after the size and position filters. Pairs of all rounds
-pass an exact bitmap bound and are then verified on the whole sets from the
-texts. A pair that the rounds skip already lies in one component, so components
-are exact although a group of thousands of near copies never yields all its pairs.
+Round 1 pairs each bucket's groups, by size, with a hub: few pairs, in
+proportion to the rows, which pass an exact bitmap bound and are verified on the
+whole sets from the texts. Round 2 takes the buckets that still hold more than
+one component. Each gathers, from the same size, position and bitmap filters,
+its clusters: classes that can link with a class of another component, told as
+one row a class and never as pairs. Clusters that share a class are one; each
+class's text, where wide bitmaps don't take it out again, then goes once to its cluster (to each of its block pairs, where a
+cluster is large), which verifies whole sets and skips only pairs that already
+lie in one component. So components are exact, although a group of thousands of
+near copies never yields all its pairs.
 
 Set sizes, filters and verdicts use exact integers; shingles are 64-bit
 hashes, so a document's set can differ only if two shingles of one pair
@@ -28,22 +30,25 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import components, discard, stored, table
+from tallyfold.llm.common import by_key, components, discard, fresh, stored, table
 from tallyfold.llm.hashing import mix, shingle_sets
 
 #: How many of the most frequent shingles the order puts last; it only steers the order, so results don't depend on it.
 FREQUENT = 65_536
 #: A partition reports shingles that it sees in so many documents.
 LOCAL_MIN = 4
-#: Rows of a bucket above which it is dealt out as pairs of blocks, and members verified with one copy of a hub's text.
-SPLIT, MEMBERS = 20_000, 500
+#: Rows above which a bucket or a cluster is dealt out as pairs of blocks, and members verified with one copy of a hub's text.
+SPLIT, MEMBERS = 8192, 500
+#: Shingles in memory at once, in each of a cluster's two blocks.
+SHINGLES = 4_000_000
 #: Bits of a set's narrow bitmap, a power of two; a set of more than half as many shingles also has a wide one of twice its size or more.
 BITS = 2048
-#: How far apart, in a bucket by size, the extra chain links two classes.
-REACH = 4
+#: Classes of a bucket up to which its pairs are compared at one stroke.
+SMALL = 256
 #: Rows of the verification's list up to which it is broadcast; beyond, the texts are shuffled to it.
 BROADCAST = 1_000_000
 _BYTES = 4 << 20
+_KEY = ("key", "lo", "hi")
 
 
 def _parts(texts: list[bytes]):
@@ -209,94 +214,158 @@ def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _chain(percent: int):
+def _first_of_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """Of sizes in order: the first place whose size can reach the similarity with each."""
+    return np.searchsorted(n, -(-percent * n // 100))
+
+
+class _Folded:
+    """Bitmaps of several widths: two are compared at the narrower one's, to which the wider is folded."""
+
+    def __init__(self, bits: np.ndarray):
+        self.width = np.array([len(b) for b in bits], dtype=np.int64)
+        self.of = {}
+        for w in np.unique(self.width).tolist():
+            self.of[w] = np.zeros((len(bits), w), np.uint64)
+            for i in np.flatnonzero(self.width >= w).tolist():
+                self.of[w][i] = np.bitwise_or.reduce(bits[i].reshape(-1, w), axis=0)
+
+    def possible(self, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        out, width = np.zeros(len(i), dtype=bool), np.minimum(self.width[i], self.width[j])
+        for w, bits in self.of.items():
+            at = np.flatnonzero(width == w)
+            step = max(1, _BYTES // (8 * w))
+            for p in range(0, len(at), step):
+                q = at[p : p + step]
+                out[q] = _possible(n[i[q]], n[j[q]], bits[i[q]], bits[j[q]], percent)
+        return out
+
+
+def _clusters(percent: int, small: int, column: str):
     def run(batches):
-        """Of rows by (token, n, rep): the pairs of near neighbours of a bucket that lie in different components and that the filters leave."""
+        """Of rows by (key, lo, hi, n): (a, b) with a the smallest of a cluster's classes and b another. A cluster ties the classes of different components that the filters leave."""
         import pyarrow as pa
 
-        for batch in batches:
-            token, n, rep, pos, comp = (batch.column(c).to_numpy() for c in ("token", "n", "rep", "pos", "comp"))
-            bits, found = _bits(batch.column("bits")), [np.zeros((0, 2), np.int64)]
-            for step in range(1, min(REACH, len(token) - 1) + 1):
-                i = np.flatnonzero((token[step:] == token[:-step]) & (comp[step:] != comp[:-step]))
-                j = i + step
+        def bitmaps(batch):
+            if column == "bits":  # all of one width
+                return {"bits": _bits(batch.column(column))}
+            out = np.empty(batch.num_rows, dtype=object)
+            for i, b in enumerate(batch.column(column).to_pylist()):
+                out[i] = np.frombuffer(b, np.uint64)
+            return {"bits": out}
+
+        out, size = [], 0
+        for x in by_key(batches, _KEY, ("n", "rep", "pos", "comp", "block"), bitmaps):
+            n, pos, comp, block, bits, m = x["n"], x["pos"], x["comp"], x["block"], x["bits"], len(x["n"])
+            apart = x["lo"][0] != x["hi"][0]
+            first, root = _first_of_size(n, percent), np.arange(m)
+            folded = _Folded(bits) if bits.dtype == object else None
+
+            def left(i, j):
+                """Which of the pairs of places the filters leave."""
                 rest = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-                near = (100 * n[i] >= percent * n[j]) & (rest * (100 + percent) >= percent * (n[i] + n[j]))
-                i, j = i[near], j[near]
-                ok = _possible(n[i], n[j], bits[i], bits[j], percent)
-                found.append(np.sort(np.stack([rep[i[ok]], rep[j[ok]]], axis=1), axis=1))
-            p = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                ok = rest * (100 + percent) >= percent * (n[i] + n[j])
+                i, j = i[ok], j[ok]
+                ok[ok] = folded.possible(n, i, j, percent) if folded else _possible(n[i], n[j], bits[i], bits[j], percent)
+                return ok
+
+            if m <= small:
+                i, j = np.nonzero(np.triu(comp[:, None] != comp[None, :], 1) & (np.arange(m)[:, None] >= first[None, :]))
+                if apart:
+                    i, j = (k[block[i] != block[j]] for k in (i, j))
+                ok = left(i, j)
+                for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+                    if root[a] != root[b]:
+                        root[root == root[a]] = root[b]
+            else:
+                for j in range(1, m):
+                    at = slice(first[j], j)
+                    see = (comp[at] != comp[j]) & (root[at] != root[j])
+                    if apart:
+                        see &= block[at] != block[j]
+                    i = np.flatnonzero(see) + first[j]
+                    for p in range(0, len(i), 1 << 14):
+                        part = i[p : p + (1 << 14)]
+                        part = part[left(part, np.full(len(part), j))]
+                        if len(part):
+                            root[np.isin(root, root[part])] = root[j]
+            by = np.lexsort((x["rep"], root))
+            same = root[by][1:] == root[by][:-1]
+            if same.any():
+                start = np.concatenate([[0], np.flatnonzero(~same) + 1])
+                head = np.repeat(x["rep"][by][start], np.diff(np.append(start, m)))[1:][same]
+                out.append(np.stack([head, x["rep"][by][1:][same]], axis=1))
+                size += len(head)
+            if size > 1 << 16:
+                yield told(pa, out)
+                out, size = [], 0
+        yield told(pa, out)
+
+    def told(pa, out):
+        p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _cross(percent: int):
+def _settle(words: int, percent: int):
     def run(batches):
-        """Of rows by (token, lo, hi, n): pairs of classes of different components that the size, position and bitmap filters leave."""
+        """Of rows by (key, lo, hi, n) with texts: links that tie all components of a cluster which any link ties."""
         import pyarrow as pa
 
-        names = ("n", "rep", "pos", "comp", "block", "bits")
-        key, window = None, None
-
-        def pairs(x: dict, y: dict, inner: bool, apart: bool):
-            i, j = np.nonzero(x["comp"][:, None] != y["comp"][None, :])
-            if inner:
-                i, j = i[i < j], j[i < j]
-            if apart:
-                keep = x["block"][i] != y["block"][j]
-                i, j = i[keep], j[keep]
-            ni, nj = x["n"][i], y["n"][j]
-            rest = 1 + np.minimum(ni - x["pos"][i] - 1, nj - y["pos"][j] - 1)
-            keep = (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (rest * (100 + percent) >= percent * (ni + nj))
-            i, j = i[keep], j[keep]
-            possible = np.zeros(len(i), dtype=bool)
-            for p in range(0, len(i), 1 << 14):
-                q = slice(p, p + (1 << 14))
-                possible[q] = _possible(x["n"][i[q]], y["n"][j[q]], x["bits"][i[q]], y["bits"][j[q]], percent)
-            a, b = x["rep"][i[possible]], y["rep"][j[possible]]
-            return np.minimum(a, b), np.maximum(a, b)
-
-        for batch in batches:
-            tok, lo, hi = (batch.column(c).to_numpy() for c in ("token", "lo", "hi"))
-            if not len(tok):
-                continue
-            cols = {c: batch.column(c).to_numpy() for c in names[:-1]}
-            cols["bits"] = _bits(batch.column("bits"))
-            new = np.flatnonzero((tok[1:] != tok[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            found = []
-            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(tok)]):
-                k = (tok[i], lo[i], hi[i])
-                if k != key:
-                    key, window = k, None
-                apart = k[1] != k[2]
-                for p in range(i, j, 2048):
-                    part = {c: v[p : min(j, p + 2048)] for c, v in cols.items()}
-                    if window is not None:
-                        near = 100 * window["n"] >= percent * part["n"][0]
-                        window = {c: v[near] for c, v in window.items()}
-                        for q in range(0, len(window["n"]), 2048):
-                            found.append(pairs({c: v[q : q + 2048] for c, v in window.items()}, part, False, apart))
-                    if len(part["n"]) > 1:
-                        found.append(pairs(part, part, True, apart))
-                    window = part if window is None else {c: np.concatenate([window[c], part[c]]) for c in names}
-                    if sum(len(f[0]) for f in found) > 1 << 19:
-                        yield told(pa, found)
-                        found = []
-            yield told(pa, found)
-
-    def told(pa, found):
-        p = np.stack([np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)], axis=1)
-        if len(p):
-            p = p[np.lexsort((p[:, 1], p[:, 0]))]
-            p = p[np.concatenate([[True], (p[1:] != p[:-1]).any(axis=1)])]
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+        def sets(batch):
+            texts, out = _texts(batch.column("text")), np.empty(batch.num_rows, dtype=object)
+            for i, j in _parts(texts):
+                for k, s in enumerate(shingle_sets(texts[i:j], words)):
+                    out[i + k] = s
+            return {"set": out}
+
+        for x in by_key(batches, _KEY, ("rep", "comp", "block"), sets):
+            size = np.array([len(s) for s in x["set"]], dtype=np.int64)
+            by = np.argsort(size, kind="stable")
+            n, rep, block, whole = size[by], x["rep"][by], x["block"][by], x["set"][by]
+            root, first = np.unique(x["comp"][by], return_inverse=True)[1], _first_of_size(n, percent)
+            apart, out = x["lo"][0] != x["hi"][0], []
+            bits = np.stack([np.frombuffer(bitmap(s), np.uint64) for s in whole]) if len(n) > 8 else None
+            for j in range(1, len(n)):
+                at = slice(first[j], j)
+                see = root[at] != root[j]
+                if apart:
+                    see &= block[at] != block[j]
+                i = np.flatnonzero(see) + first[j]
+                for p in range(0, len(i), 1 << 14):
+                    part = i[p : p + (1 << 14)]
+                    if bits is not None:
+                        part = part[_possible(n[part], np.full(len(part), n[j]), bits[part], bits[np.full(len(part), j)], percent)]
+                    for k in part.tolist():
+                        if root[k] != root[j] and _linked(whole[k], whole[j], percent):
+                            out.append((int(rep[k]), int(rep[j])))
+                            root[root == root[k]] = root[j]
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if not len(x) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
+    """rows (key, rep, ..., k) once for each pair (lo, hi) of their key's k blocks that holds their own."""
+    rows = rows.withColumn("k", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "k").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("k", "other")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids that link. A hub's text travels once for each MEMBERS of its partners."""
+    """The pairs (a, b) of doc_ids that link, stored; pairs is a stored table and is deleted. A hub's text travels once for each MEMBERS of its partners."""
     salt = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / MEMBERS).cast("int")
     dealt = pairs.withColumn("salt", salt)
     hubs = dealt.select(F.col("a").alias("doc"), F.col("a").alias("hub"), "salt", F.lit(0).alias("role")).distinct()
@@ -317,22 +386,18 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
                     if role == 0:
                         sets.append(s)
                         continue
-                    for h in sets:
-                        if 100 * min(len(h), len(s)) < percent * max(len(h), len(s)) or not len(s):
-                            continue
-                        both = np.concatenate([h, s])
-                        both.sort()
-                        same = int(np.count_nonzero(both[1:] == both[:-1]))
-                        if 100 * same >= percent * (len(both) - same):
-                            out.append((hub, doc))
-                            break
+                    if any(_linked(h, s, percent) for h in sets):
+                        out.append((hub, doc))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    need = F.broadcast(need) if need.count() <= BROADCAST else need
-    dealt = need.join(texts, "doc").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return dealt.mapInArrow(run, "a long, b long")
+    wanted = F.broadcast(need) if need.count() <= BROADCAST else need
+    dealt = wanted.join(texts, "doc").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    out = stored(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(pairs)
+    discard(need)
+    return out
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -351,35 +416,42 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     bits = full.select("doc_id", "n", "bits", "wide")
     near = buckets.where("kind = 0").select("a", "b").unionByName(members.where("grp != rep").select(F.col("grp").alias("a"), F.col("rep").alias("b"))).where("a != b").distinct()
-    links = stored(verify(docs, stored(plausible(near, bits, percent), "jaccard-near"), words, percent), "jaccard-links")
+    links = verify(docs, stored(plausible(near, bits, percent), "jaccard-near"), words, percent)
     label = stored(components(links), "jaccard-label")
 
+    rows = buckets.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("grp"), "n", "pos")
+    rows = rows.join(members, "grp", "left").select("key", F.coalesce("rep", "grp").alias("rep"), "n", "pos")
+    rows = rows.join(label, rows["rep"] == label["node"], "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+    open_ = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key", "size")
     # one exchange serves both the distinct and the join
     narrow = bits.select(F.col("doc_id").alias("rep"), "n", "bits").repartition("rep", "n").distinct()
-
-    def open_rows(label):
-        """The rows of buckets that hold more than one component, and the number of blocks of each bucket."""
-        rows = buckets.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), "n", "pos")
-        rows = rows.join(members, "grp", "left").select("token", F.coalesce("rep", "grp").alias("rep"), "n", "pos")
-        rows = rows.join(label, rows["rep"] == label["node"], "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-        open_ = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token", F.ceil(F.col("size") / SPLIT).cast("int").alias("k"))
-        return rows.join(open_, "token")
-
-    rows = open_rows(label).join(narrow, ["rep", "n"]).select("token", "n", "rep", "pos", "comp", "bits")
-    chain = rows.repartition("token", F.floor(F.col("n") / 64)).sortWithinPartitions("token", "n", "rep").mapInArrow(_chain(percent), "a long, b long").distinct()
-    found = stored(verify(docs, stored(plausible(chain, bits, percent), "jaccard-near"), words, percent), "jaccard-links")
-    links = stored(links.unionByName(found), "jaccard-links")
-    label = stored(components(links), "jaccard-label")
-
-    rows = open_rows(label).withColumn("block", F.pmod(F.xxhash64("rep"), "k").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.join(narrow, ["rep", "n"]).select("token", "lo", "hi", "n", "rep", "pos", "comp", "block", "bits")
-    dealt = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "rep")
-    more = stored(dealt.mapInArrow(_cross(percent), "a long, b long").distinct(), "jaccard-pairs")
+    rows = _in_blocks(rows.join(open_, "key"), F.ceil(F.col("size") / SPLIT).cast("int")).join(narrow, ["rep", "n"])
+    dealt = rows.select("key", "lo", "hi", "n", "rep", "pos", "comp", "block", "bits").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "rep")
+    stars = stored(dealt.mapInArrow(_clusters(percent, SMALL, "bits"), "a long, b long").distinct(), "jaccard-stars")
     discard(buckets)
-    found = stored(verify(docs, stored(plausible(more, bits, percent), "jaccard-near"), words, percent), "jaccard-links")
-    if not found.isEmpty():
-        label = stored(components(links.unionByName(found)), "jaccard-label")
+
+    def clustered(stars):
+        """The classes of clusters once for each pair of blocks."""
+        near = stored(components(stars).withColumnRenamed("component", "key"), "jaccard-clusters")
+        near = near.join(classes.select(F.col("rep").alias("node"), "n"), "node").join(label.withColumnRenamed("component", "comp"), "node", "left")
+        near = near.select("key", F.col("node").alias("rep"), "n", F.coalesce("comp", "node").alias("comp"))
+        size = near.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / SPLIT, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+        need = stored(_in_blocks(near.join(size, "key"), F.col("blocks")).select("key", "lo", "hi", "n", "rep", "comp", "block"), "jaccard-need")
+        return F.broadcast(need) if need.count() <= BROADCAST else need
+
+    def dealt_to_clusters(rows, *columns):
+        return rows.select("key", "lo", "hi", "n", "rep", "comp", "block", *columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "rep")
+
+    if not stars.isEmpty():
+        # narrow bitmaps tell little of large sets: wide ones look again before any text moves
+        best = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
+        rows = dealt_to_clusters(clustered(stars).join(bits.select(F.col("doc_id").alias("rep"), "n", best.alias("best")), ["rep", "n"]), F.lit(0).alias("pos"), "best")
+        stars = stored(rows.mapInArrow(_clusters(percent, SMALL, "best"), "a long, b long").distinct(), "jaccard-stars")
+    if not stars.isEmpty():
+        rows = dealt_to_clusters(clustered(stars).join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep"), "text")
+        found = stored(rows.mapInArrow(_settle(words, percent), "a long, b long"), "jaccard-links")
+        if not found.isEmpty():
+            label = stored(components(links.unionByName(found)), "jaccard-label")
 
     ends = classes.join(label, classes["rep"] == label["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = full.select("doc_id", "n", "d1", "d2").join(ends, ["n", "d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -400,7 +472,7 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     other = tokens.select(F.col("rep").alias("rep2"), F.col("n").alias("n2"), "token")
     near = f"rep < rep2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
     pairs = tokens.join(other, "token").where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    links = stored(verify(docs, stored(plausible(pairs, full.select("doc_id", "n", "bits", "wide"), percent), "jaccard-near"), words, percent), "jaccard-links")
+    links = verify(docs, stored(plausible(pairs, full.select("doc_id", "n", "bits", "wide"), percent), "jaccard-near"), words, percent)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("outer"))
     counts = classes.join(linked, "rep", "left").select("n", "d1", "d2", (F.col("copies") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"))
@@ -417,18 +489,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Different texts that share an id are documents of their own, so that one's group doesn't pull in the other's.
     """
-    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
-    if texts.groupBy("doc_id").agg((F.min("h") != F.max("h")).alias("many")).where("many").isEmpty():
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("h0"), F.max(F.xxhash64("text")).alias("h1"))
+    seen = texts.agg(F.max("n").alias("n"), F.max(F.col("h0") != F.col("h1")).alias("many")).first()
+    if not seen.many:
         gone = stored(jaccard_components(docs).where("component_id != doc_id").select("doc_id").distinct(), "jaccard-gone")
-        order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-        return docs.join(gone, "doc_id", "left_anti").withColumn("_row", F.row_number().over(order)).where("_row = 1 or doc_id is null").select(*docs.columns)
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")  # stored, so that the numbers stay
-    named = rows.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    named = stored(named.select("_row", F.col("doc_id").alias("_id"), "text"), "jaccard-named")
-    found = jaccard_components(named.select(F.col("_row").alias("doc_id"), "text"))
-    first = named.join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row").groupBy("component_id").agg(F.min(F.struct("_id", "text", "_row")).alias("m"))
-    kept = stored(first.select("m._row"), "jaccard-kept")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(rows.where("doc_id is null").select(*docs.columns))
+        left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        if (seen.n or 0) <= 1:
+            return left
+        row = fresh(docs, "row")  # any row of an id, as its texts are equal; partial sums keep a hot id's rows apart
+        once = left.where("doc_id is not null").groupBy("doc_id").agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+        return once.unionByName(left.where("doc_id is null"))
+    row, name = fresh(docs, "row"), fresh(docs, "id")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")  # stored, so that the numbers stay
+    named = rows.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(row).alias(row))
+    named = stored(named.select(row, F.col("doc_id").alias(name), "text"), "jaccard-named")
+    found = jaccard_components(named.select(F.col(row).alias("doc_id"), "text"))
+    first = named.join(found.select(F.col("doc_id").alias(row), "component_id"), row).groupBy("component_id").agg(F.min(F.struct(name, "text", row)).alias("m"))
+    kept = stored(first.select(f"m.{row}"), "jaccard-kept")
+    return rows.join(kept, row, "left_semi").select(*docs.columns).unionByName(rows.where("doc_id is null").select(*docs.columns))
 
 
 QUERIES = {"op8_ngram_join": op8_ngram_join}

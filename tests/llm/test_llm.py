@@ -130,17 +130,22 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def test_jaccard(spark):
+@pytest.mark.parametrize("limits", [{}, {"SPLIT": 7, "MEMBERS": 2, "BROADCAST": 0, "SMALL": 3, "SHINGLES": 2000}, {"SPLIT": 5, "SMALL": 1000, "MEMBERS": 1}])
+def test_jaccard(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(3)
-    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
     rows = [(i, t) for i, t in enumerate(TEXTS)]
-    for i in range(60):  # near copies at many similarities
-        w = list(base)
-        for at in rng.integers(0, 300, i // 6):
-            w[at] = f"n{i}"
-        rows.append((100 + i, " ".join(w)))
-    rows += [(500, rows[-1][1]), (None, "one")]
-    got = {r.doc_id: r for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85).collect()}
+    for g, (size, copies, step) in enumerate([(300, 60, 6), (40, 30, 9), (90, 80, 14), (3000, 40, 1)]):
+        base = [f"w{i}" for i in rng.integers(0, 5000, size)]
+        for i in range(copies):  # near copies at many similarities
+            w = list(base)
+            for at in rng.integers(0, size, i // step):
+                w[at] = f"n{i}"
+            rows.append((100 + 200 * g + i, " ".join(w)))
+    rows += [(900, rows[-1][1]), (None, "one")]
+    frame = spark.createDataFrame([(*r, 5, "clash") for r in rows], "doc_id long, text string, n int, component_id string")
+    got = {r.doc_id: r for r in ngram_join.jaccard_components(frame, words=4, percent=85).collect()}
     sets = {i: shingles(t, 4) for i, t in rows if i is not None}
     low = {i: i for i in sets}
     ids, changed = sorted(sets), True
@@ -155,6 +160,34 @@ def test_jaccard(spark):
     assert got[None].component_id is None
 
 
+def test_clusters_keep_every_class_that_can_link():
+    # Two components whose only link is between their second classes: the first ones look alike too.
+    import pyarrow as pa
+
+    same = np.packbits(np.ones(ngram_join.BITS, bool)).tobytes()
+    cols = {"key": [1] * 4, "lo": [0] * 4, "hi": [0] * 4, "n": [50] * 4, "rep": [1, 2, 3, 4], "pos": [0] * 4, "comp": [1, 1, 3, 3], "block": [0] * 4}
+    batch = pa.RecordBatch.from_pydict(cols | {"bits": [same] * 4})
+    batch = batch.append_column("best", pa.array([same, same * 2, same * 4, same]))
+    for small in (1, 100):
+        for column in ("bits", "best"):
+            found = [tuple(r.values()) for b in ngram_join._clusters(85, small, column)([batch.slice(0, 2), batch.slice(2)]) for r in b.to_pylist()]
+            assert found == [(1, 2), (1, 3), (1, 4)]
+
+
+def test_word_hashes():
+    from tallyfold.llm.hashing import word_hashes
+
+    one = "a"  # Thue-Morse words and their swaps meet in any polynomial hash modulo 2^64
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one} {other}", "", " x\tyy ABCDEFGHI abcdefghi abcdefghij", "z" * (3 << 20), "b a aa abcdefgh abcdefgh\0"]
+    h, n = word_hashes([t.encode() for t in texts])
+    words = [w for t in texts for w in t.encode().translate(LOW).split()]
+    assert n.tolist() == [2, 0, 5, 1, 5] and len(set(h.tolist())) == len(set(words)) == len(h) - 1 and h[4] == h[5 - 1]
+    assert h[words.index(b"abcdefghi")] == h[words.index(b"abcdefghi") + 1]
+
+
 def test_kneser_ney(docs):
     told = docs.where("doc_id is not null").selectExpr("doc_id", "text", "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1 as held_out")
     got = kneser_ney.score(told, kneser_ney.train(told.where("not held_out"))).collect()
