@@ -4,7 +4,10 @@ The writer's tasks each write one archive into the shared folder and report it
 as a row; only archives of tasks that ended well are in the manifest, so a
 task that is run again leaves no double records. The reader streams an archive
 through incremental zlib, frames records by Content-Length and verifies block
-and payload digests; memory is bounded by one record.
+and payload digests; memory is bounded by one record. An archive that reaches
+ROLL_BYTES is closed and the task begins another. Every record has a unique
+WARC-Record-ID and a WARC-Date, the time of the write; a page's id stands in a
+header of its own, and a revisit names its response's URL, date and page.
 
 Edge cases: a null payload is an empty one; a null id or url leaves its header
 out, and null ids rank after all others; repeated rows with the same id are
@@ -18,8 +21,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
@@ -29,71 +34,100 @@ from tallyfold.llm.common import file_system, new_path, stored, table
 
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT_BYTES = 100
+#: Bytes after which a task goes on in a new archive; a reader's task takes one archive.
+ROLL_BYTES = 1 << 30
+#: Rows of the list of revisits up to which it is broadcast; beyond, the pages are shuffled to it.
+BROADCAST = 100_000
 _READ = 1 << 16
+#: Headers of our own for a page's id and for the id of the page whose response a revisit repeats.
+_PAGE, _REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
 _MANIFEST = "path string, records long"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string, archive string, offset long"
 
 
-def _member(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
+def _member(kind: str, date: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     sha = base64.b32encode(hashlib.sha1(block).digest()).decode()
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers), f"WARC-Block-Digest: sha1:{sha}", f"Content-Length: {len(block)}"]
+    own = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", *own, *(f"{k}: {v}" for k, v in headers), f"WARC-Block-Digest: sha1:{sha}", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(3, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def _write_part(folder: str):
+def _uri(url: str) -> str:
+    return quote(url, safe="!#$&'()*+,/:;=?@[]~")
+
+
+def _write_part(folder: str, date: str, roll: int):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
         from pyspark import TaskContext
 
         t = TaskContext.get()
-        out, path, n = None, f"{folder}/part-{t.partitionId():05d}-{t.taskAttemptId()}.warc.gz", 0
+        out, done, n, size = None, [], 0, 0
+        has = lambda x: x is not None and x == x
+
+        def close():
+            nonlocal out, n, size
+            out.close()
+            done.append((path, n))
+            out, n, size = None, 0, 0
+
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if out is None:
+                    path = f"{folder}/part-{t.partitionId():05d}-{t.taskAttemptId()}-{len(done):05d}.warc.gz"
                     fs, at = file_system(path)
                     fs.create_dir(os.path.dirname(at), recursive=True)
                     out = fs.open_output_stream(at, compression=None)
-                    out.write(_member("warcinfo", [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+                    out.write(_member("warcinfo", date, [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                 body = (r.payload or "").encode() if isinstance(r.payload, str) else b""
-                has = lambda x: x is not None and x == x
                 h = []
                 if has(r.page_id):
-                    h.append(("WARC-Record-ID", f"<urn:page:{int(r.page_id)}>"))
+                    h.append((_PAGE, str(int(r.page_id))))
                 if isinstance(r.url, str):
-                    h.append(("WARC-Target-URI", quote(r.url, safe="!#$&'()*+,/:;=?@[]~")))
+                    h.append(("WARC-Target-URI", _uri(r.url)))
                 h += [("WARC-Payload-Digest", f"sha256:{r.digest}"), ("Content-Type", "application/http; msgtype=response")]
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 if has(r.refers_to):
-                    h += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{int(r.refers_to)}>")]
-                    out.write(_member("revisit", h, http))
+                    h += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), (_REFERS, str(int(r.refers_to))), ("WARC-Refers-To-Date", date)]
+                    if isinstance(r.refers_url, str):
+                        h.append(("WARC-Refers-To-Target-URI", _uri(r.refers_url)))
+                    size += out.write(_member("revisit", date, h, http))
                 else:
-                    out.write(_member("response", h, http + body))
+                    size += out.write(_member("response", date, h, http + body))
                 n += 1
+                if size >= roll:
+                    close()
         if out is not None:
-            out.close()
-            yield pd.DataFrame({"path": [path], "records": [n]})
+            close()
+        if done:
+            yield pd.DataFrame(done, columns=["path", "records"])
 
     return run
 
 
-def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as archives; returns the manifest (path, records).
 
-    Two shuffles: (digest, id) alone to find each payload's smallest id, with
-    partial aggregation, then the pages by id beside the rows of revisits, so
-    a payload that a third of all pages share meets in no task.
+    (digest, id) alone are shuffled to find each payload's smallest id, with
+    partial aggregation. The list of revisits is broadcast up to BROADCAST rows;
+    beyond, the pages are shuffled by id, so a payload that a third of all pages
+    share meets in no task.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").alias("payload"), F.sha2(body.cast("binary"), 256).alias("digest"))
-    big = rows.where(F.octet_length(F.coalesce("payload", F.lit(""))) >= MIN_REVISIT_BYTES).select("page_id", "digest")
-    least = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    again = big.join(least, "digest").where("page_id is null or page_id != first").select(F.coalesce("page_id", F.lit(-1)).alias("k"), F.col("page_id").isNull().alias("k0"), "digest", F.col("first").alias("refers_to")).distinct()
+    big = rows.where(F.octet_length(F.coalesce("payload", F.lit(""))) >= MIN_REVISIT_BYTES).select("page_id", "url", "digest")
+    least = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("refers_url"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    again = big.join(least, "digest").where("page_id is null or page_id != first").select(F.coalesce("page_id", F.lit(-1)).alias("k"), F.col("page_id").isNull().alias("k0"), "digest", F.col("first").alias("refers_to"), "refers_url")
+    again = stored(again.groupBy("k", "k0", "digest").agg(F.first("refers_to").alias("refers_to"), F.first("refers_url").alias("refers_url")), "warc-revisits")
+    if again.count() <= BROADCAST:
+        again = F.broadcast(again)
     keyed = rows.withColumn("k", F.coalesce("page_id", F.lit(-1))).withColumn("k0", F.col("page_id").isNull())
-    told = keyed.join(again, ["k", "k0", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
-    return stored(told.mapInPandas(_write_part(folder), _MANIFEST), "warc-manifest")
+    told = keyed.join(again, ["k", "k0", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to", "refers_url")
+    return stored(told.mapInPandas(_write_part(folder, date, roll), _MANIFEST), "warc-manifest")
 
 
 def read_members(raw) -> Iterator[tuple[int, bytes]]:
@@ -133,10 +167,6 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def _page(x: str | None) -> int | None:
-    return int(x.removeprefix("<urn:page:").removesuffix(">")) if x else None
-
-
 def _read_part(with_payload: bool):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -146,6 +176,7 @@ def _read_part(with_payload: bool):
         def frame(rows):
             return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
+        whole = lambda x: None if x is None else int(x)
         for pdf in batches:
             for path in pdf["path"]:
                 fs, at = file_system(path)
@@ -161,7 +192,7 @@ def _read_part(with_payload: bool):
                         if h["warc-type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
                             raise ValueError(f"the payload at {offset} of {path} differs from its length or digest")
                         url = h.get("warc-target-uri")
-                        rows.append((_page(h.get("warc-record-id")), unquote(url) if url else None, h["warc-type"], _page(h.get("warc-refers-to")), length, digest, payload.decode() if with_payload and h["warc-type"] == "response" else None, path, offset))
+                        rows.append((whole(h.get(_PAGE.lower())), unquote(url) if url else None, h["warc-type"], whole(h.get(_REFERS.lower())), length, digest, payload.decode() if with_payload and h["warc-type"] == "response" else None, path, offset))
                         held += len(payload)
                         if len(rows) >= 4096 or held >= 1 << 24 and with_payload:
                             yield frame(rows)
