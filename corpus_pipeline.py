@@ -26,8 +26,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mark in place of each span of personal data; n_chars follows the new text."""
-    out = pii.redact(docs).drop("spans").withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    return out.select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

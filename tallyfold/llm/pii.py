@@ -10,8 +10,7 @@ country's length; under other codes the longest valid run of groups counts.
 
 Edge cases: a null or empty text has no spans; repeated rows are each scanned;
 an empty table gives an empty result; further columns stay as they are, except
-one named like an output column (`spans`, `text` when redacting), which the
-output replaces. Texts are scanned whole. The patterns use possessive runs,
+that find_spans replaces one named like its output column, and redact the text. Texts are scanned whole. The patterns use possessive runs,
 which match the same text as the plain ones in linear time and constant stack.
 """
 
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import table
+from tallyfold.llm.common import fresh, table
 
 #: Length of a country's IBAN: its codes.
 IBAN_LENGTHS = {
@@ -94,26 +93,68 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+_FOUND = "array<struct<start:int,m:string>>"
+#: Items that a scan gathers before it adds them to its result, and characters of a text's pieces.
+GATHER, PIECE = 128, 512
 
 
-def _spans(kind: str, text: Column) -> Column:
+def _with(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(items: Column, made: str, step) -> Column:
+    """All that step adds along an array, of type `made`. step: (state, item) to (new state, item to add or null); states are integers from 0.
+
+    An array is copied whenever it grows, so items are gathered by GATHER at a
+    time: the work stays near the number of items.
+    """
+    held = lambda state, out: F.struct(state.alias("s"), out.alias("out"))
+    none = lambda array: F.expr(f"cast(array() as {array})")
+
+    def one(acc, x):
+        state, more = step(acc["s"], x)
+        return held(state, F.when(more.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], more)))
+
+    def many(whole):
+        def part(acc, i):
+            inner = F.aggregate(F.slice(whole, i * GATHER + 1, GATHER), held(acc["s"], none(made)), one)
+            return _with(inner, lambda r: held(r["s"], F.array_append(acc["out"], r["out"])))
+
+        parts = F.sequence(F.lit(0), F.floor(F.size(whole) / GATHER).cast("int"))
+        return F.aggregate(parts, held(F.lit(0), none(f"array<{made}>")), part, lambda acc: F.flatten(acc["out"]))
+
+    return _with(items, many)
+
+
+def _pieces(text: Column) -> Column:
+    """The text cut into pieces of PIECE characters: a place in a text is found without reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, length: Column) -> Column:
+    """`length` characters of the text from `start` on, as far as it goes."""
+    first = F.floor(start / PIECE).cast("int")
+    held = F.array_join(F.slice(pieces, first + 1, F.floor((start % PIECE + length) / PIECE).cast("int") + 1), "")
+    return F.substring(held, start % PIECE + 1, length)
+
+
+def _spans(kind: str, text: Column, pieces: Column) -> Column:
     """The confirmed spans of one kind, by start; offsets count code points, the end is exclusive."""
     guard, pattern, base, words = KINDS[kind]
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,m:string>>)").alias("out"))
 
-    def step(acc, x):
-        at = acc["pos"] + F.length(x["piece"])
-        found = F.struct(at.alias("start"), x["m"].alias("m"))
-        return F.struct((at + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], found)).alias("out"))
+    def step(pos, x):
+        at = pos + F.length(x["piece"])
+        return at + F.coalesce(F.length(x["m"]), F.lit(0)), F.when(x["m"].isNotNull(), F.struct(at.alias("start"), x["m"].alias("m")))
 
     def near(x):
         first = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.substring(text, first + 1, x["start"] - first)
-        after = F.substring(text, x["start"] + F.length(x["m"]) + 1, F.lit(CONTEXT_CHARS))
+        before = _cut(pieces, first, x["start"] - first)
+        after = _cut(pieces, x["start"] + F.length(x["m"]), F.lit(CONTEXT_CHARS))
         return F.lower(before).rlike(f"(?:{words})") | F.lower(after).rlike(f"(?:{words})")
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    found = _scan(pairs, _FOUND, step)
     if kind == "iban":
         found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), _iban_cut(x["m"]).alias("m")))
     made = lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), F.lit(base) + F.when(near(x), CONTEXT_BONUS).otherwise(0.0)).alias("score"))
@@ -124,29 +165,32 @@ def _spans(kind: str, text: Column) -> Column:
     return F.when(guarded, kept).otherwise(F.expr(f"cast(array() as {_SPAN})")).cast(_SPAN)
 
 
-def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `spans`: array<struct<kind, start, end, score>> by kind as listed, then start."""
+def find_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
+    """docs with the column `into`: array<struct<kind, start, end, score>> by kind as listed, then start."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("spans", F.concat(*[_spans(k, whole) for k in KINDS]))
+    return docs.withColumn(into, _with(_pieces(whole), lambda pieces: F.concat(*[_spans(k, whole, pieces) for k in KINDS])))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span in `text` replaced by its kind in brackets; of overlapping spans the earlier, then longer names the mark."""
-    found = find_spans(docs, text)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    """docs with every span in `text` replaced by its kind in brackets; of overlapping spans the earlier, then longer names the mark. Other columns stay."""
+    spans = fresh(docs, "spans")
+    found = find_spans(docs, text, spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
     whole = F.col(text)
-    begin = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, s):
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        clear = F.substring(whole, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.when(s["start"] >= acc["pos"], F.struct((-s["less"]).alias("pos"), F.concat(acc["out"], F.array(clear, mark)).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["pos"], -s["less"]).alias("pos"), acc["out"].alias("out"))
-        )
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["pos"] + 1, F.length(whole)))
-    new = F.when(F.size("spans") > 0, F.aggregate(ordered, begin, step, rest)).otherwise(whole)
-    return found.withColumn(text, new)
+
+    def step(pos, s):
+        """The end of what is covered, and for a span that begins beyond it the clear text before it: from, to, kind."""
+        clear = F.struct(pos.alias("start"), s["start"].alias("end"), s["kind"].alias("kind"))
+        return F.greatest(pos, -s["less"]), F.when(s["start"] >= pos, clear)
+
+    def marked(pieces):
+        parts = lambda x: F.concat(_cut(pieces, x["start"], x["end"] - x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        kept = F.transform(_scan(ordered, "array<struct<start:int,end:int,kind:string>>", step), parts)
+        return F.concat(F.array_join(kept, ""), F.substring(whole, end + 1, F.length(whole)))
+
+    new = F.when(F.size(spans) > 0, _with(_pieces(whole), marked)).otherwise(whole)
+    return found.withColumn(text, new).select(*docs.columns)
 
 
 def _listed(spans: Column) -> Column:
