@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import stored, table
+from tallyfold.llm.common import fresh, stored, table
 
 #: Rows of one flight block.
 BLOCK_ROWS = 20_000
@@ -35,24 +35,35 @@ BROADCAST_SOURCES = 10_000
 _EPS = 1e-9
 
 
-def source_targets(sizes: DataFrame, max_repeat: float = MAX_REPEAT) -> DataFrame:
+def _ranked(rows: DataFrame, *by) -> DataFrame:
+    """rows with `rank` from 0 by those columns, stored: sorted over all tasks, numbered in each, and shifted by the rows of those before."""
+    sorted_ = rows.orderBy(*by).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    sorted_ = stored(sorted_, "mix-sorted")
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = sorted_.groupBy("part").agg(F.count("*").alias("n_part")).withColumn("before", F.coalesce(F.sum("n_part").over(order), F.lit(0))).drop("n_part")
+    own = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
+    return stored(sorted_.withColumn("own", own).join(F.broadcast(before), "part").withColumn("rank", F.col("own") + F.col("before")).drop("part", "place", "own", "before"), "mix-ranked")
+
+
+def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(source, source_size, n, target) from (source, size): weights 1, 2, 3 by code point order, filled up to max_repeat times a source's size.
 
     The excess of capped sources flows to the others by weight until none is
-    above its cap: the level L with sum(min(w * L, cap)) = total, found from
-    running sums over sources by cap / w. These windows see one row a source.
+    above its cap: rounds raise the level L of sum(min(w * L, cap)) = total,
+    each from sums over all sources. Sums are integers, so reruns agree.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    w = ((F.row_number().over(order) - 1) % 3 + 1).cast("double")
-    s = s.withColumn("w", w).withColumn("cap", F.lit(float(max_repeat)) * F.col("source_size"))
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source"))
-    s = s.withColumn("before", F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("left", F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    whole = Window.partitionBy()
-    s = s.withColumn("level", (F.sum("source_size").over(whole) - F.col("before")) / F.col("left"))
-    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole))
-    return s.select("source", F.col("source_size").cast("long").alias("source_size"), "n", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap")))).alias("target"))
+    s = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n"))
+    s = _ranked(s, F.col("source").isNull(), F.col("source")).withColumn("w", F.col("rank") % 3 + 1).withColumn("cap", F.col("source_size") * max_repeat)
+    over = lambda level: F.col("w") * level > F.col("cap")
+    level, full = 0.0, -1
+    while True:
+        capped = F.col("cap") == 0 if full < 0 else over(level)
+        now = s.agg(F.sum("source_size").alias("total"), F.count_if(capped).alias("full"), F.sum(F.when(capped, F.col("cap"))).alias("held"), F.sum(F.when(~capped, F.col("w"))).alias("w")).first()
+        if now.full == full or not now.w:
+            break
+        full = now.full
+        level = (now.total - (now.held or 0)) / now.w
+    return s.select("source", "source_size", "n", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap").cast("double"), F.col("w") * level)).alias("target"))
 
 
 def _unit(key: str) -> float:
@@ -121,12 +132,12 @@ def reserve(sizes: list[int], p: list[float]) -> set[int]:
     return {by[k * (len(by) - 1) // (RESERVE - 1)] for k in range(RESERVE)} if by else set()
 
 
-_FLOWN = "doc_id long, unit long, source string, size long, source_size long, target double, whole long, p double"
+_FLOWN = "doc_id long, h long, unit long, source string, size long, source_size long, target double, whole long, p double"
 
 
 def _fly(last: bool, seed: int):
     def run(key, pdf):
-        pdf = pdf.sort_values(["size", "doc_id", "unit"], ascending=[False, True, True], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["size", "doc_id", "h", "unit"], ascending=[False, True, True, True], kind="stable", na_position="last")
         sizes = [int(x) for x in pdf["size"]]
         p = [float(x) for x in pdf["p"]]
         kept = reserve(sizes, p)
@@ -145,7 +156,7 @@ def word_count(text):
 
 
 def mix(sizes: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, unit, source, size, source_size, target, copies) from (doc_id, unit, source, size); unit tells rows with the same doc_id apart."""
+    """(doc_id, h, unit, source, size, source_size, target, copies) from (doc_id, h, unit, source, size); h and unit tell rows with the same doc_id apart."""
     spark = sizes.sparkSession
     targets = stored(source_targets(sizes), "mix-targets")
     if targets.count() <= BROADCAST_SOURCES:
@@ -154,7 +165,7 @@ def mix(sizes: DataFrame, seed: int = 7) -> DataFrame:
     rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + _EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     rows = rows.withColumn("p", F.when(F.col("p") < _EPS, 0.0).otherwise(F.col("p")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "unit", F.lit(seed)), F.ceil(F.col("n") / BLOCK_ROWS)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "h", "unit", F.lit(seed)), F.ceil(F.col("n") / BLOCK_ROWS)))
     cols = [c.split()[0] for c in _FLOWN.split(", ")]
     flown = stored(rows.select(*cols, "block").groupBy("source", "block").applyInPandas(_fly(False, seed), _FLOWN), "mix-flown")
     # at most RESERVE + 2 rows a block go on; groups of blocks merge again until one is left
@@ -162,7 +173,7 @@ def mix(sizes: DataFrame, seed: int = 7) -> DataFrame:
     width = BLOCK_ROWS // 2
     blocks = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     while blocks > BLOCK_ROWS:
-        merged = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "unit", F.lit(seed + blocks)), F.lit(math.ceil(blocks / width))))
+        merged = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "h", "unit", F.lit(seed + blocks)), F.lit(math.ceil(blocks / width))))
         flown = stored(merged.groupBy("source", "block").applyInPandas(_fly(False, seed), _FLOWN), "mix-flown")
         done, rest = done.unionByName(flown.where("p = 0 or p = 1")), flown.where("p > 0 and p < 1")
         blocks = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0
@@ -170,11 +181,21 @@ def mix(sizes: DataFrame, seed: int = 7) -> DataFrame:
     return done.unionByName(landed).withColumn("copies", F.col("whole") + F.round("p").cast("long")).drop("whole", "p")
 
 
+_KEY = ("doc_id", "source", "size", "h")
+
+
+def _numbered(rows: DataFrame, part, count) -> DataFrame:
+    """Rows by _KEY and a part of the input, with `before`: the key's rows in the parts before. A key has a row for each part at most."""
+    held = rows.groupBy(*_KEY, part.alias("part")).agg(count.alias("n"))
+    order = Window.partitionBy(*_KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return held.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+
+
 def doc_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, source, size), stored; unit numbers rows with the same id, size and source from 0."""
-    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    s = s.groupBy("doc_id", "source", "size").count()
-    return stored(s.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("unit")), "mix-sizes")
+    """(doc_id, h, source, size, unit), stored; h is a hash of the text, and unit numbers rows with the same id, text, size and source from 0."""
+    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    s = _numbered(s, F.spark_partition_id(), F.count("*"))
+    return stored(s.select(*_KEY, F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("unit")), "mix-sizes")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -183,13 +204,31 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def remix(docs: DataFrame) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it, in its own columns."""
-    found = mix(doc_sizes(docs)).groupBy("doc_id", "source", "size").agg(F.map_from_entries(F.collect_list(F.struct("unit", "copies"))).alias("_copies"))
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & keyed["source"].eqNullSafe(found["source"]) & (keyed["_size"] == found["size"])
-    unit = F.row_number().over(Window.partitionBy(keyed["doc_id"], keyed["source"], keyed["_size"]).orderBy(keyed["text"])) - 1
-    rows = keyed.join(found, same).withColumn("_n", F.col("_copies")[unit.cast("long")].cast("int"))
-    return rows.where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[keyed[c] for c in docs.columns])
+    """docs with each row repeated as often as the mix takes it, in its own columns.
+
+    Of a key's equal rows any will do: the mix only says how many are taken at
+    least once, twice and so on, and rows of keys that occur more than once are
+    stored and numbered part by part.
+    """
+    found = mix(doc_sizes(docs))
+    taken = found.groupBy(*_KEY).agg(F.count("*").alias("rows"), F.array(*[F.count_if(F.col("copies") >= k) for k in range(1, MAX_REPEAT + 1)]).alias("least"))
+    taken = stored(taken, "mix-taken")
+    row = fresh(docs, "row")
+    named = docs.select(F.struct(*docs.columns).alias(row), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    same = lambda x, y: [x[c].eqNullSafe(y[c]) for c in _KEY]
+    one = taken.where("rows = 1 and least[0] > 0")
+    out = named.join(one, same(named, one)).select(row, "least", F.lit(0).cast("long").alias("at"))
+    many = taken.where("rows > 1")
+    if not many.isEmpty():
+        held = named.join(many, same(named, many)).select(row, *[named[c] for c in _KEY], "least").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+        held = stored(held, "mix-repeated")
+        before = _numbered(held, F.col("part"), F.count("*")).drop("n")
+        own = F.row_number().over(Window.partitionBy(*_KEY, "part").orderBy("place")) - 1
+        held = held.withColumn("own", own)
+        at = (held["own"] + before["before"]).cast("long").alias("at")
+        out = out.unionByName(held.join(before, [*same(held, before), held["part"] == before["part"]]).select(row, "least", at))
+    copies = F.size(F.filter("least", lambda t: t > F.col("at")))
+    return out.withColumn("copies", copies).where("copies > 0").select(row, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{row}.*")
 
 
 QUERIES = {"op9_mixing": op9_mixing}
