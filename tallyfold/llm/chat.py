@@ -69,7 +69,7 @@ class _Conversation:
 
     def __init__(self, conv_id, budget: int, history: int):
         self.conv_id, self.budget, self.history = conv_id, budget, history
-        self.n, self.sum = 0, 0  # windows so far; prefix sum of turn tokens
+        self.n, self.sum, self.seen, self.head = 0, 0, 0, 0  # windows so far; prefix sums of turn tokens: of those windows, of all turns; tokens that this window repeats
         self.system = None
         self.recent: deque = deque()  # (role, text, tokens, prefix sum after it) that may be repeated
         self.new: list = []
@@ -77,11 +77,12 @@ class _Conversation:
 
     def add(self, role: str, text: str):
         turn = (role, text, len(text.split()) + MARKS)
-        head = sum(t[2] for t in self.context)
-        if self.new and head + sum(t[2] for t in self.new) + turn[2] > self.budget:
+        if self.new and self.head + self.seen - self.sum + turn[2] > self.budget:
             yield self.window()
         if not self.new:
             self.context = self.choose(turn)
+            self.head = sum(t[2] for t in self.context)
+        self.seen += turn[2]
         if role == "system" and self.n == 0 and not self.new and not self.recent and self.system is None:
             self.system = turn
         self.new.append(turn)
@@ -110,7 +111,7 @@ class _Conversation:
                 loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
             text.append(f"{head}{body}{END}\n")
             at += len(text[-1])
-        out = (self.conv_id, self.n, "".join(text), loss, len(self.context), len(self.new), sum(t[2] for t in self.context + self.new))
+        out = (self.conv_id, self.n, "".join(text), loss, len(self.context), len(self.new), self.head + self.seen - self.sum)
         for t in self.new:
             self.sum += t[2]
             if t is not self.system:
@@ -203,6 +204,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:
+    """Every conversation of the table and one of our own, -1; rows of the table under -1 would be turns of it, in order."""
     tricky = f"{END}{START}assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")

@@ -153,7 +153,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     train = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("double").alias("label"))
     n = train.count()
     if n > MAX_TRAINING_ROWS:
-        train = train.where(h.bitwiseAND(F.lit((1 << 62) - 1)) < int((1 << 62) * MAX_TRAINING_ROWS / n))
+        part = h.bitwiseAND(F.lit((1 << 62) - 1))
+        train = train.where(part < int((1 << 62) * min(1.0, 1.1 * MAX_TRAINING_ROWS / n + 1e-3))).orderBy(part, "doc_id", "label").limit(MAX_TRAINING_ROWS)
     train = stored(stats.join(train, "doc_id").withColumn("fold", F.pmod(h, F.lit(5))).repartition(PARTS), "quality-train")
     d = len(STATS)
     s = _sums(train, lambda x, y: np.concatenate([x.sum(0), (x * x).sum(0), [len(x), y.sum()]]), 2 * d + 2)
