@@ -152,6 +152,23 @@ def flush(rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], Non
     query.awaitTermination()
 
 
+def follow(rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], should_stop: Callable[[], bool], progress: Callable[[dict], None] | None = None, seconds: float = 1.0) -> None:
+    """Hand micro-batches to sink(batch, number) as they come, until should_stop(); progress gets each one's figures as Spark reports them."""
+    query = rows.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(sink).start()
+    told = -1
+    try:
+        while not should_stop() and query.isActive:
+            query.awaitTermination(seconds)
+            for p in query.recentProgress:
+                if progress and p["batchId"] > told:
+                    told = p["batchId"]
+                    progress(p)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+
+
 def drain(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a flow gives for what has arrived: each batch's rows in append mode, the last batch's in complete mode."""
     spark, path = rows.sparkSession, work_dir(rows.sparkSession, name)

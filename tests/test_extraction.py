@@ -167,3 +167,16 @@ def test_a_crawl_times_out(spark, tmp_path):
         time.sleep(0.2)
     query.stop()
     assert ends == [("a", 2, 1, "timed out")]
+
+
+def test_follow_stops_when_told(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    got, seen = [], []
+    flows.follow(flows.rows_of(spark, str(tmp_path / "in")), str(tmp_path / "mark"), lambda b, n: got.extend(r.id for r in b.collect()), lambda: len(got) >= 5 and len(seen) > 0, lambda p: seen.append(p["numInputRows"]), 0.3)
+    assert sorted(got) == [0, 1, 2, 3, 4] and sum(seen) >= 5
+
+    def bad(batch, number):
+        raise ValueError("no")
+
+    with pytest.raises(Exception, match="no"):
+        flows.follow(flows.rows_of(spark, str(tmp_path / "in")), str(tmp_path / "mark2"), bad, lambda: False, None, 0.3)
