@@ -20,20 +20,32 @@ read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import components, stored, table
+from tallyfold.llm.common import by_key, components, stored, table
 
 #: Vectors that the rotations are learnt from, the first by a hash of their id.
 SAMPLE = 20_000
-#: Rotations, bits of a chunk, learning steps; a pair at cosine 0.98 shares one of the 16 chunks of 64-dimensional vectors with probability over 0.99.
-ROTATIONS, CHUNK, STEPS, SEED = 4, 16, 30, 5
-BLOCK = 2048
+#: The least bits of a chunk, the most, learning steps.
+CHUNK, LONGEST, STEPS, SEED = 16, 24, 30, 5
+#: Share of pairs at cosine 0.98 that agree in a chunk of 16 bits, as measured (longer chunks by its power), and of those that may meet in no table.
+AGREE, MISSED = 0.36, 0.001
+BLOCK, TILE = 8192, 512
+
+
+def plan(n: int, dim: int) -> tuple[int, int]:
+    """(rotations, bits of a chunk) for n vectors: chunks grow with the logarithm of n so that buckets don't, and tables follow from the chunk."""
+    bits = min(64, dim)
+    chunk = min(bits, LONGEST, max(CHUNK, n.bit_length() - 4))
+    tables = math.ceil(math.log(MISSED) / math.log(1 - AGREE ** (chunk / 16)))
+    return math.ceil(tables / (bits // chunk)), chunk
 
 
-def learn(sample: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def learn(sample: np.ndarray, rotations: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(projection with rotation, thresholds) for each rotation: principal directions, turned so that signs lose least."""
     dim = sample.shape[1]
     mean = sample.mean(axis=0)
@@ -46,24 +58,37 @@ def learn(sample: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         axes = np.eye(dim)[:, :bits]
     rng = np.random.default_rng(SEED)
     out = []
-    for _ in range(ROTATIONS):
+    for _ in range(rotations):
         turn, _ = np.linalg.qr(rng.normal(size=(bits, bits)))
         v = x @ axes
         for _ in range(STEPS if len(sample) > dim else 0):
             u, _, w = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
             turn = (u @ w).T
-        # a median threshold halves each bit
-        out.append((axes @ turn, np.median(sample @ (axes @ turn), axis=0) if len(sample) else np.zeros(bits)))
+        out.append((axes @ turn, np.array([_threshold(side) for side in (sample @ (axes @ turn)).T]) if len(sample) else np.zeros(bits)))
     return out
 
 
-def codes(model: list, x: np.ndarray) -> np.ndarray:
-    """The chunks of each unit vector, as integers of at most CHUNK bits."""
+def _threshold(x: np.ndarray) -> float:
+    """Where a bit's values are cut: near their median, but not through a crowd such as a large group of near copies, whose bits would be noise.
+
+    Of windows of a twentieth of the values, the widest by its distance from the median's rank.
+    """
+    x = np.sort(x)
+    w = max(1, len(x) // 20)
+    if len(x) <= w:
+        return float(np.median(x))
+    at = np.arange(len(x) - w)
+    best = int(np.argmax((x[w:] - x[:-w]) * (1 - 2 * np.abs((at + w / 2) / (len(x) - 1) - 0.5)).clip(0)))
+    return float((x[best] + x[best + w]) / 2)
+
+
+def codes(model: list, chunk: int, x: np.ndarray) -> np.ndarray:
+    """The chunks of each unit vector, as integers of that many bits; bits that fill no chunk are left out."""
     out = []
     for turn, middle in model:
         bit = (x @ turn > middle).astype(np.int64)
-        for i in range(0, bit.shape[1], CHUNK):
-            part = bit[:, i : i + CHUNK]
+        for i in range(0, bit.shape[1] - chunk + 1, chunk):
+            part = bit[:, i : i + chunk]
             out.append(part @ (1 << np.arange(part.shape[1])))
     return np.stack(out, axis=1)
 
@@ -85,56 +110,91 @@ def _encode(models: dict):
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == d))
-                if d not in models:
-                    models[d] = learn(np.zeros((0, d)))
-                c = codes(models[d], _unit(_rows(part.column("embedding"))))
+                if d not in models:  # not in the sample
+                    models[d] = (learn(np.zeros((0, d)), plan(1, d)[0]), plan(1, d)[1])
+                c = codes(*models[d], _unit(_rows(part.column("embedding"))))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]), pa.array(c.astype(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("rep", "label", "dim")), lists], names=["rep", "label", "dim", "codes"])
 
     return run
 
 
-def _components_of(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric boolean matrix, the smallest index reachable."""
-    low = np.arange(len(linked))
+def _join(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Tie rows i and j: low holds each row's smallest known companion, and each of these its own."""
     while True:
-        new = np.minimum(low, np.where(linked, low[None, :], len(linked)).min(axis=1))
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
+        a, b = low[i], low[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while (low[low] != low).any():
+            low[:] = low[low]
 
 
-def _compare(threshold: float):
-    def run(key, got):
-        """One pair of blocks of a bucket: (rep, links, root)."""
-        import pyarrow as pa
+_BUCKET = ("t", "label", "dim", "code", "lo", "hi")
+_MET = "rep long, links long, root long"
 
-        t, lo, hi = key[0].as_py(), key[-2].as_py(), key[-1].as_py()
-        got = got.combine_chunks().sort_by("rep")
-        rep, mult, block = (got.column(c).to_numpy() for c in ("rep", "mult", "block"))
-        x = _unit(_rows(got.column("embedding").chunk(0)))
-        c = np.asarray(got.column("codes").chunk(0).flatten()).reshape(len(rep), -1)
-        linked = x @ x.T >= threshold - 1e-9
-        i, j = np.nonzero(np.triu(linked, 1))
-        keep = (c[i] == c[j]).argmax(axis=1) == t
-        if lo != hi:
-            keep &= block[i] != block[j]
-        i, j = i[keep], j[keep]
-        if len(i):
+
+def _met(x: dict, threshold: float, tile: int):
+    """One pair of blocks of a bucket: (rep, links, root) of the rows that link. Work is done in tiles of rows, so memory stays near the rows'."""
+    by = np.argsort(x["rep"], kind="stable")
+    rep, mult, block, c, v = (x[k][by] for k in ("rep", "mult", "block", "codes", "embedding"))
+    unit, apart = _unit(v), x["lo"][0] != x["hi"][0]
+    links, low = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    for p in range(0, len(rep), tile):
+        for q in range(p, len(rep), tile):
+            i, j = np.nonzero(unit[p : p + tile] @ unit[q : q + tile].T >= threshold - 1e-9)
+            i, j = i + p, j + q
+            keep = i < j if p == q else np.ones(len(i), dtype=bool)
+            if apart:
+                keep &= block[i] != block[j]
+            i, j = i[keep], j[keep]
+            keep = (c[i] == c[j]).argmax(axis=1) == x["t"][0]
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
             # pairs near the threshold are decided from the vectors as given
-            v = _rows(got.column("embedding").chunk(0))
-            near = np.flatnonzero(np.abs(np.einsum("ij,ij->i", x[i], x[j]) - threshold) < 1e-6)
+            near = np.flatnonzero(np.abs(np.einsum("ij,ij->i", unit[i], unit[j]) - threshold) < 1e-6)
             a, b = v[i[near]], v[j[near]]
             cos = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
             drop = near[~(cos >= threshold)]
             i, j = np.delete(i, drop), np.delete(j, drop)
-        linked = np.zeros((len(rep), len(rep)), dtype=bool)
-        linked[i, j] = linked[j, i] = True
-        some = np.flatnonzero(linked.any(axis=1))
-        linked = linked[np.ix_(some, some)]
-        root = rep[some][_components_of(linked)] if len(some) else rep[some]
-        return pa.table([pa.array(rep[some]), pa.array((linked @ mult[some]).astype(np.int64)), pa.array(root)], names=["rep", "links", "root"])
+            np.add.at(links, i, mult[j])
+            np.add.at(links, j, mult[i])
+            _join(low, i, j)
+    some = np.flatnonzero(links)
+    return rep[some], links[some], rep[low[some]]
+
+
+def _compare(threshold: float, tile: int):
+    def run(batches):
+        """Of rows in order of their bucket and blocks: what _met() finds in each."""
+        import pyarrow as pa
+
+        def arrays(batch):
+            c = np.empty(batch.num_rows, dtype=object)
+            v = np.empty(batch.num_rows, dtype=object)
+            for name, out in (("codes", c), ("embedding", v)):
+                column = batch.column(name)
+                flat, cut = np.asarray(column.flatten()), np.asarray(column.offsets)
+                cut = cut - cut[0]
+                for k in range(batch.num_rows):
+                    out[k] = flat[cut[k] : cut[k + 1]]
+            return {"codes": c, "embedding": v}
+
+        def told(out):
+            cols = [np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "links", "root"])
+
+        out = []
+        for x in by_key(batches, _BUCKET, ("rep", "mult", "block"), arrays):
+            x["codes"], x["embedding"] = np.stack(x["codes"]), np.stack(x["embedding"]).astype(float)
+            out.append(_met(x, threshold, tile))
+            if len(out) == 1024:
+                yield told(out)
+                out = []
+        yield told(out)
 
     return run
 
@@ -148,10 +208,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     h = [F.xxhash64("embedding", F.lit(k)).alias(f"h{k}") for k in (1, 2)]
     keyed = rows.withColumn("good", good).select("*", *h)
     valid = keyed.where("good")
-    classes = valid.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
-    classes = stored(classes.withColumn("dim", F.size("embedding")), "near-classes")
-    sample = classes.select("rep", "dim", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
-    models = {int(d): learn(_unit(np.stack(g["embedding"].to_list()))) for d, g in sample.groupby("dim")}
+    classes = valid.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
+    # rows may share an id, so classes have a number of their own
+    classes = stored(classes.withColumn("dim", F.size("embedding")).withColumn("rep", F.monotonically_increasing_id()), "near-classes")
+    sample = classes.select("dim", "embedding").orderBy(F.xxhash64("id"), "id", "h1", "h2", "label").limit(SAMPLE).toPandas()
+    sizes = {r.dim: plan(r["count"], r.dim) for r in classes.groupBy("dim").count().collect()}  # a row for each length of vector
+    models = {int(d): (learn(_unit(np.stack(g["embedding"].to_list())), sizes[d][0]), sizes[d][1]) for d, g in sample.groupby("dim")}
     coded = stored(classes.select("rep", "label", "dim", "embedding").mapInArrow(_encode(models), "rep long, label long, dim int, codes array<int>"), "near-codes")
     slots = coded.select("rep", "label", "dim", F.posexplode("codes").alias("t", "code"))
     bucket = ["t", "label", "dim", "code"]
@@ -159,12 +221,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     live = slots.join(full, bucket).withColumn("block", F.pmod(F.xxhash64("rep"), "k").cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "size", "k")
     held = classes.select("rep", "mult", "embedding").join(coded.select("rep", "codes"), "rep")
-    met = live.join(held, "rep").groupBy(*bucket, "lo", "hi").applyInArrow(_compare(threshold), "rep long, links long, root long")
-    met = stored(met, "near-links")
+    met = live.join(held, "rep").repartition(*_BUCKET).sortWithinPartitions(*_BUCKET)
+    met = stored(met.mapInArrow(_compare(threshold, TILE), _MET), "near-links")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    told = classes.select("label", "h1", "h2", "rep", "mult").join(links, "rep", "left").join(label, F.col("rep") == F.col("node"), "left")
-    told = told.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    label = classes.select("rep", "id").join(label, F.col("rep") == F.col("node")).select("rep", "id", "component")
+    label = label.join(label.groupBy("component").agg(F.min("id").alias("least")), "component").select("rep", "least")
+    told = classes.select("label", "h1", "h2", "rep", "id", "mult").join(links, "rep", "left").join(label, "rep", "left")
+    told = told.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     linked = valid.select("vec_id", "label", "h1", "h2").join(told, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = keyed.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone)
