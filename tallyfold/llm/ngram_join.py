@@ -308,9 +308,9 @@ def _clusters(percent: int, small: int, column: str):
     return run
 
 
-def _settle(words: int, percent: int):
+def _settle(words: int, percent: int, count: bool = False):
     def run(batches):
-        """Of rows by (key, lo, hi, n) with texts: links that tie all components of a cluster which any link ties."""
+        """Of rows by (key, lo, hi, n) with texts: links (a, b) that tie all components of a cluster which any link ties; or, to count them, each class and its copies' links with others (a: class, b: links), where comp is how many copies it has."""
         import pyarrow as pa
 
         def sets(batch):
@@ -324,7 +324,8 @@ def _settle(words: int, percent: int):
             size = np.array([len(s) for s in x["set"]], dtype=np.int64)
             by = np.argsort(size, kind="stable")
             n, rep, block, whole = size[by], x["rep"][by], x["block"][by], x["set"][by]
-            root, first = np.unique(x["comp"][by], return_inverse=True)[1], _first_of_size(n, percent)
+            root, first = np.arange(len(by)) if count else np.unique(x["comp"][by], return_inverse=True)[1], _first_of_size(n, percent)
+            copies, links = x["comp"][by], np.zeros(len(by), np.int64)
             apart, out = x["lo"][0] != x["hi"][0], []
             bits = np.stack([np.frombuffer(bitmap(s), np.uint64) for s in whole]) if len(n) > 8 else None
             for j in range(1, len(n)):
@@ -339,8 +340,14 @@ def _settle(words: int, percent: int):
                         part = part[_possible(n[part], np.full(len(part), n[j]), bits[part], bits[np.full(len(part), j)], percent)]
                     for k in part.tolist():
                         if root[k] != root[j] and _linked(whole[k], whole[j], percent):
+                            if count:
+                                links[k] += copies[j]
+                                links[j] += copies[k]
+                                continue
                             out.append((int(rep[k]), int(rep[j])))
                             root[root == root[k]] = root[j]
+            if count:
+                out = [(int(r), int(k)) for r, k in zip(rep, links) if k]
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -364,6 +371,35 @@ def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
     return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("k", "other")
 
 
+def _to_clusters(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select("key", "lo", "hi", "n", "rep", "comp", "block", *columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "rep")
+
+
+def _clustered(stars: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """The classes of clusters once for each pair of blocks, with their component in label (node, component) or themselves."""
+    near = stored(components(stars).withColumnRenamed("component", "key"), "jaccard-clusters")
+    near = near.join(classes.select(F.col("rep").alias("node"), "n"), "node").join(label.withColumnRenamed("component", "comp"), "node", "left")
+    near = near.select("key", F.col("node").alias("rep"), "n", F.coalesce("comp", "node").alias("comp"))
+    size = near.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / SPLIT, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    need = stored(_in_blocks(near.join(size, "key"), F.col("blocks")).select("key", "lo", "hi", "n", "rep", "comp", "block"), "jaccard-need")
+    return F.broadcast(need) if need.count() <= BROADCAST else need
+
+
+def _suspects(rows: DataFrame, bits: DataFrame, classes: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
+    """Clusters (a, b) of the classes in rows (key, rep, n, pos, comp, size) that may link with one of another component; none at all is None."""
+    # one exchange serves both the distinct and the join
+    narrow = bits.select(F.col("doc_id").alias("rep"), "n", "bits").repartition("rep", "n").distinct()
+    rows = _in_blocks(rows, F.ceil(F.col("size") / SPLIT).cast("int")).join(narrow, ["rep", "n"])
+    stars = stored(_to_clusters(rows, "pos", "bits").mapInArrow(_clusters(percent, SMALL, "bits"), "a long, b long").distinct(), "jaccard-stars")
+    if stars.isEmpty():
+        return None
+    # narrow bitmaps tell little of large sets: wide ones look again before any text moves
+    best = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
+    rows = _to_clusters(_clustered(stars, classes, label).join(bits.select(F.col("doc_id").alias("rep"), "n", best.alias("best")), ["rep", "n"]), F.lit(0).alias("pos"), "best")
+    stars = stored(rows.mapInArrow(_clusters(percent, SMALL, "best"), "a long, b long").distinct(), "jaccard-stars")
+    return None if stars.isEmpty() else stars
+
+
 def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids that link, stored; pairs is a stored table and is deleted. A hub's text travels once for each MEMBERS of its partners."""
     salt = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / MEMBERS).cast("int")
@@ -423,32 +459,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     rows = rows.join(members, "grp", "left").select("key", F.coalesce("rep", "grp").alias("rep"), "n", "pos")
     rows = rows.join(label, rows["rep"] == label["node"], "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     open_ = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key", "size")
-    # one exchange serves both the distinct and the join
-    narrow = bits.select(F.col("doc_id").alias("rep"), "n", "bits").repartition("rep", "n").distinct()
-    rows = _in_blocks(rows.join(open_, "key"), F.ceil(F.col("size") / SPLIT).cast("int")).join(narrow, ["rep", "n"])
-    dealt = rows.select("key", "lo", "hi", "n", "rep", "pos", "comp", "block", "bits").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "rep")
-    stars = stored(dealt.mapInArrow(_clusters(percent, SMALL, "bits"), "a long, b long").distinct(), "jaccard-stars")
+    stars = _suspects(rows.join(open_, "key"), bits, classes, label, percent)
     discard(buckets)
-
-    def clustered(stars):
-        """The classes of clusters once for each pair of blocks."""
-        near = stored(components(stars).withColumnRenamed("component", "key"), "jaccard-clusters")
-        near = near.join(classes.select(F.col("rep").alias("node"), "n"), "node").join(label.withColumnRenamed("component", "comp"), "node", "left")
-        near = near.select("key", F.col("node").alias("rep"), "n", F.coalesce("comp", "node").alias("comp"))
-        size = near.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / SPLIT, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
-        need = stored(_in_blocks(near.join(size, "key"), F.col("blocks")).select("key", "lo", "hi", "n", "rep", "comp", "block"), "jaccard-need")
-        return F.broadcast(need) if need.count() <= BROADCAST else need
-
-    def dealt_to_clusters(rows, *columns):
-        return rows.select("key", "lo", "hi", "n", "rep", "comp", "block", *columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "rep")
-
-    if not stars.isEmpty():
-        # narrow bitmaps tell little of large sets: wide ones look again before any text moves
-        best = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
-        rows = dealt_to_clusters(clustered(stars).join(bits.select(F.col("doc_id").alias("rep"), "n", best.alias("best")), ["rep", "n"]), F.lit(0).alias("pos"), "best")
-        stars = stored(rows.mapInArrow(_clusters(percent, SMALL, "best"), "a long, b long").distinct(), "jaccard-stars")
-    if not stars.isEmpty():
-        rows = dealt_to_clusters(clustered(stars).join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep"), "text")
+    if stars is not None:
+        rows = _to_clusters(_clustered(stars, classes, label).join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep"), "text")
         found = stored(rows.mapInArrow(_settle(words, percent), "a long, b long"), "jaccard-links")
         if not found.isEmpty():
             label = stored(components(links.unionByName(found)), "jaccard-label")
@@ -462,19 +476,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, n_links) of docs (doc_id, text) with distinct ids: how many others each links with.
 
-    No pair is skipped for lying in one component, so work grows with the links between different sets; equal sets are compared once.
+    No pair is skipped for lying in one component: a cluster compares all its
+    classes, but tells counts, a row a class. Equal sets are compared once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stored(signatures(docs, words, percent, frequent_shingles(docs, words)), "jaccard-signatures")
     full = sig.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
-    tokens = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
-    other = tokens.select(F.col("rep").alias("rep2"), F.col("n").alias("n2"), "token")
-    near = f"rep < rep2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    pairs = tokens.join(other, "token").where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    links = verify(docs, stored(plausible(pairs, full.select("doc_id", "n", "bits", "wide"), percent), "jaccard-near"), words, percent)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("outer"))
+    rows = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"), "n", F.posexplode("prefix").alias("pos", "key"))
+    rows = stored(rows, "jaccard-buckets")
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    none = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).where("false")
+    stars = _suspects(rows, full.select("doc_id", "n", "bits", "wide"), classes, none, percent)
+    linked = classes.select("rep", F.lit(0).cast("long").alias("outer")).where("false")
+    if stars is not None:
+        near = _clustered(stars, classes, none).drop("comp").join(classes.select("rep", F.col("copies").alias("comp")), "rep")
+        near = _to_clusters(near.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep"), "text")
+        found = stored(near.mapInArrow(_settle(words, percent, True), "a long, b long"), "jaccard-links")
+        linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("outer"))
     counts = classes.join(linked, "rep", "left").select("n", "d1", "d2", (F.col("copies") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"))
     found = full.join(counts, ["n", "d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "n_links")
     return found.unionByName(sig.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links")))
