@@ -9,6 +9,10 @@ from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template".split())
+BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Start tags that end open elements of these names, as far up as the elements that hold them apart.
+ENDS = {**dict.fromkeys(BLOCKS, ({"p"}, {"button", "td", "th", "caption"})), "li": ({"li"}, {"ul", "ol", "menu"}), **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl"})), "tr": ({"tr", "td", "th"}, {"table"}),
+        **dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"})), "option": ({"option"}, {"select"})}
 
 
 class Node:
@@ -58,6 +62,12 @@ class _Builder(HTMLParser):
         self.n = 0
 
     def handle_starttag(self, tag, attrs, closed=False):
+        ended, held = ENDS.get(tag, ((), ()))
+        node = self.at
+        while node.parent is not None and node.tag not in held:
+            if node.tag in ended:
+                self.at = node.parent
+            node = node.parent
         self.n += 1
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, self.n)
         self.at.children.append(node)
@@ -80,7 +90,7 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
-    """The tree of a page. End tags close the nearest open element of their name; those without one are left out."""
+    """The tree of a page. End tags close the nearest open element of their name, and those without one are left out; a paragraph, list item, cell or option also ends where a browser ends it."""
     b = _Builder()
     b.feed(html or "")
     b.close()

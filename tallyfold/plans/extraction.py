@@ -87,9 +87,24 @@ def listing_with_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (page_email_channels, page_blocks, page_field_traces, page_captures, page_absolute_links, listing_results, place_details, listing_with_details)}
 
+#: The texts of pages' paragraphs in order, by patterns: a paragraph goes on to its end tag or to the next element that ends it.
+_ENDS = "(?is)(?:</(?:p|article|div|nav|body|html)>|<(?:p|div|article|footer|nav|ul|ol|h[1-6]|table)[ >]).*$"
+_ENTITIES = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_TEXT = _ENTITIES.format("trim(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))")
+_P = f"""SELECT page_id, CAST(i AS INTEGER) AS block, {_TEXT.format(f"regexp_replace(parts[i + 1], '{_ENDS}', '')")} AS text
+FROM (SELECT page_id, parts, unnest(range(1, len(parts))) AS i FROM (SELECT page_id, string_split_regex(html, '(?i)<p(?:\\s[^>]*)?>') AS parts FROM pages) s) t"""
+_PREVIEWS = "list_transform(list_slice({0}, 1, 3), lambda v: substring(v, 1, 300))"
 _B = "CAST(floor(c_custkey / 10) AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY floor(c_custkey / 10) ORDER BY c_custkey) AS INTEGER) AS block"
 #: What the made-up pages were made of.
 ORACLES = {
+    "page_blocks": f"SELECT page_id, block, text, NULL AS site, nullif(regexp_extract(text, '[0-9]{{3,}}'), '') AS number, '' AS detail_url, '' AS detail_source FROM ({_P}) p WHERE text <> ''",
+    "page_field_traces": f"""WITH p AS (SELECT page_id, list(text ORDER BY block) FILTER (WHERE text <> '') AS v FROM ({_P}) p GROUP BY page_id),
+q AS (SELECT g.page_id, coalesce(p.v, []) AS v FROM pages g LEFT JOIN p ON p.page_id = g.page_id),
+n AS (SELECT page_id, v, list_transform(v, lambda x: regexp_extract(x, '[0-9]{{3,}}')) AS hits FROM q),
+f AS (SELECT page_id, v, hits, list_filter(range(1, len(hits) + 1), lambda i: hits[i] <> '') AS hit FROM n),
+t AS (SELECT page_id, {_TEXT.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title FROM pages)
+SELECT page_id, 'title' AS label, CAST(CASE WHEN title = '' THEN 0 ELSE 1 END AS INTEGER) AS matches, title AS value, 0 AS matched_index, 0 AS n_attempts, CAST(to_json(CASE WHEN title = '' THEN [] ELSE [substring(title, 1, 300)] END) AS VARCHAR) AS previews FROM t
+UNION ALL SELECT page_id, 'numbers', CAST(len(v) AS INTEGER), CASE WHEN len(hit) > 0 THEN hits[hit[1]] ELSE regexp_extract(array_to_string(v, ' '), '[0-9]{{3,}}') END, CAST(CASE WHEN hit[1] <= 12 THEN hit[1] ELSE 0 END AS INTEGER), CAST(least(len(v), 12) AS INTEGER), CAST(to_json({_PREVIEWS.format('v')}) AS VARCHAR) FROM f""",
     "listing_results": f"""SELECT {_B}, concat('Shop ', c_custkey) AS name, concat('{listing.PLACE}', c_custkey, '/') AS url, concat('4.', c_custkey % 10) AS rating, CAST(c_custkey AS VARCHAR) AS reviews,
 concat(c_custkey % 13, ' Main St Open until 5 (555) 000-', 1000 + c_custkey % 9000) AS address, 'Open until 5' AS hours, concat('(555) 000-', 1000 + c_custkey % 9000) AS phone,
 CASE WHEN c_custkey % 3 = 0 THEN 'N/A' ELSE concat('https://shop', c_custkey, '.com') END AS site, 'Not Sponsored' AS sponsored FROM customer""",

@@ -44,11 +44,15 @@ _STATE = f"CASE WHEN stage NOT IN {flows.STAGES} THEN 'unsupported' WHEN event =
 _KIND = "CASE event_id % 6 WHEN 0 THEN 'social' WHEN 1 THEN 'social' WHEN 2 THEN 'regular' WHEN 3 THEN 'regular' ELSE 'none' END"
 
 QUERIES = {f.__name__: f for f in (stream_outcome_counters, stream_last_activity, stream_unseen_keys, stream_cooldown, stream_run_states, stream_watermarked_counts)}
-#: A cooldown carries state from each kept event to the next; its test is a plain loop.
+#: A cooldown carries state from each kept event to the next: its text follows each to the first one that comes late enough.
 ORACLES = {
     "stream_outcome_counters": f"SELECT {SOURCE} AS source, {_KIND} AS kind, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_last_activity": keep_first(f"(SELECT {SOURCE} AS source, event_id AS seq, {LINE} AS line FROM events) l", "source", "seq DESC", "source, seq, line"),
     "stream_run_states": f"SELECT run_id, seq, stage, {_STATE} AS state, CASE WHEN {_STATE} = 'open' THEN {_NEXT} END AS next_stage FROM (SELECT user_id AS run_id, event_id AS seq, {_STAGE} AS stage, CASE WHEN event_id % 11 = 0 THEN 'fail' ELSE 'complete' END AS event FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) r",
     "stream_watermarked_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_cooldown": """WITH RECURSIVE e AS (SELECT CAST(user_id AS BIGINT) AS key, min(event_id) AS event_id, epoch_us(ts) AS at_us FROM events GROUP BY user_id, ts),
+n AS (SELECT a.key, a.at_us, min(b.at_us) AS next_at, arg_min(b.event_id, b.at_us) AS next_id FROM e a JOIN e b ON a.key = b.key AND a.at_us + 3600000000 <= b.at_us GROUP BY a.key, a.at_us),
+r AS (SELECT key, arg_min(event_id, at_us) AS event_id, min(at_us) AS at_us FROM e GROUP BY key UNION ALL SELECT n.key, n.next_id, n.next_at FROM r JOIN n ON n.key = r.key AND n.at_us = r.at_us)
+SELECT key, event_id, at_us FROM r""",
     "stream_unseen_keys": "SELECT DISTINCT user_id, event_type FROM events",
 }
