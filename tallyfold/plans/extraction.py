@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.functions.dialect import Spark
+from tallyfold.functions.dialect import DuckDB, Spark
 from tallyfold.operators import extraction as X
 from tallyfold.plans import listing
 from tallyfold.plans.base import mailed
@@ -25,15 +25,18 @@ PARAGRAPHS = {
 }
 
 
+#: A protected link to info@acmefix.com and a block of linked data.
+PROTECTED = '<a href="/cdn-cgi/l/email-protection#2a43444c456a4b49474f4c435204494547">x</a><script type="application/ld+json">{"contact":[{"Email":"Desk@acmefix.com"}]}</script>'
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
 def page_email_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places of each page's e-mails; the sample pages get some, a protected one among them."""
-    coded = "<a href=\"/cdn-cgi/l/email-protection#2a43444c456a4b49474f4c435204494547\">x</a><script type=\"application/ld+json\">{\"contact\":[{\"Email\":\"Desk@acmefix.com\"}]}</script>"
     pages = view(spark, sf_dir, f"SELECT page_id, url, html FROM {mailed(Spark())}")
-    return X.email_channels(pages.withColumn("html", F.concat("html", F.when(F.col("page_id") % 3 == 0, coded).otherwise(""))))
+    return X.email_channels(pages.withColumn("html", F.concat("html", F.when(F.col("page_id") % 3 == 0, PROTECTED).otherwise(""))))
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +98,30 @@ _P = f"""SELECT page_id, CAST(i AS INTEGER) AS block, {_TEXT.format(f"regexp_rep
 FROM (SELECT page_id, parts, unnest(range(1, len(parts))) AS i FROM (SELECT page_id, string_split_regex(html, '(?i)<p(?:\\s[^>]*)?>') AS parts FROM pages) s) t"""
 _PREVIEWS = "list_transform(list_slice({0}, 1, 3), lambda v: substring(v, 1, 300))"
 _B = "CAST(floor(c_custkey / 10) AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY floor(c_custkey / 10) ORDER BY c_custkey) AS INTEGER) AS block"
+_OLDER = "lower(trim(regexp_replace(regexp_replace(regexp_replace(trim({0}), '^[<>\"'']+|[<>\"'']+$', '', 'g'), '^(?i:mailto:)', ''), '[?#&,;].*$', '')))"
+_FOUND = "SELECT page_id, unnest(regexp_extract_all({0}, '{1}', 0)) AS raw FROM {2}"
+_MAIL = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}"
+#: The page's texts, scripts and styles left out, each trimmed; then at and dot as signs.
+_BARE = "regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'g')"
+_JOINED = "array_to_string(list_filter(list_transform(string_split_regex(" + _BARE + ", '<[^>]*>'), lambda v: regexp_replace(" + _ENTITIES.format("v") + ", '^\\s+|\\s+$', '', 'g')), lambda v: v <> ''), ' ')"
+
+
+def _signs(x: str) -> str:
+    x = f"concat(' ', lower({x}), ' ')"
+    for pattern, to in (("\\s*[(\\[]?at[)\\]]?\\s*", "@"), ("\\s*[(\\[]?dot[)\\]]?\\s*", "."), ("\\s+@\\s+", "@"), ("\\s*[.]\\s*", ".")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
 #: What the made-up pages were made of.
 ORACLES = {
+    "page_email_channels": f"""WITH m AS (SELECT page_id, concat(html, CASE WHEN page_id % 3 = 0 THEN '{PROTECTED}' ELSE '' END) AS html FROM {mailed(DuckDB())})
+SELECT DISTINCT page_id, email, channel FROM (
+  SELECT page_id, {_OLDER.format('raw')} AS email, 'raw' AS channel FROM ({_FOUND.format('html', _MAIL, 'm')}) a
+  UNION ALL SELECT page_id, {_OLDER.format('raw')}, 'mailto' FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a href="(mailto:[^"]*)"', 1)) AS raw FROM m) b
+  UNION ALL SELECT page_id, 'info@acmefix.com', 'protected link' FROM m WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, 'desk@acmefix.com', 'linked data' FROM m WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, {_OLDER.format('raw')}, 'text' FROM ({_FOUND.format(_signs(_JOINED), _MAIL, 'm')}) c) u WHERE email <> ''""",
     "page_blocks": f"SELECT page_id, block, text, NULL AS site, nullif(regexp_extract(text, '[0-9]{{3,}}'), '') AS number, '' AS detail_url, '' AS detail_source FROM ({_P}) p WHERE text <> ''",
     "page_field_traces": f"""WITH p AS (SELECT page_id, list(text ORDER BY block) FILTER (WHERE text <> '') AS v FROM ({_P}) p GROUP BY page_id),
 q AS (SELECT g.page_id, coalesce(p.v, []) AS v FROM pages g LEFT JOIN p ON p.page_id = g.page_id),
