@@ -1,18 +1,24 @@
 """Interpolated modified Kneser-Ney model of any order from two up: counted in Spark, kept as sorted hash arrays, memory-mapped by scorers.
 
-Each training task counts its own words and word runs in numpy and sends the
-distinct ones, packed, to the bucket of their context's hash range. A bucket
-merges its counts, writes them as sorted arrays into the shared folder (runs
-by hash, contexts with their totals) and sends on how many words each run's
-tail follows: the counts of the next lower order. A scorer maps the files,
-looks up a batch's distinct words and runs, and never holds the model. Counts
-cover every training row.
-
-All keys are 64 bits: a context is the chained hash of its words, a run the
-chained hash of context and word. A text's history starts with one begin
-token; runs that start there keep their plain counts at lower orders, as
-nothing precedes them. Files are named by task attempt and only those of
-attempts that ended well are in the model.
+Two passes over the training texts. The first counts words; each word gets a
+number, smaller ones to words seen often. The second counts the distinct runs
+of each task in numpy and sends them, as numbers packed column by column, to
+buckets of their inner words: there meet all that precede and all that follow
+an inner word, so a bucket has whole contexts and, of the next lower order,
+whole counts of what precedes a run. Words seen very often are dealt further by
+one more word of the run; what they give the lower order is then summed by
+another shuffle. Buckets are written as arrays into the shared folder: hashes of
+runs in order and counts, hashes of contexts with their totals. A scorer maps
+them, looks up a batch's distinct words and runs, and never holds the model.
+Counts cover every training row.
+
+Keys are 64-bit hashes of word numbers. In a file their first bits are the
+place in a directory, and the next 32 are kept: a run that isn't there is taken
+for one that is with a chance of about 8 / 2^32, whatever the model's size.
+Words keep all 64 bits. A text's history starts with one begin token; runs that
+start there keep their plain counts at lower orders, as nothing precedes them.
+Files are named by task attempt and only those of attempts that ended well are
+in the model, whose list is a file too.
 
 Edge cases: null and empty texts are one end token; a null id is a training
 row; with no training rows every probability is that of one unknown word, 1;
@@ -23,6 +29,7 @@ read.
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 from functools import lru_cache
@@ -31,21 +38,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import file_system, held_out, new_path, table
+from tallyfold.llm.common import file_system, held_out, new_path, release_memory, table
 from tallyfold.llm.hashing import mix, word_hashes
 
 #: Tokens that a task gathers before it sorts them; so many are in memory at once.
-GATHER = 4_000_000
+GATHER = 2_000_000
 _TEXT_BYTES = 4 << 20
 END = mix(np.array([0x1F3D5B79A1C3E5F7], dtype=np.uint64))[0]
-BEGIN = mix(np.array([0x9D2C56805A3F17C9], dtype=np.uint64))[0]
 ORDER = 3
-_MORE = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Kinds of rows: RAW words, runs of n words as n, and what is written of kind k as DONE + k.
-RAW, DONE = 0, 100
+#: Numbers of the begin of a text and of a word that training didn't see.
+BEGIN, UNKNOWN = np.uint32(0), np.uint32(2**32 - 1)
+_MORE, _FIRST = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of rows: RAW words, runs of n words as n (1: words by what precedes them), totals of words as CONTEXTS, and what is written of kind k as DONE + k.
+RAW, CONTEXTS, DONE = 0, 50, 100
+#: A word is dealt further when it has more than this share of a bucket's mean.
+HOT = 0.25
+#: Classes of words by the length of their count in bits.
+_CLASSES = 64
+#: Keys for one entry of a file's directory, about, and values in its list of frequent ones.
+_SLOT, _LISTED = 8, 254
 
 _COUNTED = "kind int, bucket int, blob binary"
-_REDUCED = "kind int, bucket int, blob binary, path string, n long, total long, n1 long, n2 long, n3 long, n4 long, contexts long, large long, large_contexts long"
+_REDUCED = "kind int, bucket int, blob binary, path string, n long, total long, n1 long, n2 long, n3 long, n4 long, classes array<long>"
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -68,13 +82,93 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+def pack_rows(cols: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Rows of numbers with counts; a number that follows equal ones is kept as a step from the one above, so rows in order take little."""
+    import pyarrow as pa
+
+    same, planes = np.zeros(len(counts), dtype=bool), []
+    same[1:] = True
+    for i in _sorted_by(len(cols)):
+        step = np.diff(cols[i], prepend=cols[i][:1])
+        planes.append(np.where(same, step, cols[i]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+        same = same & (step == 0)
+    raw = b"".join([*planes, np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.uint64).tobytes()])
+    return len(counts).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _starts(new: np.ndarray) -> np.ndarray:
+    """Places where groups begin, from whether each row but the first differs from the one above."""
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _grouped(cols: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in the order of pack_rows(), the inner word first, and the sums of their counts (how many they are without)."""
+    if not len(cols[0]):
+        return cols, np.zeros(0, np.uint64)
+    by = [cols[i] for i in _sorted_by(len(cols))]
+    names, width = None, [int(c.max()).bit_length() for c in by]
+    if sum(width) > 64:  # the first column has few values in a bucket
+        names, by[0] = np.unique(by[0], return_inverse=True)
+        width[0] = len(names).bit_length()
+    if sum(width) <= 64:
+        key = by[0].astype(np.uint64)
+        for c, w in zip(by[1:], width[1:]):
+            key = (key << np.uint64(w)) | c
+        if counts is None:
+            key.sort()
+        else:
+            order = np.argsort(key)
+            key, counts = key[order], counts[order]
+        first = _starts(key[1:] != key[:-1])
+        size, key, out = len(key), key[first], []
+        for w in reversed(width[1:]):
+            out.append((key & np.uint64((1 << w) - 1)).astype(np.uint32))
+            key = key >> np.uint64(w)
+        out.append(key.astype(np.uint32) if names is None else names[key.astype(np.int64)])
+        out = out[::-1]
+    else:
+        order = np.lexsort(by[::-1])
+        by = [c[order] for c in by]
+        counts = counts[order] if counts is not None else None
+        first = _starts(np.logical_or.reduce([c[1:] != c[:-1] for c in by]))
+        size, out = len(order), [c[first] for c in by]
+        if names is not None:
+            out[0] = names[out[0]]
+    sums = np.diff(np.append(first, size)).astype(np.uint64) if counts is None else np.add.reduceat(counts, first)
+    back = [np.zeros(0, np.uint32)] * len(cols)
+    for i, c in zip(_sorted_by(len(cols)), out):
+        back[i] = c.astype(np.uint32)
+    return back, sums
+
+
+def _sorted_by(columns: int) -> list[int]:
+    return [1, 0, *range(2, columns)] if columns > 2 else list(range(columns))
+
+
+def unpack_rows(blob: bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    import pyarrow as pa
+
+    n, size = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+    raw = pa.Codec("zstd").decompress(blob[16:], size, asbytes=True)
+    out, same = [np.zeros(0, np.uint32)] * columns, np.arange(n) > 0
+    for k, i in enumerate(_sorted_by(columns)):
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<u4").ravel().astype(np.uint32)
+        start = np.maximum.accumulate(np.where(same, 0, np.arange(n))) if n else np.zeros(0, int)
+        total = np.cumsum(x, dtype=np.uint32)
+        out[i] = total - (total[start] - x[start])
+        same = same & (x == 0)
+    counts = np.frombuffer(raw, np.uint8, n, 4 * n * columns).astype(np.uint64)
+    counts[counts == 255] = np.frombuffer(raw, np.uint64, -1, (4 * columns + 1) * n)
+    return out, counts
+
+
 def _merged(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     if counts is None:
         return np.unique(keys, return_counts=True)
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     keys, counts = keys[by], counts[by]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    first = _starts(keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, int)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
@@ -84,39 +178,28 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(n), END), n + 1
 
 
-def chain(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a context's words and one word more."""
-    return mix(context * _MORE + word)
+def chain(cols: list[np.ndarray]) -> np.ndarray:
+    """Hash of rows of word numbers."""
+    out = mix(cols[0].astype(np.uint64) + _FIRST)
+    for c in cols[1:]:
+        out = mix(out * _MORE + c)
+    return out
 
 
-def runs(h: np.ndarray, n: np.ndarray, order: int):
-    """(m, contexts, run hashes, whether a token has m - 1 words before it, begin among them) for m from 2 to order."""
-    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-    context = np.concatenate([[BEGIN], h[:-1]]) if len(h) else h
-    context[place == 0] = BEGIN
+def runs(words: np.ndarray, n: np.ndarray, order: int):
+    """(m, place of each token in its text, function of tokens to their m words' numbers, begin among them) for m from 2 to order."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
     for m in range(2, order + 1):
-        run = chain(context, h)
-        yield m, context, run, place >= m - 2
-        context = np.concatenate([[BEGIN], run[:-1]]) if len(h) else h
+        yield m, place, lambda at, m=m: [np.where(place[at] >= back, words[at - back], BEGIN) for back in range(m - 1, -1, -1)]
 
 
-def pack_runs(context: np.ndarray, words: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Contexts in order, each run's words after its first, and counts, compressed."""
-    import pyarrow as pa
-
-    head = pack(context, counts)
-    raw = b"".join([len(head).to_bytes(8, "little"), head, *(w.tobytes() for w in words)])
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def unpack_runs(blob: bytes, columns: int) -> list[np.ndarray]:
-    import pyarrow as pa
-
-    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    at = 8 + int.from_bytes(raw[:8], "little")
-    context, counts = unpack(raw[8:at])
-    n = len(context)
-    return [context, counts, *(np.frombuffer(raw, np.uint64, n, at + 8 * n * i) for i in range(columns))]
+def bucket_of(cols: list[np.ndarray], hot: int, bits: int) -> np.ndarray:
+    """The bucket of runs: by their inner words, the first word of a pair; runs around a hot word by one more."""
+    inner, more = (cols[1:-1], cols[0]) if len(cols) > 2 else (cols[:1], cols[1])
+    h = chain(inner)
+    split = inner[0] < hot
+    h[split] = mix(h[split] * _MORE + more[split])
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _gathered(batches, columns=()):
@@ -150,118 +233,224 @@ def _sliced(keys: np.ndarray, bits: int):
     return [(b, i, j) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
 
 
-def _distinct(run: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, where each stands first, and the sums of their counts."""
-    by = np.argsort(run, kind="stable")
-    ordered = run[by]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(run) else np.zeros(0, int)
-    sums = np.diff(np.append(first, len(run))).astype(np.uint64) if counts is None else np.add.reduceat(counts[by], first) if len(first) else counts
-    return ordered[first], by[first], sums
+def _dealt(kind: int, cols: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray):
+    """Rows (kind, bucket, blob) of runs, which stay in order within a bucket."""
+    return [(kind, b, pack_rows([c[at] for c in cols], counts[at])) for b, at in _places(bucket)]
 
 
-def _sent(m: int, context: np.ndarray, words: list[np.ndarray], counts: np.ndarray, bits: int):
-    """Rows (kind, bucket, blob) of distinct runs."""
-    by = np.argsort(context, kind="stable")
-    context, words, counts = context[by], [w[by] for w in words], counts[by]
-    return [(m, b, pack_runs(context[i:j], [w[i:j] for w in words], counts[i:j])) for b, i, j in _sliced(context, bits)]
+def _places(bucket: np.ndarray):
+    """(bucket, places) of each bucket that has any."""
+    if not len(bucket):
+        return
+    by = np.argsort(bucket.astype(np.uint16) if int(bucket.max()) < 1 << 16 else bucket, kind="stable")
+    first = _starts(np.diff(bucket[by]) != 0).tolist()
+    for i, j in zip(first, [*first[1:], len(by)]):
+        yield int(bucket[by[i]]), by[i:j]
 
 
-def _count(bits: int, order: int):
-    def run(batches):
-        import pyarrow as pa
+def _batch(rows):
+    import pyarrow as pa
 
-        def batch(rows):
-            kinds, buckets, blobs = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
+    kinds, buckets, blobs = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
 
-        for h, n, _ in _gathered(batches):
+
+def _count_words(bits: int):
+    def run(batches):
+        for h, _, _ in _gathered(batches):
             k, c = _merged(h)
-            yield batch([(RAW, b, pack(k[i:j], c[i:j])) for b, i, j in _sliced(k, bits)])
-            start = np.repeat(np.cumsum(n) - n, n)
-            place = np.arange(len(h)) - start
-            for m, context, run, there in runs(h, n, order):
-                use = np.flatnonzero(there if m == order else place == m - 2)
-                if not len(use):
-                    continue
-                _, at, c = _distinct(run[use])
-                at = use[at]
-                rows = _sent(m, context[at], [_word(h, place, at, back) for back in range(m - 2, -1, -1)], c, bits)
-                yield batch(rows)
+            yield _batch([(RAW, b, pack(k[i:j], c[i:j])) for b, i, j in _sliced(k, bits)])
+        release_memory()
 
     return run
 
 
-def _word(h: np.ndarray, place: np.ndarray, at: np.ndarray, back: int) -> np.ndarray:
-    """The word so many places before each token, or begin."""
-    return np.where(place[at] >= back, h[at - back], BEGIN)
+def _count_runs(model: dict):
+    def run(batches):
+        words, order = Words(model), model["order"]
+        for h, n, _ in _gathered(batches):
+            word, back = np.unique(h, return_inverse=True)
+            numbers = words.find(word)[1][back]
+            for m, place, of in runs(numbers, n, order):
+                use = np.flatnonzero(place >= m - 2 if m == order else place == m - 2)
+                cols = of(use)
+                rows = [(m, b, pack_rows(*_grouped([c[at] for c in cols]))) for b, at in _places(bucket_of(cols, model["hot"], model["bits"]))]
+                yield _batch(rows)
+                del use, cols, rows
+        release_memory()
+
+    return run
 
 
 def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
-    """Write arrays one after another, each at a multiple of 8 bytes."""
+    """Write arrays one after another, each at a multiple of 8 bytes, after a list of their types and sizes."""
     from pyspark import TaskContext
 
     path = f"{folder}/{name}-{TaskContext.get().taskAttemptId()}.bin"
     fs, at = file_system(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.uint64)
     with fs.open_output_stream(at, compression=None) as f:
-        for a in arrays:
+        for a in (head, *arrays):
             f.write(a.tobytes())
             f.write(b"\0" * (-a.nbytes % 8))
     return path
 
 
-def _row(kind, bucket, blob=None, path=None, counts=None, contexts=0, large=0, large_contexts=0):
+def _small(x: np.ndarray) -> list[np.ndarray]:
+    """Counts as single bytes, and the places and values of those that don't fit."""
+    wide = np.flatnonzero(x >= 255)
+    return [np.minimum(x, 255).astype(np.uint8), wide.astype(np.uint64), x[wide].astype(np.uint64)]
+
+
+def _shelf(keys: np.ndarray) -> list[np.ndarray]:
+    """Sorted keys as a directory of their first bits and the 32 bits after these."""
+    bits = max(0, (len(keys) // _SLOT).bit_length())
+    slot = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    return [np.searchsorted(slot, np.arange((1 << bits) + 1)).astype(np.uint32), ((keys >> np.uint64(32 - bits)) & np.uint64(2**32 - 1)).astype(np.uint32)]
+
+
+def _coded(keys: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """A table as arrays: keys in order, a byte for each that names its values in a list of frequent ones, or 255 for those kept apart."""
+    by = np.argsort(keys)
+    keys, values = keys[by], values[by]
+    if values.shape[1] == 1:
+        listed, code = np.arange(1, _LISTED + 1, dtype=np.uint64)[:, None], np.minimum(values[:, 0] - 1, 255).astype(np.uint8)
+        code[values[:, 0] > _LISTED] = 255
+    else:
+        plain = np.array([1, 1, 0, 0], np.uint64)  # most contexts: one run, seen once
+        code = np.zeros(len(keys), np.uint8)
+        other = np.flatnonzero((values != plain).any(axis=1))
+        small = (values[other] < 1 << 16).all(axis=1)
+        one = np.where(small, np.bitwise_or.reduce([values[other, i] << np.uint64(16 * i) for i in range(4)]), np.uint64(0))
+        named, back, count = np.unique(one, return_inverse=True, return_counts=True)
+        top = np.argsort(-np.where(named == 0, 0, count), kind="stable")[: _LISTED - 1]
+        name = np.full(len(named), 255, np.uint8)
+        name[top] = np.arange(1, len(top) + 1)
+        name[named == 0] = 255
+        code[other] = name[back]
+        listed = np.vstack([plain, *([(named[top, None] >> (np.arange(4, dtype=np.uint64) * np.uint64(16))) & np.uint64(0xFFFF)] if len(top) else [])]).astype(np.uint64)
+    apart = np.flatnonzero(code == 255)
+    return [*_shelf(keys), code, listed.ravel(), apart.astype(np.uint64), values[apart].astype(np.uint64).ravel()]
+
+
+class Table:
+    """What _coded() made: values by key, zeros for keys that aren't there."""
+
+    ARRAYS = 6
+
+    def __init__(self, arrays: list[np.ndarray], columns: int):
+        self.directory, self.rest, self.code, listed, self.apart, wide = arrays
+        self.listed, self.wide, self.columns = listed.reshape(-1, columns).astype(float), wide.reshape(-1, columns), columns
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(keys), self.columns))
+        if not len(self.rest) or not len(keys):
+            return out
+        bits = (len(self.directory) - 2).bit_length()
+        slot = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        want = ((keys >> np.uint64(32 - bits)) & np.uint64(2**32 - 1)).astype(np.uint32)
+        low, high = self.directory[slot].astype(np.int64), self.directory[slot + 1].astype(np.int64)
+        end, open_ = high.copy(), np.flatnonzero(low < high)
+        while len(open_):  # halves of what is left of each slot
+            a, b = low[open_], high[open_]
+            middle = (a + b) >> 1
+            less = self.rest[middle] < want[open_]
+            low[open_], high[open_] = np.where(less, middle + 1, a), np.where(less, b, middle)
+            open_ = open_[low[open_] < high[open_]]
+        hit = np.flatnonzero((low < end) & (self.rest[np.minimum(low, len(self.rest) - 1)] == want))
+        code = self.code[low[hit]]
+        named = code < 255
+        out[hit[named]] = self.listed[code[named]]
+        if not named.all():
+            out[hit[~named]] = self.wide[np.searchsorted(self.apart, low[hit[~named]].astype(np.uint64))]
+        return out
+
+
+def _row(kind, bucket, blob=None, path=None, counts=None, classes=None):
     c = counts if counts is not None else np.zeros(0, np.uint64)
-    return (kind, bucket, blob, path, len(c), int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), contexts, large, large_contexts)
+    return (kind, bucket, blob, path, len(c), int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), classes)
 
 
-def _table(rows):
+def _told(rows):
     import pyarrow as pa
 
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), *[pa.int64()] * 9)
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _REDUCED.split(", ")])
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()))
+    names = [x.split()[0] for x in _REDUCED.split(", ")]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
 
-def _small(x: np.ndarray) -> list[np.ndarray]:
-    """Rows of counts as single bytes, and the places and values of the rows that don't fit."""
-    wide = np.flatnonzero((x >= 255).reshape(len(x), -1).any(axis=1))
-    return [np.minimum(x, 255).astype(np.uint8), wide.astype(np.uint64), x[wide].astype(np.uint64)]
+def _class_of(counts: np.ndarray) -> np.ndarray:
+    """0 for the largest counts, one more for each bit less."""
+    return _CLASSES - np.frexp(counts.astype(float))[1]
 
 
-def _reduce(folder: str, bits: int, level: int, top: bool):
+def _reduce_words(folder: str):
+    def run(key, got):
+        bucket = key[1].as_py()
+        k, c = _merged(*(np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in got.column("blob")))))
+        kind = _class_of(c)
+        rank = np.empty(len(k), np.uint32)
+        rank[np.argsort(kind, kind="stable")] = np.arange(len(k), dtype=np.uint32)
+        path = _save(folder, f"words-{bucket:06d}", [k, *_small(c), rank])
+        return _told([_row(DONE + RAW, bucket, None, path, c, np.bincount(kind, minlength=_CLASSES + 1).tolist())])
+
+    return run
+
+
+def _totals(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of contexts whose runs lie together: their total, and runs seen once, twice and more often."""
+    return np.stack([np.add.reduceat(x.astype(np.uint64), first) for x in (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
+
+
+def _reduce(model: dict, level: int):
     """Merge and save the buckets of one order, and send on the next lower order's counts; rows of other kinds pass."""
+    folder, bits, hot = model["folder"], model["bits"], model["hot"]
+
+    def pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, name: str, bucket: int):
+        """Save whole pairs of words, which lie in order; rows for the words that follow and, as contexts, for those that stand first."""
+        if not len(a):
+            return []
+        path = _save(folder, name, _coded(chain([a, b]), c[:, None]))
+        first = _starts(a[1:] != a[:-1])
+        sums, a = _totals(first, c), a[first]
+        (b,), f = _grouped([b])
+        deal = lambda x: (chain([x]) >> np.uint64(64 - bits)).astype(np.int64)
+        sent = _dealt(1, [b], f, deal(b)) + _dealt(CONTEXTS, [a, *(sums[:, i].astype(np.uint32) for i in (1, 2, 3))], sums[:, 0], deal(a))
+        return [_row(DONE + 2, bucket, None, path, c), *(_row(*r) for r in sent)]
 
     def run(key, got):
         kind, bucket = (x.as_py() for x in key)
-        if not (kind == level or kind == RAW and top):
+        if kind != level and not (level == 1 and kind == CONTEXTS):
             return got
-        blobs = [b.as_py() for b in got.column("blob")]
-        if kind < 2:
-            k, c = _merged(*(np.concatenate(x) for x in zip(*map(unpack, blobs))))
-            return _table([_row(DONE + kind, bucket, None, _save(folder, f"words{kind}-{bucket:06d}", [k, c]), c)])
-        context, c, *words = (np.concatenate(x) for x in zip(*(unpack_runs(b, level - 1) for b in blobs)))
-        del blobs
-        k, at, c = _distinct(chain(context, words[-1]), c)
-        context, words = context[at], [w[at] for w in words]
-        by = np.argsort(context, kind="stable")
-        contexts = context[by]
-        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
-        one = c[by]
-        stats = np.stack([np.add.reduceat(x.astype(np.uint64), first) for x in (one, one == 1, one == 2, one >= 3)], axis=1)
-        counts, sums = _small(c), _small(stats)
-        path = _save(folder, f"runs{level}-{bucket:06d}", [k, *counts, contexts[first], *sums])
-        done = _row(DONE + level, bucket, None, path, c, len(first), len(counts[1]), len(sums[1]))
-        del context, contexts, by, one, stats
-        if level == 2:
-            w, f = np.unique(words[0], return_counts=True)
-            sent = [(1, b, pack(w[i:j], f[i:j])) for b, i, j in _sliced(w, bits)]
-        else:
-            lower = words[0]
-            for w in words[1:-1]:
-                lower = chain(lower, w)
-            _, at, f = _distinct(chain(lower, words[-1]))
-            sent = _sent(level - 1, lower[at], [w[at] for w in words[1:]], f, bits)
-        return _table([done, *(_row(*r) for r in sent)])
+        parts = [unpack_rows(b.as_py(), {CONTEXTS: 4}.get(kind, kind)) for b in got.column("blob")]
+        cols, c = [np.concatenate(x) for x in zip(*(p[0] for p in parts))], np.concatenate([p[1] for p in parts])
+        del parts
+        if kind == CONTEXTS:
+            by = np.argsort(cols[0])
+            word = cols[0][by]
+            first = _starts(word[1:] != word[:-1])
+            sums = np.stack([np.add.reduceat(x[by].astype(np.uint64), first) for x in (c, *cols[1:])], axis=1)
+            return _told([_row(DONE + CONTEXTS, bucket, None, _save(folder, f"contexts-{bucket:06d}", _coded(chain([word[first]]), sums)))])
+        cols, c = _grouped(cols, c)
+        if kind == 1:
+            return _told([_row(DONE + 1, bucket, None, _save(folder, f"runs1-{bucket:06d}", _coded(chain(cols), c[:, None])), c)])
+        if kind == 2:
+            return _told(pairs(cols[0], cols[1], c, f"runs2-{bucket:06d}", bucket))
+        first = _starts(np.logical_or.reduce([x[1:] != x[:-1] for x in cols[:-1]]))
+        context, sums = chain([x[first] for x in cols[:-1]]), _totals(first, c)
+        path = _save(folder, f"runs{kind}-{bucket:06d}", [*_coded(chain(cols), c[:, None]), *_coded(context, sums)])
+        out = [_row(DONE + kind, bucket, None, path, c)]
+        del context, sums, first
+        lower, f = _grouped(cols[1:])
+        whole = lower[0] >= hot if kind == 3 else np.zeros(len(f), dtype=bool)
+        if whole.any():  # all that precedes these pairs is here
+            out += pairs(lower[0][whole], lower[1][whole], f[whole], f"runs2-{bucket:06d}-whole", bucket)
+        lower, f = [x[~whole] for x in lower], f[~whole]
+        out += [_row(*r) for r in _dealt(kind - 1, lower, f, bucket_of(lower, hot, bits) if len(f) else np.zeros(0, np.int64))]
+        del cols, lower
+        release_memory()
+        return _told(out)
 
     return run
 
@@ -278,29 +467,62 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def train(docs: DataFrame, order: int = ORDER) -> dict:
-    """Count all texts of docs; returns the model: totals, discounts and the paths of its files by bucket (a few numbers and names)."""
+    """Count all texts of docs; returns the model: totals, discounts and where the list of its files is (a few numbers and names)."""
     if order < 2:
         raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
-    bits = max(4, (docs.rdd.getNumPartitions() - 1).bit_length()) + order - 2
-    folder = new_path(spark, "kneser-ney")
-    found = docs.select("text").mapInArrow(_count(bits, order), _COUNTED)
+    bits = max(4, (docs.rdd.getNumPartitions() - 1).bit_length() + 1)
+    model = {"order": order, "bits": bits, "folder": new_path(spark, "kneser-ney")}
     empty = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _REDUCED.split(", ")[3:]]
-    found = found.select("*", *empty)
+    dealt = lambda rows: rows.groupBy("kind", "bucket")
+    words = dealt(docs.select("text").mapInArrow(_count_words(bits), _COUNTED)).applyInArrow(_reduce_words(model["folder"]), _REDUCED).drop("blob").collect()  # a row a file
+    model |= {"tokens": sum(f.total for f in words), "words": sum(f.n for f in words)}
+    classes = np.zeros((1 << bits, _CLASSES + 1), np.int64)
+    for f in words:
+        classes[f.bucket] = f.classes
+    before = np.cumsum(classes.T.ravel()) - classes.T.ravel()  # words of larger classes, then of buckets before
+    model["numbers"] = _put(model["folder"], "numbers", {"first": (before.reshape(_CLASSES + 1, -1).T + 1).tolist(), "classes": classes.tolist()})
+    often = _CLASSES - int(HOT * model["tokens"] / (1 << bits)).bit_length()
+    model["hot"] = 1 + int(classes[:, : max(0, often)].sum())
+    model["files"] = _put(model["folder"], "word-files", {str(RAW): _by_bucket(words)})
+    found = docs.select("text").mapInArrow(_count_runs(model), _COUNTED).select("*", *empty)
     for level in range(order, 0, -1):
-        found = found.groupBy("kind", "bucket").applyInArrow(_reduce(folder, bits, level, level == order), _REDUCED)
-    files = found.drop("blob").collect()  # one row a file
-    of = lambda kind: sorted((f for f in files if f.kind == DONE + kind), key=lambda f: f.bucket)
+        found = dealt(found).applyInArrow(_reduce(model, level), _REDUCED)
+    files = found.drop("blob").collect()  # a row a file
+    of = lambda kind: [f for f in files if f.kind == DONE + kind]
     sums = lambda kind, *names: [sum(f[x] for f in of(kind)) for x in names]
-    model = {"order": order, "bits": bits, "tokens": sums(RAW, "total")[0], "words": sums(RAW, "n")[0], "pairs": sums(1, "total")[0]}
+    model["pairs"] = sums(1, "total")[0]
     model["d"] = {m: discounts(*sums(m, "n1", "n2", "n3", "n4")) for m in range(1, order + 1)}
     once, twice, n = sums(1, "n1", "n2", "n")
     d = model["d"][1]
     model["rest"] = (d[0] * once + d[1] * twice + d[2] * (n - once - twice)) / max(1, model["pairs"])
-    model["files"] = {kind: {f.bucket: (f.path, f.n, f.contexts, f.large, f.large_contexts) for f in of(kind)} for kind in range(order + 1)}
+    model["files"] = _put(model["folder"], "files", {str(kind): _by_bucket(of(kind)) for kind in (*range(1, order + 1), CONTEXTS)} | {str(RAW): _by_bucket(words)})
     return model
 
 
+def _by_bucket(files) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for f in sorted(files, key=lambda f: f.path):
+        out.setdefault(str(f.bucket), []).append(f.path)
+    return out
+
+
+def _put(folder: str, name: str, value) -> str:
+    """Write a list that tasks read; lists of files have a row for a few files of each bucket."""
+    fs, at = file_system(f"{folder}/{name}.json")
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at, compression=None) as f:
+        f.write(json.dumps(value).encode())
+    return f"{folder}/{name}.json"
+
+
+@lru_cache(maxsize=8)
+def _got(path: str):
+    fs, at = file_system(path)
+    with fs.open_input_stream(at, compression=None) as f:
+        return json.loads(f.read())
+
+
 @lru_cache(maxsize=1)
 def _copies() -> str:
     folder = tempfile.mkdtemp(prefix="tallyfold-model-")
@@ -308,123 +530,112 @@ def _copies() -> str:
     return folder
 
 
+def _mapped(path: str) -> list[np.ndarray]:
+    """The arrays of a file, mapped; a file in a store that can't be mapped is copied for the worker's life."""
+    from pyarrow import fs as F_
+
+    fs, at = file_system(path)
+    if not isinstance(fs, F_.LocalFileSystem):
+        local = f"{_copies()}/{at.rpartition('/')[2]}"
+        F_.copy_files(at, local, source_filesystem=fs, destination_filesystem=F_.LocalFileSystem())
+        at = local
+    whole = np.memmap(at, dtype=np.uint8, mode="r")
+    head = whole[: 8 * (1 + 2 * int(whole[:8].view(np.uint64)[0]))].view(np.uint64)[1:].tolist()
+    out, pos = [], 8 * (1 + len(head))
+    for item, n in zip(head[::2], head[1::2]):
+        out.append(whole[pos : pos + item * n].view({1: np.uint8, 4: np.uint32, 8: np.uint64}[item]))
+        pos += item * n + -item * n % 8
+    return out
+
+
 class _Files:
-    """The arrays of a model, mapped; files in a store that can't be mapped are copied for the worker's life."""
+    """The tables of a model's files by kind and bucket."""
 
     def __init__(self, model: dict):
         self.model, self.open = model, {}
 
-    def arrays(self, kind: int, bucket: int) -> list[np.ndarray] | None:
+    def of(self, kind: int, bucket: int, make):
         if (kind, bucket) not in self.open:
-            found = self.model["files"][kind].get(bucket)
-            if found is None:
-                return None
-            path, n, contexts, large, large_contexts = found
-            from pyarrow import fs as F_
-
-            fs, at = file_system(path)
-            if not isinstance(fs, F_.LocalFileSystem):
-                local = f"{_copies()}/{at.rpartition('/')[2]}"
-                F_.copy_files(at, local, source_filesystem=fs, destination_filesystem=F_.LocalFileSystem())
-                at = local
-            u8, u64 = np.uint8, np.uint64
-            kinds = [(u64, n), (u64, n)] if kind < 2 else [(u64, n), (u8, n), (u64, large), (u64, large), (u64, contexts), (u8, contexts * 4), (u64, large_contexts), (u64, large_contexts * 4)]
-            whole, out, pos = np.memmap(at, dtype=np.uint8, mode="r"), [], 0
-            for t, k in kinds:
-                size = k * np.dtype(t).itemsize
-                out.append(whole[pos : pos + size].view(t))
-                pos += size + -size % 8
-            self.open[kind, bucket] = out
+            self.open[kind, bucket] = [make(_mapped(p)) for p in _got(self.model["files"]).get(str(kind), {}).get(str(bucket), ())]
         return self.open[kind, bucket]
 
-    def find(self, kind: int, keys: np.ndarray, per_bucket) -> None:
-        """per_bucket(arrays, slice of keys) for each bucket of sorted keys that has a file."""
-        bits = self.model["bits"]
-        b = keys >> np.uint64(64 - bits)
-        cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])).tolist() if len(keys) else []
-        for i, j in zip(cut, [*cut[1:], len(keys)]):
-            a = self.arrays(kind, int(b[i]))
-            if a is not None:
-                per_bucket(a, slice(i, j))
-
-
-def _at(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of keys in a sorted array, and whether they are there."""
-    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
-    return at, sorted_[at] == keys
-
-
-def _wide(small: np.ndarray, places: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows `at` of what _small() took apart, as floats."""
-    out = small[at].astype(float)
-    if len(places) and len(at):
-        i, hit = _at(places, at.astype(np.uint64))
-        out[hit] = values[i[hit]]
-    return out
+
+class Words(_Files):
+    """Counts and numbers of words."""
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted distinct hashes: their count in training, and their number."""
+        c, numbers = np.zeros(len(h)), np.full(len(h), UNKNOWN)
+        named = _got(self.model["numbers"])
+        for b, i, j in _sliced(h, self.model["bits"]):
+            for keys, small, places, values, rank in self.of(RAW, b, list):
+                at = np.minimum(np.searchsorted(keys, h[i:j]), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == h[i:j])
+                at = at[hit]
+                count = small[at].astype(float)
+                wide = np.flatnonzero(count == 255)
+                if len(wide):
+                    count[wide] = values[np.searchsorted(places, at[wide].astype(np.uint64))]
+                before = np.cumsum([0, *named["classes"][b]])
+                kind = np.searchsorted(before, rank[at], side="right") - 1
+                c[i + hit] = count
+                numbers[i + hit] = np.array(named["first"][b])[kind] + rank[at] - before[kind]
+        return c, numbers
 
 
 def _per_count(d: tuple, c: np.ndarray) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
 
 
-class Scorer:
+class Scorer(_Files):
     def __init__(self, model: dict):
-        self.model, self.files = model, _Files(model)
-
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of sorted distinct words: their count in training, and their continuation probability."""
-        m, c, f = self.model, np.zeros(len(h)), np.zeros(len(h))
-
-        def look(out):
-            def run(a, s):
-                at, hit = _at(a[0], h[s])
-                out[s] = np.where(hit, a[1][at], 0)
-
-            return run
-
-        self.files.find(RAW, h, look(c))
-        self.files.find(1, h, look(f))
+        super().__init__(model)
+        self.known = Words(model)
+
+    def values(self, kind: int, columns: int, bucket: np.ndarray, keys: np.ndarray, first: int = 0) -> np.ndarray:
+        """Values of keys in their buckets' tables; a file's table that begins at its array `first`."""
+        out = np.zeros((len(keys), columns))
+        for b, at in _places(bucket):
+            for arrays in self.of(kind, b, list):
+                out[at] += Table(arrays[first : first + Table.ARRAYS], columns).find(keys[at])
+        return out
+
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted distinct words: their count in training, their number, and their continuation probability."""
+        m = self.model
+        c, numbers = self.known.find(h)
+        keys = chain([numbers])
+        f = self.values(1, 1, (keys >> np.uint64(64 - m["bits"])).astype(np.int64), keys)[:, 0]
         p = np.maximum(f - _per_count(m["d"][1], f), 0) / max(1, m["pairs"])
-        return c, p + (m["rest"] if m["pairs"] else 1.0) / (m["words"] + 1)
-
-    def runs(self, m: int, context: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of runs of m words in order of their contexts: the discounted share of the run in its context, and the context's weight of the lower order (1 if unseen)."""
-        p, g = np.zeros(len(run)), np.ones(len(run))
-        d = self.model["d"][m]
-
-        def look(a, s):
-            k, c, large, values, contexts, sums, large_contexts, sum_values = a
-            at, hit = _at(contexts, context[s])
-            t, n1, n2, n3 = _wide(sums.reshape(-1, 4), large_contexts, sum_values.reshape(-1, 4), at[hit]).T
-            i, seen = _at(k, run[s][hit])
-            count = np.where(seen, _wide(c, large, values, i), 0)
-            inner, outer = np.zeros(s.stop - s.start), np.ones(s.stop - s.start)
-            inner[hit] = np.maximum(count - _per_count(d, count), 0) / t
-            outer[hit] = (d[0] * n1 + d[1] * n2 + d[2] * n3) / t
-            p[s], g[s] = inner, outer
-
-        self.files.find(m, context, look)
-        return p, g
+        return c, numbers, p + (m["rest"] if m["pairs"] else 1.0) / (m["words"] + 1)
+
+    def runs(self, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of runs: the discounted share of the run in its context, and the context's weight of the lower order (1 if unseen)."""
+        m, bits = len(cols), self.model["bits"]
+        d, bucket = self.model["d"][m], bucket_of(cols, self.model["hot"], bits)
+        count = self.values(m, 1, bucket, chain(cols))[:, 0]
+        context = chain(cols[:-1])
+        where = bucket if m > 2 else (context >> np.uint64(64 - bits)).astype(np.int64)
+        sums = self.values(m if m > 2 else CONTEXTS, 4, where, context, Table.ARRAYS if m > 2 else 0)
+        total = sums[:, 0]
+        seen = np.maximum(total, 1)
+        return np.maximum(count - _per_count(d, count), 0) / seen, np.where(total > 0, (sums[:, 1:] @ np.array(d)) / seen, 1.0)
 
     def score(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and model score (log10) of each text."""
         model = self.model
         start = np.cumsum(n) - n
         word, at = np.unique(h, return_inverse=True)
-        c, low = self.words(word)
+        c, numbers, low = self.words(word)
         base = np.log10((c + 0.5) / (model["tokens"] + 0.5 * (model["words"] + 1)))
         known = np.add.reduceat((c > 0).astype(np.int64)[at], start)
         base = np.add.reduceat(base[at], start)
-        low = low[at]
+        low, numbers = low[at], numbers[at]
         del word, at
-        for m, context, run, there in runs(h, n, model["order"]):
-            use = np.flatnonzero(there)
-            _, first, back = np.unique(run[use], return_index=True, return_inverse=True)
-            first = use[first]
-            by = np.argsort(context[first], kind="stable")
-            p, g = np.empty(len(by)), np.empty(len(by))
-            p[by], g[by] = self.runs(m, context[first][by], run[first][by])
-            low[use] = p[back] + g[back] * low[use]
+        for m, place, of in runs(numbers, n, model["order"]):
+            use = np.flatnonzero(place >= m - 2)
+            p, g = self.runs(of(use))
+            low[use] = p + g * low[use]
         return known, base, np.add.reduceat(np.log10(low), start)
 
 
@@ -440,6 +651,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             ids, held = zip(*rest)
             cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n), pa.array(known), pa.array(np.full(len(n), model["tokens"], np.int64)), pa.array(base), pa.array(full)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            del h, n, rest, known, base, full, ids, held, cols
+        release_memory()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
