@@ -1,17 +1,22 @@
 """Exact top-k by inner product: a KD-tree per shard, best-first, with the kth score passed on.
 
-Candidates are dealt to shards of about SHARD rows, queries to blocks. A first
-pass over one shard gives each query a kth score to start from; every other
-shard searches its tree from that score down: nodes in the order of the best
-score their box allows, until no box can reach the kth score. Each shard
-returns at most k rows a query, and the k best of all shards remain. Scores
-are integers, computed in float64 where that is exact and as Python integers
-elsewhere.
+Median splits learnt on a bounded sample, the top of one KD-tree, deal all
+candidates to regions; a region of more than SHARD rows, as of equal vectors,
+is several shards. Each region has the tight box of its own rows. A query goes
+first to one shard of the region whose box allows the best score, which gives
+it a kth score to start from, and then only to shards whose box can reach that
+score. A shard searches a KD-tree of its own from that score down: nodes in
+the order of the best score their box allows, until no box can reach the kth
+score. Each shard returns at most k rows a query, and the k best of all shards
+remain. Scores are integers, computed in float64 where that is exact and as
+Python integers elsewhere.
 
 Edge cases: vectors that are null or hold null or non-finite components take
 no part; a shorter vector counts as padded with zeros; ties go to the smaller
-id; rows with the query's own id are not its candidates; an empty table gives
-no rows; further columns are not read.
+id; rows with the query's own id are not its candidates; a query id that
+repeats is asked once, with the smallest of its vectors; a candidate row that
+repeats counts each time; a score beyond 64 bits counts as the nearest number
+of 64 bits; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +29,12 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import stored, table
 
-SHARD, QUERY_BLOCK, LEAF = 8192, 2048, 64
+#: Rows of a shard, queries of a block, rows of a tree's leaf; the sample that regions are learnt from, and the most regions.
+SHARD, QUERY_BLOCK, LEAF = 8192, 8192, 64
+SAMPLE, REGIONS = 20_000, 4096
+#: Queries whose bounds are in memory at once.
+_ASKED = 1024
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 class KDTree:
@@ -53,29 +63,36 @@ class KDTree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product a node's box allows, by query and node."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return bounds(queries, self.low, self.high)
+
+
+def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
 
 
 def search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> list[tuple]:
     """(query, id, score) of the k best of each query; scores below its floor may be left out."""
     tree = KDTree(points)
     points, ids = points[tree.order], ids[tree.order]
-    bound = tree.bounds(queries)
     out = []
     for q, (own, query) in enumerate(zip(query_ids.tolist(), queries)):
-        kth, best = floor[q], []
-        heap = [(-bound[q, 0], 0)]
+        if q % _ASKED == 0:
+            bound = np.minimum(np.maximum(tree.bounds(queries[q : q + _ASKED]), _LEAST), _MOST)
+        kth, best, row = floor[q], [], bound[q % _ASKED]
+        heap = [(-row[0], 0)]
         while heap:
             top, node = heapq.heappop(heap)
             if -top < kth:
                 break
             if tree.child[node]:
                 for c in tree.child[node]:
-                    if bound[q, c] >= kth:
-                        heapq.heappush(heap, (-bound[q, c], c))
+                    if row[c] >= kth:
+                        heapq.heappush(heap, (-row[c], c))
                 continue
             a, b = tree.span[node]
             score = points[a:b] @ query
+            if score.dtype == object:
+                score = np.minimum(np.maximum(score, _LEAST), _MOST)
             for i in np.flatnonzero(score >= kth).tolist():
                 if ids[a + i] == own:
                     continue
@@ -113,7 +130,7 @@ def _block(k: int):
             dim = max(len(x) for x in got.column("v").to_pylist())
             large = max((max(map(abs, x)) for x in got.column("v").to_pylist() if x), default=0)
             exact = large * large * max(dim, 1) >= 2**53
-            floor = queries.column("floor").to_pandas().fillna(-np.inf).to_numpy()
+            floor = [_LEAST if x is None else x for x in queries.column("floor").to_pylist()]
             found = search(rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dim, exact), queries.column("vec_id").to_numpy(), _matrix(queries.column("v"), dim, exact), floor, k)
         q, i, s = zip(*found) if found else ((), (), ())
         return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
@@ -126,24 +143,113 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Regions:
+    """The top of a KD-tree: `depth` levels of median splits."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth, nodes = depth, (1 << depth) - 1
+        self.side, self.value = np.zeros(nodes, np.int64), np.full(nodes, np.inf)
+        rows = {0: sample}
+        for node in range(nodes):
+            own = rows.pop(node)
+            if len(own) and own.shape[1]:
+                self.side[node] = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+                self.value[node] = np.median(own[:, self.side[node]])
+            right = own[:, self.side[node]] >= self.value[node] if own.shape[1] else np.zeros(len(own), bool)
+            rows[2 * node + 1], rows[2 * node + 2] = own[~right], own[right]
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[np.arange(len(points)), self.side[node]] >= self.value[node])
+        return node - len(self.side)
+
+
+def _dealt(regions: Regions, dim: int):
+    """Of rows (vec_id, v): their region."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = _matrix(b.column("v"), dim, False)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(regions.of(x))], names=["vec_id", "v", "region"])
+
+    return run
+
+
+def _boxes(dim: int):
+    """Of rows (region, v): each region's box in this part, as a row for each side."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict = {}
+        for b in batches:
+            x, region = _matrix(b.column("v"), dim, False), b.column("region").to_numpy()
+            for r in np.unique(region).tolist():
+                own = x[region == r]
+                low, high = held.get(r, (np.inf, -np.inf))
+                held[r] = (np.minimum(low, own.min(axis=0)), np.maximum(high, own.max(axis=0)))
+        r = np.repeat(np.array(list(held), np.int64), dim)
+        cols = [np.concatenate([np.zeros(0), *(held[k][i] for k in held)]) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(np.tile(np.arange(dim), len(held))), *map(pa.array, cols)], names=["region", "side", "low", "high"])
+
+    return run
+
+
+def _asks(names: list[int], low: np.ndarray, high: np.ndarray, best: bool):
+    """Of queries (vec_id, v, floor): the regions to ask, either the one with the best bound or all that can reach the floor."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            bound = bounds(_matrix(b.column("v"), low.shape[1], False), low, high)
+            bound = bound + np.abs(bound) * 1e-9 + 1  # beyond 2^53 float64 rounds
+            floor = np.array([-np.inf if f is None else f for f in b.column("floor").to_pylist()], float)
+            top = bound.argmax(axis=1)
+            q, r = (np.arange(len(bound)), top) if best else np.nonzero(bound >= floor[:, None])
+            out = b.take(pa.array(q)).select(["vec_id", "v", "floor"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.array(names, np.int64)[r]), pa.array(r == top[q])], names=["vec_id", "v", "floor", "region", "first"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best of vectors (vec_id, v array<long>) for each of queries (vec_id, v)."""
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERY_BLOCK))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)))
-    c = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-
-    def pass_(candidates: DataFrame, asked: DataFrame, first: int, last: int) -> DataFrame:
-        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last)).cast("array<long>")))
-        cols = ["block", "shard", "role", "vec_id", "v", "floor"]
-        rows = asked.withColumn("role", F.lit(0)).select(*cols).unionByName(candidates.withColumn("role", F.lit(1)).withColumn("floor", F.lit(None).cast("double")).select(*cols))
-        return rows.groupBy("block", "shard").applyInArrow(_block(k), _FOUND)
-
-    seed = stored(pass_(c.where("shard = 0"), q.withColumn("floor", F.lit(None).cast("double")), 0, 0), "kd-seed")
-    found = seed
-    if shards > 1:
-        floors = seed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("s").cast("double").alias("floor"))
-        found = found.unionByName(pass_(c.where("shard > 0"), q.join(floors, "vec_id", "left"), 1, shards - 1))
+    """(query_id, rank, vec_id, score) of the k best of vectors (vec_id, v array<long>) for each id of queries (vec_id, v)."""
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    queries = stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("floor", F.lit(None).cast("long")), "kd-queries")
+    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    dim = max(size.dim or 1, asked.dim or 1, 1)
+    depth = max(0, min(REGIONS, -(-size.n // SHARD)) - 1).bit_length()
+    sample = vectors.select("v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE if depth else 1).toArrow().column("v")
+    told = stored(vectors.select("vec_id", "v").mapInArrow(_dealt(Regions(_matrix(sample, dim, False), depth), dim), "vec_id long, v array<long>, region long"), "kd-regions")
+    boxes = told.select("region", "v").mapInArrow(_boxes(dim), "region long, side long, low double, high double").groupBy("region", "side").agg(F.min("low"), F.max("high")).collect()  # at most REGIONS boxes
+    names = sorted({b[0] for b in boxes})
+    low, high = np.zeros((len(names), dim)), np.zeros((len(names), dim))
+    place = {r: i for i, r in enumerate(names)}
+    for region, side, a, b in boxes:
+        low[place[region], side], high[place[region], side] = a, b
+    if not names:
+        return _best(vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).where("false"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    shards = F.broadcast(told.groupBy("region").agg(F.ceil(F.count("*") / SHARD).alias("shards")))
+    blocks = max(1, -(-asked.n // QUERY_BLOCK))
+    rows = told.join(shards, "region").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards"))).drop("shards")
+
+    def pass_(queries: DataFrame, best: bool, which: str) -> DataFrame:
+        ask = queries.select("vec_id", "v", "floor").mapInArrow(_asks(names, low, high, best), "vec_id long, v array<long>, floor long, region long, first boolean")
+        ask = ask.join(shards, "region").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards")
+        ask = stored(ask.where(which).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks))), "kd-asked")
+        need = ask.select("region", "shard", "block").distinct()
+        cols = ["region", "shard", "block", "role", "vec_id", "v", "floor"]
+        there = rows.join(F.broadcast(need) if blocks * len(names) <= SHARD else need, ["region", "shard"])
+        both = ask.withColumn("role", F.lit(0)).select(*cols).unionByName(there.withColumn("role", F.lit(1)).withColumn("floor", F.lit(None).cast("long")).select(*cols))
+        return stored(both.groupBy("region", "shard", "block").applyInArrow(_block(k), _FOUND), "kd-found")
+
+    seed = pass_(queries, True, "shard = 0")  # each query's first shard
+    floors = seed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("s").alias("floor"))
+    found = seed.unionByName(pass_(queries.drop("floor").join(floors, "vec_id", "left"), False, "NOT (first AND shard = 0)"))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
