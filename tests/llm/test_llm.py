@@ -1,6 +1,7 @@
 """The operators against plain versions, on small tables with nulls, empty and long texts, ties, repeated rows, clashing columns and no rows."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -11,6 +12,7 @@ import pytest
 from brute_pii import BASE_TEXTS, base_spans, digest
 
 from tallyfold.llm import bpe, chat, kd_search, kneser_ney, mixing, near_vectors, ngram_join, pii, quality, registry, warc
+from tallyfold.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
 LOW = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -44,8 +46,26 @@ def test_pii(docs):
 
 def test_pii_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for r in pii.op6_pii(spark, SF).collect():
-        assert r.base_sha256 == digest(base_spans(texts[r.doc_id]))
+    got = pii.op6_pii(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = base_spans(texts[r.doc_id])
+        kinds = Counter(k for k, _, _ in base)
+        assert r.base_sha256 == digest(base) and (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in pii.BASE)
+        listed = [x.split(":") for x in r.spans.split(",") if x]
+        assert [(k, int(a), int(b)) for k, a, b in listed if k in pii.BASE] == base
+
+
+def test_pii_many_matches(spark):
+    # Work near the number of matches: no array is copied whole at each one, no place is found from the text's start.
+    text = "é " + "".join(f"ssn a{i}@b.com {i % 7}23-45-6789, " for i in range(30_000))
+    frame = spark.createDataFrame([(1, text, "own")], "doc_id long, text string, spans string")
+    began = time.time()
+    r = pii.find_spans(frame, into="found").first()
+    assert [(s.kind, s.start, s.end) for s in r.found if s.kind in pii.BASE] == base_spans(text) and len(r.found) == 60_000 and r.spans == "own"
+    out = pii.redact(frame).first()
+    assert time.time() - began < 180
+    assert out.spans == "own" and out.text == "é " + "ssn [EMAIL] [NATIONAL_ID], " * 30_000
 
 
 #: Text: the added kinds' spans in it.
@@ -84,17 +104,73 @@ def test_bpe(docs):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
+def plain_targets(sizes):
+    """Targets of sources by rounds: capped at three times their size, the rest reshared by weight."""
+    weight = {x: i % 3 + 1 for i, x in enumerate(sorted(sizes, key=lambda x: (x is None, x or "")))}
+    target, open_, left = {}, set(sizes), float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weight[x] for x in open_)
+        full = {x for x in open_ if weight[x] * level > 3 * sizes[x]}
+        for x in full or open_:
+            target[x] = 3.0 * sizes[x] if full else weight[x] * level
+            left -= target[x]
+        open_ -= full or set(open_)
+    return target
+
+
 def test_mix(docs):
     got = mixing.mix(mixing.doc_sizes(docs)).collect()
     assert len(got) == len(TEXTS) + 2
     for r in got:
         assert 0 <= r.copies <= 3
     total = {r.source: r.source_size for r in got}
-    assert abs(sum({r.source: r.target for r in got}.values()) - sum(total.values())) < 1e-6
+    want = plain_targets(total)
+    assert all(abs(r.target - want[r.source]) < 1e-6 * max(1, r.target) for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(mixing.doc_sizes(docs)).collect()))
     assert mixing.remix(docs).count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_ROWS": 40, "BROADCAST_SOURCES": 0}])
+def test_mix_many_sources_and_hot_rows(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(mixing, name, value)
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, words(int(rng.integers(0, 30))), f"s{i % 23}", 7) for i in range(700)] + [(None, words(11), None, i) for i in range(300)] + [(5, words(4), "s5", 1), (5, words(4), "s5", 2), (5, "four other words here", "s5", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(5)
+    got = mixing.mix(mixing.doc_sizes(frame)).collect()
+    sizes = Counter()
+    for _, t, source, _ in rows:
+        sizes[source] += len(t.split())
+    want = plain_targets(sizes)
+    assert len(got) == len(rows) and all(abs(r.target - want[r.source]) < 1e-6 * max(1, r.target) and r.source_size == sizes[r.source] for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.size * r.copies
+    assert all(abs(taken[x] - want[x]) <= 30 for x in sizes)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(mixing.doc_sizes(frame.repartition(2))).collect()))
+    out = mixing.remix(frame).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter({k: v for k, v in Counter({}).items()}) + sum((Counter({(r.doc_id, t, r.source): r.copies}) for r, t in _texts_of(got, rows)), Counter())
+    assert max(Counter(map(str, out)).values()) <= 3 and {r.copies for r in out} >= {1, 7}
+
+
+def _texts_of(units, rows):
+    """Units of a mix beside a text of their id, source and size; the rows of this test with one id and size differ in text only under id 5."""
+    by = {}
+    for i, t, source, _ in rows:
+        by.setdefault((i, source, len(t.split())), []).append(t)
+    seen = {}
+    for r in sorted(units, key=lambda r: (str(r.doc_id), str(r.source), r.size, r.h, r.unit)):
+        texts = by[r.doc_id, r.source, r.size]
+        if len(set(texts)) == 1:
+            yield r, texts[0]
+            continue
+        same = Counter(texts)
+        n = sum(x.h == r.h and x.doc_id == r.doc_id and x.source == r.source and x.size == r.size for x in units)
+        yield r, next(t for t, k in same.items() if k == n)
+        seen[r.h] = n
+
+
 def test_mix_lands_near_target(spark):
     rows = mixing.op9_mixing(spark, "/root/testdata/sf0.01").toPandas()
     by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
@@ -116,6 +192,91 @@ def test_chat(spark):
     assert chat.read_back(chat.format_windows(turns.where("false"))).count() == 0
 
 
+def test_chat_query(spark):
+    """The registered query with its own conversation, against turns read from the table."""
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    convs = {-1: [(0, "user", tricky), (1, "assistant", tricky)]}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        convs.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    got = {r.conv_id: r for r in chat.op5_chat(spark, SF).collect()}
+    assert got.keys() == convs.keys()
+    for i, turns in convs.items():
+        turns.sort()
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert got[i].n_turns == len(turns) and got[i].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
+        assert (got[i].loss_chars, got[i].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    one = "".join(f"<|im_start|>{role}\n" + tricky.replace("<|", "<\\|") + "<|im_end|>\n" for role in ("user", "assistant"))
+    assert got[-1].formatted_chars == len(one) and sum(r.formatted_chars for r in chat.op5_chat(spark, SF).collect()) == sum(len(r.text) for r in chat.format_windows(spark.read.parquet(f"{SF}/conversations.parquet")).collect()) + len(one)
+
+
+def test_bpe_query(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_tokenizer())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = bpe.op7_bpe(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    rows = spark.createDataFrame([(1, [], "x"), (1, [], "x"), (2, None, None)], "doc_id long, token_ids array<int>, decoded string")
+    assert [r.decoded for r in bpe.decode(rows).collect()] == ["", "", None]
+
+
+def plain_scores(spark, sf):
+    """Scores of all documents by the same statistics, with the fit done in one place: features, ridge, isotonic steps."""
+    docs = {r.doc_id: quality.text_stats((r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    fold = {r.doc_id: r.f for r in spark.createDataFrame([(i,) for i, _ in labels], "doc_id long").selectExpr("doc_id", f"pmod(xxhash64(doc_id, {quality.SEED}), 5) AS f").collect()}
+    x, y, f = np.array([docs[i] for i, _ in labels]), np.array([float(q) for _, q in labels]), np.array([fold[i] for i, _ in labels])
+    mean, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-8))
+    rng = np.random.default_rng(quality.SEED)
+    turn = rng.normal(size=(x.shape[1], quality.FEATURES)) / quality.WIDTH
+    phase = rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = lambda v: np.hstack([np.cos(np.clip((v - mean) / scale, -6, 6) @ turn + phase) * (2 / quality.FEATURES) ** 0.5, np.ones((len(v), 1))])
+    a, b = z(x[f > 0]), y[f > 0]
+    pull = quality.RIDGE * len(a) * np.diag([1.0] * quality.FEATURES + [0.0]) + 1e-9 * len(a) * np.eye(quality.FEATURES + 1)
+    weights = np.linalg.solve(a.T @ a + pull, a.T @ b)
+    cell = lambda v: np.clip((z(v) @ weights + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    held = sorted(zip(cell(x[f == 0]).tolist(), y[f == 0].tolist()))
+    pools = [[[c], [v]] for c, v in held]
+    done = False
+    while not done:  # pool neighbours until means rise
+        done = True
+        for i in range(len(pools) - 1):
+            if pools[i][0][-1] == pools[i + 1][0][0] or np.mean(pools[i][1]) >= np.mean(pools[i + 1][1]):
+                pools[i] = [pools[i][0] + pools[i + 1][0], pools[i][1] + pools[i + 1][1]]
+                del pools[i + 1]
+                done = False
+                break
+    at = [c for p in pools for c in (p[0][0], p[0][-1])]
+    steps = np.interp(np.arange(quality.BINS), at, [np.mean(p[1]) for p in pools for _ in range(2)])
+    ids = list(docs)
+    return dict(zip(ids, np.clip(steps, 0, 1)[cell(np.array([docs[i] for i in ids]))]))
+
+
+def test_quality_plain(spark):
+    want = plain_scores(spark, "/root/testdata/sf0.01")
+    got = quality.op4_quality(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want)
+    far = [r for r in got if abs(r.score - want[r.doc_id]) > 1e-6]
+    assert len(far) <= 0.005 * len(got)  # a raw score on the edge of a bin may round to its neighbour
+    assert all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
+def test_quality_edges(spark, docs, monkeypatch):
+    stats = quality.document_stats(docs)
+    label = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, label int")
+    assert {r.score for r in quality.score(stats, quality.fit(stats, label((3, 1), (5, 1), (6, None), (None, 0)))).collect()} == {1.0}
+    assert quality.score(stats.where("false"), quality.fit(stats, label((3, 1), (3, 1), (5, 0)))).count() == 0
+    monkeypatch.setattr(quality, "MAX_TRAINING_ROWS", 3)
+    seen = []
+    monkeypatch.setattr(quality, "stored", lambda df, name: seen.append(df) or stored(df, name))
+    quality.fit(quality.document_stats(docs.where("doc_id is not null").dropDuplicates(["doc_id"])), label(*[(i, i % 2) for i in range(12)]))
+    assert 1 <= seen[0].count() <= 3
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     held = quality.op4_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out and quality is not null").toPandas()
@@ -264,15 +425,45 @@ def test_kneser_ney_plain(spark, order):
         assert abs(sum(last(x) for x in [*vocab, "unheard"]) - 1) < 1e-9
 
 
-def test_kneser_ney_keys(spark):
-    # Words whose hashes share their upper 32 bits stay apart: a pair's key holds all 64 bits of both.
-    assert (kneser_ney.chain(np.array([1, 2], np.uint64) << np.uint64(8), np.array([5, 5], np.uint64)).tolist()) != kneser_ney.chain(np.array([1, 1], np.uint64) << np.uint64(8), np.array([5, 6], np.uint64)).tolist()
-    h = np.array([7 << 32 | 1, 9 << 32 | 1, 7 << 32 | 1, 9 << 32 | 2], np.uint64)
-    (_, contexts, found, _), *_ = kneser_ney.runs(h, np.array([4]), 2)
-    assert len(set(found.tolist())) == 4 and contexts[1:].tolist() == h[:-1].tolist()
+def test_kneser_ney_arrays():
+    rng = np.random.default_rng(5)
+    for m in (1, 2, 3, 4):
+        cols = [rng.integers(0, 2**32 if i % 2 else 50, 5000, dtype=np.uint64).astype(np.uint32) for i in range(m)]
+        counts = rng.zipf(1.3, 5000).astype(np.uint64)
+        want = Counter()
+        for *row, c in zip(*(x.tolist() for x in cols), counts.tolist()):
+            want[tuple(row)] += c
+        grouped = kneser_ney._grouped(cols, counts)
+        assert dict(zip(zip(*(x.tolist() for x in grouped[0])), grouped[1].tolist())) == want and len(grouped[1]) == len(want)
+        assert Counter(zip(*(x.tolist() for x in cols))) == dict(zip(zip(*(x.tolist() for x in kneser_ney._grouped(cols)[0])), kneser_ney._grouped(cols)[1].tolist()))
+        got, c = kneser_ney.unpack_rows(kneser_ney.pack_rows(cols, counts), m)
+        assert sorted(zip(*(x.tolist() for x in cols), counts.tolist())) == sorted(zip(*(x.tolist() for x in got), c.tolist()))
+    for n, columns in ((0, 1), (1, 1), (5000, 1), (70_000, 4)):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        plain = np.array([1, 1, 0, 0][:columns], np.uint64)
+        values = np.where(rng.random((len(keys), 1)) < 0.6, plain, rng.zipf(1.2, (len(keys), columns)).astype(np.uint64) % 10**9 + 1)
+        table = kneser_ney.Table(kneser_ney._coded(keys[::-1], values[::-1]), columns)
+        assert (table.find(keys) == values).all()
+        assert not table.find(rng.integers(0, 2**64, 1000, dtype=np.uint64)).any()
+
+
+@pytest.mark.parametrize(("hot", "gather"), [(0.0, 50), (1e9, 200), (0.25, 4_000_000)])
+def test_kneser_ney_split_words(spark, monkeypatch, hot, gather):
+    # The same scores whichever words are dealt further, and however many tokens a task gathers.
+    monkeypatch.setattr(kneser_ney, "HOT", hot)
+    monkeypatch.setattr(kneser_ney, "GATHER", gather)
+    texts = [" ".join(f"w{(i * j) % 7}" for j in range(i % 11)) for i in range(60)]
+    frame = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean").repartition(3)
+    p, _ = plain_kneser_ney([[*t.split(), "</s>"] for t in texts], 3)
+    for r in kneser_ney.score(frame, kneser_ney.train(frame, 3)).collect():
+        w = ["<s>", *texts[r.doc_id].split(), "</s>"]
+        assert abs(r.score - sum(log10(p(w[i], w[:i])) for i in range(1, len(w)))) < 1e-9 * len(w)
 
 
-def test_jaccard_links(spark):
+@pytest.mark.parametrize("limits", [{}, {"SPLIT": 5, "SMALL": 2, "BROADCAST": 0}])
+def test_jaccard_links(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(3)
     texts = []
     for g in range(4):
@@ -318,15 +509,106 @@ def test_vectors(spark):
     assert near_vectors.near_vectors(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"SHARD": 16, "QUERY_BLOCK": 4, "LEAF": 3}, {"SHARD": 5, "REGIONS": 4, "QUERY_BLOCK": 1}])
+def test_top_k(spark, monkeypatch, limits):
+    """Ties, repeated rows and queries, equal vectors in a crowd, short vectors, scores beyond 64 bits: as brute force has it."""
+    for name, value in limits.items():
+        monkeypatch.setattr(kd_search, name, value)
+    rng = np.random.default_rng(2)
+    rows = [(int(i), rng.integers(-3, 4, 5).tolist(), "clash") for i in range(150)] + [(900 + i, [1, 1, 1, 1, 1], "clash") for i in range(60)] + [(100, [2, 0, 1], "x"), (0, rng.integers(-3, 4, 5).tolist(), "x"), (7, [9] * 5, "x"), (7, [9] * 5, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>, rank string")
+    asked = spark.createDataFrame([r for r in rows if r[0] % 100 == 0] * 2 + [(33, [], "x")], "vec_id long, v array<long>, rank string")
+    first = {}
+    for i, v, _ in sorted([r for r in rows if r[0] % 100 == 0] + [(33, [], "x")], key=lambda r: (r[0], r[1])):
+        first.setdefault(i, v)
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {q: sorted(((-score(v, w), i) for i, w, _ in rows if i != q))[:10] for q, v in first.items()}
+    got = {}
+    for r in sorted(kd_search.top_k(frame, asked).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == want
+    assert kd_search.top_k(frame.where("false"), asked).count() == kd_search.top_k(frame, asked.where("false")).count() == 0
+    far = spark.createDataFrame([(0, [2**62, 2**62]), (1, [2**62, 2**62]), (2, [-(2**62), 5]), (3, [1, 2**53 + 1])], "vec_id long, v array<long>")
+    assert [(r.vec_id, r.score) for r in sorted(kd_search.top_k(far, far.where("vec_id = 0")).collect(), key=lambda r: r["rank"])] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
+@pytest.mark.parametrize("dim", [16, 32, 64])
+def test_near_vectors_recall(spark, dim):
+    """Of pairs at a cosine just above the threshold, beside vectors of their kind: the share that is found."""
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(1500, dim)) * np.linspace(2, 0.5, dim)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w = rng.normal(size=v.shape)
+    w -= (w * v).sum(axis=1, keepdims=True) * v
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    cos = rng.uniform(0.9801, 0.985, (len(v), 1))
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(np.concatenate([v, cos * v + np.sqrt(1 - cos**2) * w]))]
+    x = np.array([r[1] for r in rows])
+    near = np.argwhere(np.triu(x @ x.T >= 0.98, 1))
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
+    assert len(near) >= 1500 and 2 * len(near) >= got.n_links.sum() >= 2 * 0.95 * len(near)
+
+
+def test_near_vectors_blocks(spark, monkeypatch):
+    """Buckets in blocks and tiles of a few rows give the links of one comparison; repeated ids and clashing columns."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 32))
+    # three crowds, each a fourth of the rows: no bit may be cut through one
+    rows = [(i, (base[i % 3] + rng.normal(size=32) * 0.02 if i < 240 else rng.normal(size=32)).tolist(), i % 2, "c") for i in range(320)]
+    rows += [(0, rows[5][1], 0, "c"), (0, rows[5][1], 1, "c"), (9, rows[9][1], 1, "c"), (500, rows[9][1], 1, "c")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, links string")
+    plain = sorted(map(str, near_vectors.near_vectors(frame).collect()))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    low = np.arange(len(rows))
+    for _ in range(len(rows)):
+        low = np.where(linked, low[None, :], len(rows)).min(axis=1)
+    least = {c: min(rows[i][0] for i in np.flatnonzero(low == c)) for c in set(low.tolist())}
+    want = sorted((rows[i][0], int(linked[i].sum()) - 1, least[int(low[i])]) for i in range(len(rows)))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_vectors(frame).collect()) == want
+    monkeypatch.setattr(near_vectors, "BLOCK", 7)
+    monkeypatch.setattr(near_vectors, "TILE", 3)
+    assert sorted(map(str, near_vectors.near_vectors(frame).collect())) == plain
+    assert near_vectors.plan(1000, 64) == (4, 16) and near_vectors.plan(1000, 16)[0] == 16 and near_vectors.plan(10**9, 64)[1] == 24 and near_vectors.plan(10, 2)[1] == 2
+
+
 def test_warc(spark):
-    rows = [(1, "http://a/ b", "é" * 200), (2, None, "é" * 200), (None, "u", "é" * 200), (3, "u", None), (4, "u", "short"), (5, "u", "short")]
-    back = {r.page_id: r for r in warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
-    assert {i: (r.record_type, r.refers_to) for i, r in back.items()} == {1: ("response", None), 2: ("revisit", 1), None: ("revisit", 1), 3: ("response", None), 4: ("response", None), 5: ("response", None)}
-    assert back[1].payload == "é" * 200 and back[1].url == "http://a/ b" and back[2].payload_bytes == 400
+    long = "x<p>" * 700_000
+    rows = [(1, "http://a/ b", "é" * 200), (2, None, "é" * 200), (None, "u", "é" * 200), (3, "u", None), (4, "u", "short"), (5, "u", "short"), (6, "u", long), (7, "u", long), (6, "u", long)]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, first int")
+    manifest = warc.write_archives(pages)
+    back = warc.read_archives(manifest).collect()
+    assert len(back) == len(rows) and Counter((r.page_id, r.record_type, r.refers_to) for r in back) == Counter({(1, "response", None): 1, (2, "revisit", 1): 1, (None, "revisit", 1): 1, (3, "response", None): 1, (4, "response", None): 1, (5, "response", None): 1, (6, "response", None): 2, (7, "revisit", 6): 1})
+    one = {r.page_id: r for r in back}
+    assert one[1].payload == "é" * 200 and one[1].url == "http://a/ b" and one[2].payload_bytes == 400 and one[6].payload == long and one[7].payload_bytes == len(long)
     with pytest.raises(ValueError, match="digest"):
         warc.parse_record(b"WARC/1.1\r\nWARC-Block-Digest: sha1:x\r\nContent-Length: 1\r\n\r\na\r\n\r\n")
 
 
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_warc_archives(spark, monkeypatch, broadcast):
+    """Every record has the headers that the format asks for; archives end at a size; the list of revisits is broadcast or not."""
+    monkeypatch.setattr(warc, "BROADCAST", broadcast)
+    rows = [(i, f"http://h/{i}", "same" * 100 if i % 2 else f"page {i}" * 50) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    paths = [r.path for r in warc.write_archives(pages, roll=1500).collect()]
+    assert len(paths) > 4
+    ids, n = set(), 0
+    for path in paths:
+        fs, at = warc.file_system(path)
+        with fs.open_input_stream(at, compression=None) as raw:
+            for _, data in warc.read_members(raw):
+                h, block = warc.parse_record(data)
+                assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= h.keys() and h["warc-date"].endswith("Z")
+                ids.add(h["warc-record-id"])
+                n += 1
+                if h["warc-type"] == "revisit":
+                    assert h["warc-refers-to-target-uri"] == "http://h/1" and h["x-refers-to-page-id"] == "1" and h["warc-refers-to-date"] == h["warc-date"]
+    assert len(ids) == n == 40 + len(paths)
+
+
 def test_empty_tables(docs, spark):
     none = docs.where("false")
     assert pii.redact(none).count() == bpe.encode(none).count() == bpe.round_trip(none).count() == ngram_join.jaccard_components(none).count() == mixing.remix(none).count() == 0

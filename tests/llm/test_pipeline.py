@@ -114,3 +114,43 @@ def test_encode_gives_the_tokenizers_ids(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages[5][2]))
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents with nulls in every column, empty and long texts, ties, repeated rows, shared ids and columns named like the stages' own."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", None, None), (3, long, "en", "a", 1), (3, long, "en", "a", 1), (4, long + " end", None, "b", 1), (5, "mail a@b.com now", "en", "b", 1), (5, "another text of id five", "en", "b", 1), (None, "mail a@b.com now", "en", None, 1)]
+    rows += [(100 + i, f"plain words number {i} stand here and say little", "en", f"s{i % 3}", 1) for i in range(60)]
+    names = "spans string, row string, row_ string, id string, copies string, size int, h int, least int, at int, unit int, _size int, _row int, component_id int, score double, decoded string"
+    extra = [n.split()[0] for n in names.split(", ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.selectExpr("*", *[f"CAST({i} AS {n.split()[1]}) AS {n.split()[0]}" for i, n in enumerate(names.split(", "))]).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(100 + i, None if i % 7 == 0 else 1, 0) for i in range(60)] + [(None, 1, None), (3, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, rows, extra
+
+
+def test_odd_documents_pass_every_stage(spark, odd):
+    folder, rows, extra = odd
+    docs = table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stored(stage(spark, docs, folder), f"odd-{name}")
+        if name != "encode":
+            assert docs.columns == before.columns
+            assert all(docs.where(f"{c} <> {i} OR {c} IS NULL").isEmpty() for i, c in enumerate(extra))
+        if name == "quality":  # every label is 1, so all stay
+            assert docs.count() == len(rows)
+        if name == "near_duplicates":  # one long text stays, and both texts of id 5, whose first equals one with a null id
+            left = Counter((r.doc_id, (r.text or "")[:7]) for r in docs.collect())
+            assert left[3, "w0 w1 w"] == 1 and left[4, "w0 w1 w"] == 0 and left[5, "mail a@"] == left[5, "another"] == 1 and left[None, ""] == left[None, "mail a@"] == 1
+        if name == "pii":
+            assert docs.where("text LIKE '%@%'").isEmpty() and docs.where("text = 'mail [EMAIL] now'").count() == 2
+    assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and docs.count() > 0
+
+
+def test_pipeline_over_no_documents(spark, odd, tmp_path):
+    for name in ("documents", "labels"):
+        table(spark, odd[0], name).where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
