@@ -44,13 +44,13 @@ def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + size.astype(np.uint64) * _LENGTH), start
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts one after another, and how many words each text has.
+def word_hashes(texts: list[bytes], letters: bytes = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts one after another, and how many words each text has; letters: what each byte counts as, a blank between words.
 
     The buffer is hashed in windows that end at a blank, so memory beside the
     result is bounded by the window or by the longest word.
     """
-    data = (b" " + b" ".join(texts) + b" ").translate(_LOWER)
+    data = (b" " + b" ".join(texts) + b" ").translate(letters)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     first = 1 + np.concatenate([[0], np.cumsum(sizes)])
     hashes, starts, at = [], [], 0

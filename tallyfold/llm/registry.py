@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from tallyfold.llm import (
+    ball_clusters,
     bpe,
     chat,
     kd_search,
     kneser_ney,
+    maxscore,
     mixing,
     near_vectors,
     ngram_join,
     pii,
     quality,
+    token_counts,
     warc,
 )
 
-_MODULES = (near_vectors, warc, kd_search, quality, chat, pii, bpe, ngram_join, mixing, kneser_ney)
+_MODULES = (near_vectors, warc, kd_search, quality, chat, pii, bpe, ngram_join, mixing, kneser_ney, token_counts, ball_clusters, maxscore)
 
 
 def queries():
