@@ -17,8 +17,11 @@ place in a directory, and the next 32 are kept: a run that isn't there is taken
 for one that is with a chance of about 8 / 2^32, whatever the model's size.
 Words keep all 64 bits. A text's history starts with one begin token; runs that
 start there keep their plain counts at lower orders, as nothing precedes them.
-Files are named by task attempt and only those of attempts that ended well are
-in the model, whose list is a file too.
+A file is written under its task attempt's name and then takes its bucket's:
+attempts of one bucket write the same, so a task that runs again does no harm.
+Names follow from kind and bucket, and which buckets have a file is a bitmap in
+the model; there is no list of files. A scorer holds at most POOL files open,
+the ones used last, whatever the size of the model.
 
 Edge cases: null and empty texts are one end token; a null id is a training
 row; with no training rows every probability is that of one unknown word, 1;
@@ -29,9 +32,10 @@ read.
 from __future__ import annotations
 
 import atexit
-import json
+import os
 import shutil
 import tempfile
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -55,11 +59,16 @@ RAW, CONTEXTS, DONE = 0, 50, 100
 HOT = 0.25
 #: Classes of words by the length of their count in bits.
 _CLASSES = 64
+#: Buckets of words, at most, in bits; files of the model that a worker has open at once.
+WORD_BITS, POOL = 14, 64
+#: Pairs that the order above holds whole, as a kind of files; the files' names by kind.
+WHOLE = 51
+_NAMES = {RAW: "words", CONTEXTS: "contexts", WHOLE: "whole-pairs"}
 #: Keys for one entry of a file's directory, about, and values in its list of frequent ones.
 _SLOT, _LISTED = 8, 254
 
 _COUNTED = "kind int, bucket int, blob binary"
-_REDUCED = "kind int, bucket int, blob binary, path string, n long, total long, n1 long, n2 long, n3 long, n4 long, classes array<long>"
+_REDUCED = "kind int, bucket int, blob binary, n long, total long, n1 long, n2 long, n3 long, n4 long, classes array<long>"
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -282,11 +291,12 @@ def _count_runs(model: dict):
     return run
 
 
-def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
-    """Write arrays one after another, each at a multiple of 8 bytes, after a list of their types and sizes."""
-    from pyspark import TaskContext
+def _file(folder: str, kind: int, bucket: int) -> str:
+    return f"{folder}/{_NAMES.get(kind, f'runs{kind}')}-{bucket:07d}.bin"
 
-    path = f"{folder}/{name}-{TaskContext.get().taskAttemptId()}.bin"
+
+def _write(path: str, arrays: list[np.ndarray]) -> None:
+    """Write arrays one after another, each at a multiple of 8 bytes, after a list of their types and sizes."""
     fs, at = file_system(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.uint64)
@@ -294,7 +304,22 @@ def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
         for a in (head, *arrays):
             f.write(a.tobytes())
             f.write(b"\0" * (-a.nbytes % 8))
-    return path
+
+
+def _save(folder: str, kind: int, bucket: int, arrays: list[np.ndarray]) -> None:
+    """Write a bucket's file: whole under another name first, as another attempt may write it too."""
+    from pyspark import TaskContext
+
+    path = _file(folder, kind, bucket)
+    own = f"{path}-{TaskContext.get().taskAttemptId()}"
+    _write(own, arrays)
+    (fs, here), (_, there) = file_system(own), file_system(path)
+    try:
+        fs.move(here, there)
+    except OSError:  # a store whose move doesn't replace: another attempt's file, the same, is there
+        if not fs.get_file_info(there).is_file:
+            raise
+        fs.delete_file(here)
 
 
 def _small(x: np.ndarray) -> list[np.ndarray]:
@@ -367,15 +392,15 @@ class Table:
         return out
 
 
-def _row(kind, bucket, blob=None, path=None, counts=None, classes=None):
+def _row(kind, bucket, blob=None, counts=None, classes=None):
     c = counts if counts is not None else np.zeros(0, np.uint64)
-    return (kind, bucket, blob, path, len(c), int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), classes)
+    return (kind, bucket, blob, len(c), int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), classes)
 
 
 def _told(rows):
     import pyarrow as pa
 
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 6, pa.list_(pa.int64()))
     names = [x.split()[0] for x in _REDUCED.split(", ")]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
@@ -392,8 +417,8 @@ def _reduce_words(folder: str):
         kind = _class_of(c)
         rank = np.empty(len(k), np.uint32)
         rank[np.argsort(kind, kind="stable")] = np.arange(len(k), dtype=np.uint32)
-        path = _save(folder, f"words-{bucket:06d}", [k, *_small(c), rank])
-        return _told([_row(DONE + RAW, bucket, None, path, c, np.bincount(kind, minlength=_CLASSES + 1).tolist())])
+        _save(folder, RAW, bucket, [k, *_small(c), rank])
+        return _told([_row(DONE + RAW, bucket, None, c, np.bincount(kind, minlength=_CLASSES + 1).tolist())])
 
     return run
 
@@ -407,17 +432,17 @@ def _reduce(model: dict, level: int):
     """Merge and save the buckets of one order, and send on the next lower order's counts; rows of other kinds pass."""
     folder, bits, hot = model["folder"], model["bits"], model["hot"]
 
-    def pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, name: str, bucket: int):
+    def pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, as_kind: int, bucket: int):
         """Save whole pairs of words, which lie in order; rows for the words that follow and, as contexts, for those that stand first."""
         if not len(a):
             return []
-        path = _save(folder, name, _coded(chain([a, b]), c[:, None]))
+        _save(folder, as_kind, bucket, _coded(chain([a, b]), c[:, None]))
         first = _starts(a[1:] != a[:-1])
         sums, a = _totals(first, c), a[first]
         (b,), f = _grouped([b])
         deal = lambda x: (chain([x]) >> np.uint64(64 - bits)).astype(np.int64)
         sent = _dealt(1, [b], f, deal(b)) + _dealt(CONTEXTS, [a, *(sums[:, i].astype(np.uint32) for i in (1, 2, 3))], sums[:, 0], deal(a))
-        return [_row(DONE + 2, bucket, None, path, c), *(_row(*r) for r in sent)]
+        return [_row(DONE + as_kind, bucket, None, c), *(_row(*r) for r in sent)]
 
     def run(key, got):
         kind, bucket = (x.as_py() for x in key)
@@ -431,21 +456,23 @@ def _reduce(model: dict, level: int):
             word = cols[0][by]
             first = _starts(word[1:] != word[:-1])
             sums = np.stack([np.add.reduceat(x[by].astype(np.uint64), first) for x in (c, *cols[1:])], axis=1)
-            return _told([_row(DONE + CONTEXTS, bucket, None, _save(folder, f"contexts-{bucket:06d}", _coded(chain([word[first]]), sums)))])
+            _save(folder, CONTEXTS, bucket, _coded(chain([word[first]]), sums))
+            return _told([_row(DONE + CONTEXTS, bucket)])
         cols, c = _grouped(cols, c)
         if kind == 1:
-            return _told([_row(DONE + 1, bucket, None, _save(folder, f"runs1-{bucket:06d}", _coded(chain(cols), c[:, None])), c)])
+            _save(folder, 1, bucket, _coded(chain(cols), c[:, None]))
+            return _told([_row(DONE + 1, bucket, None, c)])
         if kind == 2:
-            return _told(pairs(cols[0], cols[1], c, f"runs2-{bucket:06d}", bucket))
+            return _told(pairs(cols[0], cols[1], c, 2, bucket))
         first = _starts(np.logical_or.reduce([x[1:] != x[:-1] for x in cols[:-1]]))
         context, sums = chain([x[first] for x in cols[:-1]]), _totals(first, c)
-        path = _save(folder, f"runs{kind}-{bucket:06d}", [*_coded(chain(cols), c[:, None]), *_coded(context, sums)])
-        out = [_row(DONE + kind, bucket, None, path, c)]
+        _save(folder, kind, bucket, [*_coded(chain(cols), c[:, None]), *_coded(context, sums)])
+        out = [_row(DONE + kind, bucket, None, c)]
         del context, sums, first
         lower, f = _grouped(cols[1:])
         whole = lower[0] >= hot if kind == 3 else np.zeros(len(f), dtype=bool)
         if whole.any():  # all that precedes these pairs is here
-            out += pairs(lower[0][whole], lower[1][whole], f[whole], f"runs2-{bucket:06d}-whole", bucket)
+            out += pairs(lower[0][whole], lower[1][whole], f[whole], WHOLE, bucket)
         lower, f = [x[~whole] for x in lower], f[~whole]
         out += [_row(*r) for r in _dealt(kind - 1, lower, f, bucket_of(lower, hot, bits) if len(f) else np.zeros(0, np.int64))]
         del cols, lower
@@ -466,61 +493,67 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return min(max(d1, 0.05), 1.0), min(max(d2, 0.05), 2.0), min(max(d3, 0.05), 3.0)
 
 
+def _summed(found: DataFrame) -> tuple[dict[int, dict], dict[int, bytes]]:
+    """Of the rows of written files: each kind's totals, and a bitmap of its buckets; a few rows, each of 32,768 buckets."""
+    at = F.col("bucket").cast("long") + 1
+    sums = [F.sum(x).alias(x) for x in ("n", "total", "n1", "n2", "n3", "n4")]
+    told = found.where(F.col("kind") >= DONE).groupBy("kind", F.bitmap_bucket_number(at).alias("part")).agg(*sums, F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("there"))
+    totals: dict[int, dict] = {}
+    there: dict[int, bytes] = {}
+    for r in sorted(told.collect(), key=lambda r: (r.kind, r.part)):
+        kind = r.kind - DONE
+        own = totals.setdefault(kind, dict.fromkeys(("n", "total", "n1", "n2", "n3", "n4"), 0))
+        for x in own:
+            own[x] += r[x]
+        before = there.get(kind, b"")
+        there[kind] = before + bytes((r.part - 1) * 4096 - len(before)) + bytes(r.there)
+    return totals, there
+
+
 def train(docs: DataFrame, order: int = ORDER) -> dict:
-    """Count all texts of docs; returns the model: totals, discounts and where the list of its files is (a few numbers and names)."""
+    """Count all texts of docs; returns the model: totals, discounts, and in which folder and for which buckets its files are.
+
+    Words have 32-bit numbers: a corpus of 2^32 - 2 distinct words or more raises.
+    """
     if order < 2:
         raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     bits = max(4, (docs.rdd.getNumPartitions() - 1).bit_length() + 1)
-    model = {"order": order, "bits": bits, "folder": new_path(spark, "kneser-ney")}
+    model = {"order": order, "bits": bits, "word_bits": min(bits, WORD_BITS), "folder": new_path(spark, "kneser-ney"), "there": {}}
     empty = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _REDUCED.split(", ")[3:]]
     dealt = lambda rows: rows.groupBy("kind", "bucket")
-    words = dealt(docs.select("text").mapInArrow(_count_words(bits), _COUNTED)).applyInArrow(_reduce_words(model["folder"]), _REDUCED).drop("blob").collect()  # a row a file
+    counted = dealt(docs.select("text").mapInArrow(_count_words(model["word_bits"]), _COUNTED)).applyInArrow(_reduce_words(model["folder"]), _REDUCED)
+    words = counted.select("bucket", "n", "total", "classes").collect()  # at most 2^WORD_BITS rows of a few numbers
     model |= {"tokens": sum(f.total for f in words), "words": sum(f.n for f in words)}
-    classes = np.zeros((1 << bits, _CLASSES + 1), np.int64)
+    check_numbers(model["words"])
+    classes = np.zeros((1 << model["word_bits"], _CLASSES + 1), np.int64)
+    held = np.zeros(len(classes), bool)
     for f in words:
-        classes[f.bucket] = f.classes
+        classes[f.bucket], held[f.bucket] = f.classes, True
+    model["there"][RAW] = np.packbits(held, bitorder="little").tobytes()
     before = np.cumsum(classes.T.ravel()) - classes.T.ravel()  # words of larger classes, then of buckets before
-    model["numbers"] = _put(model["folder"], "numbers", {"first": (before.reshape(_CLASSES + 1, -1).T + 1).tolist(), "classes": classes.tolist()})
+    model["numbers"] = f"{model['folder']}/numbers.bin"
+    _write(model["numbers"], [(before.reshape(_CLASSES + 1, -1).T + 1).astype(np.uint64).ravel(), classes.astype(np.uint64).ravel()])
     often = _CLASSES - int(HOT * model["tokens"] / (1 << bits)).bit_length()
     model["hot"] = 1 + int(classes[:, : max(0, often)].sum())
-    model["files"] = _put(model["folder"], "word-files", {str(RAW): _by_bucket(words)})
     found = docs.select("text").mapInArrow(_count_runs(model), _COUNTED).select("*", *empty)
     for level in range(order, 0, -1):
         found = dealt(found).applyInArrow(_reduce(model, level), _REDUCED)
-    files = found.drop("blob").collect()  # a row a file
-    of = lambda kind: [f for f in files if f.kind == DONE + kind]
-    sums = lambda kind, *names: [sum(f[x] for f in of(kind)) for x in names]
+    totals, there = _summed(found)
+    model["there"] |= there
+    sums = lambda m, *names: [sum(totals.get(k, {}).get(x, 0) for k in ((2, WHOLE) if m == 2 else (m,))) for x in names]
     model["pairs"] = sums(1, "total")[0]
     model["d"] = {m: discounts(*sums(m, "n1", "n2", "n3", "n4")) for m in range(1, order + 1)}
     once, twice, n = sums(1, "n1", "n2", "n")
     d = model["d"][1]
     model["rest"] = (d[0] * once + d[1] * twice + d[2] * (n - once - twice)) / max(1, model["pairs"])
-    model["files"] = _put(model["folder"], "files", {str(kind): _by_bucket(of(kind)) for kind in (*range(1, order + 1), CONTEXTS)} | {str(RAW): _by_bucket(words)})
     return model
 
 
-def _by_bucket(files) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for f in sorted(files, key=lambda f: f.path):
-        out.setdefault(str(f.bucket), []).append(f.path)
-    return out
-
-
-def _put(folder: str, name: str, value) -> str:
-    """Write a list that tasks read; lists of files have a row for a few files of each bucket."""
-    fs, at = file_system(f"{folder}/{name}.json")
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(at, compression=None) as f:
-        f.write(json.dumps(value).encode())
-    return f"{folder}/{name}.json"
-
-
-@lru_cache(maxsize=8)
-def _got(path: str):
-    fs, at = file_system(path)
-    with fs.open_input_stream(at, compression=None) as f:
-        return json.loads(f.read())
+def check_numbers(words: int) -> None:
+    """Word numbers are 32 bits, two of them taken."""
+    if words >= 2**32 - 2:
+        raise ValueError(f"{words} distinct words are more than 32-bit numbers hold")
 
 
 @lru_cache(maxsize=1)
@@ -531,15 +564,22 @@ def _copies() -> str:
 
 
 def _mapped(path: str) -> list[np.ndarray]:
-    """The arrays of a file, mapped; a file in a store that can't be mapped is copied for the worker's life."""
+    """The arrays of a file, mapped; the map closes when none of them is used any more.
+
+    A file in a store that can't be mapped is copied first; the copy's name is
+    removed at once, so its disk is free again when the map closes.
+    """
     from pyarrow import fs as F_
 
     fs, at = file_system(path)
-    if not isinstance(fs, F_.LocalFileSystem):
-        local = f"{_copies()}/{at.rpartition('/')[2]}"
-        F_.copy_files(at, local, source_filesystem=fs, destination_filesystem=F_.LocalFileSystem())
-        at = local
+    local = isinstance(fs, F_.LocalFileSystem)
+    if not local:
+        mine = f"{_copies()}/{at.rpartition('/')[2]}"
+        F_.copy_files(at, mine, source_filesystem=fs, destination_filesystem=F_.LocalFileSystem())
+        at = mine
     whole = np.memmap(at, dtype=np.uint8, mode="r")
+    if not local:
+        os.unlink(at)
     head = whole[: 8 * (1 + 2 * int(whole[:8].view(np.uint64)[0]))].view(np.uint64)[1:].tolist()
     out, pos = [], 8 * (1 + len(head))
     for item, n in zip(head[::2], head[1::2]):
@@ -549,26 +589,46 @@ def _mapped(path: str) -> list[np.ndarray]:
 
 
 class _Files:
-    """The tables of a model's files by kind and bucket."""
+    """The tables of a model's files by kind and bucket; at most POOL are mapped, and the one not used for longest goes first."""
 
     def __init__(self, model: dict):
-        self.model, self.open = model, {}
-
-    def of(self, kind: int, bucket: int, make):
-        if (kind, bucket) not in self.open:
-            self.open[kind, bucket] = [make(_mapped(p)) for p in _got(self.model["files"]).get(str(kind), {}).get(str(bucket), ())]
+        self.model, self.open = model, OrderedDict()
+
+    def _one(self, kind: int, bucket: int):
+        there = self.model["there"].get(kind, b"")
+        if bucket >> 3 >= len(there) or not there[bucket >> 3] >> (bucket & 7) & 1:
+            return None
+        if (kind, bucket) in self.open:
+            self.open.move_to_end((kind, bucket))
+        else:
+            while len(self.open) >= POOL:
+                self.open.popitem(last=False)
+            self.open[kind, bucket] = _mapped(_file(self.model["folder"], kind, bucket))
         return self.open[kind, bucket]
 
+    def of(self, kind: int, bucket: int):
+        """The arrays of the bucket's files, one after another."""
+        for k in (2, WHOLE) if kind == 2 else (kind,):
+            found = self._one(k, bucket)
+            if found is not None:
+                yield found
+
 
 class Words(_Files):
     """Counts and numbers of words."""
 
+    def __init__(self, model: dict):
+        super().__init__(model)
+        self.numbers = None
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of sorted distinct hashes: their count in training, and their number."""
         c, numbers = np.zeros(len(h)), np.full(len(h), UNKNOWN)
-        named = _got(self.model["numbers"])
-        for b, i, j in _sliced(h, self.model["bits"]):
-            for keys, small, places, values, rank in self.of(RAW, b, list):
+        if self.numbers is None:
+            self.numbers = [x.reshape(-1, _CLASSES + 1) for x in _mapped(self.model["numbers"])]
+        first, classes = self.numbers
+        for b, i, j in _sliced(h, self.model["word_bits"]):
+            for keys, small, places, values, rank in self.of(RAW, b):
                 at = np.minimum(np.searchsorted(keys, h[i:j]), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == h[i:j])
                 at = at[hit]
@@ -576,10 +636,10 @@ class Words(_Files):
                 wide = np.flatnonzero(count == 255)
                 if len(wide):
                     count[wide] = values[np.searchsorted(places, at[wide].astype(np.uint64))]
-                before = np.cumsum([0, *named["classes"][b]])
+                before = np.cumsum(np.append(0, classes[b].astype(np.int64)))
                 kind = np.searchsorted(before, rank[at], side="right") - 1
                 c[i + hit] = count
-                numbers[i + hit] = np.array(named["first"][b])[kind] + rank[at] - before[kind]
+                numbers[i + hit] = first[b].astype(np.int64)[kind] + rank[at] - before[kind]
         return c, numbers
 
 
@@ -596,7 +656,7 @@ class Scorer(_Files):
         """Values of keys in their buckets' tables; a file's table that begins at its array `first`."""
         out = np.zeros((len(keys), columns))
         for b, at in _places(bucket):
-            for arrays in self.of(kind, b, list):
+            for arrays in self.of(kind, b):
                 out[at] += Table(arrays[first : first + Table.ARRAYS], columns).find(keys[at])
         return out
 

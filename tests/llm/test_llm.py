@@ -425,6 +425,40 @@ def test_kneser_ney_plain(spark, order):
         assert abs(sum(last(x) for x in [*vocab, "unheard"]) - 1) < 1e-9
 
 
+def test_kneser_ney_open_files(spark, monkeypatch):
+    """A model of 128 partitions' buckets is scored under a limit of 256 open files, with the scores of one of 2 partitions."""
+    import os
+    import resource
+
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(i % 23)) for i in range(400)]
+    frame = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    model, small = kneser_ney.train(frame.repartition(128), 3), kneser_ney.train(frame.coalesce(2), 3)
+    assert sum(b.bit_count() for x in model["there"].values() for b in x) > 600
+    h, n = kneser_ney.tokens([t.encode() for t in texts])
+    scorer = kneser_ney.Scorer(model)
+    opened = lambda: len(os.listdir("/proc/self/fd"))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    began = opened()
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, hard))
+    try:
+        full = scorer.score(h, n)[2]
+        assert opened() - began <= 2 * kneser_ney.POOL + 2
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert np.allclose(full, kneser_ney.Scorer(small).score(h, n)[2], rtol=1e-12)
+    monkeypatch.setattr(kneser_ney, "POOL", 1)
+    assert (kneser_ney.Scorer(model).score(h, n)[2] == full).all()
+    # a task that runs again writes its files again
+    for name in os.listdir(model["folder"].removeprefix("file://")):
+        assert name.endswith(".bin")
+
+
+def test_kneser_ney_word_numbers():
+    kneser_ney.check_numbers(2**32 - 3)
+    with pytest.raises(ValueError):
+        kneser_ney.check_numbers(2**32 - 2)
+
+
 def test_kneser_ney_arrays():
     rng = np.random.default_rng(5)
     for m in (1, 2, 3, 4):
