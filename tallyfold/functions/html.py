@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template".split())
@@ -16,36 +18,59 @@ ENDS = {**dict.fromkeys(BLOCKS, ({"p"}, {"button", "td", "th", "caption"})), "li
 
 
 class Node:
-    __slots__ = ("attrs", "children", "order", "parent", "tag")
+    """An element: `order` counts the page's elements and texts from its top, `end` is the last one inside, `place` its place among its siblings."""
 
-    def __init__(self, tag: str, attrs: dict, parent: Node | None, order: int):
-        self.tag, self.attrs, self.parent, self.children, self.order = tag, attrs, parent, [], order
+    __slots__ = ("attrs", "children", "end", "order", "parent", "place", "tag", "tree")
+
+    def __init__(self, tag: str, attrs: dict, parent: Node | None, order: int, tree: Tree):
+        self.tag, self.attrs, self.parent, self.children, self.order, self.end, self.tree = tag, attrs, parent, [], order, order, tree
+        self.place = len(parent.children) if parent is not None else 0
 
     def below(self):
         """All nodes and texts under this one, in document order."""
-        todo = list(reversed(self.children))
-        while todo:
-            x = todo.pop()
-            yield x
-            if isinstance(x, Node):
-                todo.extend(reversed(x.children))
+        return self.tree.within(self, "node()")
 
     def text(self, hidden: bool = True) -> str:
-        out, todo = [], list(reversed(self.children))
-        while todo:
-            x = todo.pop()
-            if isinstance(x, Text):
-                out.append(x.value)
-            elif hidden or x.tag not in HIDDEN:
-                todo.extend(reversed(x.children))
-        return "".join(out)
+        if hidden:
+            return "".join(x.value for x in self.tree.within(self, "text()"))
+        return "".join(_unless(self, HIDDEN))
 
 
 class Text:
-    __slots__ = ("order", "parent", "value")
+    __slots__ = ("order", "parent", "place", "value")
 
     def __init__(self, value: str, parent: Node, order: int):
-        self.value, self.parent, self.order = value, parent, order
+        self.value, self.parent, self.order, self.place = value, parent, order, len(parent.children)
+
+    @property
+    def end(self) -> int:
+        return self.order
+
+    @property
+    def tree(self) -> Tree:
+        return self.parent.tree
+
+
+class Tree:
+    """A page's index: for each tag, all elements and all texts, their places in document order, so that what lies under a node is a range."""
+
+    def __init__(self):
+        self.all: list = []
+        self.lists: dict[str, tuple[list[int], list]] = {}
+        self.found: dict = {}
+
+    def within(self, node, test: str) -> list:
+        """What lies under a node and has this tag (* any element, text() a text, node() both), in document order."""
+        if test not in self.lists:
+            if test == "node()":
+                own = self.all
+            elif test == "text()":
+                own = [x for x in self.all if isinstance(x, Text)]
+            else:
+                own = [x for x in self.all if isinstance(x, Node) and test in ("*", x.tag)]
+            self.lists[test] = [x.order for x in own], own
+        orders, own = self.lists[test]
+        return own[bisect_right(orders, node.order) : bisect_right(orders, node.end)]
 
 
 class Attribute:
@@ -58,8 +83,8 @@ class Attribute:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#document", {}, None, 0)
-        self.n = 0
+        self.tree = Tree()
+        self.root = self.at = Node("#document", {}, None, 0, self.tree)
 
     def handle_starttag(self, tag, attrs, closed=False):
         ended, held = ENDS.get(tag, ((), ()))
@@ -68,8 +93,8 @@ class _Builder(HTMLParser):
             if node.tag in ended:
                 self.at = node.parent
             node = node.parent
-        self.n += 1
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, self.n)
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, len(self.tree.all) + 1, self.tree)
+        self.tree.all.append(node)
         self.at.children.append(node)
         if tag not in VOID and not closed:
             self.at = node
@@ -85,8 +110,9 @@ class _Builder(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
-        self.n += 1
-        self.at.children.append(Text(data, self.at, self.n))
+        x = Text(data, self.at, len(self.tree.all) + 1)
+        self.tree.all.append(x)
+        self.at.children.append(x)
 
 
 def parse(html: str | None) -> Node:
@@ -94,6 +120,8 @@ def parse(html: str | None) -> Node:
     b = _Builder()
     b.feed(html or "")
     b.close()
+    for x in reversed(b.tree.all):  # children come after their parents
+        x.parent.end = max(x.parent.end, x.end)
     return b.root
 
 
@@ -156,7 +184,7 @@ def _axis(node, axis: str):
     if axis == "child":
         return node.children if isinstance(node, Node) else []
     if axis in ("descendant", "descendant-or-self"):
-        return ([node] if axis != "descendant" else []) + (list(node.below()) if isinstance(node, Node) else [])
+        return ([node] if axis != "descendant" else []) + (node.below() if isinstance(node, Node) else [])
     if axis == "self":
         return [node]
     if axis in ("parent", "ancestor", "ancestor-or-self"):
@@ -167,7 +195,7 @@ def _axis(node, axis: str):
             up = up.parent if axis != "parent" else None
         return out
     siblings = node.parent.children if node.parent is not None and not isinstance(node, Attribute) else []
-    at = next((i for i, x in enumerate(siblings) if x is node), 0)
+    at = node.place if siblings else 0
     return siblings[at + 1 :] if axis == "following-sibling" else list(reversed(siblings[:at]))
 
 
@@ -184,6 +212,7 @@ class _Compiler:
             self.tokens.append(("number", m[1]) if m[1] else ("text", m[2][1:-1]) if m[2] else ("sign", m[3]) if m[3] else ("name", m[4]))
             at = m.end()
         self.at = 0
+        self.inside = 0  # predicates that are open
 
     def peek(self, k: int = 0):
         return self.tokens[self.at + k] if self.at + k < len(self.tokens) else (None, None)
@@ -242,12 +271,13 @@ class _Compiler:
             inner = self.either()
             self.need(")")
             return self.steps(self.filtered(inner))
+        began = self.at
+        root = lambda c: [_root(c[0])]
         if self.take("/"):
-            root = lambda c: [_root(c[0])]
-            return self.steps(self.step(root)) if self.starts_step() else root
+            return self.steps(self.step(root), began) if self.starts_step() else root
         if self.take("//"):
-            return self.steps(self.step(lambda c: _axis(_root(c[0]), "descendant-or-self")))
-        return self.steps(self.step(lambda c: [c[0]]))
+            return self.steps(self.step(root, True), began)
+        return self.steps(self.step(lambda c: [c[0]]), began)
 
     def starts_step(self) -> bool:
         return self.peek()[0] == "name" or self.peek() in [("sign", x) for x in (".", "..", "@", "*")]
@@ -263,25 +293,37 @@ class _Compiler:
             raise ValueError(f"no XPath function {name!r} here")
         return lambda c: _FUNCTIONS[name](c, *(a(c) for a in args))
 
-    def steps(self, out):
+    def steps(self, out, began: int | None = None):
+        """Further steps. began: where a path of its own started; what it has found up to here is then kept for other paths that start alike."""
         while True:
+            if began is not None and not self.inside and self.peek()[1] in ("/", "//"):
+                out = _kept(out, tuple(self.tokens[began : self.at]))
             if self.take("//"):
-                out = self.step(lambda c, before=out: _ordered([y for x in before(c) for y in _axis(x, "descendant-or-self")]))
+                out = self.step(out, True)
             elif self.take("/"):
                 out = self.step(out)
             else:
                 return out
 
+    def predicate(self):
+        """(test, whether it asks for no position): the rest of [...] after its bracket."""
+        self.inside += 1
+        began = self.at
+        test = self.either()
+        self.need("]")
+        self.inside -= 1
+        return test, _no_position(self.tokens[began : self.at - 1])
+
     def filtered(self, out):
         while self.take("["):
-            test = self.either()
-            self.need("]")
+            test, _ = self.predicate()
             out = lambda c, before=out, test=test: _picked(before(c), test)
         return out
 
-    def step(self, before):
+    def step(self, before, deep: bool = False):
+        """A step after /, or after // (deep), which looks below all that came before."""
         if self.take("."):
-            return before
+            return (lambda c: _ordered([y for x in before(c) for y in _axis(x, "descendant-or-self")])) if deep else before
         if self.take(".."):
             axis, test = "parent", "node()"
         else:
@@ -298,19 +340,80 @@ class _Compiler:
                 test += "()"
         tests = []
         while self.take("["):
-            tests.append(self.either())
-            self.need("]")
+            tests.append(self.predicate())
+
+        def below(c):
+            out = []
+            for x in _outermost(before(c)):
+                out += x.tree.within(x, test) if isinstance(x, Node) else []
+            for t, plain in tests:
+                out = [x for x in out if _truth(t((x, 1, 1)))] if plain else _picked_by_parent(out, t)
+            return out
 
         def run(c):
+            from_ = before(c)
+            if deep:
+                from_ = _ordered([y for x in from_ for y in _axis(x, "descendant-or-self")])
             out = []
-            for x in before(c):
+            for x in from_:
                 found = [y for y in _axis(x, axis) if _matches(y, test)]
-                for t in tests:
+                for t, _ in tests:
                     found = _picked(found, t)
                 out += found
-            return _ordered(out)
+            return out if len(from_) == 1 and axis in ("child", "attribute", "self", "descendant", "descendant-or-self", "following-sibling") else _ordered(out)
+
+        return below if deep and axis == "child" else run
+
+
+#: Functions whose value is a truth, so that a predicate of them asks for no position.
+_TRUTHS = frozenset(("not", "contains", "starts-with", "true", "false", "boolean"))
+
+
+def _no_position(tokens: list) -> bool:
+    """Whether a predicate surely doesn't depend on a node's place among others: a comparison, truth or path without position() and last()."""
+    if not tokens or any(x in (("name", "position"), ("name", "last")) for x in tokens):
+        return False
+    depth = 0
+    for kind, value in tokens:
+        depth += (value in "([") - (value in ")]") if kind == "sign" else 0
+        if depth == 0 and ((kind == "sign" and value in ("=", "!=", "<", "<=", ">", ">=")) or (kind == "name" and value in ("and", "or"))):
+            return True
+    kind, value = tokens[0]
+    if kind == "name" and value not in ("text", "node", "comment") and tokens[1:2] == [("sign", "(")]:
+        return value in _TRUTHS
+    return kind == "name" or (kind == "sign" and value != "(" and value != "-")
+
+
+def _kept(out, start: tuple):
+    """What a path's start finds from a node, found once for the page."""
 
-        return run
+    def run(c):
+        node = c[0]
+        found = node.tree.found if not isinstance(node, Attribute) else {}
+        mark = (start, id(node))
+        if mark not in found:
+            found[mark] = out(c)
+        return found[mark]
+
+    return run
+
+
+def _outermost(nodes: list) -> list:
+    """Nodes in document order without those that lie in another of them."""
+    out, end = [], -1
+    for x in nodes:
+        if x.order > end:
+            out.append(x)
+            end = x.order if isinstance(x, Attribute) else x.end
+    return out
+
+
+def _picked_by_parent(nodes: list, test) -> list:
+    """Nodes that a predicate keeps among the children of their own parent."""
+    groups: dict[int, list] = {}
+    for x in nodes:
+        groups.setdefault(id(x.parent), []).append(x)
+    return _ordered([x for g in groups.values() for x in _picked(g, test)])
 
 
 def _root(x) -> Node:
@@ -378,8 +481,17 @@ def values(root, xpath: str, strip: bool = False) -> list[str]:
     if not xpath:
         return []
     got = compiled(xpath)((root, 1, 1))
-    each = [_visible(x, strip) if isinstance(x, Node) else x.value for x in got] if isinstance(got, list) else [_string(got)]
-    return [t for t in (" ".join(x.split()) for x in each) if t]
+    return [t for t in (" ".join(x.split()) for x in _texts(got, strip)) if t]
+
+
+def first(root, xpath: str) -> list[str]:
+    """The text of the first that a path finds, white space collapsed; none if that is blank, whatever follows it."""
+    got = compiled(xpath)((root, 1, 1)) if xpath else []
+    return [t for t in (" ".join(x.split()) for x in _texts(got[:1] if isinstance(got, list) else got, False)) if t]
+
+
+def _texts(got, strip: bool) -> list[str]:
+    return [_visible(x, strip) if isinstance(x, Node) else x.value for x in got] if isinstance(got, list) else [_string(got)]
 
 
 def _visible(node: Node, strip: bool) -> str:
@@ -408,12 +520,32 @@ def older_form(raw: str) -> str:
     return re.split("[?#&,;]", x, maxsplit=1)[0].strip().lower()
 
 
+def newer_form(raw: str) -> str:
+    """A candidate with escapes read, without wrapping, mailto:, what follows the address and punctuation at its ends, in lower case."""
+    x = unquote(raw).strip().strip("<>\"'")
+    if x.lower().startswith("mailto:"):
+        x = x[7:]
+    return re.split("[?#&,;]", x, maxsplit=1)[0].strip().strip("()[]{}<>\"'.,:").lower()
+
+
+_SIGNS = [(re.compile(p, re.I), to) for p, to in ((r"\s*[(\[]?at[)\]]?\s*", "@"), (r"\s*[(\[]?dot[)\]]?\s*", "."), (r"\s+@\s+", "@"), (r"\s*\.\s*", "."))]
+
+
+def signs_read(text: str) -> str:
+    """ "at" and "dot", bracketed or not, as @ and a dot."""
+    x = f" {text} "
+    for pattern, to in _SIGNS:
+        x = pattern.sub(to, x)
+    return x
+
+
 def deobfuscated(text: str) -> str:
-    """ "at" and "dot", bracketed or not, as @ and a dot, in lower case."""
-    x = f" {text.lower()} "
-    for pattern, to in ((r"\s*[(\[]?at[)\]]?\s*", "@"), (r"\s*[(\[]?dot[)\]]?\s*", "."), (r"\s+@\s+", "@"), (r"\s*\.\s*", ".")):
-        x = re.sub(pattern, to, x)
-    return x.strip()
+    return signs_read(text.lower()).strip()
+
+
+def candidates(text: str) -> set[str]:
+    """The e-mails of a text as it stands and with "at" and "dot" read as signs, in the newer normal form."""
+    return {newer_form(m) for x in (text, signs_read(text)) for m in EMAIL.findall(x)} - {""}
 
 
 def unprotected(hexes: str) -> str:

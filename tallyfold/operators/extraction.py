@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "page_id long, block int, core map<string,string>, source_data map<string,string>, missing array<string>, detail_url string, detail_source string"
 CHANNEL = "page_id long, email string, channel string"
-TRACE = "page_id long, label string, xpath string, regex string, matches int, value string, previews array<string>, attempts array<struct<index:int,matched:boolean,value:string,preview:string>>, matched_index int"
+TRACE = "page_id long, label string, xpath string, regex string, matches int, value string, previews array<string>, attempts array<struct<index:int,matched:boolean,value:string,preview:string>>, matched_index int, status string"
 #: Rows that a task holds before it hands them on.
 ROWS = 2048
 
@@ -64,31 +65,34 @@ def email_channels(pages: DataFrame) -> DataFrame:
 
         return [(page_id, e, c) for e, c in channels(html)]
 
-    return rows_of(pages.where("html RLIKE '(?i)@|at|email-protection|cfemail'"), CHANNEL, one, "html")
+    # what stands as an entity in the markup, as &#64;, passes too
+    return rows_of(pages.where("html RLIKE '(?i)[@&]|at|email-protection|cfemail'"), CHANNEL, one, "html")
 
 
 def extract_blocks(pages: DataFrame, template: dict) -> DataFrame:
     """A template's blocks of every page (page_id, url, html), with the labels of required fields that have no value."""
+    text = json.dumps(template)
 
     def one(page_id, url, html):
-        from tallyfold.functions.template import blocks
+        from tallyfold.functions.template import program
 
-        return [(page_id, i, list(core.items()), list(dynamic.items()), missing, to, source) for i, core, dynamic, missing, to, source in blocks(html, url or "", template)]
+        return [(page_id, i, list(core.items()), list(dynamic.items()), missing, to, source) for i, core, dynamic, missing, to, source in program(text).blocks(html, url or "")]
 
     return rows_of(pages, BLOCK, one, "url", "html")
 
 
-def extract_pages(pages: DataFrame, fields: list[dict]) -> DataFrame:
-    """One row a page: fields found anywhere on it, e-mail fields with their fallback."""
+def extract_pages(pages: DataFrame, fields: list[dict], keep: str = "") -> DataFrame:
+    """One row a page: fields found anywhere on it, e-mail fields with their fallback; keep: "url" for the page's own URL beside them."""
+    text = json.dumps(fields)
 
     def one(page_id, url, html):
         from tallyfold.functions import html as H
-        from tallyfold.functions.template import contact
+        from tallyfold.functions.template import contact, page_fields
 
-        core, dynamic, missing = contact(H.parse(html), fields, url or "", html or "")
-        return [(page_id, 1, list(core.items()), list(dynamic.items()), missing, "", "")]
+        core, dynamic, missing = contact(H.parse(html), page_fields(text), url or "", html or "")
+        return [(page_id, 1, list(core.items()), list(dynamic.items()), missing, "", "", *([url] if keep else []))]
 
-    return rows_of(pages, BLOCK, one, "url", "html")
+    return rows_of(pages, BLOCK + (", url string" if keep else ""), one, "url", "html")
 
 
 def whole_blocks(blocks: DataFrame) -> DataFrame:
@@ -106,15 +110,22 @@ def with_details(blocks: DataFrame, details: DataFrame) -> DataFrame:
     return both.withColumn("core", over(F.col("core"), new("core"))).withColumn("source_data", over(F.col("source_data"), new("source_data"))).select(*blocks.columns)
 
 
+def asked_pages(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Those pages that a block names as its detail page: only they are parsed. One broadcast or shuffle of the distinct names, none of the parsed rows."""
+    names = blocks.where("detail_url <> ''").select("detail_url").distinct()
+    return pages.join(names, pages["url"] == names["detail_url"], "left_semi")
+
+
 def traces(pages: DataFrame, fields: list[dict]) -> DataFrame:
-    """How each field of each page got its value."""
+    """How each field of each page got its value, and its status."""
+    text = json.dumps(fields)
 
     def one(page_id, html):
         from tallyfold.functions import html as H
-        from tallyfold.functions.template import trace
+        from tallyfold.functions.template import page_fields
 
         root = H.parse(html)
-        return [(page_id, *trace(root, f).values()) for f in fields]
+        return [(page_id, *f.trace(root).values()) for f in page_fields(text)]
 
     return rows_of(pages, TRACE, one, "html")
 

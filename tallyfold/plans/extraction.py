@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_field_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two fields of each page got their values."""
     fields = [{"label": "title", "xpath": "//title"}, {"label": "numbers", "xpath": "//p", "regex": "[0-9]{3,}"}]
-    return X.traces(_pages(spark, sf_dir), fields).select("page_id", "label", "matches", "value", "matched_index", F.size("attempts").alias("n_attempts"), F.to_json("previews").alias("previews"))
+    return X.traces(_pages(spark, sf_dir), fields).select("page_id", "label", "matches", "value", "matched_index", "status", F.size("attempts").alias("n_attempts"), F.to_json("previews").alias("previews"))
 
 
 def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +63,18 @@ def page_absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.absolute_links(links, "url", "href", "link").select("page_id", "href", "link")
 
 
-_SHOWN = ("name", "url", "rating", "reviews", "address", "hours", "phone", "site", "sponsored")
+_SHOWN = ("name", "url", "rating", "reviews", "business_type", "address", "hours", "phone", "site", "email", "sponsored")
+
+
+def _spread(pages: DataFrame) -> DataFrame:
+    """Made-up pages, which come out of few tasks, over as many as work side by side."""
+    spark = pages.sparkSession
+    return pages.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id")
 
 
 def listing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocks of listing pages with their values; N/A where one is missing."""
-    found = X.whole_blocks(X.extract_blocks(view(spark, sf_dir, listing.LISTING_PAGES), listing.LISTING))
+    """The blocks of listing pages with their eleven values; N/A where one is missing, as e-mails always are in a list."""
+    found = X.whole_blocks(X.extract_blocks(_spread(view(spark, sf_dir, listing.LISTING_PAGES)), listing.LISTING))
     name = lambda c: "business_name" if c == "name" else "review_count" if c == "reviews" else c
     return found.select("page_id", "block", *[F.coalesce(F.col("core")[name(c)], F.lit("Not Sponsored" if c == "sponsored" else "N/A")).alias(c) for c in _SHOWN])
 
@@ -80,12 +87,11 @@ def place_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_with_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed places with what their own pages say laid over it."""
-    blocks = X.extract_blocks(view(spark, sf_dir, listing.LISTING_PAGES), listing.LISTING | {"slow": {"enabled": True}})
-    pages = view(spark, sf_dir, listing.PLACE_PAGES)
-    details = X.extract_pages(pages, listing.DETAIL).join(pages.select("page_id", "url"), "page_id")
-    both = X.with_details(X.whole_blocks(blocks), details)
-    return both.select("page_id", "block", *[F.col("core")[c].alias(c) for c in ("business_name", "address", "phone", "category", "hours_detail")])
+    """Listed places with what their own pages say laid over it; only pages that a block names are parsed."""
+    blocks = X.whole_blocks(X.extract_blocks(_spread(view(spark, sf_dir, listing.LISTING_PAGES)), listing.LISTING | {"slow": {"enabled": True}})).persist(StorageLevel.DISK_ONLY)  # read for the names and for the rows
+    pages = X.asked_pages(view(spark, sf_dir, listing.PLACE_PAGES), blocks)
+    details = X.extract_pages(pages, listing.DETAIL, keep="url")
+    return X.with_details(blocks, details).select("page_id", "block", *[F.col("core")[c].alias(c) for c in ("business_name", "address", "phone", "category", "hours_detail")])
 
 
 QUERIES = {f.__name__: f for f in (page_email_channels, page_blocks, page_field_traces, page_captures, page_absolute_links, listing_results, place_details, listing_with_details)}
@@ -128,16 +134,17 @@ q AS (SELECT g.page_id, coalesce(p.v, []) AS v FROM pages g LEFT JOIN p ON p.pag
 n AS (SELECT page_id, v, list_transform(v, lambda x: regexp_extract(x, '[0-9]{{3,}}')) AS hits FROM q),
 f AS (SELECT page_id, v, hits, list_filter(range(1, len(hits) + 1), lambda i: hits[i] <> '') AS hit FROM n),
 t AS (SELECT page_id, {_TEXT.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title FROM pages)
-SELECT page_id, 'title' AS label, CAST(CASE WHEN title = '' THEN 0 ELSE 1 END AS INTEGER) AS matches, title AS value, 0 AS matched_index, 0 AS n_attempts, CAST(to_json(CASE WHEN title = '' THEN [] ELSE [substring(title, 1, 300)] END) AS VARCHAR) AS previews FROM t
-UNION ALL SELECT page_id, 'numbers', CAST(len(v) AS INTEGER), CASE WHEN len(hit) > 0 THEN hits[hit[1]] ELSE regexp_extract(array_to_string(v, ' '), '[0-9]{{3,}}') END, CAST(CASE WHEN hit[1] <= 12 THEN hit[1] ELSE 0 END AS INTEGER), CAST(least(len(v), 12) AS INTEGER), CAST(to_json({_PREVIEWS.format('v')}) AS VARCHAR) FROM f""",
+SELECT page_id, 'title' AS label, CAST(CASE WHEN title = '' THEN 0 ELSE 1 END AS INTEGER) AS matches, title AS value, 0 AS matched_index, CASE WHEN title = '' THEN 'xpath_empty' ELSE 'ok' END AS status, 0 AS n_attempts, CAST(to_json(CASE WHEN title = '' THEN [] ELSE [substring(title, 1, 300)] END) AS VARCHAR) AS previews FROM t
+UNION ALL SELECT page_id, 'numbers', CAST(len(v) AS INTEGER), value, CAST(CASE WHEN hit[1] <= 12 THEN hit[1] ELSE 0 END AS INTEGER), CASE WHEN value <> '' THEN 'ok' WHEN len(v) > 0 THEN 'regex_empty' ELSE 'xpath_empty' END,
+CAST(least(len(v), 12) AS INTEGER), CAST(to_json({_PREVIEWS.format('v')}) AS VARCHAR) FROM (SELECT *, CASE WHEN len(hit) > 0 THEN hits[hit[1]] ELSE regexp_extract(array_to_string(v, ' '), '[0-9]{{3,}}') END AS value FROM f) g""",
     "listing_results": f"""SELECT {_B}, concat('Shop ', c_custkey) AS name, concat('{listing.PLACE}', c_custkey, '/') AS url, concat('4.', c_custkey % 10) AS rating, CAST(c_custkey AS VARCHAR) AS reviews,
-concat(c_custkey % 13, ' Main St Open until 5 (555) 000-', 1000 + c_custkey % 9000) AS address, 'Open until 5' AS hours, concat('(555) 000-', 1000 + c_custkey % 9000) AS phone,
+lower(c_mktsegment) AS business_type, concat(c_custkey % 13, ' Main St') AS address, 'Open until 5' AS hours, 'N/A' AS email, concat('(555) 000-', 1000 + c_custkey % 9000) AS phone,
 CASE WHEN c_custkey % 3 = 0 THEN 'N/A' ELSE concat('https://shop', c_custkey, '.com') END AS site, 'Not Sponsored' AS sponsored FROM customer""",
     "place_details": """SELECT c_custkey AS page_id, concat('Shop ', c_custkey, ' & Sons') AS name, concat(c_custkey % 13, ' Main St') AS address, 'N/A' AS located_in, 'N/A' AS plus_code, concat('+1 555 ', c_custkey % 17) AS phone,
 concat('https://shop', c_custkey, '.com') AS site, 'N/A' AS booking_link, concat('4.', c_custkey % 10) AS rating, CAST(c_custkey AS VARCHAR) AS reviews, c_mktsegment AS category, 'N/A' AS hours, concat('Mon:', c_custkey % 9, '-18') AS hours_detail
 FROM customer WHERE c_custkey % 2 = 0""",
     "listing_with_details": f"""SELECT {_B}, CASE WHEN c_custkey % 2 = 0 THEN concat('Shop ', c_custkey, ' & Sons') ELSE concat('Shop ', c_custkey) END AS business_name,
-CASE WHEN c_custkey % 2 = 0 THEN concat(c_custkey % 13, ' Main St') ELSE concat(c_custkey % 13, ' Main St Open until 5 (555) 000-', 1000 + c_custkey % 9000) END AS address,
+concat(c_custkey % 13, ' Main St') AS address,
 CASE WHEN c_custkey % 2 = 0 THEN concat('+1 555 ', c_custkey % 17) ELSE concat('(555) 000-', 1000 + c_custkey % 9000) END AS phone,
 CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS category, CASE WHEN c_custkey % 2 = 0 THEN concat('Mon:', c_custkey % 9, '-18') END AS hours_detail FROM customer""",
 }

@@ -90,13 +90,11 @@ def page_text(d, x="html"):
 
 
 def fallback_emails(d):
-    """A page's e-mail by where it stands: the first of mailto links, else of the text, else of the whole page."""
-    source = lambda rank, x: f"SELECT page_id, {rank} AS source_rank, {x} AS body FROM {mailed(d)}"
+    """A page's e-mail by where it stands: the first of mailto links, else of the text, else of the whole page; each as written and with "at" and "dot" read as signs."""
     mailto = d.join(d.all("html", "(?i)href=[\"']mailto:[^\"']*"), " ")
-    every = f"({source(1, mailto)} UNION ALL {source(2, page_text(d))} UNION ALL {source(3, 'html')}) s"
-    found = f"SELECT page_id, source_rank, {d.explode}({d.all('body', C.EMAIL)}) AS raw FROM {every} WHERE position('@' IN body) > 0"
-    named = f"(SELECT page_id, source_rank, {C.email(d, 'raw')} AS email FROM ({found}) f) n"
-    return keep_first(f"(SELECT * FROM {named} WHERE email <> '') k", "page_id", "source_rank, email", "page_id, email, source_rank")
+    source = lambda rank, x: f"SELECT page_id, source_rank, email FROM (SELECT page_id, {rank} AS source_rank, email FROM ({candidates(d, f'(SELECT page_id, {x} AS body FROM {mailed(d)}) s', 'page_id', 'body')}) c) n"
+    every = f"({source(1, mailto)} UNION ALL {source(2, page_text(d))} UNION ALL {source(3, 'html')}) u"
+    return keep_first(f"(SELECT * FROM {every} WHERE email <> '') k", "page_id", "source_rank, email", "page_id, email, source_rank")
 
 
 def contact_candidates(d):

@@ -4,12 +4,17 @@ import json
 import os
 import time
 
+from urllib.parse import quote
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tallyfold.functions import html as H
 from tallyfold.functions import template as T
 from tallyfold.operators import engines
 from tallyfold.operators import extraction as X
+from tallyfold.plans import listing
 from tallyfold.sources import files, tables
 from tallyfold.streaming import flows
 
@@ -66,7 +71,7 @@ FIELDS = [
 
 def test_template_blocks(spark):
     template = {"fast": {"block_xpath": "//div", "fields": FIELDS}, "slow": {"enabled": True}}
-    got = list(T.blocks(PAGE, "https://a.com/q", template))
+    got = list(T.Program(template).blocks(PAGE, "https://a.com/q"))
     assert got[0] == (1, {"business_name": "One & two", "domain": "https://a.com/x"}, {"note": "o"}, [], "https://a.com/x", "domain")
     assert got[1] == (2, {"domain": "https://b.com"}, {}, ["Name"], "https://b.com", "domain")
     pages = spark.createDataFrame([(1, "https://a.com/q", PAGE), (2, None, None)], "page_id long, url string, html string")
@@ -78,20 +83,81 @@ def test_template_blocks(spark):
     assert X.extract_blocks(pages.where("false"), template).count() == 0
 
 
-def test_template_parts():
-    assert T.block_scoped("//a") == ".//a" and T.block_scoped(".//a") == ".//a" and T.block_scoped("a") == "a"
-    assert T.matched("Tel: 12 34", "([0-9]+) ([0-9]+)") == "12" and T.matched("x", "[") == "x" and T.matched("x", "y") == "" and T.matched("AB", "b") == "B"
-    assert T.is_email_field({"label": "E-mail", "target_field": "work_email"}) and T.is_email_field({"label": "Email 2"}) and not T.is_email_field({"label": "Phone"})
-    assert T.field_value(["a 1", "b 22"], "[0-9]{2}") == "22" and T.field_value(["a", "b"], "a b") == "a b" and T.field_value(["a", "b"], "") == "a b"
-    tried = T.attempts(["x", "N/A", "7"], "[0-9]")
-    assert [t["matched"] for t in tried] == [False, False, True] and T.matched_index(tried) == 3 and T.matched_index([]) == 0 and len(T.attempts(["1"] * 20, "1")) == 12
-    assert T.absolute("https://a.com/b/c", "../d/./e/") == "https://a.com/d/e" and T.absolute("https://a.com", "n/a") == "" and T.website("https://a.com", "//b.com/") == "https://b.com"
-    assert T.website("https://a.com/", "https://l.facebook.com/l.php?u=https%3A%2F%2Fshop.com%2Fa%2F&h=1") == "https://shop.com/a"
+def field(**config):
+    return T.Field.of(config)
+
+
+def test_template_fields():
+    assert T.Field.of({"xpath": "//a"}, in_block=True).path == ".//a" and T.Field.of({"xpath": ".//a"}, in_block=True).path == ".//a" and T.Field.of({"xpath": "a"}, in_block=True).path == "a" and field(xpath="//a").path == "//a"
+    find = lambda value, pattern: T.Pattern(pattern).find(value)
+    assert find("Tel: 12 34", "([0-9]+) ([0-9]+)") == "12" and find("x", "[") == "x" and find("x", "y") == "" and find("AB", "b") == "B"
+    assert field(label="E-mail", target_field="work_email").email and field(label="Email 2").email and not field(label="Phone").email
+    assert field(regex="[0-9]{2}").value_of(["a 1", "b 22"]) == "22" and field(regex="a b").value_of(["a", "b"]) == "a b" and field().value_of(["a", "b"]) == "a b"
+    tried = field(regex="[0-9]").attempts(["x", "N/A", "7"])
+    assert [t["matched"] for t in tried] == [False, False, True] and len(field(regex="1").attempts(["1"] * 20)) == 12
+    assert field(target_field="CompanyName").name == "business_name" and field(target_field="Note", target_type="Dynamic").name == "note" and field(label="", xpath="//b").label == "//b"
+    root = H.parse('<a href="mailto:zed@a.com">x</a> amy@a.com <i> </i><i>late</i>')
+    assert T.contact(root, [field(label="Email", target_field="email", xpath="//b")], "u", "h")[0] == {"email": "zed@a.com"}
+    assert field(label="l", xpath="//a", regex="x").trace(root) == {"label": "l", "xpath": "//a", "regex": "x", "matches": 1, "value": "x", "previews": ["x"], "attempts": [{"index": 1, "matched": True, "value": "x", "preview": "x"}], "matched_index": 1, "status": "ok"}
+    assert field(xpath="//i", first=True).read(root).value == "" and field(xpath="//i").read(root).value == "late" and field(xpath="//a/@href", first=True, regex=":(.*)").read(root).value == "zed@a.com"
+    told = [field(label=k, xpath=x, regex=r).summary(root) for k, x, r in (("a", "//a", ""), ("b", "//a", "[0-9]"), ("c", "//u", ""), ("d", "", ""), ("e", "//a[", ""))]
+    assert told[:4] == ["a=ok", "b=regex_empty(raw_len=1)", "c=xpath_empty", "d=empty_xpath"] and told[4].startswith("e=error(")
+    assert T.debug_extract("<p>1</p><p>b2</p>", "//p", "b([0-9])") == {"matches": 2, "value": "2", "attempts": [{"index": 1, "matched": False, "value": "", "preview": "1"}, {"index": 2, "matched": True, "value": "2", "preview": "b2"}], "matched_index": 2, "status": "ok"}
+
+
+def test_template_urls():
+    assert T.absolute("https://a.com/b/c", "../d/./e/") == "https://a.com/d/e" and T.absolute("https://a.com", "n/a") == "" and T.absolute("https://a.com", "http://[x") == "http://[x"
+    site = lambda x: T.website("https://a.com/", x)
+    assert site("//b.com/") == "https://b.com" and site("shop.com/a/") == "https://shop.com/a" and site("/x/") == "https://a.com/x" and site("none") == ""
+    once = "https://l.facebook.com/l.php?u=https%3A%2F%2Fshop.com%2Fa%2F&h=1"
+    twice = f"https://l.facebook.com/l.php?u={quote(once, safe='')}"
+    assert site(once) == site(twice) == site(f"https://l.facebook.com/l.php?u={quote(twice, safe='')}") == "https://shop.com/a" and site("https://l.facebook.com/l.php?h=1") == "https://l.facebook.com/l.php?h=1"
     assert T.detail_url({"url": "call us", "www": "N/A"}, {"fb_link": "/p/"}, "https://a.com/x") == ("https://a.com/p", "source_data.fb_link") and T.detail_url({}, {}, "u") == ("", "")
-    root = H.parse('<a href="mailto:zed@a.com">x</a> amy@a.com')
-    assert T.contact(root, [{"label": "Email", "target_field": "email", "xpath": "//b"}], "u", "h")[0] == {"email": "zed@a.com"}
-    assert T.trace(root, {"label": "l", "xpath": "//a", "regex": "x"}) == {"label": "l", "xpath": "//a", "regex": "x", "matches": 1, "value": "x", "previews": ["x"], "attempts": [{"index": 1, "matched": True, "value": "x", "preview": "x"}], "matched_index": 1}
-    assert T.debug_extract("<p>1</p><p>b2</p>", "//p", "b([0-9])")["value"] == "2"
+
+
+LIST = """<div role="feed"><div><a href="https://www.google.com/maps/place/9/"></a><div class="fontHeadlineSmall">Acme</div><span role="img" aria-label="4.5 stars"><span>4.5</span><span>(1,234)</span></span>
+<div><span><span>Plumber</span></span><span aria-hidden="true">·</span><span>12 Main St</span></div><div><span>Open until 5</span><span aria-hidden="true">·</span><span>(555) 000-1234</span></div></div></div>"""
+
+
+def test_listing_block(spark):
+    """A block by hand: each list field is the first text that its path finds, and the type stands in a span of its own."""
+    pages = spark.createDataFrame([(1, "https://m.example.net", LIST)], "page_id long, url string, html string")
+    got = X.extract_blocks(pages, listing.LISTING).first().core
+    assert got == {"business_name": "Acme", "url": "https://www.google.com/maps/place/9/", "rating": "4.5", "review_count": "1,234", "business_type": "Plumber", "address": "12 Main St", "hours": "Open until 5", "phone": "(555) 000-1234"}
+
+
+def test_emails_behind_entities_and_words(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>info&#64;acme.com</p>"), (2, "u", '<b href="x"></b><a href="mailto:info&#64;acme.com">x</a>'), (3, "u", "<p>no mail</p>"), (4, "u", None)], "page_id long, url string, html string")
+    got = {(r.page_id, r.email, r.channel) for r in X.email_channels(pages).collect()}
+    assert got == {(1, "info@acme.com", "text"), (2, "info@acme.com", "mailto")}
+    fields = [{"label": "Email", "target_field": "email", "xpath": "//b[@id='none']"}]
+    words = spark.createDataFrame([(1, "u", "<p>info (at) acme (dot) com</p>"), (2, "u", "<p>Zed%40x.com or amy@x.com.</p>"), (3, "u", "<i data-x='raw@x.com'></i>")], "page_id long, url string, html string")
+    found = {r.page_id: r.core.get("email") for r in X.extract_pages(words, fields).collect()}
+    assert found == {1: "info@acme.com", 2: "amy@x.com", 3: "raw@x.com"}
+
+
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p a='1'>", "</p>", "<span>", "</span>", "x", "<b>", "</b>", "<ul><li>", "</ul>"]), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_index_finds_what_a_walk_finds(parts):
+    """Paths that use the index against the same ones step by step."""
+    root = H.parse("".join(parts))
+    walk = "/descendant-or-self::node()/"
+    for deep in ("//p", "//span[1]", "//div//b", "//div[.//b]//p[2]", "//p[@a='1'][1]", "//*[self::p or self::b]", "//div[last()]", "//li/..//text()", "//b[count(../b)]", "//div[p][2]"):
+        assert [id(x) for x in H.nodes(root, deep)] == [id(x) for x in H.nodes(root, deep.replace("//", walk))]
+    every = [x for x in root.tree.all if isinstance(x, H.Node)]
+    for node in every:
+        inside = [x for x in root.tree.all if any(up is node for up in H._axis(x, "ancestor"))]
+        assert node.below() == inside and node.text() == "".join(x.value for x in inside if isinstance(x, H.Text))
+
+
+def test_only_asked_details_are_parsed(spark):
+    blocks = spark.createDataFrame([(1, 1, {"a": "1"}, {}, [], "https://a.com/x", ""), (1, 2, {"a": "2"}, {}, [], "", "")], X.BLOCK)
+    pages = spark.createDataFrame([(5, "https://a.com/x", "<h1>New</h1>"), (6, "https://a.com/y", "<h1>Other</h1>"), (7, None, "")], "page_id long, url string, html string")
+    details = X.extract_pages(X.asked_pages(pages, blocks), [{"label": "a", "target_field": "a", "xpath": "//h1"}], keep="url")
+    assert [(r.page_id, r.core) for r in details.collect()] == [(5, {"a": "New"})]
+    plan = details._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join LeftSemi")
+    assert {r.block: r.core for r in X.with_details(blocks, details).collect()} == {1: {"a": "New"}, 2: {"a": "2"}}
 
 
 def test_capture_and_links(spark):
