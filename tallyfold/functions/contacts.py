@@ -156,17 +156,24 @@ def place_id(d, url: str) -> str:
     return f"regexp_extract({stripped(d, url)}, {d.s('place_id:([^' + chr(92) * 2 + chr(34) + '/]+)')}, 1)"
 
 
-def website_url(d, base: str, x: str) -> str:
-    """A contact's website as a URL without slashes at its end, relative ones against the page; the target of a Facebook redirect."""
+#: Redirects inside redirects that SQL unwraps; templates unwrap them all.
+REDIRECTS = 3
+
+
+def websites(d, source: str, base: str, x: str, into: str) -> str:
+    """source with a contact's website as a URL without slashes at its end, relative ones against the page; what is behind Facebook redirects.
+
+    Each step is a subquery that names what the next one reads, so no expression holds another's text.
+    """
     from tallyfold.functions import links as L
 
-    raw = cleaned(d, x)
-    target = f"regexp_extract({raw}, {d.s('^https?://[^/?#]*l[.]facebook[.]com/l[.]php[^?#]*[?](?:[^#]*&)?u=([^&#]+)')}, 1)"
-    y = f"CASE WHEN {target} <> '' THEN {d.unquote(f'replace({target}, chr(43), chr(32))')} ELSE {raw} END"
-    tests = [
-        (f"({y}) = ''", "''"),
-        (f"({y}) LIKE '//%'", L.slashless(d, f"concat('https:', {y})")),
-        (d.like(f"({y})", "^https?://"), L.slashless(d, f"({y})")),
-        (d.like(f"({y})", "^(?i:[a-z0-9][a-z0-9.-]*[.][a-z]{2,}(?:/.*)?)$"), L.slashless(d, f"concat('https://', {y})")),
-    ]
-    return "CASE " + " ".join(f"WHEN {t} THEN {to}" for t, to in tests) + f" ELSE {L.slashless(d, L.joined(d, base, f'({y})'))} END"
+    redirect = d.s("^https?://[^/?#]*l[.]facebook[.]com/l[.]php[^?#]*[?](?:[^#]*&)?u=([^&#]+)")
+    q = f"SELECT *, {cleaned(d, x)} AS site_0 FROM {source}"
+    for i in range(REDIRECTS):
+        q = f"SELECT *, regexp_extract(site_{i}, {redirect}, 1) AS to_{i} FROM ({q}) a{i}"
+        q = f"SELECT *, {d.unquote(f'replace(to_{i}, chr(43), chr(32))')} AS read_{i} FROM ({q}) b{i}"
+        q = f"SELECT *, CASE WHEN to_{i} <> '' THEN {cleaned(d, f'read_{i}')} ELSE site_{i} END AS site_{i + 1} FROM ({q}) c{i}"
+    raw = f"site_{REDIRECTS}"
+    tests = [(f"{raw} = ''", "''"), (f"{raw} LIKE '//%'", f"concat('https:', {raw})"), (d.like(raw, "^https?://"), raw), (d.like(raw, "^(?i:[a-z0-9][a-z0-9.-]*[.][a-z]{2,}(?:/.*)?)$"), f"concat('https://', {raw})")]
+    whole = "CASE " + " ".join(f"WHEN {t} THEN {to}" for t, to in tests) + f" ELSE {L.joined(d, base, raw)} END"
+    return f"SELECT *, {L.slashless(d, 'site_url')} AS {into} FROM (SELECT *, {whole} AS site_url FROM ({q}) w) z"

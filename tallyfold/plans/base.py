@@ -25,14 +25,15 @@ def candidates(d, table, key, text):
     return f"SELECT DISTINCT {key}, {C.email(d, 'raw')} AS email FROM ({found} UNION ALL {plain}) c"
 
 
-def anchors(d):
-    """Every anchor of each page: its absolute link, the link's path and its text without tags."""
-    tags = f"SELECT page_id, url, {d.explode}({d.all('html', _ANCHOR)}) AS tag FROM pages"
+def anchors(d, marked=False):
+    """Every anchor of each page: its absolute link, the link's path and its text without tags. marked: and a row with mark for the page itself, all from one scan."""
+    found = f"{d.all('html', _ANCHOR)} || {d.array(d.s(''))}" if marked else d.all("html", _ANCHOR)
+    tags = f"SELECT page_id, url, {d.explode}({found}) AS tag FROM pages"
     bare = lambda x: d.rep(f"trim({x})", "^[\"']|[\"']$", "")
     href = f"replace(trim({bare(f'regexp_extract(tag, {d.s(_HREF)}, 1)')}), '&amp;', '&')"
-    cut = f"SELECT page_id, url, {href} AS href, {d.rep('tag', '<[^>]*>', '')} AS text FROM ({tags}) t"
-    full = f"SELECT page_id, url, text, {L.joined(d, 'url', 'href')} AS link FROM ({cut}) c WHERE NOT {d.like('href', '^(?i:mailto):')}"
-    return f"SELECT page_id, url, text, link, {d.rep(L.path(d, 'link'), ';[^/]*$', '')} AS path FROM ({full}) f"
+    cut = f"SELECT page_id, url, tag = '' AS mark, {href} AS href, {d.rep('tag', '<[^>]*>', '')} AS text FROM ({tags}) t"
+    full = f"SELECT page_id, url, mark, text, {L.joined(d, 'url', 'href')} AS link FROM ({cut}) c WHERE NOT {d.like('href', '^(?i:mailto):')}"
+    return f"SELECT page_id, url, {'mark, ' if marked else ''}text, link, {d.rep(L.path(d, 'link'), ';[^/]*$', '')} AS path FROM ({full}) f"
 
 
 _ANCHOR = "(?is)<a(?:\\s[^>]*)?>(?:.*?</a>|.*)"

@@ -98,9 +98,9 @@ def fallback_emails(d):
 
 
 def contact_candidates(d):
-    """All distinct candidates of a business over its pages, sorted."""
-    rows = f"SELECT h.host, c.email FROM ({candidates(d, mailed(d), 'page_id', 'html')}) c JOIN ({hosts(d)}) h ON h.page_id = c.page_id WHERE c.email <> ''"
-    return f"SELECT host, count(DISTINCT email) AS n, {d.join(d.sorted_set('email'), ',')} AS emails FROM ({rows}) r GROUP BY host"
+    """All distinct candidates of a business over its pages, numbered as sorted; a row each, however many they are."""
+    rows = f"SELECT DISTINCT h.host, c.email FROM ({candidates(d, mailed(d), 'page_id', 'html')}) c JOIN ({hosts(d)}) h ON h.page_id = c.page_id WHERE c.email <> ''"
+    return f"SELECT host, email, row_number() OVER (PARTITION BY host ORDER BY email) AS place, count(*) OVER (PARTITION BY host) AS n FROM ({rows}) r"
 
 
 def older_email_forms(d):
@@ -147,10 +147,12 @@ def place_fields(d):
 
 
 def website_forms(d):
-    """A contact's website as a URL: relative ones against the page, bare hosts with https, redirects unwrapped."""
-    raw = f"""CASE ord % 6 WHEN 0 THEN concat('shop', ord, '.com/') WHEN 1 THEN concat('//shop', ord, '.com/x/') WHEN 2 THEN '/about/'
-WHEN 3 THEN concat('https://l.facebook.com/l.php?u=https%3A%2F%2Fshop', ord, '.com%2Fa%2F&h=1') WHEN 4 THEN ' n/a ' ELSE website END"""
-    return f"SELECT ord, raw, {C.website_url(d, 'url', 'raw')} AS site FROM (SELECT ord, url, {raw} AS raw FROM (SELECT ord, url, website FROM ({LISTING}) l) k) r"
+    """A contact's website as a URL: relative ones against the page, bare hosts with https, redirects unwrapped, one inside another too."""
+    once = "https://l.facebook.com/l.php?u=https%3A%2F%2Fshop', ord, '.com%2Fa%2F&h=1"
+    twice = "https://l.facebook.com/l.php?h=2&u=https%3A%2F%2Fl.facebook.com%2Fl.php%3Fu%3Dhttps%253A%252F%252Fshop', ord, '.com%252Fb%252F%26h%3D1"
+    raw = f"""CASE ord % 7 WHEN 0 THEN concat('shop', ord, '.com/') WHEN 1 THEN concat('//shop', ord, '.com/x/') WHEN 2 THEN '/about/'
+WHEN 3 THEN concat('{once}') WHEN 4 THEN ' n/a ' WHEN 5 THEN concat('{twice}') ELSE website END"""
+    return f"SELECT ord, raw, site FROM ({C.websites(d, f'(SELECT ord, url, {raw} AS raw FROM (SELECT ord, url, website FROM ({LISTING}) l) k) r', 'url', 'raw', 'site')}) s"
 
 
 def hours_text(d):

@@ -35,21 +35,22 @@ def verdict_histogram(d):
     return f"SELECT verdict, count(*) AS n FROM ({doc_email_verdicts(d)}) v GROUP BY verdict"
 
 
-def _ranked(d, policy, pages="pages", rules=LENIENT):
-    """Candidates of pages with their verdict, tier and place in their page's order; tier 9 isn't allowed.
+def _ranked(d, policy, pages="pages", rules=LENIENT, key="page_id"):
+    """Candidates of pages with their verdict, tier and place in their page's order; tier 9 isn't allowed. key "host": those of all pages of a business, each once, in its order.
 
     Each stage names what the next one reads, so no expression holds another's
     text. The filter on verdicts is a part of the tier: as a filter, it would
     move down to the texts with all that it is made of.
     """
-    found = f"SELECT c.page_id, c.email, h.host FROM ({candidates(d, pages, 'page_id', 'html')}) c JOIN ({hosts(d)}) h ON c.page_id = h.page_id"
+    columns = "c.page_id, c.email, h.host" if key == "page_id" else "DISTINCT c.email, h.host"
+    found = f"SELECT {columns} FROM ({candidates(d, pages, 'page_id', 'html')}) c JOIN ({hosts(d)}) h ON c.page_id = h.page_id"
     parts = C.email_parts(d, f"({found}) f", "email", rules)
     checked = f"SELECT *, {C.verdict(d, 'email', rules)} AS verdict, {C.registrable(d, 'host', rules)} AS host_reg FROM ({parts}) p"
     named = f"SELECT *, {C.token(d, 'host_reg')} AS bt, {C.token(d, 'reg')} AS et, {d.rep('local', '[^a-z0-9]+', '')} AS lt, {C.same_business(d, 'host', rules, 'host_reg')} AS same FROM ({checked}) k"
     tier, keys = C.best_order(d, "email", "host", rules, POLICIES[policy])
     tiers = f"SELECT *, CASE WHEN verdict = 'ok' THEN {tier} ELSE 9 END AS tier FROM ({named}) n"
     ordered = f"SELECT *, {', '.join(f'{k} AS k{i}' for i, k in enumerate(keys))} FROM ({tiers}) t"
-    return f"SELECT page_id, host, email, verdict, tier, row_number() OVER (PARTITION BY page_id ORDER BY tier, {', '.join(f'k{i}' for i in range(len(keys)))}, email) AS rn FROM ({ordered}) o"
+    return f"SELECT {'page_id, ' if key == 'page_id' else ''}host, email, verdict, tier, row_number() OVER (PARTITION BY {key} ORDER BY tier, {', '.join(f'k{i}' for i in range(len(keys)))}, email) AS rn FROM ({ordered}) o"
 
 
 def best_email(policy, d):
@@ -58,6 +59,12 @@ def best_email(policy, d):
     return f"SELECT h.page_id, h.host, CASE WHEN b.tier < 9 THEN b.email END AS best_email, CASE WHEN b.tier < 9 THEN b.tier END AS tier FROM ({hosts(d)}) h LEFT JOIN ({best}) b ON h.page_id = b.page_id"
 
 
+def best_email_per_contact(d):
+    """The best e-mail of each business over the candidates of all its pages."""
+    best = f"SELECT host, email, tier FROM ({_ranked(d, 'any_valid', mailed(d), key='host')}) r WHERE rn <= 1"
+    return f"SELECT h.host, h.pages, CASE WHEN b.tier < 9 THEN b.email END AS best_email, CASE WHEN b.tier < 9 THEN b.tier END AS tier FROM (SELECT host, count(*) AS pages FROM ({hosts(d)}) p GROUP BY host) h LEFT JOIN ({best}) b ON h.host = b.host"
+
+
 def page_contact_summary(d):
     """The flagship: host, registrable domain, candidate counts and best e-mail of every page; one window and one aggregate by page."""
     found = f"SELECT page_id, count(*) AS n_candidates, sum(CASE WHEN verdict = 'ok' THEN 1 ELSE 0 END) AS n_valid, min(verdict) AS first_verdict, max(CASE WHEN rn = 1 AND tier < 9 THEN email END) AS best_email FROM ({_ranked(d, 'any_valid')}) r GROUP BY page_id"
@@ -72,15 +79,22 @@ def _links(d):
 
 
 def page_links_topk_padded(d, rules=STRICT, k=5):
-    """k contact-like links of a page by (score, link); a page with fewer gets the target paths that it doesn't link, scored and ranked alike."""
-    same = f"{L.site(d, 'url')} <> '' AND {L.site(d, 'url')} = {L.site(d, 'link')}"
+    """k contact-like links of a page by (score, link); a page with fewer gets the target paths that it doesn't link, scored and ranked alike.
+
+    One scan: each page's anchors and a row for the page itself, which becomes
+    its guessed paths where the window counts too few. The windows share one
+    partitioning by page.
+    """
     like = " OR ".join(L.contact_like(d, x, rules.target_paths) for x in ("path", "text"))
-    own = f"SELECT page_id, link, least({C.priority(d, 'path', rules)}, {C.priority(d, 'text', rules)}) AS score, 0 AS pad FROM ({anchors(d)}) a WHERE {same} AND ({like})"
-    paths = " UNION ALL ".join(f"SELECT '/{p.lstrip('/')}' AS path" for p in rules.target_paths)
-    few = f"SELECT p.page_id, p.url FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM ({own}) o GROUP BY page_id) c ON c.page_id = p.page_id WHERE coalesce(c.n, 0) < {k}"
-    guessed = f"SELECT f.page_id, f.url, concat({L.origin(d, 'f.url')}, g.path) AS link, {C.priority(d, 'g.path', rules)} AS score FROM ({few}) f CROSS JOIN ({paths}) g"
-    pads = f"SELECT x.page_id, x.link, x.score, 1 AS pad FROM (SELECT * FROM ({guessed}) y WHERE {same}) x LEFT JOIN (SELECT DISTINCT page_id, link FROM ({own}) o) e ON e.page_id = x.page_id AND e.link = x.link WHERE e.link IS NULL"
-    return keep_first(f"({own} UNION ALL {pads}) u", "page_id", "score, link", "page_id, link, score, pad", k)
+    sited = f"SELECT *, {L.site(d, 'url')} AS home, {L.site(d, 'link')} AS there FROM ({anchors(d, True)}) a"
+    own = f"SELECT *, CASE WHEN NOT mark AND home <> '' AND home = there AND ({like}) THEN 1 ELSE 0 END AS own FROM ({sited}) s"
+    counted = f"SELECT *, sum(own) OVER (PARTITION BY page_id) AS n FROM ({own}) o WHERE own = 1 OR mark"
+    paths = d.array(*(d.s(f"/{p.lstrip('/')}") for p in rules.target_paths))
+    spread = f"SELECT page_id, url, home, link, path, text, own, {d.explode}(CASE WHEN own = 1 THEN {d.array(d.s(''))} ELSE {paths} END) AS guess FROM ({counted}) c WHERE own = 1 OR n < {k}"
+    named = f"SELECT page_id, home, own, CASE WHEN own = 1 THEN link ELSE concat({L.origin(d, 'url')}, guess) END AS link, CASE WHEN own = 1 THEN path ELSE guess END AS path, CASE WHEN own = 1 THEN text ELSE '' END AS text FROM ({spread}) g"
+    held = f"SELECT *, max(own) OVER (PARTITION BY page_id, link) AS linked FROM ({named}) m WHERE own = 1 OR (home <> '' AND home = {L.site(d, 'link')})"
+    scored = f"SELECT page_id, link, least({C.priority(d, 'path', rules)}, {C.priority(d, 'text', rules)}) AS score, 1 - own AS pad FROM ({held}) h WHERE own = 1 OR linked = 0"
+    return keep_first(f"({scored}) u", "page_id", "score, link", "page_id, link, score, pad", k)
 
 
 def link_kinds(d):
@@ -149,9 +163,8 @@ def contact_dedupe_fast(d):
 
 def contact_dedupe_generic(d):
     """First contact of each (name, website as a URL, phone, address); the reference's domain field holds that URL."""
-    name = f"coalesce(nullif({C.cleaned(d, 'name')}, ''), 'Unknown Business')"
-    key = f"lower(concat({name}, '|', {C.website_url(d, 'url', 'website')}, '|', coalesce(phone, ''), '|', coalesce(address, '')))"
-    return keep_first(f"(SELECT *, {key} AS k FROM ({LISTING}) l) x", "k", "ord", "ord, k")
+    sited = C.websites(d, f"(SELECT ord, url, website, coalesce(nullif({C.cleaned(d, 'name')}, ''), 'Unknown Business') AS name, coalesce(phone, '') AS phone, coalesce(address, '') AS address FROM ({LISTING}) l) n", "url", "website", "site")
+    return keep_first(f"(SELECT ord, lower(concat(name, '|', site, '|', phone, '|', address)) AS k FROM ({sited}) x) y", "k", "ord", "ord, k")
 
 
 def request_chunks(d):
@@ -230,7 +243,7 @@ LOG_LINES = 4000
 
 def log_tail(d, n=LOG_LINES):
     """The last n lines of the log, n between 1 and the buffer's 4000; the registered query shows the whole buffer."""
-    return f"SELECT seq, source, line FROM (SELECT *, row_number() OVER (ORDER BY seq DESC) AS rn FROM ({_LOG}) l) r WHERE rn <= {max(1, min(int(n), LOG_LINES))}"
+    return f"SELECT seq, source, line FROM ({_LOG}) l ORDER BY seq DESC LIMIT {max(1, min(int(n), LOG_LINES))}"
 
 
 def last_activity(d):
@@ -284,7 +297,7 @@ _PLANS = {f.__name__: f for f in (
     contact_shape, contact_wire_shape, contact_dedupe_fast, contact_dedupe_generic, request_chunks, contact_enrich, campaign_lookup, unqueued_campaigns,
     campaigns_missing_email, email_upsert, request_selection, batch_estimate, retry_classes, outcome_counters, log_tail, last_activity,
     stable_count_stop, lease_gaps, json_prop_extract, setting_coercion, q_join_agg, q_rollup, q_rank, q_tumbling,
-    link_kinds, page_social_links, claim_lines, current_work, request_summary,
+    best_email_per_contact, link_kinds, page_social_links, claim_lines, current_work, request_summary,
 )} | records.PLANS | {f"best_email_per_page_{p}": partial(best_email, p) for p in POLICIES}
 
 
