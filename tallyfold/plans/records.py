@@ -22,17 +22,19 @@ def link_sites(d):
     return f"SELECT DISTINCT page_id, link, own <> '' AND own = other AS same_host, a <> '' AND b <> '' AND (a = b OR ra = rb) AS same_site FROM ({reg}) y"
 
 
-def crawl_links_topk(d, k=5):
+def crawl_links_topk(d, k=5, columns="page_id, link, score"):
     """The first k links of a page to go on with: distinct http links of its site, by score, then as they stand on the page."""
     hrefs = d.all("html", "(?is)<a(?:\\s[^>]*)?>")
     raw = f"SELECT page_id, url, {d.posexplode(hrefs, 'tag')} FROM pages"
     href = f"replace(trim({d.rep(f'trim(regexp_extract(tag, {d.s(HREF)}, 1))', chr(94) + chr(91) + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$', '')}), '&amp;', '&')"
     cut = f"SELECT page_id, url, pos, {href} AS href FROM ({raw}) r"
-    full = f"SELECT page_id, url, pos, {L.joined(d, 'url', 'href')} AS link FROM ({cut}) c WHERE href <> '' AND NOT {d.like('href', '^(?:mailto|javascript|tel):')}"
-    own = f"SELECT page_id, pos, link, {C.domain(d, 'url')} AS a, {C.domain(d, 'link')} AS b FROM ({full}) f WHERE {d.like('link', '^(?i:https?)://')}"
-    same = f"SELECT page_id, pos, link FROM ({own}) o WHERE a <> '' AND b <> '' AND (a = b OR {C.registrable(d, 'a', STRICT)} = {C.registrable(d, 'b', STRICT)})"
-    scored = f"(SELECT page_id, link, pos, {C.priority(d, 'link', STRICT)} AS score FROM (SELECT page_id, link, min(pos) AS pos FROM ({same}) s GROUP BY page_id, link) u) v"
-    return keep_first(scored, "page_id", "score, pos", "page_id, link, score", k)
+    # tests are columns up to the aggregate: as filters, they would move down and be made of whole expressions again
+    full = f"SELECT page_id, url, pos, href <> '' AND NOT {d.like('href', '^(?:mailto|javascript|tel):')} AS usable, {L.joined(d, 'url', 'href')} AS link FROM ({cut}) c"
+    own = f"SELECT page_id, pos, link, usable AND {d.like('link', '^(?i:https?)://')} AS usable, {C.domain(d, 'url')} AS a, {C.domain(d, 'link')} AS b FROM ({full}) f"
+    reg = f"SELECT *, {C.registrable(d, 'a', STRICT)} AS ra, {C.registrable(d, 'b', STRICT)} AS rb FROM ({own}) o"
+    first = f"SELECT page_id, link, min(CASE WHEN usable AND a <> '' AND b <> '' AND (a = b OR ra = rb) THEN pos END) AS pos FROM ({reg}) s GROUP BY page_id, link"
+    scored = f"(SELECT page_id, link, pos, {C.priority(d, 'link', STRICT)} AS score FROM ({first}) u WHERE pos IS NOT NULL) v"
+    return keep_first(scored, "page_id", "score, pos", columns, k)
 
 
 HREF = "(?is)^<a(?:\\s[^>]*?)?\\shref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"

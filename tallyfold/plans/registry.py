@@ -9,7 +9,7 @@ from tallyfold.functions import links as L
 from tallyfold.functions.dialect import DuckDB, Spark
 from tallyfold.functions.rules import LENIENT, POLICIES, STRICT
 from tallyfold.operators.ranking import chunks, keep_first, overlay
-from tallyfold.plans import extraction, records, streams
+from tallyfold.plans import extraction, records, streams, temporal
 from tallyfold.plans.base import LISTING, anchors, candidates, details, hosts, mailed
 from tallyfold.sources.tables import view
 
@@ -298,15 +298,15 @@ _PLANS = {f.__name__: f for f in (
     campaigns_missing_email, email_upsert, request_selection, batch_estimate, retry_classes, outcome_counters, log_tail, last_activity,
     stable_count_stop, lease_gaps, json_prop_extract, setting_coercion, q_join_agg, q_rollup, q_rank, q_tumbling,
     best_email_per_contact, link_kinds, page_social_links, claim_lines, current_work, request_summary,
-)} | records.PLANS | {f"best_email_per_page_{p}": partial(best_email, p) for p in POLICIES}
+)} | records.PLANS | {"run_transitions": streams.run_transitions} | {f"best_email_per_page_{p}": partial(best_email, p) for p in POLICIES}
 
 
 def queries():
-    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()} | streams.QUERIES | extraction.QUERIES
+    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()} | streams.QUERIES | extraction.QUERIES | temporal.QUERIES
 
 
 def oracle_sql():
-    return {name: f(DuckDB()) for name, f in _PLANS.items()} | streams.ORACLES | extraction.ORACLES
+    return {name: f(DuckDB()) for name, f in _PLANS.items()} | streams.ORACLES | extraction.ORACLES | temporal.ORACLES
 
 
 def flagship(spark, sf_dir):

@@ -7,6 +7,7 @@ again after a failure replaces its own folder, so results hold each row once.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,6 +27,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/tallyfold/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder, for flows that read them more than once."""
+    path = work_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def rows_of(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, a folder or one file, as a stream with the schema it has now."""
     path = path.rstrip("/")
@@ -44,6 +52,21 @@ def unseen(rows: DataFrame, *key: str) -> DataFrame:
     return rows.dropDuplicates(list(key))
 
 
+def unseen_within(rows: DataFrame, at: str, delay: str, *key: str) -> DataFrame:
+    """The first row of each key, which is forgotten `delay` after its time: state holds the keys of that long and no more.
+
+    Rows of one key whose times are within the delay of each other come once; a
+    key that comes back later may come again. Rows behind the watermark are left
+    out; late_rows() tells how many.
+    """
+    return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(key))
+
+
+def late_rows(progress: list[dict]) -> int:
+    """Of a flow's progress reports: rows that were left out as they came after the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
 def outcome_counts(lines: DataFrame) -> DataFrame:
     """Running counts by (source, kind) of log lines (source, line); the tests hold in this order."""
     line = F.trim("line")
@@ -142,14 +165,15 @@ def late_counts(events: DataFrame, width: str = "1 hour", lateness: str = "30 mi
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def flush(rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", once: bool = False) -> None:
-    """Hand each micro-batch of what has arrived to sink(batch, number); the checkpoint remembers what went through.
+def flush(rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", once: bool = False) -> list[dict]:
+    """Hand each micro-batch of what has arrived to sink(batch, number); the checkpoint remembers what went through. Returns Spark's progress reports.
 
     once takes it all as one micro-batch: crawl_ends, which watches the clock, would otherwise go on with empty ones for ever.
     """
     trigger = {"once": True} if once else {"availableNow": True}
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(sink).start()
     query.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
 
 
 def follow(rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], should_stop: Callable[[], bool], progress: Callable[[dict], None] | None = None, seconds: float = 1.0) -> None:
@@ -181,3 +205,26 @@ def drain(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     flush(rows, f"{path}/checkpoint", keep, mode)
     return spark.read.schema(rows.schema).parquet(f"{path}/rows").select(*rows.columns)
+
+
+def drain_in_parts(parts: list[DataFrame], flow: Callable[[DataFrame], DataFrame], name: str, mode: str = "append") -> tuple[DataFrame, list[dict]]:
+    """What a flow gives in append mode when parts arrive one after another, a micro-batch each, and Spark's progress reports.
+
+    Each part is written beside those before it and taken by the same
+    checkpoint, as if the stream had been stopped between.
+    """
+    spark = parts[0].sparkSession
+    path = work_dir(spark, name)
+    out, progress = None, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/tallyfold_batch={number}")
+
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        rows = flow(spark.readStream.schema(parts[0].schema).parquet(f"{path}/in"))
+        if out is None:
+            out = rows.schema
+            spark.createDataFrame([], out).write.parquet(f"{path}/rows/tallyfold_batch=-1")
+        progress += flush(rows, f"{path}/checkpoint", keep, mode)
+    return spark.read.schema(out).parquet(f"{path}/rows").select(*out.names), progress
