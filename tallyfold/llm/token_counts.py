@@ -4,9 +4,8 @@ The first tier is learnt once from a bounded sample: its most frequent
 pre-tokens with their numbers of tokens, one string of bytes and two byte
 arrays, at most FREQUENT entries of at most LONGEST bytes, so what is broadcast
 doesn't grow with the data. A task splits its texts, looks every pre-token up
-and encodes only those that neither the table nor its worker's cache knows, all
-new ones of a chunk together, by the pair occurrence index of `bpe`. The table
-and the cache save work and decide nothing: each count is what encoding the
+and encodes only those that neither the table nor its worker's cache knows. The
+table and the cache save work and decide nothing: each count is what encoding the
 whole text gives. Nothing is shuffled; one scan reads the text once.
 
 Edge cases: a null or empty text has no bytes and no tokens; an added token's
@@ -23,7 +22,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,8 +36,8 @@ from tallyfold.llm.common import release_memory, small_batches, table
 FREQUENT, LONGEST = 32_768, 64
 #: The sample that the table is learnt from: at most so many files, about so many rows, in so many tasks.
 SAMPLE_FILES, SAMPLE_ROWS, SAMPLE_TASKS = 32, 20_000, 8
-#: Pre-tokens that a worker's cache holds beside the table, characters of text counted together, pre-tokens of a long text held at once.
-CACHE, CHUNK_CHARS, PIECES = 400_000, 8_000_000, 500_000
+#: Pre-tokens that a worker's cache holds beside the table, characters from which a text is long, pre-tokens of a long text held at once, characters of a pre-token that the index encodes.
+CACHE, CHUNK_CHARS, PIECES, LONG_PIECE = 1_000_000, 4_000_000, 500_000, 2_000
 #: Tokens from which a document is over the limit.
 LIMIT = 1024
 
@@ -65,50 +64,40 @@ def _pieces(model: bpe.ByteBPE, text: str) -> Iterator[list]:
         at = b
 
 
-def _chunks(model: bpe.ByteBPE, texts: list[str]) -> Iterator[list[tuple[int, list]]]:
-    """Runs of (place of a text, some of its pieces) with CHUNK_CHARS characters or PIECES pieces of a long text together."""
-    held, n = [], 0
-    for i, text in enumerate(texts):
-        for part in _pieces(model, text):
-            held.append((i, part))
-            n += len(text) if len(text) <= CHUNK_CHARS else CHUNK_CHARS
-            if n >= CHUNK_CHARS:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
+def _encoder(model: bpe.ByteBPE):
+    """The number of tokens of one pre-token: by tiktoken's merge loop where the vocabulary's ids are in merge order, by the index elsewhere and for a very long one."""
+    one = lambda piece: len(model.encode_distinct([piece.encode()])[0])
+    if (np.diff(model.result) <= 0).any() or not len(model.result) or model.result[0] < 256:
+        return one
+    import tiktoken
 
+    added = set(model.added.values())
+    fast = tiktoken.Encoding("tallyfold", pat_str=r"[\s\S]+", mergeable_ranks={b: i for i, b in model.bytes.items() if i not in added}, special_tokens={}).encode_ordinary
+    return lambda piece: len(fast(piece)) if len(piece) <= LONG_PIECE else one(piece)
 
-class Lengths:
-    """Numbers of tokens by pre-token: the frequent ones for good, others while the cache has room."""
+
+class Lengths(dict):
+    """Numbers of tokens by pre-token: the frequent ones for good, and as this worker's cache those met since, while there is room."""
 
     def __init__(self, path: str, frequent: dict[str, int]):
-        self.model, self.frequent = bpe.load(path), frequent
-        self.known = dict(frequent)
-        self.misses = 0
-
-    def add(self, pieces: set) -> list:
-        """Encode pieces that aren't known; returns those too long to keep."""
-        plain = [p for p in pieces if not isinstance(p, tuple)]
-        found = self.model.encode_distinct([p.encode() for p in plain])
-        self.known.update(zip(plain, map(len, found)))
-        self.known.update((p, 1) for p in pieces if isinstance(p, tuple))
-        self.misses += len(pieces)
-        return [p for p in plain if len(p) > LONGEST]
-
-    def count(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros(len(texts), np.int64)
-        for held in _chunks(self.model, texts):
-            new = set(chain.from_iterable(p for _, p in held)).difference(self.known)
-            long = self.add(new) if new else ()
-            length = self.known.__getitem__
-            for i, part in held:
-                out[i] += sum(map(length, part))
-            for p in long:
-                del self.known[p]
-            if len(self.known) > len(self.frequent) + CACHE:
-                self.known = dict(self.frequent)
-        return out
+        super().__init__(frequent)
+        self.model, self.frequent, self.misses = bpe.load(path), frequent, 0
+        self.encode = _encoder(self.model)
+
+    def __missing__(self, piece) -> int:
+        self.misses += 1
+        if isinstance(piece, tuple):  # an added token
+            return 1
+        n = self.encode(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= len(self.frequent) + CACHE:
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = n
+        return n
+
+    def count(self, text: str) -> int:
+        return sum(sum(map(self.__getitem__, part)) for part in _pieces(self.model, text))
 
 
 def _top(path: str):
@@ -182,9 +171,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", l
         if name not in _WORKER:
             _WORKER.clear()
             _WORKER[name] = Lengths(path, _opened(tier.value))
+        count = _WORKER[name].count
         for b in batches:
             texts = b.column(text)
-            n = pa.array(_WORKER[name].count([x or "" for x in texts.to_pylist()]))
+            n = pa.array([count(x or "") for x in texts.to_pylist()], pa.int64())
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             mine = {"n_bytes": size, "n_tokens": n, "over_limit": pc.greater(n, limit)}
             yield pa.RecordBatch.from_arrays([mine[f.name] if f.name in mine else b.column(f.name) for f in out], names=out.names)

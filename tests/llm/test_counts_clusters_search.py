@@ -32,12 +32,12 @@ def counted(library, text, limit=token_counts.LIMIT):
     return len((text or "").encode()), n, n > limit
 
 
-@pytest.mark.parametrize("limits", [{}, {"CHUNK_CHARS": 64, "PIECES": 5, "CACHE": 3, "FREQUENT": 4, "LONGEST": 5}])
+@pytest.mark.parametrize("limits", [{}, {"CHUNK_CHARS": 64, "PIECES": 5, "CACHE": 3, "FREQUENT": 4, "LONGEST": 5, "LONG_PIECE": 2}])
 def test_token_counts(monkeypatch, docs, library, limits):
     for k, v in limits.items():
         monkeypatch.setattr(token_counts, k, v)
     lengths = token_counts.Lengths(bpe.default_tokenizer(), {" two": 1})
-    assert lengths.count([t or "" for t in TEXTS]).tolist() == [counted(library, t)[1] for t in TEXTS]
+    assert [lengths.count(t or "") for t in TEXTS] == [counted(library, t)[1] for t in TEXTS]
     found = token_counts.count_tokens(docs, limit=3)
     assert found.columns == ["doc_id", "text", "score", "n_bytes", "n_tokens", "over_limit"]
     got = found.collect()
@@ -51,10 +51,10 @@ def test_token_count_tiers(spark, docs, library):
     tier = token_counts._opened(token_counts.frequent_lengths(texts))
     assert tier == {" the": 1, " cat": 1, "the": 1}
     lengths = token_counts.Lengths(bpe.default_tokenizer(), tier)
-    lengths.count(["the cat", "the cat the cat"])
-    assert lengths.misses == 0
-    lengths.count(["the dog", "the dog"])
-    assert lengths.misses == 1 and len(lengths.known) == len(tier) + 1
+    assert (lengths.count("the cat"), lengths.count("the cat the cat"), lengths.misses) == (2, 4, 0)
+    assert (lengths.count("the dog"), lengths.count("the dog"), lengths.misses) == (2, 2, 1) and len(lengths) == len(tier) + 1
+    slow = bpe.load(bpe.default_tokenizer())
+    assert all(lengths.encode(p) == len(slow.encode_distinct([p.encode()])[0]) for p in (" unbelievable", "漢字", "x" * 99, "x" * 5000, "\n\n\t"))
     empty = token_counts.count_tokens(docs.where("false"))
     assert empty.count() == 0 and "n_tokens" in empty.columns
 
