@@ -39,6 +39,12 @@ def email(d, x: str) -> str:
     return f"lower({d.rep(f'trim({y})', chr(94) + chr(91) + EDGE + chr(93) + '+|[' + EDGE + ']+$', '')})"
 
 
+def older_email(d, x: str) -> str:
+    """A candidate in the older normal form: not unquoted, no punctuation off the ends."""
+    y = d.rep(f"trim({x})", "^[<>\"']+|[<>\"']+$", "")
+    return f"lower(trim({d.rep(d.rep(y, '^(?i:mailto:)', ''), '[?#&,;].*$', '')}))"
+
+
 EDGE = "()\\[\\]{}<>\"'.,:"
 
 

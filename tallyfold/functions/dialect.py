@@ -15,8 +15,8 @@ class Spark:
     def like(self, x: str, pattern: str) -> str:
         return f"({x} RLIKE {self.s(pattern)})"
 
-    def all(self, x: str, pattern: str) -> str:
-        return f"regexp_extract_all({x}, {self.s(pattern)}, 0)"
+    def all(self, x: str, pattern: str, group: int = 0) -> str:
+        return f"regexp_extract_all({x}, {self.s(pattern)}, {group})"
 
     def unquote(self, x: str) -> str:
         return f"coalesce(try_url_decode(replace({x}, '+', '%2B')), {x})"
@@ -40,6 +40,14 @@ class Spark:
     def json(self, x: str, path: str) -> str:
         return f"get_json_object({x}, {self.s(path)})"
 
+    def compact_json(self, x: str) -> str:
+        """A JSON text without blanks between its parts; null where it isn't JSON."""
+        return f"to_json(try_parse_json({x}))"
+
+    def json_text(self, x: str) -> str:
+        """What a quoted JSON text says."""
+        return f"from_json(concat('[', {x}, ']'), 'array<string>')[0]"
+
     def title(self, x: str) -> str:
         return f"initcap({x})"
 
@@ -111,8 +119,8 @@ class DuckDB:
     def like(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, {self.s(pattern)})"
 
-    def all(self, x: str, pattern: str) -> str:
-        return f"regexp_extract_all({x}, {self.s(pattern)}, 0)"
+    def all(self, x: str, pattern: str, group: int = 0) -> str:
+        return f"regexp_extract_all({x}, {self.s(pattern)}, {group})"
 
     def unquote(self, x: str) -> str:
         return f"url_decode({x})"
@@ -135,6 +143,12 @@ class DuckDB:
     def json(self, x: str, path: str) -> str:
         return f"json_extract_string({x}, {self.s(path)})"
 
+    def compact_json(self, x: str) -> str:
+        return f"CASE WHEN json_valid({x}) THEN CAST(json({x}) AS VARCHAR) END"
+
+    def json_text(self, x: str) -> str:
+        return f"json_extract_string(concat('[', {x}, ']'), '$[0]')"
+
     def title(self, x: str) -> str:
         return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: concat(upper(substring(w, 1, 1)), lower(substring(w, 2)))), ' ')"
 

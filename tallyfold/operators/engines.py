@@ -29,10 +29,12 @@ def email_engines() -> Engines:
     """E-mails of pages by tree (all seven places) or by text alone."""
     from pyspark.sql import functions as F
 
-    from tallyfold.functions.contacts import EMAIL
+    from tallyfold.functions.contacts import EMAIL, older_email
+    from tallyfold.functions.dialect import Spark
     from tallyfold.operators.extraction import email_channels
 
     out = Engines()
     out.add("tree", email_channels)
-    out.add("text", lambda pages: pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(EMAIL), F.lit(0))).alias("email"), F.lit("raw").alias("channel")).withColumn("email", F.lower("email")).distinct())
+    found = lambda pages: pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(EMAIL), F.lit(0))).alias("raw"))
+    out.add("text", lambda pages: found(pages).select("page_id", F.expr(older_email(Spark(), "raw")).alias("email"), F.lit("raw").alias("channel")).where("email <> ''").distinct())
     return out

@@ -52,9 +52,10 @@ def capture(pages: DataFrame) -> DataFrame:
 
     if "status" in pages.columns:
         pages = pages.where("status = 200")
-    # ASCII is its own normal form, so that pages of it stay in the JVM
-    plain, other = pages.where(~F.col("html").rlike("[^\\x00-\\x7F]") | F.col("html").isNull()), pages.where(F.col("html").rlike("[^\\x00-\\x7F]"))
-    return plain.unionByName(other.withColumn("html", nfkc("html")))
+    # ASCII is its own normal form: only other texts go through Python, beside nulls in their place
+    other = F.col("html").rlike("[^\\x00-\\x7F]")
+    made = pages.withColumn("tallyfold_html", nfkc(F.when(other, F.col("html"))))
+    return made.withColumn("html", F.coalesce("tallyfold_html", "html")).drop("tallyfold_html")
 
 
 def email_channels(pages: DataFrame) -> DataFrame:

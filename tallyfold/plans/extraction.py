@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.functions import links as L
 from tallyfold.functions.dialect import DuckDB, Spark
 from tallyfold.operators import extraction as X
 from tallyfold.plans import listing
@@ -69,7 +70,7 @@ _SHOWN = ("name", "url", "rating", "reviews", "business_type", "address", "hours
 def _spread(pages: DataFrame) -> DataFrame:
     """Made-up pages, which come out of few tasks, over as many as work side by side."""
     spark = pages.sparkSession
-    return pages.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id")
+    return pages.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # by no key: one by page_id would be left out as already there
 
 
 def listing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +129,9 @@ SELECT DISTINCT page_id, email, channel FROM (
   UNION ALL SELECT page_id, 'info@acmefix.com', 'protected link' FROM m WHERE page_id % 3 = 0
   UNION ALL SELECT page_id, 'desk@acmefix.com', 'linked data' FROM m WHERE page_id % 3 = 0
   UNION ALL SELECT page_id, {_OLDER.format('raw')}, 'text' FROM ({_FOUND.format(_signs(_JOINED), _MAIL, 'm')}) c) u WHERE email <> ''""",
+    # the sample's letters are their own compatibility forms: the composed form is NFKC there
+    "page_captures": "SELECT page_id, url, sha256(nfc_normalize(html)) AS html_sha256 FROM pages",
+    "page_absolute_links": f"SELECT page_id, href, {L.slashless(DuckDB(), 'whole')} AS link FROM (SELECT page_id, href, {L.joined(DuckDB(), 'url', 'href')} AS whole FROM (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"#][^\"]*)\"', 1)) AS href FROM pages) l) j",
     "page_blocks": f"SELECT page_id, block, text, NULL AS site, nullif(regexp_extract(text, '[0-9]{{3,}}'), '') AS number, '' AS detail_url, '' AS detail_source FROM ({_P}) p WHERE text <> ''",
     "page_field_traces": f"""WITH p AS (SELECT page_id, list(text ORDER BY block) FILTER (WHERE text <> '') AS v FROM ({_P}) p GROUP BY page_id),
 q AS (SELECT g.page_id, coalesce(p.v, []) AS v FROM pages g LEFT JOIN p ON p.page_id = g.page_id),

@@ -105,11 +105,37 @@ def contact_candidates(d):
     return f"SELECT host, email, row_number() OVER (PARTITION BY host ORDER BY email) AS place, count(*) OVER (PARTITION BY host) AS n FROM ({rows}) r"
 
 
+_QUOTED = '"(?:[^"\\\\]|\\\\.)*"'
+
+
+def linked_emails(d, pages, key="page_id", text="html"):
+    """Texts under the key email, in any case and depth, of a page's blocks of linked data; blocks that aren't JSON are left out.
+
+    In JSON without blanks every quote outside a text opens one, so a scan from
+    text to text meets each key with its value, and no recursion is needed.
+    """
+    blocks = f"SELECT {key}, {d.explode}({d.all(text, LINKED_DATA, 1)}) AS block FROM {pages} WHERE {d.like(text, '(?i)ld[+]json')}"
+    compact = f"SELECT {key}, {d.compact_json('block')} AS block FROM ({blocks}) b"
+    pairs = f"SELECT {key}, {d.explode}({d.all('block', f'{_QUOTED}(?::{_QUOTED})?')}) AS pair FROM ({compact}) c WHERE block IS NOT NULL"
+    quoted = f"SELECT {key}, regexp_extract(pair, {d.s(f'^' + chr(34) + '(?i:email)' + chr(34) + f':({_QUOTED})$')}, 1) AS quoted FROM ({pairs}) p"
+    said = f"SELECT {key}, {d.json_text('quoted')} AS email FROM ({quoted}) q WHERE quoted <> ''"
+    return f"SELECT DISTINCT {key}, {C.older_email(d, 'email')} AS email FROM ({said}) s WHERE {C.older_email(d, 'email')} <> ''"
+
+
+LINKED_DATA = "(?is)<script[^>]*type\\s*=\\s*[\"']?application/ld[+]json[\"']?[^>]*>(.*?)</script>"
+
+
+def linked_data_emails(d):
+    """E-mails of pages' linked data; the sample pages get blocks of several shapes, as they hold none."""
+    shapes = ['{"contact":[{"Email":"Desk@acmefix.com"}], "n": 1.50}', '{"@graph":[{"a":{"EMAIL":"mailto:info@acmefix.com?x=1"}},["email","x"],{"email":["no@list.com"]}]}', '{"say":"she said \\"email\\":\\"no@text.com\\"","email":"a\\u0040acmefix.com"}', '{"email": broken}', '{"email":null,"b":{"email":""}}']
+    block = "CASE page_id % 6 " + " ".join(f"WHEN {i} THEN {d.s(x)}" for i, x in enumerate(shapes)) + " ELSE '' END"
+    made = f"(SELECT page_id, concat(html, '<script type=\"application/ld+json\">', {block}, '</script>') AS html FROM pages) m"
+    return linked_emails(d, made)
+
+
 def older_email_forms(d):
-    """Raw candidates in the older normal form: not unquoted, no punctuation off the ends."""
-    y = d.rep("trim(raw)", "^[<>\"']+|[<>\"']+$", "")
-    y = d.rep(d.rep(y, "^(?i:mailto:)", ""), "[?#&,;].*$", "")
-    return f"SELECT DISTINCT doc_id, lower(trim({y})) AS older, {C.email(d, 'raw')} AS email FROM (SELECT doc_id, {d.explode}({d.all('text', C.EMAIL + '[.,;?&%=a-z]*')}) AS raw FROM documents WHERE position('@' IN text) > 0) r"
+    """Raw candidates in the older normal form beside the newer."""
+    return f"SELECT DISTINCT doc_id, {C.older_email(d, 'raw')} AS older, {C.email(d, 'raw')} AS email FROM (SELECT doc_id, {d.explode}({d.all('text', C.EMAIL + '[.,;?&%=a-z]*')}) AS raw FROM documents WHERE position('@' IN text) > 0) r"
 
 
 def _protected(text: str, key: int) -> str:
@@ -412,7 +438,7 @@ def q_session(d):
 
 
 PLANS = {f.__name__: f for f in (
-    link_sites, crawl_links_topk, link_scores, block_ordinals, social_email_verdicts, preferred_emails, fallback_emails, contact_candidates, older_email_forms, protected_emails,
+    link_sites, crawl_links_topk, link_scores, block_ordinals, social_email_verdicts, preferred_emails, fallback_emails, contact_candidates, linked_data_emails, older_email_forms, protected_emails,
     usable_contacts, contact_key_sets, place_fields, website_forms, hours_text, block_detail, detail_url_fallback, request_scan, blank_requests, request_status_update,
     missing_email_pull, slow_place_urls, unqueued_exact, queue_depth, discovery_stats, resend_split, resend_counts, email_payloads, claim_acceptance, campaign_progress,
     run_states, empty_checks, stage_titles, device_stats, extension_lists, pause_ranges, iso_times, regex_attempts, first_matched, regex_field_values, q_sliding, q_session,

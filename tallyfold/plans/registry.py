@@ -9,7 +9,7 @@ from tallyfold.functions import links as L
 from tallyfold.functions.dialect import DuckDB, Spark
 from tallyfold.functions.rules import LENIENT, POLICIES, STRICT
 from tallyfold.operators.ranking import chunks, keep_first, overlay
-from tallyfold.plans import extraction, records, streams, temporal
+from tallyfold.plans import extraction, records, sinks, streams, temporal
 from tallyfold.plans.base import LISTING, anchors, candidates, details, hosts, mailed
 from tallyfold.sources.tables import view
 
@@ -302,11 +302,11 @@ _PLANS = {f.__name__: f for f in (
 
 
 def queries():
-    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()} | streams.QUERIES | extraction.QUERIES | temporal.QUERIES
+    return {name: (lambda spark, sf_dir, f=f: view(spark, sf_dir, f(Spark()))) for name, f in _PLANS.items()} | streams.QUERIES | extraction.QUERIES | temporal.QUERIES | sinks.QUERIES
 
 
 def oracle_sql():
-    return {name: f(DuckDB()) for name, f in _PLANS.items()} | streams.ORACLES | extraction.ORACLES | temporal.ORACLES
+    return {name: f(DuckDB()) for name, f in _PLANS.items()} | streams.ORACLES | extraction.ORACLES | temporal.ORACLES | sinks.ORACLES
 
 
 def flagship(spark, sf_dir):

@@ -9,6 +9,15 @@ import uuid
 from copy import deepcopy
 
 
+def file_system(path: str):
+    """(pyarrow file system, path in it) of a path or URI."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+    return (fs.LocalFileSystem(), path.removeprefix("file://")) if path.startswith("file://") else fs.FileSystem.from_uri(path)
+
+
 def merged(base: dict, over: dict) -> dict:
     """base with over's values laid over it, level by level."""
     out = deepcopy(base)

@@ -193,3 +193,22 @@ def test_plans_stay_small(spark):
     assert len(plan("contact_dedupe_generic")) < 20_000
     links = plan("page_links_topk_padded")
     assert links.count("FileScan parquet") == 1 and links.count("Exchange hashpartitioning") == 1 and "NestedLoop" not in links
+
+
+LINKED = [
+    {"email": "Top@acmefix.com"}, {"a": [{"b": {"EMAIL": "mailto:deep@acmefix.com?x=1"}}, ["email", "no@acmefix.com"]]}, {"say": 'she said "email":"quoted@acmefix.com"', "Email": 'é"odd@acmefix.com'},
+    {"email": ["list@acmefix.com"], "x": {"email": 5, "mail": {"email": None}}}, {'email"': "key@acmefix.com"}, [{"email": "in, list@acmefix.com"}, "email", {"k\\": "v", "eMail": "last@acmefix.com"}], {"email": ""}, "email",
+]
+
+
+def test_linked_emails_are_what_a_walk_finds(spark):
+    import json
+
+    from tallyfold.functions import html as H
+
+    texts = [json.dumps(x, ensure_ascii=i % 2 == 0, indent=i % 3 or None) for i, x in enumerate(LINKED)] + ["{broken", ""]
+    pages = [(i, f'<p>email</p><script type="application/ld+json">{t}</script><script type="application/json">{{"email":"not@acmefix.com"}}</script>') for i, t in enumerate(texts)]
+    pages.append((99, pages[0][1] + pages[1][1]))
+    want = {(i, H.older_form(e)) for i, h in pages for e in H.linked_data_emails(H.parse(h))}
+    got = over(spark, records.linked_emails(D, "golden_linked"), golden_linked=([*pages, (100, None)], "page_id long, html string"))
+    assert {(r.page_id, r.email) for r in got} == {x for x in want if x[1]} and len(want) > 6
