@@ -2,10 +2,12 @@
 
 Rotations learnt on a bounded sample turn each unit vector into balanced bits.
 The bits are cut into chunks, one table each; vectors of one label that share
-a chunk meet in a bucket and are compared by cosine in double precision. A
-pair that shares several chunks counts in the first table alone. Equal vectors
-are one class, compared once. Buckets of more than BLOCK rows are dealt out as
-pairs of blocks, so a task holds two blocks at most.
+a chunk meet in a bucket, as whole codes without their components, and are
+compared by Hamming distance. Only rows that have a near code in a bucket are
+sent there with their vectors, and these are compared by cosine in double
+precision. A pair that shares several chunks counts in the first table alone.
+Equal vectors are one class, compared once. Buckets of more than BLOCK rows are
+dealt out as pairs of blocks, so a task holds two blocks at most.
 
 A task returns, for each vector, how many others it links with and one edge to
 the smallest of its component within the block: rows in proportion to vectors,
@@ -35,6 +37,8 @@ CHUNK, LONGEST, STEPS, SEED = 16, 24, 30, 5
 #: Share of pairs at cosine 0.98 that agree in a chunk of 16 bits, as measured (longer chunks by its power), and of those that may meet in no table.
 AGREE, MISSED = 0.36, 0.001
 BLOCK, TILE = 8192, 512
+#: How much more often than by angle alone a bit of a pair at the threshold may differ, and standard deviations on top, before its codes are far apart.
+LOOSE, DEVIATIONS = 1.6, 6
 
 
 def plan(n: int, dim: int) -> tuple[int, int]:
@@ -45,6 +49,12 @@ def plan(n: int, dim: int) -> tuple[int, int]:
     return math.ceil(tables / (bits // chunk)), chunk
 
 
+def far(bits: int, threshold: float) -> int:
+    """The Hamming distance of codes of so many bits beyond which a pair isn't compared: well above what an angle at the threshold gives, well below half of the bits."""
+    p = min(0.5, LOOSE * math.acos(min(1.0, max(-1.0, threshold))) / math.pi)
+    return math.ceil(p * bits + DEVIATIONS * math.sqrt(p * (1 - p) * bits))
+
+
 def learn(sample: np.ndarray, rotations: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(projection with rotation, thresholds) for each rotation: principal directions, turned so that signs lose least."""
     dim = sample.shape[1]
@@ -82,17 +92,21 @@ def _threshold(x: np.ndarray) -> float:
     return float((x[best] + x[best + w]) / 2)
 
 
-def codes(model: list, chunk: int, x: np.ndarray) -> np.ndarray:
-    """The chunks of each unit vector, as integers of that many bits; bits that fill no chunk are left out."""
+def codes(model: list, x: np.ndarray) -> np.ndarray:
+    """Each unit vector's bits, 64 or fewer of each rotation in a word."""
     out = []
     for turn, middle in model:
-        bit = (x @ turn > middle).astype(np.int64)
-        for i in range(0, bit.shape[1] - chunk + 1, chunk):
-            part = bit[:, i : i + chunk]
-            out.append(part @ (1 << np.arange(part.shape[1])))
+        bit = (x @ turn > middle).astype(np.uint64)
+        out.append(np.bitwise_or.reduce(bit << np.arange(bit.shape[1], dtype=np.uint64), axis=1))
     return np.stack(out, axis=1)
 
 
+def chunks(words: np.ndarray, dim: int, chunk: int) -> np.ndarray:
+    """The chunks of codes, one for each table; bits that fill no chunk are left out."""
+    cut = np.arange(min(64, dim) // chunk, dtype=np.uint64) * np.uint64(chunk)
+    return ((words[:, :, None] >> cut) & np.uint64((1 << chunk) - 1)).astype(np.int32).reshape(len(words), -1)
+
+
 def _rows(column) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
 
@@ -110,11 +124,10 @@ def _encode(models: dict):
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == d))
-                if d not in models:  # not in the sample
-                    models[d] = (learn(np.zeros((0, d)), plan(1, d)[0]), plan(1, d)[1])
-                c = codes(*models[d], _unit(_rows(part.column("embedding"))))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]), pa.array(c.astype(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("rep", "label", "dim")), lists], names=["rep", "label", "dim", "codes"])
+                words = codes(models[d][0], _unit(_rows(part.column("embedding"))))
+                c = chunks(words, d, models[d][1])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (words.view(np.int64), c)]
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("rep", "label", "dim")), *lists], names=["rep", "label", "dim", "words", "codes"])
 
     return run
 
@@ -136,65 +149,91 @@ _BUCKET = ("t", "label", "dim", "code", "lo", "hi")
 _MET = "rep long, links long, root long"
 
 
-def _met(x: dict, threshold: float, tile: int):
-    """One pair of blocks of a bucket: (rep, links, root) of the rows that link. Work is done in tiles of rows, so memory stays near the rows'."""
-    by = np.argsort(x["rep"], kind="stable")
-    rep, mult, block, c, v = (x[k][by] for k in ("rep", "mult", "block", "codes", "embedding"))
-    unit, apart = _unit(v), x["lo"][0] != x["hi"][0]
-    links, low = np.zeros(len(rep), np.int64), np.arange(len(rep))
-    for p in range(0, len(rep), tile):
-        for q in range(p, len(rep), tile):
-            i, j = np.nonzero(unit[p : p + tile] @ unit[q : q + tile].T >= threshold - 1e-9)
+def _pairs(x: dict, close, tile: int):
+    """Pairs of rows of a block, or of one in each of two blocks, that are close and have this table as the first that they share, a tile at a time. close(rows, rows) tells which."""
+    block, c = x["block"], x["codes"]
+    apart = x["lo"][0] != x["hi"][0]
+    for p in range(0, len(block), tile):
+        for q in range(p, len(block), tile):
+            i, j = np.nonzero(close(slice(p, p + tile), slice(q, q + tile)))
             i, j = i + p, j + q
             keep = i < j if p == q else np.ones(len(i), dtype=bool)
             if apart:
                 keep &= block[i] != block[j]
             i, j = i[keep], j[keep]
             keep = (c[i] == c[j]).argmax(axis=1) == x["t"][0]
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            # pairs near the threshold are decided from the vectors as given
-            near = np.flatnonzero(np.abs(np.einsum("ij,ij->i", unit[i], unit[j]) - threshold) < 1e-6)
-            a, b = v[i[near]], v[j[near]]
-            cos = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-            drop = near[~(cos >= threshold)]
-            i, j = np.delete(i, drop), np.delete(j, drop)
-            np.add.at(links, i, mult[j])
-            np.add.at(links, j, mult[i])
-            _join(low, i, j)
+            yield i[keep], j[keep]
+
+
+def _near(x: dict, limit: int, tile: int) -> np.ndarray:
+    """Which rows of a bucket's blocks have another whose whole code is within `limit` bits of theirs."""
+    words, seen = x["words"], np.zeros(len(x["block"]), dtype=bool)
+
+    def close(a: slice, b: slice) -> np.ndarray:
+        away = np.zeros((len(words[a]), len(words[b])), np.int32)
+        for w in words.T:
+            away += np.bitwise_count(w[a, None] ^ w[None, b])
+        return away <= limit
+
+    for i, j in _pairs(x, close, tile):
+        seen[i] = seen[j] = True
+    return seen
+
+
+def _met(x: dict, threshold: float, tile: int):
+    """One pair of blocks of a bucket: (rep, links, root) of the rows that link. Work is done in tiles of rows, so memory stays near the rows'."""
+    rep, mult, v = x["rep"], x["mult"], x["embedding"]
+    unit = _unit(v)
+    links, low = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    for i, j in _pairs(x, lambda a, b: unit[a] @ unit[b].T >= threshold - 1e-9, tile):
+        if not len(i):
+            continue
+        # pairs near the threshold are decided from the vectors as given
+        near = np.flatnonzero(np.abs(np.einsum("ij,ij->i", unit[i], unit[j]) - threshold) < 1e-6)
+        a, b = v[i[near]], v[j[near]]
+        cos = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+        drop = near[~(cos >= threshold)]
+        i, j = np.delete(i, drop), np.delete(j, drop)
+        np.add.at(links, i, mult[j])
+        np.add.at(links, j, mult[i])
+        _join(low, i, j)
     some = np.flatnonzero(links)
     return rep[some], links[some], rep[low[some]]
 
 
-def _compare(threshold: float, tile: int):
+def _in_buckets(columns: tuple, lists: tuple, chunk: dict, of, names: list[str]):
+    """Of rows in order of their bucket and blocks: what of(rows as arrays) finds in each. chunk: bits of a chunk by length of vector."""
+
     def run(batches):
-        """Of rows in order of their bucket and blocks: what _met() finds in each."""
         import pyarrow as pa
 
         def arrays(batch):
-            c = np.empty(batch.num_rows, dtype=object)
-            v = np.empty(batch.num_rows, dtype=object)
-            for name, out in (("codes", c), ("embedding", v)):
+            out = {}
+            for name in lists:
                 column = batch.column(name)
                 flat, cut = np.asarray(column.flatten()), np.asarray(column.offsets)
-                cut = cut - cut[0]
-                for k in range(batch.num_rows):
-                    out[k] = flat[cut[k] : cut[k + 1]]
-            return {"codes": c, "embedding": v}
+                out[name] = np.empty(batch.num_rows, dtype=object)
+                for k, (a, b) in enumerate(zip((cut - cut[0]).tolist(), (cut - cut[0])[1:].tolist())):
+                    out[name][k] = flat[a:b]
+            return out
 
         def told(out):
-            cols = [np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rep", "links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(len(names))], names=names)
 
         out = []
-        for x in by_key(batches, _BUCKET, ("rep", "mult", "block"), arrays):
-            x["codes"], x["embedding"] = np.stack(x["codes"]), np.stack(x["embedding"]).astype(float)
-            out.append(_met(x, threshold, tile))
+        for x in by_key(batches, _BUCKET, columns, arrays):
+            by = np.argsort(x["rep"], kind="stable")
+            x = {k: v[by] for k, v in x.items()}
+            x["words"] = np.stack(x["words"]).view(np.uint64)
+            x["codes"] = chunks(x["words"], int(x["dim"][0]), chunk[int(x["dim"][0])])
+            if "embedding" in x:
+                x["embedding"] = np.stack(x["embedding"]).astype(float)
+            out.append(of(x))
             if len(out) == 1024:
                 yield told(out)
                 out = []
-        yield told(out)
+        if out:
+            yield told(out)
 
     return run
 
@@ -213,16 +252,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = stored(classes.withColumn("dim", F.size("embedding")).withColumn("rep", F.monotonically_increasing_id()), "near-classes")
     sample = classes.select("dim", "embedding").orderBy(F.xxhash64("id"), "id", "h1", "h2", "label").limit(SAMPLE).toPandas()
     sizes = {r.dim: plan(r["count"], r.dim) for r in classes.groupBy("dim").count().collect()}  # a row for each length of vector
-    models = {int(d): (learn(_unit(np.stack(g["embedding"].to_list())), sizes[d][0]), sizes[d][1]) for d, g in sample.groupby("dim")}
-    coded = stored(classes.select("rep", "label", "dim", "embedding").mapInArrow(_encode(models), "rep long, label long, dim int, codes array<int>"), "near-codes")
-    slots = coded.select("rep", "label", "dim", F.posexplode("codes").alias("t", "code"))
+    seen = {int(d): _unit(np.stack(g["embedding"].to_list())) for d, g in sample.groupby("dim")}
+    models = {d: (learn(seen.get(d, np.zeros((0, d))), rotations), bits) for d, (rotations, bits) in sizes.items()}
+    chunk = {d: bits for d, (_, bits) in sizes.items()}
+    coded = stored(classes.select("rep", "label", "dim", "embedding").mapInArrow(_encode(models), "rep long, label long, dim int, words array<long>, codes array<int>"), "near-codes")
+    slots = coded.select("rep", "label", "dim", "words", F.posexplode("codes").alias("t", "code"))
     bucket = ["t", "label", "dim", "code"]
     full = slots.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1").withColumn("k", F.ceil(F.col("size") / BLOCK).cast("int"))
     live = slots.join(full, bucket).withColumn("block", F.pmod(F.xxhash64("rep"), "k").cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "size", "k")
-    held = classes.select("rep", "mult", "embedding").join(coded.select("rep", "codes"), "rep")
-    met = live.join(held, "rep").repartition(*_BUCKET).sortWithinPartitions(*_BUCKET)
-    met = stored(met.mapInArrow(_compare(threshold, TILE), _MET), "near-links")
+
+    def survivors(x: dict) -> list[np.ndarray]:
+        words = x["words"].shape[1] * min(64, int(x["dim"][0]))
+        at = np.flatnonzero(_near(x, far(words, threshold), tile))
+        return [x[c][at] for c in (*_BUCKET, "block", "rep")]
+
+    tile = TILE
+    ordered = lambda rows: rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET)
+    kept = ordered(live).mapInArrow(_in_buckets(("rep", "block"), ("words",), chunk, survivors, [*_BUCKET, "block", "rep"]), "t int, label long, dim int, code int, lo int, hi int, block int, rep long")
+    kept = stored(kept, "near-survivors")
+    held = classes.select("rep", "mult", "embedding").join(coded.select("rep", "words"), "rep")
+    met = ordered(kept.join(held, "rep")).mapInArrow(_in_buckets(("rep", "mult", "block"), ("words", "embedding"), chunk, lambda x: _met(x, threshold, tile), ["rep", "links", "root"]), _MET)
+    met = stored(met, "near-links")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     label = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     label = classes.select("rep", "id").join(label, F.col("rep") == F.col("node")).select("rep", "id", "component")

@@ -566,11 +566,11 @@ def test_top_k(spark, monkeypatch, limits):
     assert [(r.vec_id, r.score) for r in sorted(kd_search.top_k(far, far.where("vec_id = 0")).collect(), key=lambda r: r["rank"])] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
 
 
-@pytest.mark.parametrize("dim", [16, 32, 64])
+@pytest.mark.parametrize("dim", [2, 3, 8, 12, 16, 32, 64])
 def test_near_vectors_recall(spark, dim):
     """Of pairs at a cosine just above the threshold, beside vectors of their kind: the share that is found."""
     rng = np.random.default_rng(dim)
-    v = rng.normal(size=(1500, dim)) * np.linspace(2, 0.5, dim)
+    v = rng.normal(size=(1500 if dim > 8 else 300, dim)) * np.linspace(2, 0.5, dim)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     w = rng.normal(size=v.shape)
     w -= (w * v).sum(axis=1, keepdims=True) * v
@@ -580,7 +580,27 @@ def test_near_vectors_recall(spark, dim):
     x = np.array([r[1] for r in rows])
     near = np.argwhere(np.triu(x @ x.T >= 0.98, 1))
     got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
-    assert len(near) >= 1500 and 2 * len(near) >= got.n_links.sum() >= 2 * 0.95 * len(near)
+    assert len(near) >= len(v) and 2 * len(near) >= got.n_links.sum() >= 2 * 0.95 * len(near)
+
+
+def test_near_vectors_hamming():
+    """Codes of pairs at the threshold are near, those of unrelated vectors far: only near rows are sent on with their vectors."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w = rng.normal(size=v.shape)
+    w -= (w * v).sum(axis=1, keepdims=True) * v
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    model = near_vectors.learn(v, 4)
+    a, b = near_vectors.codes(model, v), near_vectors.codes(model, 0.98 * v + np.sqrt(1 - 0.98**2) * w)
+    limit = near_vectors.far(256, 0.98)
+    away = np.bitwise_count(a ^ b).sum(axis=1)
+    assert a.shape == (4000, 4) and (away <= limit).mean() > 0.999 and (np.bitwise_count(a ^ np.roll(a, 1, axis=0)).sum(axis=1) > limit).all()
+    assert near_vectors.chunks(a, 64, 16).shape == (4000, 16) and near_vectors.chunks(a, 64, 24).shape == (4000, 8)
+    words = np.concatenate([a[:300], b[:20]])
+    # every row in one bucket of the first table: the twenty pairs' rows stay
+    x = {"block": np.zeros(320, np.int64), "lo": [0], "hi": [0], "t": [0], "codes": np.zeros((320, 1), np.int32), "words": words}
+    assert set(np.flatnonzero(near_vectors._near(x, limit, 64)).tolist()) == {*range(20), *range(300, 320)}
 
 
 def test_near_vectors_blocks(spark, monkeypatch):
