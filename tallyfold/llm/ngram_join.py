@@ -503,6 +503,11 @@ def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def ngram_links(spark, sf_dir: str) -> DataFrame:
+    """How many other documents each one links with, under op8's rule."""
+    return jaccard_links(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate group: the smallest id, of an id's texts the first. Rows with a null id stay.
 
@@ -528,9 +533,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return rows.join(kept, row, "left_semi").select(*docs.columns).unionByName(rows.where("doc_id is null").select(*docs.columns))
 
 
-QUERIES = {"op8_ngram_join": op8_ngram_join}
-ORACLES = {
-    "op8_ngram_join": """
+QUERIES = {"op8_ngram_join": op8_ngram_join, "ngram_links": ngram_links}
+_LINKED_PAIRS = """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
 ), s AS (
@@ -539,9 +543,13 @@ WITH RECURSIVE w AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l)
+"""
+ORACLES = {
+    "op8_ngram_join": _LINKED_PAIRS.rstrip() + """,
 r AS (SELECT a AS doc_id, a AS c FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m ON m.doc_id = d.doc_id
-"""
+""",
+    "ngram_links": _LINKED_PAIRS + "SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY 1) k ON k.doc_id = d.doc_id",
 }
