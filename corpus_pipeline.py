@@ -36,8 +36,8 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mark in place of each span of personal data; n_chars follows the new text.
 
-    A null text counts as empty and becomes so; repeated rows and null ids stay
-    as they are; an empty table stays empty.
+    A null text stays null, with n_chars 0; repeated rows and null ids stay as
+    they are; an empty table stays empty.
     """
     return pii.redact(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
 
