@@ -10,8 +10,9 @@ proportion to the rows, which pass an exact bitmap bound and are verified on the
 whole sets from the texts. Round 2 takes the buckets that still hold more than
 one component. Each gathers, from the same size, position and bitmap filters,
 its clusters: classes that can link with a class of another component, told as
-one row a class and never as pairs. Clusters that share a class are one; each
-class's text, where wide bitmaps don't take it out again, then goes once to its cluster (to each of its block pairs, where a
+one row a class and never as pairs. Clusters that share a class are one, but
+for long chains of them; each class's text, where wide bitmaps don't take it
+out again, then goes once to its cluster (to each of its block pairs, where a
 cluster is large), which verifies whole sets and skips only pairs that already
 lie in one component. So components are exact, although a group of thousands of
 near copies never yields all its pairs.
@@ -375,9 +376,22 @@ def _to_clusters(rows: DataFrame, *columns) -> DataFrame:
     return rows.select("key", "lo", "hi", "n", "rep", "comp", "block", *columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "rep")
 
 
-def _clustered(stars: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
-    """The classes of clusters once for each pair of blocks, with their component in label (node, component) or themselves."""
+def _clustered(stars: DataFrame, classes: DataFrame, label: DataFrame, merged: bool = False) -> DataFrame:
+    """The classes of clusters once for each pair of blocks, with their component in label (node, component) or themselves.
+
+    Clusters that share a class are one, so that each text goes out once; where
+    that makes a chain of more than SPLIT classes, its stars (a, all b) stay
+    clusters of their own: a pair that a bucket suspects lies in that bucket's
+    star, so work grows with the stars and not with the square of the chain.
+    merged: keep chains whole, for those who count each pair once.
+    """
     near = stored(components(stars).withColumnRenamed("component", "key"), "jaccard-clusters")
+    long = near.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SPLIT).select("key")
+    if not merged and not long.isEmpty():
+        in_long = near.join(long, "key", "left_semi").select(F.col("node").alias("a"))
+        own = stars.join(in_long, "a", "left_semi")
+        apart = own.select(F.col("a").alias("key"), F.col("b").alias("node")).unionByName(own.select(F.col("a").alias("key"), F.col("a").alias("node"))).distinct()
+        near = stored(near.join(long, "key", "left_anti").select("key", "node").unionByName(apart), "jaccard-stars-apart")
     near = near.join(classes.select(F.col("rep").alias("node"), "n"), "node").join(label.withColumnRenamed("component", "comp"), "node", "left")
     near = near.select("key", F.col("node").alias("rep"), "n", F.coalesce("comp", "node").alias("comp"))
     size = near.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / SPLIT, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
@@ -385,7 +399,7 @@ def _clustered(stars: DataFrame, classes: DataFrame, label: DataFrame) -> DataFr
     return F.broadcast(need) if need.count() <= BROADCAST else need
 
 
-def _suspects(rows: DataFrame, bits: DataFrame, classes: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
+def _suspects(rows: DataFrame, bits: DataFrame, classes: DataFrame, label: DataFrame, percent: int, merged: bool = False) -> DataFrame | None:
     """Clusters (a, b) of the classes in rows (key, rep, n, pos, comp, size) that may link with one of another component; none at all is None."""
     # one exchange serves both the distinct and the join
     narrow = bits.select(F.col("doc_id").alias("rep"), "n", "bits").repartition("rep", "n").distinct()
@@ -395,7 +409,7 @@ def _suspects(rows: DataFrame, bits: DataFrame, classes: DataFrame, label: DataF
         return None
     # narrow bitmaps tell little of large sets: wide ones look again before any text moves
     best = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
-    rows = _to_clusters(_clustered(stars, classes, label).join(bits.select(F.col("doc_id").alias("rep"), "n", best.alias("best")), ["rep", "n"]), F.lit(0).alias("pos"), "best")
+    rows = _to_clusters(_clustered(stars, classes, label, merged).join(bits.select(F.col("doc_id").alias("rep"), "n", best.alias("best")), ["rep", "n"]), F.lit(0).alias("pos"), "best")
     stars = stored(rows.mapInArrow(_clusters(percent, SMALL, "best"), "a long, b long").distinct(), "jaccard-stars")
     return None if stars.isEmpty() else stars
 
@@ -487,10 +501,10 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     rows = stored(rows, "jaccard-buckets")
     rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
     none = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).where("false")
-    stars = _suspects(rows, full.select("doc_id", "n", "bits", "wide"), classes, none, percent)
+    stars = _suspects(rows, full.select("doc_id", "n", "bits", "wide"), classes, none, percent, True)
     linked = classes.select("rep", F.lit(0).cast("long").alias("outer")).where("false")
     if stars is not None:
-        near = _clustered(stars, classes, none).drop("comp").join(classes.select("rep", F.col("copies").alias("comp")), "rep")
+        near = _clustered(stars, classes, none, True).drop("comp").join(classes.select("rep", F.col("copies").alias("comp")), "rep")
         near = _to_clusters(near.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep"), "text")
         found = stored(near.mapInArrow(_settle(words, percent, True), "a long, b long"), "jaccard-links")
         linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("outer"))
