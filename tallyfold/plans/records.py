@@ -54,14 +54,18 @@ def block_ordinals(d):
 # -- e-mails ---------------------------------------------------------------
 
 
-def social_email_verdicts(d):
-    """Which candidates the looser rule for social pages takes."""
-    local, host = "regexp_extract(email, '^([^@]*)@', 1)", "regexp_extract(email, '@(.*)$', 1)"
+def social_ok(d, email="email"):
+    """Whether the looser rule for social pages takes an e-mail."""
+    local, host = f"regexp_extract({email}, '^([^@]*)@', 1)", f"regexp_extract({email}, '@(.*)$', 1)"
     words = "|".join(FAKE_LABELS)
     allowed = f"({host} IN ({', '.join(map(d.s, LENIENT.public_providers))}) OR {d.like(host, '(?:' + '|'.join(x.replace('.', '[.]') for x in LENIENT.allowed_suffixes) + ')$')})"
-    blocked = d.like("email", "|".join(w.replace(".", "[.]") for w in SOCIAL_BLOCK_SUBSTRINGS))
-    test = f"position('@' IN email) > 0 AND NOT {blocked} AND {local} <> '' AND {d.like(host, '[.]')} AND NOT {d.like(host, f'(?:^|[.])(?:{words})(?:[.]|$)')} AND {allowed}"
-    return f"SELECT doc_id, email, coalesce({test}, false) AS social_ok FROM ({candidates(d, 'documents', 'doc_id', 'text')}) c"
+    blocked = d.like(email, "|".join(w.replace(".", "[.]") for w in SOCIAL_BLOCK_SUBSTRINGS))
+    return f"coalesce(position('@' IN {email}) > 0 AND NOT {blocked} AND {local} <> '' AND {d.like(host, '[.]')} AND NOT {d.like(host, f'(?:^|[.])(?:{words})(?:[.]|$)')} AND {allowed}, false)"
+
+
+def social_email_verdicts(d):
+    """Which candidates the looser rule for social pages takes."""
+    return f"SELECT doc_id, email, {social_ok(d)} AS social_ok FROM ({candidates(d, 'documents', 'doc_id', 'text')}) c"
 
 
 # The looser rule's words, and labels that generated hosts have. The sample tables' own domain is left out.

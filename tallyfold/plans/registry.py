@@ -65,6 +65,26 @@ def best_email_per_contact(d):
     return f"SELECT h.host, h.pages, CASE WHEN b.tier < 9 THEN b.email END AS best_email, CASE WHEN b.tier < 9 THEN b.tier END AS tier FROM (SELECT host, count(*) AS pages FROM ({hosts(d)}) p GROUP BY host) h LEFT JOIN ({best}) b ON h.host = b.host"
 
 
+def best_email_in_phases(d, policy="business_only"):
+    """The best e-mail of each business: over all its pages, else, in a second phase, over at most two social pages of each of its pages.
+
+    Social pages are made up, one text for each link; their e-mails pass the
+    looser rule and then the one ranking.
+    """
+    first = f"SELECT host, email FROM ({_ranked(d, policy, mailed(d), key='host')}) r WHERE rn <= 1 AND tier < 9"
+    text = "concat('Find us: owner', page_id, '@gmail.com, hello', page_id % 7, '@othershop.com or order', page_id, '@gmail.com')"
+    social = f"(SELECT s.page_id, p.url, s.html FROM (SELECT page_id, {text} AS html FROM ({page_social_links(d)}) l) s JOIN pages p ON p.page_id = s.page_id) social"
+    ranked = f"SELECT host, email, rn AS place FROM ({_ranked(d, 'any_valid', social, key='host')}) r WHERE tier < 9 AND {records.social_ok(d)}"
+    second = keep_first(f"({ranked}) k", "host", "place", "host, email")
+    return f"""SELECT h.host, coalesce(a.email, b.email) AS email, CASE WHEN a.email IS NOT NULL THEN 'regular' WHEN b.email IS NOT NULL THEN 'social' END AS phase
+FROM (SELECT DISTINCT host FROM ({hosts(d)}) p) h LEFT JOIN ({first}) a ON a.host = h.host LEFT JOIN ({second}) b ON b.host = h.host"""
+
+
+def debug_events(d, n=500):
+    """The last n events of each run of a template, as they came."""
+    return keep_first("(SELECT user_id % 7 AS run_id, event_id AS seq, event_type AS type FROM events) e", "run_id", "seq DESC", "run_id, seq, type", n)
+
+
 def page_contact_summary(d):
     """The flagship: host, registrable domain, candidate counts and best e-mail of every page; one window and one aggregate by page."""
     found = f"SELECT page_id, count(*) AS n_candidates, sum(CASE WHEN verdict = 'ok' THEN 1 ELSE 0 END) AS n_valid, min(verdict) AS first_verdict, max(CASE WHEN rn = 1 AND tier < 9 THEN email END) AS best_email FROM ({_ranked(d, 'any_valid')}) r GROUP BY page_id"
@@ -297,7 +317,7 @@ _PLANS = {f.__name__: f for f in (
     contact_shape, contact_wire_shape, contact_dedupe_fast, contact_dedupe_generic, request_chunks, contact_enrich, campaign_lookup, unqueued_campaigns,
     campaigns_missing_email, email_upsert, request_selection, batch_estimate, retry_classes, outcome_counters, log_tail, last_activity,
     stable_count_stop, lease_gaps, json_prop_extract, setting_coercion, q_join_agg, q_rollup, q_rank, q_tumbling,
-    best_email_per_contact, link_kinds, page_social_links, claim_lines, current_work, request_summary,
+    best_email_per_contact, best_email_in_phases, debug_events, link_kinds, page_social_links, claim_lines, current_work, request_summary,
 )} | records.PLANS | {"run_transitions": streams.run_transitions} | {f"best_email_per_page_{p}": partial(best_email, p) for p in POLICIES}
 
 

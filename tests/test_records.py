@@ -212,3 +212,16 @@ def test_linked_emails_are_what_a_walk_finds(spark):
     want = {(i, H.older_form(e)) for i, h in pages for e in H.linked_data_emails(H.parse(h))}
     got = over(spark, records.linked_emails(D, "golden_linked"), golden_linked=([*pages, (100, None)], "page_id long, html string"))
     assert {(r.page_id, r.email) for r in got} == {x for x in want if x[1]} and len(want) > 6
+
+
+def test_second_phase_golden(spark):
+    """A business with an address of its own, one that only its social page serves, one without either."""
+    pages = [(1, "https://ownshop.com/", ""), (3, "https://acmefix.com/", '<a href="https://www.facebook.com/acme">f</a>'), (7, "https://nonesuch.com/", '<a href="https://www.facebook.com/sharer/x">s</a>'), (11, "https://www.ownshop.com/x", '<a href="https://facebook.com/own">f</a>')]
+    got = {r.host: (r.email, r.phase) for r in over(spark, registry.best_email_in_phases(D), pages=(pages, PAGE))}
+    assert got == {"ownshop.com": ("bob@ownshop.com", "regular"), "acmefix.com": ("hello3@othershop.com", "social"), "nonesuch.com": (None, None)}
+
+
+def test_debug_events_golden(spark):
+    rows = [(i, i % 2 * 7, "x") for i in range(2000)] + [(5000, 1, "y")]
+    got = over(spark, registry.debug_events(D), events=(rows, "event_id long, user_id long, event_type string"))
+    assert sorted(r.seq for r in got) == [*range(1000 + 500, 2000), 5000] and {r.run_id for r in got} == {0, 1}
