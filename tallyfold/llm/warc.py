@@ -30,14 +30,14 @@ from urllib.parse import quote, unquote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import file_system, new_path, stored, table
+from tallyfold.llm.common import file_system, new_path, small_batches, stored, table
 
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT_BYTES = 100
 #: Bytes after which a task goes on in a new archive; a reader's task takes one archive.
 ROLL_BYTES = 1 << 30
-#: Rows of the list of revisits up to which it is broadcast; beyond, the pages are shuffled to it.
-BROADCAST = 100_000
+#: Rows of the list of revisits, and bytes of their URLs and digests, up to which it is broadcast; beyond either, the pages are shuffled to it.
+BROADCAST, BROADCAST_BYTES = 100_000, 32 << 20
 _READ = 1 << 16
 #: Headers of our own for a page's id and for the id of the page whose response a revisit repeats.
 _PAGE, _REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
@@ -110,8 +110,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL
     """Write pages (page_id, url, html) as archives; returns the manifest (path, records).
 
     (digest, id) alone are shuffled to find each payload's smallest id, with
-    partial aggregation. The list of revisits is broadcast up to BROADCAST rows;
-    beyond, the pages are shuffled by id, so a payload that a third of all pages
+    partial aggregation. The list of revisits is broadcast up to BROADCAST rows
+    and BROADCAST_BYTES; beyond, the pages are shuffled by id, so a payload that a third of all pages
     share meets in no task.
     """
     spark = pages.sparkSession
@@ -123,9 +123,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL
     least = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("refers_url"), F.count("*").alias("n")).where("n > 1 and first is not null")
     again = big.join(least, "digest").where("page_id is null or page_id != first").select(F.coalesce("page_id", F.lit(-1)).alias("k"), F.col("page_id").isNull().alias("k0"), "digest", F.col("first").alias("refers_to"), "refers_url")
     again = stored(again.groupBy("k", "k0", "digest").agg(F.first("refers_to").alias("refers_to"), F.first("refers_url").alias("refers_url")), "warc-revisits")
-    if again.count() <= BROADCAST:
+    listed = again.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("digest") + F.octet_length(F.coalesce("refers_url", F.lit("")))), F.lit(0)).alias("bytes")).first()
+    if listed.rows <= BROADCAST and listed.bytes <= BROADCAST_BYTES:
         again = F.broadcast(again)
     keyed = rows.withColumn("k", F.coalesce("page_id", F.lit(-1))).withColumn("k0", F.col("page_id").isNull())
+    small_batches(spark)
     told = keyed.join(again, ["k", "k0", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to", "refers_url")
     return stored(told.mapInPandas(_write_part(folder, date, roll), _MANIFEST), "warc-manifest")
 

@@ -641,10 +641,11 @@ def test_warc(spark):
         warc.parse_record(b"WARC/1.1\r\nWARC-Block-Digest: sha1:x\r\nContent-Length: 1\r\n\r\na\r\n\r\n")
 
 
-@pytest.mark.parametrize("broadcast", [0, 100])
-def test_warc_archives(spark, monkeypatch, broadcast):
-    """Every record has the headers that the format asks for; archives end at a size; the list of revisits is broadcast or not."""
+@pytest.mark.parametrize(("broadcast", "size"), [(0, 1 << 20), (100, 1 << 20), (100, 10)])
+def test_warc_archives(spark, monkeypatch, broadcast, size):
+    """Every record has the headers that the format asks for; archives end at a size; the list of revisits is broadcast or not, by its rows and bytes."""
     monkeypatch.setattr(warc, "BROADCAST", broadcast)
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", size)
     rows = [(i, f"http://h/{i}", "same" * 100 if i % 2 else f"page {i}" * 50) for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
     paths = [r.path for r in warc.write_archives(pages, roll=1500).collect()]
