@@ -84,10 +84,10 @@ def _valid(d, rules=LENIENT):
 
 
 def preferred_emails(d):
-    """A page's valid e-mails of its own business if it has any, else all valid ones."""
+    """A page's valid e-mails of its own business if it has any, else all valid ones. The verdict is a part of `own`: as a filter it would move down and be made again."""
     same = C.same_business(d, "host", LENIENT)
-    seen = f"SELECT page_id, email, CASE WHEN {same} THEN 1 ELSE 0 END AS own FROM ({_valid(d)}) v WHERE verdict = 'ok'"
-    return f"SELECT page_id, email, own FROM (SELECT *, max(own) OVER (PARTITION BY page_id) AS any_own FROM ({seen}) s) w WHERE own = any_own"
+    seen = f"SELECT page_id, email, CASE WHEN verdict <> 'ok' THEN -1 WHEN {same} THEN 1 ELSE 0 END AS own FROM ({_valid(d)}) v"
+    return f"SELECT page_id, email, own FROM (SELECT *, max(own) OVER (PARTITION BY page_id) AS any_own FROM ({seen}) s) w WHERE own = any_own AND own >= 0"
 
 
 def page_text(d, x="html"):

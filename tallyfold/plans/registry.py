@@ -11,6 +11,7 @@ from tallyfold.functions.rules import LENIENT, POLICIES, STRICT
 from tallyfold.operators.ranking import chunks, keep_first, overlay
 from tallyfold.plans import extraction, records, sinks, streams, temporal
 from tallyfold.plans.base import LISTING, anchors, candidates, details, hosts, mailed
+from tallyfold.plans.base import ranked as _ranked
 from tallyfold.sources.tables import view
 
 
@@ -35,24 +36,6 @@ def verdict_histogram(d):
     return f"SELECT verdict, count(*) AS n FROM ({doc_email_verdicts(d)}) v GROUP BY verdict"
 
 
-def _ranked(d, policy, pages="pages", rules=LENIENT, key="page_id"):
-    """Candidates of pages with their verdict, tier and place in their page's order; tier 9 isn't allowed. key "host": those of all pages of a business, each once, in its order.
-
-    Each stage names what the next one reads, so no expression holds another's
-    text. The filter on verdicts is a part of the tier: as a filter, it would
-    move down to the texts with all that it is made of.
-    """
-    columns = "c.page_id, c.email, h.host" if key == "page_id" else "DISTINCT c.email, h.host"
-    found = f"SELECT {columns} FROM ({candidates(d, pages, 'page_id', 'html')}) c JOIN ({hosts(d)}) h ON c.page_id = h.page_id"
-    parts = C.email_parts(d, f"({found}) f", "email", rules)
-    checked = f"SELECT *, {C.verdict(d, 'email', rules)} AS verdict, {C.registrable(d, 'host', rules)} AS host_reg FROM ({parts}) p"
-    named = f"SELECT *, {C.token(d, 'host_reg')} AS bt, {C.token(d, 'reg')} AS et, {d.rep('local', '[^a-z0-9]+', '')} AS lt, {C.same_business(d, 'host', rules, 'host_reg')} AS same FROM ({checked}) k"
-    tier, keys = C.best_order(d, "email", "host", rules, POLICIES[policy])
-    tiers = f"SELECT *, CASE WHEN verdict = 'ok' THEN {tier} ELSE 9 END AS tier FROM ({named}) n"
-    ordered = f"SELECT *, {', '.join(f'{k} AS k{i}' for i, k in enumerate(keys))} FROM ({tiers}) t"
-    return f"SELECT {'page_id, ' if key == 'page_id' else ''}host, email, verdict, tier, row_number() OVER (PARTITION BY {key} ORDER BY tier, {', '.join(f'k{i}' for i in range(len(keys)))}, email) AS rn FROM ({ordered}) o"
-
-
 def best_email(policy, d):
     """The best e-mail of each page under a policy, where it has one."""
     best = f"SELECT page_id, email, tier FROM ({_ranked(d, policy, mailed(d))}) r WHERE rn <= 1"

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyfold.functions import contacts as C
 from tallyfold.functions.dialect import DuckDB, Spark
-from tallyfold.functions.rules import LENIENT, POLICIES
 from tallyfold.operators.ranking import keep_first
 from tallyfold.plans import records
-from tallyfold.plans.base import candidates, hosts, mailed
+from tallyfold.plans.base import hosts, mailed, ranked
 from tallyfold.sources.tables import view
 from tallyfold.streaming import flows, machines
 
@@ -91,14 +89,9 @@ BUDGET, TIMEOUT_MS = 6, 240_500
 
 def _answers(d):
     """A host's pages with their own best e-mail; two of three are taken to hold none."""
-    found = f"SELECT c.page_id, c.email, h.host FROM ({candidates(d, mailed(d), 'page_id', 'html')}) c JOIN ({hosts(d)}) h ON c.page_id = h.page_id WHERE c.page_id % 3 = 0"
-    parts = C.email_parts(d, f"({found}) f", "email", LENIENT)
-    named = f"SELECT *, {C.verdict(d, 'email', LENIENT)} AS verdict, {C.registrable(d, 'host', LENIENT)} AS host_reg FROM ({parts}) p"
-    keyed = f"SELECT *, {C.token(d, 'host_reg')} AS bt, {C.token(d, 'reg')} AS et, {d.rep('local', '[^a-z0-9]+', '')} AS lt, {C.same_business(d, 'host', LENIENT, 'host_reg')} AS same FROM ({named}) n"
-    tier, keys = C.best_order(d, "email", "host", LENIENT, POLICIES["business_only"])
-    tiers = f"SELECT page_id, email, {tier} AS tier, {', '.join(f'{k} AS k{i}' for i, k in enumerate(keys))} FROM ({keyed}) k WHERE verdict = 'ok'"
-    best = keep_first(f"(SELECT * FROM ({tiers}) t WHERE tier < 9) u", "page_id", f"tier, {', '.join(f'k{i}' for i in range(len(keys)))}, email", "page_id, email")
-    return f"SELECT h.host AS key, h.page_id, h.url, b.email FROM ({hosts(d)}) h LEFT JOIN ({best}) b ON b.page_id = h.page_id"
+    pages = f"(SELECT page_id, html FROM {mailed(d)} WHERE page_id % 3 = 0) third"
+    best = f"SELECT page_id, email, tier FROM ({ranked(d, 'business_only', pages)}) r WHERE rn <= 1"
+    return f"SELECT h.host AS key, h.page_id, h.url, CASE WHEN b.tier < 9 THEN b.email END AS email FROM ({hosts(d)}) h LEFT JOIN ({best}) b ON b.page_id = h.page_id"
 
 
 _CRAWL = f"""WITH p AS MATERIALIZED (SELECT key, page_id, url, email, page_id AS t, row_number() OVER (PARTITION BY key ORDER BY page_id) AS n FROM ({_answers(DuckDB())}) a WHERE key IS NOT NULL),
