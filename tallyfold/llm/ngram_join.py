@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import by_key, components, discard, fresh, stored, table
+from tallyfold.llm.common import by_key, components, discard, fresh, release_memory, small_batches, stored, table
 from tallyfold.llm.hashing import mix, shingle_sets
 
 #: How many of the most frequent shingles the order puts last; it only steers the order, so results don't depend on it.
@@ -88,6 +88,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
         counts = np.bincount(at, counts, len(keys)).astype(np.int64)
         often = counts >= LOCAL_MIN
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["s", "n"])
+        del keys, counts, often, at
+        release_memory()
 
     seen = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = seen.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toPandas()["s"].to_numpy(np.int64)
@@ -134,6 +136,8 @@ def signatures(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> D
             cut = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), lists, *(pa.array([r[k] for r in rows], pa.binary()) for k in (4, 5))], names=["doc_id", "n", "d1", "d2", "prefix", "bits", "wide"])
+            del texts, rows, lists
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
 
@@ -208,6 +212,7 @@ def plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
                     a, b = (np.stack([folded(end[i], w) for i in part]) for end in ends)
                     keep[part] = _possible(na[part], nb[part], a, b, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        release_memory()
 
     best = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
     for end in ("a", "b"):
@@ -301,6 +306,7 @@ def _clusters(percent: int, small: int, column: str):
                 yield told(pa, out)
                 out, size = [], 0
         yield told(pa, out)
+        release_memory()
 
     def told(pa, out):
         p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
@@ -351,6 +357,7 @@ def _settle(words: int, percent: int, count: bool = False):
                 out = [(int(r), int(k)) for r, k in zip(rep, links) if k]
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        release_memory()
 
     return run
 
@@ -440,6 +447,8 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
                         out.append((hub, doc))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        sets = []
+        release_memory()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     wanted = F.broadcast(need) if need.count() <= BROADCAST else need
@@ -452,6 +461,7 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text): 100 * intersection >= percent * union links."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stored(signatures(docs, words, percent, frequent_shingles(docs, words)), "jaccard-signatures")
     full = sig.where("n > 0 and doc_id is not null")
@@ -493,6 +503,7 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     No pair is skipped for lying in one component: a cluster compares all its
     classes, but tells counts, a row a class. Equal sets are compared once.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = stored(signatures(docs, words, percent, frequent_shingles(docs, words)), "jaccard-signatures")
     full = sig.where("n > 0 and doc_id is not null")
