@@ -28,7 +28,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_matches_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
