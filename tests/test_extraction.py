@@ -48,6 +48,13 @@ def test_elements_end_where_a_browser_ends_them():
     assert H.values(root, "//p") == ["a", "one", "end"] and H.values(root, "/ul/li/text()") == ["two", "three"] and H.values(root, "//option") == ["1", "2"]
 
 
+def test_named_references_need_their_semicolon():
+    """As in the SQL: a text that is cut inside a reference stays as written, in attributes and scripts too."""
+    root = H.parse("<title>a &amp;&amp; b&amp</title><a href='?a=1&copy=2&amp;b=3'>&quot;&ampx; &am &#64; R&D;\ufdd0</a><script>a&lt=b&amp;</script>")
+    assert H.values(root, "//title") == ["a && b&amp"] and H.values(root, "//a/@href") == ["?a=1&copy=2&b=3"] and H.values(root, "//a") == ['"&ampx; &am @ R&D;\ufdd0']
+    assert H.values(root, "//script/text()") == ["a&lt=b&amp;"]
+
+
 def coded(text, key):
     return f"{key:02x}" + "".join(f"{ord(c) ^ key:02x}" for c in text)
 
