@@ -91,7 +91,7 @@ def listing_with_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed places with what their own pages say laid over it; only pages that a block names are parsed."""
     blocks = X.whole_blocks(X.extract_blocks(_spread(view(spark, sf_dir, listing.LISTING_PAGES)), listing.LISTING | {"slow": {"enabled": True}})).persist(StorageLevel.DISK_ONLY)  # read for the names and for the rows
     pages = X.asked_pages(view(spark, sf_dir, listing.PLACE_PAGES), blocks)
-    details = X.extract_pages(pages, listing.DETAIL, keep="url")
+    details = X.extract_pages(_spread(pages), listing.DETAIL, keep="url")
     return X.with_details(blocks, details).select("page_id", "block", *[F.col("core")[c].alias(c) for c in ("business_name", "address", "phone", "category", "hours_detail")])
 
 

@@ -14,7 +14,7 @@ from tallyfold.functions import html as H
 from tallyfold.functions import template as T
 from tallyfold.operators import engines
 from tallyfold.operators import extraction as X
-from tallyfold.plans import listing
+from tallyfold.plans import listing, registry
 from tallyfold.sources import files, tables
 from tallyfold.streaming import flows
 
@@ -167,6 +167,21 @@ def test_only_asked_details_are_parsed(spark):
     assert {r.block: r.core for r in X.with_details(blocks, details).collect()} == {1: {"a": "New"}, 2: {"a": "2"}}
 
 
+def test_made_up_pages_are_parsed_side_by_side(spark):
+    """Customers come out of one task; their pages are dealt anew before they are parsed."""
+    for name in ("listing_with_details",):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        parsed = plan[plan.rindex("MapInArrow") :] if name == "place_details" else plan[plan.index("MapInArrow") : plan.index("Join LeftSemi")]
+        assert "Repartition" in parsed
+
+
+def test_plain_steps():
+    """Steps without predicates: attributes in order and once each, the node itself, children of nodes that lie in each other."""
+    root = H.parse("<div id=a x=1><b>1</b><div id=c><b>2</b></div><b id=e>3</b></div>")
+    for path, want in (("//div/@id", ["a", "c"]), ("/div/@*", ["1", "a"]), ("//div/b", ["1", "2", "3"]), ("//*[self::b][@id='e']", ["3"]), ("//b/self::div", []), ("//div/text()", []), ("//b/text()", ["1", "2", "3"]), ("//@id/self::id", ["a", "c", "e"]), ("//b[@id]/../@x", ["1"]), ("concat(//b, //div/b)", ["11"])):
+        assert H.values(root, path) == want, path
+
+
 def test_capture_and_links(spark):
     pages = spark.createDataFrame([(1, "u", "\ufb01x", 200), (2, "u", "plain", 200), (3, "u", "gone", 404), (4, "u", None, 200)], "page_id long, url string, html string, status int")
     assert {r.page_id: r.html for r in X.capture(pages).collect()} == {1: "fix", 2: "plain", 4: None}
