@@ -82,7 +82,7 @@ def listing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def place_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place pages' values; N/A where one is missing."""
-    found = X.extract_pages(view(spark, sf_dir, listing.PLACE_PAGES), listing.DETAIL)
+    found = X.extract_pages(_spread(view(spark, sf_dir, listing.PLACE_PAGES)), listing.DETAIL)
     name = lambda c: {"name": "business_name", "reviews": "review_count"}.get(c, c)
     return found.select("page_id", *[F.coalesce(F.col("core")[name(f["label"])], F.lit("N/A")).alias(f["label"]) for f in listing.DETAIL])
 

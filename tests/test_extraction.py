@@ -169,7 +169,7 @@ def test_only_asked_details_are_parsed(spark):
 
 def test_made_up_pages_are_parsed_side_by_side(spark):
     """Customers come out of one task; their pages are dealt anew before they are parsed."""
-    for name in ("listing_with_details",):
+    for name in ("place_details", "listing_with_details"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         parsed = plan[plan.rindex("MapInArrow") :] if name == "place_details" else plan[plan.index("MapInArrow") : plan.index("Join LeftSemi")]
         assert "Repartition" in parsed
