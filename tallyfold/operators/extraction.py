@@ -14,6 +14,8 @@ CHANNEL = "page_id long, email string, channel string"
 TRACE = "page_id long, label string, xpath string, regex string, matches int, value string, previews array<string>, attempts array<struct<index:int,matched:boolean,value:string,preview:string>>, matched_index int, status string"
 #: Rows that a task holds before it hands them on.
 ROWS = 2048
+#: Bytes of pages that capture moves to Python at once; a smaller bound of the session's stays.
+BATCH_BYTES = 4 << 20
 
 
 def rows_of(pages: DataFrame, schema: str, one: Callable, *columns: str) -> DataFrame:
@@ -46,16 +48,24 @@ def rows_of(pages: DataFrame, schema: str, one: Callable, *columns: str) -> Data
 
 def capture(pages: DataFrame) -> DataFrame:
     """Pages as the operators read them: answers with status 200 where a status is known, text in Unicode's NFKC form."""
-    @F.pandas_udf("string")
-    def nfkc(text: pd.Series) -> pd.Series:
-        return text.str.normalize("NFKC")
+
+    def run(batches: Iterator) -> Iterator:
+        from unicodedata import is_normalized, normalize
+
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [t if t is None or is_normalized("NFKC", t) else normalize("NFKC", t) for t in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, f.type) if f.name == "html" else c for f, c in zip(b.schema, b.columns)], schema=b.schema)
 
     if "status" in pages.columns:
         pages = pages.where("status = 200")
-    # ASCII is its own normal form: only other texts go through Python, beside nulls in their place
-    other = F.col("html").rlike("[^\\x00-\\x7F]")
-    made = pages.withColumn("tallyfold_html", nfkc(F.when(other, F.col("html"))))
-    return made.withColumn("html", F.coalesce("tallyfold_html", "html")).drop("tallyfold_html")
+    # by rows alone, as a UDF's are cut, a batch of pages takes tens of MB, of which a worker holds several copies
+    conf, bound = pages.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(bound, None) or ""
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(bound, str(BATCH_BYTES))
+    return pages.mapInArrow(run, pages.schema)
 
 
 def email_channels(pages: DataFrame) -> DataFrame:

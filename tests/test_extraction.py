@@ -189,6 +189,16 @@ def test_capture_and_links(spark):
     assert [r.to for r in got.collect()] == ["https://a.com/d", "/x", ""]
 
 
+def test_capture_moves_little_to_python(spark):
+    """Pages go to Python in batches cut by bytes, other columns and nulls as they are."""
+    texts = ["élan Ärger ß", "e\u0301lan", "x²", "\u00a0", None, "\ufb01\ufb01"] * 50
+    rows = [(i, f"u{i % 7}", x, 200, [i]) for i, x in enumerate(texts)]
+    made = X.capture(spark.createDataFrame(rows, "page_id long, url string, html string, status int, more array<int>"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= X.BATCH_BYTES and "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    want = ["élan Ärger ß", "élan", "x2", " ", None, "fifi"] * 50
+    assert [tuple(r) for r in made.orderBy("page_id").collect()] == [(i, u, want[i], n, more) for i, u, _, n, more in rows]
+
+
 def test_engines(spark):
     named = engines.email_engines()
     pages = spark.createDataFrame([(1, '<a href="mailto:A@b.com">x</a>')], "page_id long, html string")
