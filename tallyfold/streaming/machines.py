@@ -6,7 +6,9 @@ They keep their state in RocksDB; `with_state_store` sets that for a session.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from tallyfold.streaming.flows import STAGES
 
 FRONTIER = "key string, n long, page_id long, outcome string, email string, queued int"
 MACHINE = "run_id long, seq long, stage string, event string, accepted boolean, reason string, state string, completed int"
+#: Why an event is refused, and a run's states; a machine's row tells their places.
+REASONS = ("unsupported", "after done", "repeated", "out of order")
+STATES = ("open", "failed", "done")
 
 
 def with_state_store(spark: SparkSession) -> None:
@@ -108,30 +113,44 @@ def crawl_frontier(pages: DataFrame, links: int = 5, timeout_ms: int = 60_000, b
     return rows.groupBy("key").transformWithState(made, FRONTIER, "append", "EventTime" if by_event_time else "ProcessingTime")
 
 
+@lru_cache(maxsize=4096)
+def _step(told: str) -> tuple[int, bool]:
+    """(place of the stage, -1 for one that isn't known, whether it failed) of an event as JSON."""
+    event = json.loads(told)
+    stage = event.get("stage")
+    return STAGES.index(stage) if stage in STAGES else -1, event.get("event") == "fail"
+
+
 class Machine(StatefulProcessor):
-    """One run: takes the events that its stages' order allows and refuses the others with a reason."""
+    """One run: takes the events that its stages' order allows and refuses the others with a reason.
+
+    Rows cross to Python and back value by value, so they are narrow: seq and
+    the event as one text, and back with one number for the verdict.
+    """
 
     def init(self, handle) -> None:
         self.at = handle.getValueState("at", "completed int, failed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        completed, failed = self.at.get() if self.at.exists() else (0, False)
+        before = completed, failed = tuple(self.at.get()) if self.at.exists() else (0, False)
+        row, steps = Row("run_id", "seq", "told", "verdict"), len(STAGES)
         for r in sorted(rows, key=lambda r: r.seq):
-            place = STAGES.index(r.stage) if r.stage in STAGES else -1
-            reason = None
+            place, fails = _step(r.told)
+            refused = 0
             if place < 0:
-                reason = "unsupported"
-            elif completed == len(STAGES):
-                reason = "after done"
+                refused = 1
+            elif completed == steps:
+                refused = 2
             elif place != completed:
-                reason = "repeated" if place < completed else "out of order"
-            elif r.event == "fail":
+                refused = 3 if place < completed else 4
+            elif fails:
                 failed = True
             else:
                 completed, failed = completed + 1, False
-            state = "done" if completed == len(STAGES) else "failed" if failed else "open"
-            yield Row(run_id=key[0], seq=r.seq, stage=r.stage, event=r.event, accepted=reason is None, reason=reason, state=state, completed=completed)
-        self.at.update((completed, failed))
+            state = 2 if completed == steps else int(failed)
+            yield row(key[0], r.seq, r.told, refused + 10 * state + 100 * completed)
+        if (completed, failed) != before:
+            self.at.update((completed, failed))
 
     def close(self) -> None:
         pass
@@ -145,5 +164,9 @@ def run_machine(events: DataFrame) -> DataFrame:
     a micro-batch in any; a run's events of one micro-batch must fit in a task.
     """
     with_state_store(events.sparkSession)
-    rows = events.where("run_id is not null and seq is not null")
-    return rows.groupBy("run_id").transformWithState(Machine(), MACHINE, "append", "None")
+    rows = events.where("run_id is not null and seq is not null").select("run_id", "seq", F.to_json(F.struct("stage", "event")).alias("told"))
+    told = rows.groupBy("run_id").transformWithState(Machine(), "run_id long, seq long, told string, verdict int", "append", "None")
+    event, refused, state = F.from_json("told", "stage string, event string"), F.col("verdict") % 10, F.floor(F.col("verdict") / 10).cast("int") % 10
+    reason = F.get(F.array(*map(F.lit, REASONS)), refused - 1)  # none before the first
+    out = told.withColumn("event", event)
+    return out.select("run_id", "seq", "event.stage", "event.event", (refused == 0).alias("accepted"), reason.alias("reason"), F.get(F.array(*map(F.lit, STATES)), state).alias("state"), F.floor(F.col("verdict") / 100).cast("int").alias("completed"))

@@ -92,6 +92,19 @@ def test_run_machine_golden(spark):
     }
 
 
+def test_run_machine_moves_narrow_rows(spark):
+    """Four values a row come back from Python; odd stages and nulls pass as they are; a state that stays isn't written again."""
+    schema = "run_id long, seq long, stage string, event string"
+    first = [(1, 1, flows.STAGES[0], "complete"), (2, 1, 'odd "stage", é', None), (3, 1, None, "fail"), (4, 1, flows.STAGES[0], None)]
+    parts = [spark.createDataFrame(x, schema) for x in (first, [(1, 2, flows.STAGES[0], "fail"), (2, 2, "", "complete")])]
+    got, progress = flows.drain_in_parts(parts, machines.run_machine, "machine")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == [
+        (1, 1, flows.STAGES[0], "complete", True, None, "open", 1), (1, 2, flows.STAGES[0], "fail", False, "repeated", "open", 1), (2, 1, 'odd "stage", é', None, False, "unsupported", "open", 0),
+        (2, 2, "", "complete", False, "unsupported", "open", 0), (3, 1, None, "fail", False, "unsupported", "open", 0), (4, 1, flows.STAGES[0], None, True, None, "open", 1),
+    ]
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]][-1] == 2
+
+
 def test_run_machine_is_its_batch_twin(spark):
     from tallyfold.functions.dialect import Spark
 
