@@ -497,6 +497,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     return linked.unionByName(alone)
 
 
+def _once_a_group(rows: DataFrame) -> DataFrame:
+    """Buckets (key, rep, comp, n, pos) of two rows or more with their size; those of the same members as one, at each one's least place.
+
+    Near copies share many shingles, each a bucket of the same classes. A least
+    place loosens the filter by places, so no pair is lost; should two groups'
+    hashes meet, they are one bucket, which loses none either.
+    """
+    size = rows.groupBy("key").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(rep))").alias("h1"), F.expr("bit_xor(xxhash64(rep, 1))").alias("h2")).where("size > 1")
+    return rows.join(size, "key").groupBy(F.xxhash64("size", "h1", "h2").alias("key"), "rep", "comp", "n").agg(F.min("pos").alias("pos"), F.max("size").alias("size"))
+
+
 def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, n_links) of docs (doc_id, text) with distinct ids: how many others each links with.
 
@@ -510,7 +521,7 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     classes = stored(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
     rows = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"), "n", F.posexplode("prefix").alias("pos", "key"))
     rows = stored(rows, "jaccard-buckets")
-    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    rows = stored(_once_a_group(rows), "jaccard-buckets")
     none = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).where("false")
     stars = _suspects(rows, full.select("doc_id", "n", "bits", "wide"), classes, none, percent, True)
     linked = classes.select("rep", F.lit(0).cast("long").alias("outer")).where("false")

@@ -668,3 +668,13 @@ def test_empty_tables(docs, spark):
     none = docs.where("false")
     assert pii.redact(none).count() == bpe.encode(none).count() == bpe.round_trip(none).count() == ngram_join.jaccard_components(none).count() == mixing.remix(none).count() == 0
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_buckets_of_one_group_are_one(spark):
+    """The counts compare a group's classes once, however many shingles they share, at each one's least place."""
+    from tallyfold.llm.ngram_join import _once_a_group
+
+    rows = [(k, r, r, 10 * r, (k + r) % 5) for k in range(9) for r in (1, 2)] + [(20, r, r, 10 * r, 4) for r in (1, 2, 3)] + [(30, 4, 4, 40, 0)]
+    got = _once_a_group(spark.createDataFrame(rows, "key long, rep long, comp long, n long, pos int")).collect()
+    groups = {k: sorted((r.rep, r.comp, r.n, r.pos, r.size) for r in got if r.key == k) for k in {r.key for r in got}}
+    assert sorted(groups.values()) == [[(1, 1, 10, 0, 2), (2, 2, 20, 0, 2)], [(1, 1, 10, 4, 3), (2, 2, 20, 4, 3), (3, 3, 30, 4, 3)]]
